@@ -1,0 +1 @@
+"""Measurement, join, graph and report operators: DataFrame in, DataFrame out."""
