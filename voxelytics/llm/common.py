@@ -1,0 +1,46 @@
+"""What the operators of this subpackage share: table reading, words, and cutting lineage."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: The white space that separates words (code points 32 and 9 to 13).
+SPACES = " \t\n\x0b\x0c\r"
+#: The same as a regular expression for Spark, DuckDB and Python alike.
+SPACE_RUN = r"[\x20\x09-\x0D]+"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the tables, by Spark's own reader, from wherever Spark can read."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session names it; a temporary one only where none is named."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = tempfile.mkdtemp(prefix="voxelytics-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used yet."""
+    return f"{shared_dir(spark)}/voxelytics/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cuts lineage: ``df`` as a Parquet table in the shared folder, which outlives any executor."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def words(text: Column) -> Column:
+    """The maximal runs of characters other than ``SPACES``, in order; none for null or blank text."""
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+    return F.when(inner == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(inner, SPACE_RUN))

@@ -1,0 +1,29 @@
+"""The registered queries of this subpackage and, where SQL can express them, their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from voxelytics.llm import sentencepiece_codec
+from voxelytics.llm.common import table
+
+
+def piece_model_path() -> str:
+    """Where the public piece model is; the operators take the path as a parameter."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), piece_model_path())
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"op1_sentencepiece": op1_sentencepiece}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
