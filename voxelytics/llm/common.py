@@ -40,6 +40,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, base: str) -> str:
+    """A name that no column of ``df`` begins with, for columns that come and go inside an operator."""
+    names = [c.lower() for c in df.columns]
+    while any(c.startswith(base) for c in names):
+        base = f"_{base}"
+    return base
+
+
 def words(text: Column) -> Column:
     """The maximal runs of characters other than ``SPACES``, in order; none for null or blank text."""
     inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
