@@ -58,7 +58,8 @@ def measure(df: DataFrame, text: str = "text", out: str = "measured") -> DataFra
         "n_lines": F.size(lines),
         "n_capitals": F.char_length(letters) - F.char_length(F.regexp_replace(letters, "[A-Z]", "")),
     }
-    df = df.withColumn(out, F.struct(*(c.cast("long").alias(k) for k, c in counts.items()))).drop(w, h, lines)
+    # Going through explode() keeps later filters from pulling copies of these expressions into themselves.
+    df = df.withColumn(out, F.explode(F.array(F.struct(*(c.cast("long").alias(k) for k, c in counts.items()))))).drop(w, h, lines)
     at = lambda k: F.col(f"{out}.{k}")
     per = lambda a, b, scale: F.expr(f"({scale} * {out}.{a}) div greatest({out}.{b}, 1L)")
     return df.withColumn(
