@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelytics.llm import quality_rules, secret_scan, sentencepiece_codec
+from voxelytics.llm import quality_rules, ring_sharding, secret_scan, sentencepiece_codec
 from voxelytics.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), piece_model_path())
 
 
+def op3_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ring_sharding.assign(table(spark, sf_dir, "documents"), 16)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return quality_rules.verdicts(table(spark, sf_dir, "documents")).select(*kept)
@@ -33,6 +37,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
+        "op3_ring_sharding": op3_ring_sharding,
         "op6_quality_rules": op6_quality_rules,
         "op8_secret_scan": op8_secret_scan,
     }
