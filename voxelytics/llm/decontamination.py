@@ -1,0 +1,110 @@
+"""Benchmark decontamination by template canonicalisation.
+
+A text becomes a sequence of tokens (runs of letters and digits, numbers with their separators kept whole). In the
+template of a text every number, every name (a token that begins with a capital letter) and every unit after a
+number is replaced by a typed placeholder; all other tokens are in lower case. Windows of eight template tokens
+of the benchmark, leaving out those with fewer than four literal tokens, are joined by hash with the windows of
+all documents. So a passage is found as it is, and also with other numbers, names or units put in.
+
+What the join finds is then checked. Windows of a document and an item that lie at the same distance form an
+occurrence. Its slots, the placeholders' original values, are compared: equal values in the item must stand
+against equal values in the document, and the reverse, else the occurrence is chance and goes. An item leaks into
+a document if the remaining occurrences cover at least half of the item's windows.
+
+Null and empty texts, and items of fewer than eight tokens, match nothing. Rows that share a key (null included)
+are one document; an item that is repeated counts once for each id. Other columns are carried along by
+``drop_leaks``, whatever their names.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from voxelytics.llm.common import fresh, written
+
+WINDOW, LEAST_LITERAL, LEAST_PERCENT = 8, 4, 50
+TOKEN = r"[0-9]+(?:[.,:/][0-9]+)*|[\p{L}\p{M}0-9]+"
+#: Units of measure and money, in lower case, that stand after a number.
+UNITS = (
+    "mm cm m km in inch inches ft foot feet yd yards mile miles mg g kg lb lbs oz ton tons ml cl l liter liters litre litres s sec second seconds min minute minutes "
+    "h hour hours day days week weeks month months year years percent euro euros dollar dollars cent cents pound pounds mph kmh km2 m2 m3 hz khz mhz ghz w kw kwh v a c f"
+).split()
+#: Benchmark windows up to this number may be broadcast (24 bytes each); more are joined by shuffling.
+BROADCAST_WINDOWS = 1_000_000
+
+
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+
+
+def _is_number(t: Column) -> Column:
+    return (t >= F.lit("0")) & (t < F.lit(":"))
+
+
+def _slot(raw: Column, t: Column, i: Column) -> Column:
+    """The placeholder of token ``t`` at ``i`` of ``raw``; null for literal tokens."""
+    low = F.lower(t)
+    after = F.coalesce(_is_number(F.get(raw, i - 1)), F.lit(False))
+    return F.when(_is_number(t), F.lit("<number>")).when(after & F.array_contains(F.array(*map(F.lit, UNITS)), low), F.lit("<unit>")).when(F.left(t, F.lit(1)) != F.left(low, F.lit(1)), F.lit("<name>"))
+
+
+def _template(raw: str) -> Column:
+    """Hashes of the template's tokens."""
+    return F.transform(F.col(raw), lambda t, i: F.xxhash64(F.coalesce(_slot(F.col(raw), t, i), F.lower(t))))
+
+
+def _windows(template: str) -> Column:
+    """Hashes of the windows, by where they begin."""
+    n = F.size(template)
+    return F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col(template), i, WINDOW)))).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+
+def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
+    """``item``, ``j``, ``window``, ``slots`` and ``total``: the windows with enough literal tokens, and their number by item."""
+    df = items.select(F.col(key).alias("item"), _tokens(F.col(text)).alias("raw"))
+    df = df.withColumn("slots", F.transform("raw", lambda t, i: F.struct(_slot(F.col("raw"), t, i).alias("kind"), F.lower(t).alias("value"))))
+    df = df.withColumn("template", _template("raw"))
+    df = df.select("item", "slots", F.posexplode(_windows("template")).alias("j", "window"))
+    df = df.withColumn("slots", F.slice("slots", F.col("j") + 1, F.lit(WINDOW)))
+    df = df.where(F.size(F.filter("slots", lambda s: s["kind"].isNull())) >= LEAST_LITERAL)
+    totals = df.groupBy("item").agg(F.countDistinct("j").alias("total"))
+    return df.join(totals.withColumnRenamed("item", "of"), F.col("item").eqNullSafe(F.col("of"))).drop("of").dropDuplicates(["item", "j", "window"])
+
+
+def _joined(windows: DataFrame, of: DataFrame, small: bool) -> DataFrame:
+    return windows.join(F.broadcast(of) if small else of, "window")
+
+
+def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id") -> DataFrame:
+    """``doc``, ``item``, ``matched`` (windows of the item that are covered), ``total`` and ``exact`` (no slot differs), a row for each leak."""
+    bench = written(item_windows(items, item_key), "bench")
+    small = bench.count() <= BROADCAST_WINDOWS
+    prints = docs.select(F.col(key).alias("doc"), _tokens(F.col(text)).alias("raw")).withColumn("template", _template("raw"))
+    # Only hashes and places leave the row; repeated hits of an item's window in one document count once.
+    seen = prints.select("doc", F.explode(_windows("template")).alias("window"))
+    hits = _joined(seen, bench.select("window", "item", "j", "total"), small)
+    likely = hits.groupBy("doc", "item", "total").agg(F.countDistinct("j").alias("n")).where(100 * F.col("n") >= LEAST_PERCENT * F.col("total"))
+    likely = written(likely.select(F.col("doc").alias("of_doc"), F.col("item").alias("of_item")), "likely")
+    # Only texts with a likely leak are looked at again, in full.
+    again = docs.select(F.col(key).alias("doc"), F.col(text).alias("body")).join(likely.select(F.col("of_doc").alias("d")).distinct(), F.col("doc").eqNullSafe(F.col("d")), "left_semi")
+    again = again.withColumn("raw", _tokens(F.col("body"))).withColumn("template", _template("raw"))
+    again = again.select("doc", F.col("raw"), F.posexplode(_windows("template")).alias("i", "window"))
+    again = again.select("doc", "i", "window", F.transform(F.slice("raw", F.col("i") + 1, F.lit(WINDOW)), lambda t: F.lower(t)).alias("values"))
+    met = _joined(again, bench, small)
+    met = met.join(likely, F.col("doc").eqNullSafe(F.col("of_doc")) & F.col("item").eqNullSafe(F.col("of_item")), "left_semi")
+    pairs = F.filter(F.zip_with("slots", "values", lambda s, v: F.struct(s["kind"].alias("kind"), s["value"].alias("item"), v.alias("doc"))), lambda p: p["kind"].isNotNull())
+    met = met.select("doc", "item", "total", (F.col("i") - F.col("j")).alias("at"), "j", pairs.alias("pairs"))
+    met = met.groupBy("doc", "item", "total", "at").agg(F.collect_set("j").alias("js"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    distinct = lambda f: F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p[f]))))
+    met = met.where((distinct("item") == F.size("pairs")) & (distinct("doc") == F.size("pairs")))
+    met = met.withColumn("exact", F.forall("pairs", lambda p: p["item"] == p["doc"]))
+    out = met.groupBy("doc", "item", "total").agg(F.size(F.array_distinct(F.flatten(F.collect_set("js")))).cast("long").alias("matched"), F.max("exact").alias("exact"))
+    return out.where(100 * F.col("matched") >= LEAST_PERCENT * F.col("total")).select("doc", "item", "matched", "total", "exact")
+
+
+def drop_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that no item leaks into, with all their columns."""
+    name = fresh(docs, "leak_doc")
+    found = written(leaks(docs, items, key, text).select(F.col("doc").alias(name)).distinct(), "leaks")
+    return docs.join(found, docs[key].eqNullSafe(found[name]), "left_anti")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelytics.llm import quality_rules, ring_sharding, secret_scan, sentencepiece_codec
+from voxelytics.llm import decontamination, quality_rules, ring_sharding, secret_scan, sentencepiece_codec
 from voxelytics.llm.common import table
 
 
@@ -34,12 +34,18 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op3_ring_sharding": op3_ring_sharding,
         "op6_quality_rules": op6_quality_rules,
         "op8_secret_scan": op8_secret_scan,
+        "op9_decontamination": op9_decontamination,
     }
 
 
