@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelytics.llm import decontamination, quality_rules, ring_sharding, secret_scan, sentencepiece_codec
+from voxelytics.llm import decontamination, licenses, quality_rules, ring_sharding, secret_scan, sentencepiece_codec
 from voxelytics.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -46,8 +50,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_rules": op6_quality_rules,
         "op8_secret_scan": op8_secret_scan,
         "op9_decontamination": op9_decontamination,
+        "op10_licenses": op10_licenses,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality_rules.sql()}
+    return {"op6_quality_rules": quality_rules.sql(), "op10_licenses": licenses.sql()}

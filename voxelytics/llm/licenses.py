@@ -1,0 +1,107 @@
+"""License scans: segments of a text against licence templates by the Dice coefficient of word bigrams.
+
+A template is the normalised text of a licence's notice or of its usual one-line mention. The segments of a text
+are its lines, its paragraphs (lines between blank ones) and the whole. A segment is normalised as the templates
+are (lower case, anything but letters and digits is one blank) and compared to each template as a set of word
+bigrams: 2 * common / (size + size). Two sets can reach the threshold only if neither is larger than (2 - t) / t
+times the other. This bound is applied to the segment's word count before any text is compared, and again to the
+two sets; what passes is compared in full, so nothing is lost.
+
+Null and empty texts and segments of one word hold no bigram and match nothing. Rows that share a key are one
+document. Templates are a parameter; the ones here are short notices, as plain text.
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Notices and usual mentions, by SPDX identifier.
+TEMPLATES = (
+    ("MIT", "Released under the MIT License."),
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", "This project is licensed under the terms of the MIT license."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "Released under the Apache License 2.0."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "Released under the GNU General Public License version 3."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "Licensed under the GNU General Public License, version 2."),
+    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
+    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("all-rights-reserved", "Copyright. All rights reserved."),
+)
+PERCENT = 80
+
+
+def normal(text: Column) -> Column:
+    return F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}0-9]+", " "))
+
+
+def bigrams(text: str) -> Column:
+    """The set of word bigrams of a normalised text."""
+    w = F.split(F.col(text), " ")
+    pairs = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
+    return F.array_distinct(F.when(F.size(w) >= 2, pairs).otherwise(F.expr("cast(array() as array<string>)")))
+
+
+def templates(spark, found=TEMPLATES) -> DataFrame:
+    df = spark.createDataFrame([(i, spdx, text) for i, (spdx, text) in enumerate(found)], "template int, license string, notice string")
+    return df.withColumn("notice", normal(F.col("notice"))).select("template", "license", bigrams("notice").alias("grams"))
+
+
+def _segments(text: Column) -> Column:
+    """Lines, paragraphs of several lines, and the whole text if it has several paragraphs."""
+    paragraphs = F.split(text, r"\n[\x20\x09-\x0D]*\n")
+    longer = F.filter(paragraphs, lambda p: F.contains(p, F.lit("\n")))
+    return F.concat(F.split(text, "\n"), longer, F.when(F.size(paragraphs) > 1, F.array(text)).otherwise(F.expr("cast(array() as array<string>)")))
+
+
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", found=TEMPLATES, percent: int = PERCENT) -> DataFrame:
+    """``key``, ``license``, ``dice`` (the best segment's) and ``n_segments``: a row for each licence that a document names."""
+    known = templates(docs.sparkSession, found)
+    # At least the smallest template's number of different bigrams; marks count as blanks here, which only lowers it.
+    sizes = [len(set(zip(w, w[1:], strict=False))) for _, t in found if (w := [x for x in re.split(r"[\W_]+", t.lower()) if x])]
+    low, high = percent, 200 - percent
+    segment = docs.select(F.col(key).alias(key), F.explode(F.array_distinct(_segments(F.coalesce(F.col(text), F.lit(""))))).alias("segment"))
+    # A set is no larger than the word count less one, so the lower bound prunes before normalisation ...
+    blanks = F.char_length("segment") - F.char_length(F.regexp_replace("segment", r"[^\p{L}\p{M}0-9]", ""))
+    segment = segment.where((blanks + 1) * high >= low * min(sizes, default=1))
+    # ... and both bounds prune once the set is there. The templates are a fixed list, so they can be broadcast.
+    segment = segment.withColumn("segment", normal(F.col("segment"))).withColumn("segment", bigrams("segment"))
+    a, b = F.size("segment"), F.size("grams")
+    near = segment.join(F.broadcast(known), (a > 0) & (a * low <= b * high) & (b * low <= a * high))
+    common = F.size(F.array_intersect("segment", "grams"))
+    near = near.withColumn("common", common).where(200 * F.col("common") >= percent * (a + b))
+    best = near.select(key, "license", (2.0 * F.col("common") / (a + b)).alias("dice"))
+    return best.groupBy(key, "license").agg(F.round(F.max("dice"), 6).alias("dice"), F.count("*").alias("n_segments"))
+
+
+def sql(found=TEMPLATES, percent: int = PERCENT) -> str:
+    """DuckDB SQL for ``scan`` of ``documents``, comparing every segment with every template."""
+    values = ", ".join(f"({i}, '{spdx}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (spdx, text) in enumerate(found))
+    norm = lambda c: f"trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{M}}0-9]+', ' ', 'g'))"
+    grams = lambda w: f"list_distinct(list_transform(range(1, greatest(len({w}), 1)), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
+    return f"""WITH t AS (SELECT template, license, {grams('w')} AS grams FROM (SELECT template, license, string_split({norm('notice')}, ' ') AS w FROM (VALUES {values}) v(template, license, notice))),
+paragraphs AS (SELECT doc_id, coalesce(text, '') AS body, regexp_split_to_array(coalesce(text, ''), '\\n[\\x20\\x09-\\x0D]*\\n') AS p FROM documents),
+segments AS (SELECT DISTINCT doc_id, unnest(string_split(body, chr(10)) || list_filter(p, lambda x: contains(x, chr(10))) || CASE WHEN len(p) > 1 THEN [body] ELSE [] END) AS segment FROM paragraphs),
+sets AS (SELECT doc_id, {grams('w')} AS grams FROM (SELECT doc_id, string_split({norm('segment')}, ' ') AS w FROM segments)),
+near AS (SELECT doc_id, license, len(list_intersect(s.grams, t.grams)) AS common, len(s.grams) + len(t.grams) AS total FROM sets s, t WHERE len(s.grams) > 0 AND len(s.grams) < 1000)
+SELECT doc_id, license, round(max(2.0 * common / total), 6) AS dice, count(*) AS n_segments FROM near WHERE 200 * common >= {percent} * total GROUP BY doc_id, license"""
