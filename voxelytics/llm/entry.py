@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelytics.llm import decontamination, licenses, quality_rules, ring_sharding, secret_scan, sentencepiece_codec
+from voxelytics.llm import decontamination, licenses, quality_rules, ring_sharding, secret_scan, sentencepiece_codec, warc
 from voxelytics.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op3_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_sharding.assign(table(spark, sf_dir, "documents"), 16)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return quality_rules.verdicts(table(spark, sf_dir, "documents")).select(*kept)
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op3_ring_sharding": op3_ring_sharding,
+        "op5_warc": op5_warc,
         "op6_quality_rules": op6_quality_rules,
         "op8_secret_scan": op8_secret_scan,
         "op9_decontamination": op9_decontamination,
@@ -55,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality_rules.sql(), "op10_licenses": licenses.sql()}
+    return {"op5_warc": warc.sql(), "op6_quality_rules": quality_rules.sql(), "op10_licenses": licenses.sql()}
