@@ -1,0 +1,44 @@
+"""Connected components of a table of links, by alternating large and small stars.
+
+Nothing but counts comes to the driver. Every round is written to the shared folder, so lineage stays short. Each
+star operation groups by a node's smallest neighbour, found by a grouped minimum, so a node with very many links
+is no hot key: the minimum is combined before the shuffle, and the join back may be split.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from voxelytics.llm.common import written
+
+
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """Hangs each node's larger (or smaller and own) neighbours on its smallest one."""
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if large:
+        both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    else:
+        both = both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    joined = both.join(least, "u")
+    if large:
+        out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    else:
+        out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+    return out.where("a <> b").distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node`` and ``root`` (the smallest node reachable) of every node that has a link. ``edges`` has columns ``a`` and ``b``."""
+    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before = None
+    while True:
+        edges = written(_star(_star(edges, True), False), "edges")
+        # A star forest hangs every node on one root that hangs on none; the digest tells whether a round changed anything.
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == before:
+            break
+        before = now
+    roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelytics.llm import decontamination, licenses, quality_rules, ring_sharding, secret_scan, sentencepiece_codec, warc
+from voxelytics.llm import decontamination, licenses, ngram_join, quality_rules, ring_sharding, secret_scan, sentencepiece_codec, warc
 from voxelytics.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), piece_model_path())
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.classes(table(spark, sf_dir, "documents"))
+    return found.withColumnsRenamed({"id": "doc_id", "n": "n_shingles", "component": "component_id"})
+
+
 def op3_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_sharding.assign(table(spark, sf_dir, "documents"), 16)
 
@@ -50,6 +55,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
+        "op2_ngram_join": op2_ngram_join,
         "op3_ring_sharding": op3_ring_sharding,
         "op5_warc": op5_warc,
         "op6_quality_rules": op6_quality_rules,

@@ -1,0 +1,386 @@
+"""N-gram Jaccard self-join by prefix trees.
+
+Texts that have the same set of word n-grams are one class; only classes are joined. All n-grams have one global
+order, by their hash, in which frequent ones are moved back by a fixed distance ``BACK``. Sets with Jaccard
+similarity ``percent`` or more share one of the first ``n - ceil(percent * n) + 1`` n-grams of each, so only these
+prefixes are counted, joined and compared. As ``BACK`` is fixed, a prefix always lies inside the part of a set that
+one look at the hashes gives, and frequencies are needed for that part alone.
+
+The join has two rounds.
+
+* Round one deals every class out by the first n-gram of its prefix that another class's prefix has, once, with its
+  whole set. Those that meet are stored in a trie over the global order. The trie is walked from the root, carrying
+  for every set of the group its overlap with the path so far: sets that share a path share that work. A subtree is
+  left out for sets whose overlap, with all that remains below, can't reach the threshold, and for sets of other lengths.
+* Round two looks at the other prefix n-grams, and there only at classes that are not yet in one component, whose
+  lengths and positions allow a link, and that did not meet before at an earlier n-gram. These pairs are compared.
+
+So links inside a component that are implied by others need not be made, while no link between components is
+missed. Groups beyond ``BLOCK_GRAMS`` are split into blocks, and each pair of blocks is a group of its own.
+
+Words are runs without white space, after lower-casing A-Z. A text with fewer words than n has its whole sequence
+as its only n-gram. Null, empty and blank texts have no n-gram and are linked with nothing. n-grams are compared by
+63-bit hashes and classes by 128-bit digests of all hashes. Rows may repeat; a null key never becomes a
+component's id unless all its keys are null. Other columns aren't read, but are carried along by ``keep_one``.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from voxelytics.llm.common import fresh, written
+from voxelytics.llm.components import components
+
+SPAN = 1 << 63
+#: How far frequent n-grams are moved back, as a share of all hashes, and how many classes make one frequent.
+BACK, FREQUENT = 0.08, 48
+#: n-grams that a group's blocks hold, words a worker remembers, prefix n-grams that a class carries in round two.
+BLOCK_GRAMS, REMEMBERED, CARRIED = 2_000_000, 500_000, 8
+
+_known: dict[bytes, int] = {}
+
+
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    if len(_known) > REMEMBERED:
+        _known.clear()
+    for w in set(words).difference(_known):
+        _known[w] = xxhash.xxh3_64_intdigest(w)
+    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def grams(text: str | None, n: int = 3) -> np.ndarray:
+    """The set of a text's word n-grams, as ascending 63-bit hashes."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    h, n = _word_hashes(words), min(n, len(words))
+    acc = np.full(len(words) - n + 1, n, np.uint64)
+    for k in range(n):
+        acc = _mixed(acc * np.uint64(0x9E3779B97F4A7C15) + h[k : len(words) - n + 1 + k])
+    return np.unique((acc >> np.uint64(1)).astype(np.int64))
+
+
+def _digest(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+
+
+def prefix_length(n: int, percent: int) -> int:
+    return n - -(-percent * n // 100) + 1
+
+
+def linked(common, a, b, percent: int):
+    return 100 * common >= percent * (a + b - common)
+
+
+def _fingerprints(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
+    """``id``, ``n``, ``sig`` and the part of the set that any prefix lies in: ``part`` and, if frequent, the ``later`` place of each."""
+    back = int(BACK * SPAN)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for chunk in _chunks(batch.column(1)):
+                sizes, sigs, parts, laters = [], [], [], []
+                for t in chunk:
+                    found = grams(t, n)
+                    sizes.append(len(found))
+                    sigs.append(_digest(found) if len(found) else None)
+                    if not len(found):
+                        parts.append([])
+                        laters.append([])
+                        continue
+                    p = prefix_length(len(found), percent)
+                    part = found[: np.searchsorted(found, min(int(found[p - 1]) + back, SPAN - 1), "right")]
+                    later = np.full(len(part), -1, np.int32)
+                    later[:p] = [np.searchsorted(found, min(int(x) + back, SPAN - 1)) for x in part[:p]]
+                    parts.append(part)
+                    laters.append(later)
+                columns = [batch.column(0).slice(at, len(chunk)), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.array(parts, pa.list_(pa.int64())), pa.array(laters, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "sig", "part", "later"])
+                at += len(chunk)
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text).mapInArrow(run, f"id {kind}, n int, sig binary, part array<bigint>, later array<int>")
+
+
+def _chunks(column, chars: int = 4_000_000) -> Iterator[list[str | None]]:
+    chunk, size = [], 0
+    for t in column.to_pylist():
+        chunk.append(t)
+        size += len(t or "")
+        if size >= chars:
+            yield chunk
+            chunk, size = [], 0
+    if chunk:
+        yield chunk
+
+
+def _prefixes(shared: DataFrame, percent: int) -> DataFrame:
+    """``label``, ``n``, ``firsts`` and ``places``: the n-grams of each class's prefix that others have too, in global order."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for label, n, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = sorted((x["at"], x["later"], x["gram"], x["frequent"]) for x in found)
+                at, later, gram, hot = (np.array(c) for c in zip(*found, strict=True))
+                moved = at[hot]
+                place = at - np.searchsorted(moved, at) + np.searchsorted(np.sort(later[hot]), at, "right")
+                own = later[hot]
+                place[hot] = own - np.searchsorted(moved, own) + np.arange(len(moved))
+                place = np.where(hot & (later < 0), n, place)
+                keep = np.flatnonzero(place < prefix_length(n, percent))
+                keep = keep[np.argsort(place[keep], kind="stable")]
+                if len(keep):
+                    out.append((label, n, gram[keep], place[keep].astype(np.int32)))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 4
+            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["label", "n", "firsts", "places"])
+
+    lists = shared.groupBy("label").agg(F.first("n").alias("n"), F.collect_list(F.struct("at", "later", "gram", "frequent")).alias("found"))
+    return lists.mapInArrow(run, "label bigint, n int, firsts array<bigint>, places array<int>")
+
+
+def trie_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Enough of the links between ``sets`` (ascending arrays) to connect all that are linked; with ``side``, between the sides only.
+
+    The sets, cut down to the n-grams that two of them have, are sorted; a range of the sorted list with a common
+    beginning is a node of the trie, and the beginning its path.
+    """
+    m = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(m), sizes)
+    order = np.argsort(flat, kind="stable")
+    values, begins, times = np.unique(flat[order], return_index=True, return_counts=True)
+    local = np.full(len(flat), -1)
+    often = times >= 2
+    ids = np.cumsum(often) - 1
+    local[order] = np.repeat(np.where(often, ids, -1), times)
+    holders = owner[order]
+    posting = [holders[b : b + t] for b, t in zip(begins[often].tolist(), times[often].tolist(), strict=True)]
+    ends = np.cumsum(sizes)
+    paths = [x[x >= 0] for x in (local[e - k : e] for e, k in zip(ends.tolist(), sizes.tolist(), strict=True))]
+    ranked = sorted(range(m), key=lambda k: paths[k].astype(">i4").tobytes())
+    place = np.empty(m, int)
+    place[ranked] = np.arange(m)
+    parent = list(range(m))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    links = []
+    deep = np.array([len(paths[k]) for k in ranked])
+    size_at = sizes[ranked]
+    stack = [(0, m, 0, np.zeros(m, np.int64))]
+    while stack:
+        lo, hi, depth, overlap = stack.pop()
+        first, last = paths[ranked[lo]], paths[ranked[hi - 1]]
+        most = min(len(first), len(last))
+        differ = np.flatnonzero(first[depth:most] != last[depth:most])
+        end = depth + int(differ[0]) if len(differ) else most
+        if end > depth:
+            overlap = overlap + np.bincount(np.concatenate([posting[g] for g in first[depth:end].tolist()]), minlength=m)
+        small, large, below = size_at[lo:hi].min(), size_at[lo:hi].max(), deep[lo:hi].max() - end
+        reach = overlap + below
+        # Each pair is looked at from the later of the two; lengths and what remains rule out the rest.
+        alive = (place < hi) & linked(np.minimum(reach, large), sizes, small, percent) & (100 * sizes >= percent * small) & (percent * sizes <= 100 * large)
+        if not alive.any():
+            continue
+        stop = lo
+        while stop < hi and deep[stop] == end:
+            k = ranked[stop]
+            hit = alive & (place < stop) & linked(overlap, sizes, sizes[k], percent)
+            if side is not None:
+                hit &= side != side[k]
+            for x in np.flatnonzero(hit).tolist():
+                a, b = root(x), root(k)
+                if a != b:
+                    parent[a] = b
+                    links.append((x, k))
+            stop += 1
+        while stop < hi:
+            head, step = paths[ranked[stop]][end], stop + 1
+            while step < hi and paths[ranked[step]][end] == head:
+                step += 1
+            stack.append((stop, step, end, overlap))
+            stop = step
+    return links
+
+
+def _meet(sets: DataFrame, percent: int) -> DataFrame:
+    """Round one: ``a`` and ``b``, labels of linked classes that have the same ``gram``; from ``label``, ``gram`` and ``grams``."""
+    sizes = sets.groupBy("gram").agg(F.count("*").alias("m"), F.sum(F.size("grams")).alias("total")).where("m > 1")
+    blocks = sizes.select("gram", F.ceil(F.col("total") / BLOCK_GRAMS).cast("int").alias("blocks"))
+    dealt = sets.join(blocks, "gram").withColumn("own", F.pmod(F.xxhash64("label"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("gram", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "label", "grams")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, {}
+
+        def links() -> list[tuple[int, int]]:
+            if len(held) < 2:
+                return []
+            labels = list(held)
+            side = np.array([held[k][0] for k in labels]) if group[1] != group[2] else None
+            return [(labels[x], labels[y]) for x, y in trie_links([held[k][1] for k in labels], percent, side)]
+
+        for batch in batches:
+            out, columns = [], [batch.column(k).to_pylist() for k in range(5)]
+            offsets, values = batch.column(5).offsets.to_numpy(), batch.column(5).values.to_numpy()
+            for k, (gram, one, two, own, label) in enumerate(zip(*columns, strict=True)):
+                if (gram, one, two) != group:
+                    out += links()
+                    group, held = (gram, one, two), {}
+                held[label] = (own, values[offsets[k] : offsets[k + 1]].copy())
+            yield _pairs(out)
+        yield _pairs(links())
+
+    dealt = dealt.repartition("gram", "one", "two").sortWithinPartitions("gram", "one", "two")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found, strict=True) if found else ([], [])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _candidates(entries: DataFrame, percent: int) -> DataFrame:
+    """Round two: pairs of labels from different components that first meet at this ``gram`` and may be linked."""
+    stats = entries.groupBy("gram").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    block = 4096
+    dealt = entries.join(stats.select("gram", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "gram")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("label"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("gram", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "label", "n", "root", "place", "rank", "carried")
+
+    def compare(group: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
+        if len(rows) < 2:
+            return []
+        own, label, n, root, place, rank = (np.array(c) for c in list(zip(*rows, strict=True))[:6])
+        earlier = np.full((len(rows), CARRIED), -1, np.int64)
+        for k, r in enumerate(rows):
+            earlier[k, : len(r[6])] = r[6]
+        out = []
+        for k in range(len(rows)):
+            may = (root != root[k]) & (np.arange(len(rows)) > k) & (100 * n >= percent * n[k]) & (percent * n <= 100 * n[k]) & ~((rank == 0) & (rank[k] == 0))
+            if group[1] != group[2]:
+                may &= own != own[k]
+            # Before this place, only n-grams that aren't carried could be common.
+            spare = np.minimum(np.maximum(rank - CARRIED, 0), max(int(rank[k]) - CARRIED, 0))
+            common = spare + 1 + np.minimum(n - place, n[k] - place[k]) - 1
+            may &= linked(common, n, n[k], percent)
+            at = np.flatnonzero(may)
+            if len(at):
+                mine = earlier[k][earlier[k] >= 0]
+                met = np.isin(earlier[at], mine).any(axis=1) if len(mine) else np.zeros(len(at), bool)
+                out += [(int(min(label[k], x)), int(max(label[k], x))) for x in label[at[~met]]]
+        return out
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+        for batch in batches:
+            out = []
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r[:3] != group:
+                    out += compare(group, rows)
+                    group, rows = r[:3], []
+                rows.append(r[3:])
+            yield _pairs(out)
+        yield _pairs(compare(group, rows))
+
+    dealt = dealt.repartition("gram", "one", "two").sortWithinPartitions("gram", "one", "two")
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs whose whole sets are linked."""
+    one = sets.select(F.col("label").alias("a"), F.col("grams").alias("left"))
+    two = sets.select(F.col("label").alias("b"), F.col("grams").alias("right"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [(batch.column(k).offsets.to_numpy(), batch.column(k).values.to_numpy()) for k in (2, 3)]
+            out = []
+            for k, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                x, y = (values[offsets[k] : offsets[k + 1]] for offsets, values in sides)
+                if linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent):
+                    out.append((a, b))
+            yield _pairs(out)
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint")
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
+    """``id``, ``n`` (the set's size), ``component`` (the smallest id of the component) of every row of ``docs``."""
+    prints = written(_fingerprints(docs, key, text, n, percent).withColumn("label", F.monotonically_increasing_id()), "prints")
+    by_sig = prints.where("n > 0").groupBy("sig").agg(F.min("label").alias("label"), F.min("id").alias("first"))
+    by_sig = written(by_sig, "classes")
+    one = prints.select("label", "n", "part", "later").join(by_sig.select("label"), "label", "left_semi")
+    parts = one.select("label", "n", F.posexplode(F.arrays_zip("part", "later")).alias("at", "x")).select("label", "n", "at", F.col("x.part").alias("gram"), F.col("x.later").alias("later"))
+    times = parts.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1")
+    shared = parts.join(times, "gram").select("label", "n", "at", "later", "gram", (F.col("times") >= FREQUENT).alias("frequent"))
+    prefixes = written(_prefixes(shared, percent), "prefixes")
+
+    # Of the prefix n-grams, those that two classes' prefixes have; most classes have none and need no set.
+    entries = prefixes.select("label", "n", F.posexplode(F.arrays_zip("firsts", "places")).alias("rank", "x")).select("label", "n", "rank", F.col("x.firsts").alias("gram"), F.col("x.places").alias("place"))
+    twice = entries.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").drop("m")
+    entries = entries.join(twice, "gram", "left_semi")
+    by_label = entries.groupBy("label").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("rank", "gram", "place"))).alias("found"))
+    by_label = written(by_label, "candidates")
+
+    wanted = by_sig.join(by_label.select("label", F.col("found")[0]["gram"].alias("gram")), "label").select("sig", "label", "gram", "first")
+    wanted = written(wanted, "wanted")
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in _chunks(batch.column(0)):
+                found = [grams(t, n) for t in chunk]
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in found], pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["of", "grams"])
+
+    texts = docs.select(F.col(key).alias("of_id"), F.col(text).alias("body"))
+    texts = texts.join(wanted.select(F.col("first").alias("w")).distinct(), F.col("of_id").eqNullSafe(F.col("w")), "left_semi").select("body")
+    sets = texts.mapInArrow(whole, "of binary, grams array<bigint>").join(wanted, F.col("of") == F.col("sig")).select("label", "gram", "grams")
+    sets = written(sets, "sets")
+    links = written(_meet(sets, percent), "links")
+    roots = components(links)
+    found = by_label.join(roots, by_label["label"] == roots["node"], "left").withColumn("root", F.coalesce("root", "label"))
+    # What a class carries is cut to the few n-grams before each, so its size stays in proportion to the prefix.
+    entries = found.select("label", "n", "root", F.col("found"), F.posexplode("found").alias("nth", "x")).select(
+        "label", "n", "root", F.col("nth").alias("rank"), F.col("x.gram").alias("gram"), F.col("x.place").alias("place"),
+        F.transform(F.slice("found", F.lit(1), F.least(F.col("nth"), F.lit(CARRIED))), lambda x: x["gram"]).alias("carried"),
+    )
+    pairs = written(_candidates(entries, percent), "pairs")
+    slim = sets.dropDuplicates(["label"])
+    more = _compared(pairs, slim, percent)
+    roots = components(links.unionByName(more))
+
+    mine = by_sig.join(roots, by_sig["label"] == roots["node"], "left").withColumn("root", F.coalesce("root", "label"))
+    smallest = mine.groupBy("root").agg(F.min("first").alias("component"))
+    named = mine.join(smallest, "root").select(F.col("sig").alias("of"), "component")
+    out = prints.select("id", "n", "sig").join(named, F.col("sig") == F.col("of"), "left")
+    return out.select("id", F.col("n").cast("long").alias("n"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
+    """``docs`` without the rows whose key isn't their component's smallest one. Rows that share a key stay or go together."""
+    name = fresh(docs, "gone_id")
+    gone = classes(docs, key, text, n, percent).groupBy("id").agg(F.min((~F.col("id").eqNullSafe(F.col("component"))).cast("int")).alias("gone"))
+    gone = written(gone.where("gone = 1").select(F.col("id").alias(name)), "gone")
+    return docs.join(gone, docs[key].eqNullSafe(gone[name]), "left_anti")
