@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelytics.llm import decontamination, licenses, ngram_join, quality_rules, ring_sharding, secret_scan, sentencepiece_codec, warc
+from voxelytics.llm import decontamination, licenses, ngram_join, quality_rules, ring_sharding, secret_scan, sentencepiece_codec, toxicity, warc
 from voxelytics.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op3_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_sharding.assign(table(spark, sf_dir, "documents"), 16)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sentencepiece": op1_sentencepiece,
         "op2_ngram_join": op2_ngram_join,
         "op3_ring_sharding": op3_ring_sharding,
+        "op4_toxicity": op4_toxicity,
         "op5_warc": op5_warc,
         "op6_quality_rules": op6_quality_rules,
         "op8_secret_scan": op8_secret_scan,

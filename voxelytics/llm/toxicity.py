@@ -1,6 +1,7 @@
 """Toxicity by a small convolutional text classifier, trained in numpy.
 
-A word (a run of letters and digits, in lower case) is one of ``BUCKETS`` hashed embeddings. Filters of several
+A word (a run of letters and digits, in lower case) is embedded as the sum of hashed embeddings of itself and of
+its beginnings, so that inflected forms share what their stem has learnt. Filters of several
 widths slide over the embeddings; each filter's largest response over the whole text goes through a rectifier into
 a logistic output, which is the score. Training is mini-batch Adam on the cross entropy, from a fixed seed, on a
 bounded sample of the labelled rows: those with the ``MAX_TRAINING`` smallest hashes of their id, and of these whole
@@ -29,24 +30,33 @@ from pyspark.sql import functions as F
 
 #: Bound of the sample that a classifier is fitted on, in rows, and of the words of one training batch.
 MAX_TRAINING, BATCH_WORDS = 4000, 30_000
-BUCKETS, WIDTH, FILTERS, WIDTHS = 1 << 15, 8, 8, (1, 2, 3)
-EPOCHS, RATE, DECAY, SEED = 6, 0.02, 1e-3, 7
+BUCKETS, WIDTH, FILTERS, WIDTHS = 1 << 17, 8, 8, (1, 2, 3)
+#: Lengths of the beginnings that are embedded beside the word.
+STEMS = (3, 4, 5)
+EPOCHS, EXAMPLES, RATE, DECAY, SEED = 6, 30_000, 0.02, 1e-3, 7
 #: Training texts that a bucket must occur in to have an embedding; others are zero, so that unseen words say nothing.
 LEAST_TEXTS = 5
 CALIBRATION_PERCENT, LEAST_BY_LANG = 20, 30
 #: Words that are convolved at once, and words a worker remembers.
 BLOCK_WORDS, REMEMBERED = 400_000, 500_000
 _WORD = re.compile(r"\w+")
-_known: dict[str, int] = {}
+_known: dict[str, bytes] = {}
+
+
+def _buckets(word: str) -> bytes:
+    """The word's bucket and those of its beginnings; bucket 0, which stays zero, where the word is too short."""
+    parts = [f"={word}", *(f"{word[:k]}-" if len(word) > k else "" for k in STEMS)]
+    return np.array([1 + xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass")) % (BUCKETS - 1) if p else 0 for p in parts], np.int32).tobytes()
 
 
 def word_ids(text: str | None) -> np.ndarray:
+    """Buckets by word: a row for each word."""
     words = _WORD.findall((text or "").lower())
     if len(_known) > REMEMBERED:
         _known.clear()
     for w in set(words).difference(_known):
-        _known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) % BUCKETS
-    return np.fromiter(map(_known.__getitem__, words), np.int32, len(words))
+        _known[w] = _buckets(w)
+    return np.frombuffer(b"".join(map(_known.__getitem__, words)), np.int32).reshape(len(words), 1 + len(STEMS))
 
 
 @dataclass
@@ -72,7 +82,7 @@ class Classifier:
         n, w = len(sizes), self.weights
         out, where = np.zeros((n, FILTERS * len(WIDTHS)), np.float32), {}
         ends = np.cumsum(sizes)
-        x = w["embed"][ids]
+        x = w["embed"][ids].sum(axis=1)
         for j, k in enumerate(WIDTHS):
             there = np.flatnonzero(sizes >= k)
             if not len(there):
@@ -98,7 +108,7 @@ class Classifier:
         def flush() -> None:
             if held:
                 sizes = np.array([len(texts[i]) for i in held])
-                ids = np.concatenate([texts[i] for i in held]) if sizes.sum() else np.zeros(0, np.int32)
+                ids = np.concatenate([texts[i] for i in held])
                 out[held] = self.pooled(ids, sizes)[0] @ self.weights["out"] + self.weights["bias"][0]
 
         for i, t in enumerate(texts):
@@ -124,12 +134,14 @@ def _train(model: Classifier, texts: list[np.ndarray], labels: np.ndarray) -> No
     """Mini-batch Adam on the cross entropy; embeddings are updated by the rows that a batch touches."""
     rng, w = np.random.default_rng(SEED), model.weights
     known = np.bincount(np.concatenate([np.unique(x) for x in texts]), minlength=BUCKETS) >= LEAST_TEXTS
+    known[0] = False
     w["embed"][~known] = 0
     first = {k: np.zeros_like(v) for k, v in w.items()}
     second = {k: np.zeros_like(v) for k, v in w.items()}
     sizes_of, t = np.array([len(x) for x in texts]), 0
     batch = max(8, min(64, len(texts) // 40))
-    for _ in range(EPOCHS):
+    # Small samples are gone through more often.
+    for _ in range(min(40, max(EPOCHS, EXAMPLES // len(texts)))):
         order = rng.permutation(len(texts))
         cuts, words = [0], 0
         for at, k in enumerate(order):
@@ -163,9 +175,9 @@ def _train(model: Classifier, texts: list[np.ndarray], labels: np.ndarray) -> No
                         continue
                     for i in range(k):
                         rows = ids[at[live] + i]
-                        grads[f"filter{k}"][i * WIDTH : (i + 1) * WIDTH, f] += w["embed"][rows].T @ g[live]
-                        touched.append(rows)
-                        moves.append(np.outer(g[live], w[f"filter{k}"][i * WIDTH : (i + 1) * WIDTH, f]))
+                        grads[f"filter{k}"][i * WIDTH : (i + 1) * WIDTH, f] += w["embed"][rows].sum(axis=1).T @ g[live]
+                        touched.append(rows.ravel())
+                        moves.append(np.repeat(np.outer(g[live], w[f"filter{k}"][i * WIDTH : (i + 1) * WIDTH, f]), rows.shape[1], axis=0))
             t += 1
             if touched:
                 rows, back_to = np.unique(np.concatenate(touched), return_inverse=True)
