@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelytics.llm import decontamination, licenses, ngram_join, quality_rules, ring_sharding, secret_scan, sentencepiece_codec, toxicity, warc
+from voxelytics.llm import decontamination, licenses, lm_scoring, ngram_join, quality_rules, ring_sharding, secret_scan, sentencepiece_codec, toxicity, warc
 from voxelytics.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents")).select(*kept)
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_warc": op5_warc,
         "op6_quality_rules": op6_quality_rules,
+        "op7_lm_scoring": op7_lm_scoring,
         "op8_secret_scan": op8_secret_scan,
         "op9_decontamination": op9_decontamination,
         "op10_licenses": op10_licenses,
@@ -71,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": warc.sql(), "op6_quality_rules": quality_rules.sql(), "op10_licenses": licenses.sql()}
+    return {"op5_warc": warc.sql(), "op6_quality_rules": quality_rules.sql(), "op7_lm_scoring": lm_scoring.sql(), "op10_licenses": licenses.sql()}

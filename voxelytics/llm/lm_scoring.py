@@ -1,0 +1,224 @@
+"""Stupid-backoff scores of every text, from the bigram and unigram counts of all texts.
+
+A word (a run without white space, A-Z in lower case) after another word scores ``c(pair) / c(first word)`` if the
+pair occurs ``LEAST`` times or more in all texts, and ``BACKOFF * c(word) / N`` otherwise; a text's first word
+scores ``c(word) / N``. A text's score is the mean logarithm.
+
+The relations are packed, so that 130 million exploded n-grams needn't be 130 million rows. A batch of texts is a
+row set of its own: its words as local numbers, text by text, and its distinct n-grams with their counts. The count
+tables are partitioned by the hash of the n-gram: a batch's n-grams go to the buckets of these tables, with counts
+combined beforehand, are summed there, and every batch gets the totals of its own n-grams back, in its own order.
+Then the batch joins them to its exploded n-grams and sums by text. A frequent n-gram is one entry for each batch,
+never one for each text, so no bucket is hot; buckets grow in number with the input. Nothing is sampled or cut off.
+
+Null, empty and blank texts have no words and a null score. Repeated rows count as often as they occur. n-grams are
+told apart by 64-bit hashes. Other columns aren't read.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from voxelytics.llm.common import SPACE_RUN, written
+
+BACKOFF, LEAST = 0.4, 2
+#: Characters of text in a batch, and words a worker remembers.
+BATCH_CHARS, REMEMBERED = 12_000_000, 400_000
+_known: dict[bytes, int] = {}
+ROW = "route long, kind int, batch long, bucket int, a binary, b binary, c binary"
+_FIELDS = pa.schema([("route", pa.int64()), ("kind", pa.int32()), ("batch", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+TEXTS, WORDS, PAIRS = 0, 1, 2
+
+
+def _rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time, as each holds up to some hundred KB."""
+    for at in range(0, len(rows), 64):
+        columns = zip(*rows[at : at + 64], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FIELDS, strict=True)], schema=_FIELDS)
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    if len(_known) > REMEMBERED:
+        _known.clear()
+    for w in set(words).difference(_known):
+        _known[w] = xxhash.xxh3_64_intdigest(w)
+    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+
+
+def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    x = first * np.uint64(0x9E3779B97F4A7C15) + second
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def _starts(sizes: np.ndarray, n: int) -> np.ndarray:
+    """Whether a place is a text's first word."""
+    out = np.zeros(n, bool)
+    out[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    return out
+
+
+def _distinct_pairs(vocabulary: np.ndarray, local: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted pair hashes, the index of each place's pair, for places that have a predecessor, and the number of each."""
+    later = np.flatnonzero(~_starts(sizes, len(local)))
+    return np.unique(_pair_hash(vocabulary[local[later - 1]], vocabulary[local[later]]), return_counts=True, return_inverse=True) if len(later) else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _dealt(keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The keys by bucket, each still sorted: the order in which totals come back."""
+    bucket = (keys % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in range(buckets):
+        if cuts[b] < cuts[b + 1]:
+            at = order[cuts[b] : cuts[b + 1]]
+            yield b, keys[at], counts[at]
+
+
+def _pack(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
+    def emit(batch: int, ids: list, texts: list[str | None]) -> Iterator[pa.RecordBatch]:
+        split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        sizes = np.array([len(s) for s in split], np.uint32)
+        flat = np.concatenate([_hashes(s) for s in split]) if len(split) else np.zeros(0, np.uint64)
+        vocabulary, local, times = np.unique(flat, return_inverse=True, return_counts=True)
+        pairs, _, often = _distinct_pairs(vocabulary, local, sizes)
+        named = pa.ipc.new_stream(sink := pa.BufferOutputStream(), pa.schema([("id", ids.type)]))
+        named.write_batch(pa.RecordBatch.from_arrays([ids], ["id"]))
+        named.close()
+        out = [(batch, TEXTS, batch, 0, sink.getvalue().to_pybytes(), sizes.tobytes(), vocabulary.tobytes() + local.astype(np.uint32).tobytes())]
+        for which, keys, counts in ((WORDS, vocabulary, times), (PAIRS, pairs, often)):
+            for b, k, c in _dealt(keys, counts, buckets):
+                out.append(((b << 2) | which, which, batch, b, k.tobytes(), c.astype(np.uint32).tobytes(), None))
+        yield from _rows(out)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for arrived in batches:
+            texts, at = arrived.column(1).to_pylist(), 0
+            while at < len(texts):
+                end, chars = at, 0
+                while end < len(texts) and (end == at or chars + len(texts[end] or "") <= BATCH_CHARS):
+                    chars += len(texts[end] or "")
+                    end += 1
+                yield from emit(number, arrived.column(0).slice(at, end - at), texts[at:end])
+                number, at = number + 1, end
+
+    return docs.select(key, text).mapInArrow(run, ROW)
+
+
+def _totals(packed: DataFrame, buckets: int) -> DataFrame:
+    """Sums every bucket of the count tables and sends each batch the totals of its own keys; texts pass through."""
+
+    def summed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        keys = [np.frombuffer(r[4], np.uint64) for r in held]
+        _, place = np.unique(np.concatenate(keys), return_inverse=True)
+        totals = np.bincount(place, np.concatenate([np.frombuffer(r[5], np.uint32) for r in held])).astype(np.uint64)[place]
+        ends = np.cumsum([len(k) for k in keys])
+        wide = totals.max() >= 1 << 32
+        totals = totals if wide else totals.astype(np.uint32)
+        yield from _rows([(r[2], r[1], r[2], r[3], totals[e - len(k) : e].tobytes(), b"8" if wide else b"4", None) for r, k, e in zip(held, keys, ends.tolist(), strict=True)])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, route = [], None
+        for arrived in batches:
+            for row in zip(*(c.to_pylist() for c in arrived.columns), strict=True):
+                if row[1] == TEXTS:
+                    yield from _rows([row])
+                    continue
+                if row[0] != route:
+                    yield from summed(held)
+                    held, route = [], row[0]
+                held.append(row)
+        yield from summed(held)
+
+    dealt = packed.repartition(buckets, F.col("kind") == TEXTS, F.col("route")).sortWithinPartitions("kind", "route", "batch")
+    return dealt.mapInArrow(run, ROW)
+
+
+def _scored(totals: DataFrame, key: str, kind: str, buckets: int) -> DataFrame:
+    """``key``, ``n_words``, ``n_backoff``, ``n_unigram`` and ``part``: the sum of logarithms but for ``log N`` of each unigram."""
+
+    def score(held: list[tuple]) -> pa.RecordBatch:
+        (row,) = [r for r in held if r[1] == TEXTS]
+        ids = pa.ipc.open_stream(row[4]).read_all().column(0).combine_chunks()
+        sizes = np.frombuffer(row[5], np.uint32).astype(np.int64)
+        n = int(sizes.sum())
+        split = len(row[6]) - 4 * n
+        vocabulary, local = np.frombuffer(row[6][:split], np.uint64), np.frombuffer(row[6][split:], np.uint32).astype(np.int64)
+        pairs, index, _ = _distinct_pairs(vocabulary, local, sizes)
+
+        def back(which: int, keys: np.ndarray) -> np.ndarray:
+            """Totals in the order of ``keys``."""
+            got = {r[3]: np.frombuffer(r[4], np.uint64 if r[5] == b"8" else np.uint32) for r in held if r[1] == which}
+            out = np.zeros(len(keys))
+            bucket = (keys % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            if len(keys):
+                out[order] = np.concatenate([got[b] for b in sorted(got)])
+            return out
+
+        word, pair = np.log(np.maximum(back(WORDS, vocabulary), 1)), back(PAIRS, pairs)
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        first = _starts(sizes, n)
+        later = np.flatnonzero(~first)
+        value, unigram = word[local], np.ones(n, bool)
+        known = pair[index] >= LEAST if len(later) else np.zeros(0, bool)
+        value[later] += np.log(BACKOFF)
+        hit = later[known]
+        value[hit] = np.log(pair[index[known]]) - word[local[hit - 1]] if len(hit) else value[hit]
+        unigram[hit] = False
+        by_text = lambda w: np.bincount(text, w, len(sizes)) if n else np.zeros(len(sizes))
+        part, alone = by_text(value), by_text(unigram)
+        columns = [ids, pa.array(sizes), pa.array((alone - (sizes > 0)).astype(np.int64)), pa.array(alone.astype(np.int64)), pa.array(part)]
+        return pa.RecordBatch.from_arrays(columns, [key, "n_words", "n_backoff", "n_unigram", "part"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for arrived in batches:
+            for r in zip(*(c.to_pylist() for c in arrived.columns), strict=True):
+                if held and r[0] != held[0][0]:
+                    yield score(held)
+                    held = []
+                held.append(r)
+        if held:
+            yield score(held)
+
+    dealt = totals.repartition(buckets, F.col("route")).sortWithinPartitions("route")
+    return dealt.mapInArrow(run, f"`{key}` {kind}, n_words bigint, n_backoff bigint, n_unigram bigint, part double")
+
+
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, ``n_words``, ``n_backoff`` (words that back off to their own count) and ``score`` of every row."""
+    spark = docs.sparkSession
+    # As many buckets as input partitions, so that a bucket's share of the input stays the same.
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    kind = docs.schema[key].dataType.simpleString()
+    parts = written(_scored(_totals(_pack(docs, key, text, buckets), buckets), key, kind, buckets), "lm")
+    total = parts.agg(F.sum("n_words")).first()[0] or 1
+    log = (F.col("part") - F.col("n_unigram") * F.log(F.lit(float(total)))) / F.col("n_words")
+    return parts.select(key, "n_words", "n_backoff", F.when(F.col("n_words") > 0, F.round(log, 6)).alias("score"))
+
+
+def sql() -> str:
+    """DuckDB SQL for ``score`` of ``documents``."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '{SPACE_RUN}'), lambda x: x <> '') AS w FROM documents),
+e AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM t),
+p AS (SELECT rid, i, word, lag(word) OVER (PARTITION BY rid ORDER BY i) AS prev FROM e),
+u AS (SELECT word, count(*) AS c FROM e GROUP BY word),
+b AS (SELECT prev, word, count(*) AS c FROM p WHERE prev IS NOT NULL GROUP BY ALL HAVING count(*) >= {LEAST}),
+n AS (SELECT count(*) AS n FROM e),
+s AS (SELECT p.rid, p.i, b.c IS NULL AND p.i > 1 AS back, CASE WHEN b.c IS NOT NULL THEN ln(b.c) - ln(q.c) WHEN p.i > 1 THEN ln({BACKOFF}) + ln(u.c) - ln(n.n) ELSE ln(u.c) - ln(n.n) END AS v
+  FROM p JOIN u ON p.word = u.word LEFT JOIN u q ON p.prev = q.word LEFT JOIN b ON b.prev = p.prev AND b.word = p.word, n),
+g AS (SELECT rid, count(*) FILTER (back) AS n_backoff, avg(v) AS score FROM s GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_backoff, 0)::BIGINT AS n_backoff, round(score, 6) AS score FROM t LEFT JOIN g ON t.rid = g.rid"""
