@@ -5,7 +5,9 @@ are its lines, its paragraphs (lines between blank ones) and the whole. A segmen
 are (lower case, anything but letters and digits is one blank) and compared to each template as a set of word
 bigrams: 2 * common / (size + size). Two sets can reach the threshold only if neither is larger than (2 - t) / t
 times the other. This bound is applied to the segment's word count before any text is compared, and again to the
-two sets; what passes is compared in full, so nothing is lost.
+two sets; what passes is compared in full, so nothing is lost. Before all that, texts and segments without any of a
+few telling words go: a match has at least t / (2 - t) of a template's bigrams, so words that touch more than the
+rest of every template's bigrams are in every match.
 
 Null and empty texts and segments of one word hold no bigram and match nothing. Rows that share a key are one
 document. Templates are a parameter; the ones here are short notices, as plain text.
@@ -14,6 +16,9 @@ document. Templates are a parameter; the ones here are short notices, as plain t
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,13 +79,42 @@ def _segments(text: Column) -> Column:
     return F.concat(F.split(text, "\n"), longer, F.when(F.size(paragraphs) > 1, F.array(text)).otherwise(F.expr("cast(array() as array<string>)")))
 
 
+def _grams_of(notice: str) -> set[tuple[str, str]]:
+    w = [x for x in re.split(r"[\W_]+", notice.lower()) if x]
+    return set(zip(w, w[1:], strict=False))
+
+
+def telling_words(found=TEMPLATES, percent: int = PERCENT) -> list[str]:
+    """Words of which every text that matches a template has one, found greedily; long words first, as they are rarer."""
+    missing = {}
+    for k, (_, notice) in enumerate(found):
+        grams = _grams_of(notice)
+        # A match lacks fewer than this many bigrams, so at least one of any larger number is in it.
+        missing[k] = [grams, len(grams) - -(-percent * len(grams) // (200 - percent)) + 1]
+    words: list[str] = []
+    while any(need > 0 for _, need in missing.values()):
+        worth = Counter()
+        for grams, need in missing.values():
+            for w in {w for g in grams for w in g} if need > 0 else ():
+                worth[w] += min(need, sum(w in g for g in grams)) * (100 if len(w) > 5 else 10 if w.isalpha() else 1)
+        best = min(worth, key=lambda w: (-worth[w], w))
+        words.append(best)
+        for entry in missing.values():
+            gone = {g for g in entry[0] if best in g}
+            entry[0], entry[1] = entry[0] - gone, entry[1] - len(gone)
+    return words
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", found=TEMPLATES, percent: int = PERCENT) -> DataFrame:
     """``key``, ``license``, ``dice`` (the best segment's) and ``n_segments``: a row for each licence that a document names."""
     known = templates(docs.sparkSession, found)
     # At least the smallest template's number of different bigrams; marks count as blanks here, which only lowers it.
-    sizes = [len(set(zip(w, w[1:], strict=False))) for _, t in found if (w := [x for x in re.split(r"[\W_]+", t.lower()) if x])]
+    sizes = [len(_grams_of(t)) for _, t in found]
     low, high = percent, 200 - percent
-    segment = docs.select(F.col(key).alias(key), F.explode(F.array_distinct(_segments(F.coalesce(F.col(text), F.lit(""))))).alias("segment"))
+    words = telling_words(found, percent)
+    told = lambda c: reduce(or_, (F.contains(F.lower(c), F.lit(w)) for w in words))
+    likely = docs.select(F.col(key).alias(key), F.col(text).alias("body")).where(told("body"))
+    segment = likely.select(key, F.explode(F.array_distinct(_segments(F.col("body")))).alias("segment")).where(told("segment"))
     # A set is no larger than the word count less one, so the lower bound prunes before normalisation ...
     blanks = F.char_length("segment") - F.char_length(F.regexp_replace("segment", r"[^\p{L}\p{M}0-9]", ""))
     segment = segment.where((blanks + 1) * high >= low * min(sizes, default=1))
