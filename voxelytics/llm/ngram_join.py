@@ -39,19 +39,26 @@ from voxelytics.llm.common import fresh, written
 from voxelytics.llm.components import components
 
 SPAN = 1 << 63
-#: How far frequent n-grams are moved back, as a share of all hashes, and how many classes make one frequent.
-BACK, FREQUENT = 0.08, 48
+#: How far frequent n-grams are moved back, as a share of all hashes, and how many classes make one frequent: any
+#: that is shared at all, so that a prefix begins with n-grams that can't match.
+BACK, FREQUENT = 0.12, 2
 #: n-grams that a group's blocks hold, words a worker remembers, prefix n-grams that a class carries in round two.
 BLOCK_GRAMS, REMEMBERED, CARRIED = 2_000_000, 500_000, 8
 
-_known: dict[bytes, int] = {}
+class _Hashes(dict):
+    """Hashes of words, each computed when it is first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+_known = _Hashes()
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_known) > REMEMBERED:
-        _known.clear()
-    for w in set(words).difference(_known):
-        _known[w] = xxhash.xxh3_64_intdigest(w)
     return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
 
 
