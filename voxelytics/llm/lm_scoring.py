@@ -30,8 +30,7 @@ from voxelytics.llm.common import SPACE_RUN, written
 
 BACKOFF, LEAST = 0.4, 2
 #: Characters of text in a batch, and words a worker remembers.
-BATCH_CHARS, REMEMBERED = 12_000_000, 400_000
-_known: dict[bytes, int] = {}
+BATCH_CHARS, REMEMBERED = 16_000_000, 400_000
 ROW = "route long, kind int, batch long, bucket int, a binary, b binary, c binary"
 _FIELDS = pa.schema([("route", pa.int64()), ("kind", pa.int32()), ("batch", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 TEXTS, WORDS, PAIRS = 0, 1, 2
@@ -44,14 +43,42 @@ def _rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FIELDS, strict=True)], schema=_FIELDS)
 
 
+class _Hashes(dict):
+    """Hashes of words, each computed when it is first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+_known = _Hashes()
+
+
 def _hashes(words: list[bytes]) -> np.ndarray:
-    if len(_known) > REMEMBERED:
-        _known.clear()
-    for w in set(words).difference(_known):
-        _known[w] = xxhash.xxh3_64_intdigest(w)
     return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """The bytes of whole numbers, most of them small, by significance: what a shuffle's compression does well on."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _from_planes(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Ascending keys as their differences."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _from_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(data, np.uint64), dtype=np.uint64)
+
+
 def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     x = first * np.uint64(0x9E3779B97F4A7C15) + second
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -93,10 +120,10 @@ def _pack(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
         named = pa.ipc.new_stream(sink := pa.BufferOutputStream(), pa.schema([("id", ids.type)]))
         named.write_batch(pa.RecordBatch.from_arrays([ids], ["id"]))
         named.close()
-        out = [(batch, TEXTS, batch, 0, sink.getvalue().to_pybytes(), sizes.tobytes(), vocabulary.tobytes() + local.astype(np.uint32).tobytes())]
+        out = [(batch, TEXTS, batch, 0, sink.getvalue().to_pybytes(), sizes.tobytes(), _steps(vocabulary) + _planes(local.astype(np.uint32)))]
         for which, keys, counts in ((WORDS, vocabulary, times), (PAIRS, pairs, often)):
             for b, k, c in _dealt(keys, counts, buckets):
-                out.append(((b << 2) | which, which, batch, b, k.tobytes(), c.astype(np.uint32).tobytes(), None))
+                out.append(((b << 2) | which, which, batch, b, _steps(k), _planes(c.astype(np.uint32)), None))
         yield from _rows(out)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,13 +147,13 @@ def _totals(packed: DataFrame, buckets: int) -> DataFrame:
     def summed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        keys = [np.frombuffer(r[4], np.uint64) for r in held]
+        keys = [_from_steps(r[4]) for r in held]
         _, place = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.bincount(place, np.concatenate([np.frombuffer(r[5], np.uint32) for r in held])).astype(np.uint64)[place]
+        totals = np.bincount(place, np.concatenate([_from_planes(r[5], np.uint32) for r in held])).astype(np.uint64)[place]
         ends = np.cumsum([len(k) for k in keys])
         wide = totals.max() >= 1 << 32
         totals = totals if wide else totals.astype(np.uint32)
-        yield from _rows([(r[2], r[1], r[2], r[3], totals[e - len(k) : e].tobytes(), b"8" if wide else b"4", None) for r, k, e in zip(held, keys, ends.tolist(), strict=True)])
+        yield from _rows([(r[2], r[1], r[2], r[3], _planes(totals[e - len(k) : e]), b"8" if wide else b"4", None) for r, k, e in zip(held, keys, ends.tolist(), strict=True)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, route = [], None
@@ -154,12 +181,12 @@ def _scored(totals: DataFrame, key: str, kind: str, buckets: int) -> DataFrame:
         sizes = np.frombuffer(row[5], np.uint32).astype(np.int64)
         n = int(sizes.sum())
         split = len(row[6]) - 4 * n
-        vocabulary, local = np.frombuffer(row[6][:split], np.uint64), np.frombuffer(row[6][split:], np.uint32).astype(np.int64)
+        vocabulary, local = _from_steps(row[6][:split]), _from_planes(row[6][split:], np.uint32).astype(np.int64)
         pairs, index, _ = _distinct_pairs(vocabulary, local, sizes)
 
         def back(which: int, keys: np.ndarray) -> np.ndarray:
             """Totals in the order of ``keys``."""
-            got = {r[3]: np.frombuffer(r[4], np.uint64 if r[5] == b"8" else np.uint32) for r in held if r[1] == which}
+            got = {r[3]: _from_planes(r[4], np.uint64 if r[5] == b"8" else np.uint32) for r in held if r[1] == which}
             out = np.zeros(len(keys))
             bucket = (keys % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
