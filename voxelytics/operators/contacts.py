@@ -1,0 +1,124 @@
+"""Contacts: pairs of instances of one object whose voxels come within a gap of each other."""
+
+from __future__ import annotations
+
+import itertools
+import math
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from voxelytics.functions.expressions import all_of, pair_label, partner_key
+from voxelytics.operators.measure import Size
+
+#: Voxel steps are not exact in binary; gaps up to this much above the limit are within it.
+SLACK = 1e-9
+#: Voxel steps within a gap, up to which every voxel is shifted by each of them; beyond, cells of the gap's size are joined.
+MOST_SHIFTS = 250
+
+
+def claim(labels: DataFrame, masks: DataFrame | None = None) -> DataFrame:
+    """One owner for each cell: a later label entity before an earlier one, labels before masks, an earlier mask before a later one.
+
+    Masks are one instance with a null label. Entities are in order of their names.
+    """
+    rows = labels.select("object_id", "entity", F.col("label").cast("long").alias("label"), "z", "y", "x", F.lit(True).alias("is_label"))
+    if masks is not None:
+        rows = rows.unionByName(masks.select("object_id", "entity", F.lit(None).cast("long").alias("label"), "z", "y", "x", F.lit(False).alias("is_label")))
+    last = F.max_by(F.struct("entity", "label"), F.when(F.col("is_label"), F.col("entity")))
+    first = F.min_by(F.struct("entity", "label"), F.when(~F.col("is_label"), F.col("entity")))
+    owner = rows.groupBy("object_id", "z", "y", "x").agg(F.coalesce(last, first).alias("owner"))
+    return owner.select("object_id", "owner.entity", "owner.label", "z", "y", "x")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Each unordered pair with its ends in order of entity and label (masks first)."""
+    rank = lambda s: F.struct(F.col(f"entity_{s}"), F.coalesce(F.col(f"label_{s}"), F.lit(-1)))
+    swap = rank("a") > rank("b")
+    pick = lambda c, s, o: F.when(swap, F.col(f"{c}_{o}")).otherwise(F.col(f"{c}_{s}")).alias(f"{c}_{s}")
+    return pairs.select("object_id", pick("entity", "a", "b"), pick("label", "a", "b"), pick("entity", "b", "a"), pick("label", "b", "a"), "gap_um")
+
+
+def edges(cells: DataFrame, max_gap_um: float, size: Size, axes: tuple[str, ...] = ("z", "y", "x")) -> DataFrame:
+    """All pairs of instances within ``max_gap_um``, with their least gap, from claimed ``cells``.
+
+    Few voxel steps lie within a small gap, so each voxel is shifted by every one of half of them and met by an
+    equi-join: every row of the join is a hit. For large gaps, space is cut into cells of the gap's size and the
+    neighbouring cells are joined before the distance is tested.
+    """
+    reach = [math.floor((max_gap_um + SLACK) / s) for s in size]
+    shifts = [d for d in itertools.product(*(range(-r, r + 1) for r in reach)) if d >= (0,) * len(size)]
+    shifts = [(*d, math.sqrt(sum((k * s) ** 2 for k, s in zip(d, size, strict=True)))) for d in shifts]
+    shifts = [d for d in shifts if d[-1] <= max_gap_um + SLACK]
+    other = cells.select(F.col("object_id").alias("of"), F.col("entity").alias("entity_b"), F.col("label").alias("label_b"), *(F.col(a).alias(f"{a}_b") for a in axes))
+    one = cells.select("object_id", F.col("entity").alias("entity_a"), F.col("label").alias("label_a"), *axes)
+    different = (F.col("entity_a") != F.col("entity_b")) | ~F.col("label_a").eqNullSafe(F.col("label_b"))
+    if len(shifts) <= MOST_SHIFTS:
+        steps = F.explode(F.array(*(F.struct(*(F.lit(v).alias(f"d{i}") for i, v in enumerate(s))) for s in shifts)))
+        one = one.withColumn("s", steps)
+        same = [F.col("object_id") == F.col("of")] + [F.col(a) + F.col(f"s.d{i}") == F.col(f"{a}_b") for i, a in enumerate(axes)]
+        met = one.join(other, same).where(different).withColumn("gap_um", F.col(f"s.d{len(axes)}"))
+    else:
+        width = [max(1, r) for r in reach]
+        cell = lambda suffix: [F.floor(F.col(f"{a}{suffix}") / w) for a, w in zip(axes, width, strict=True)]
+        near = F.explode(F.array(*(F.struct(*(F.lit(v).alias(f"d{i}") for i, v in enumerate(d))) for d in itertools.product((-1, 0, 1), repeat=len(axes)))))
+        one = one.withColumn("s", near).select("*", *((c + F.col(f"s.d{i}")).alias(f"cell{i}") for i, c in enumerate(cell(""))))
+        other = other.select("*", *(c.alias(f"of_cell{i}") for i, c in enumerate(cell("_b"))))
+        met = one.join(other, [F.col("object_id") == F.col("of")] + [F.col(f"cell{i}") == F.col(f"of_cell{i}") for i in range(len(axes))]).where(different)
+        gap = F.sqrt(sum((((F.col(a) - F.col(f"{a}_b")) * s) ** 2 for a, s in zip(axes, size, strict=True)), F.lit(0.0)))
+        met = met.withColumn("gap_um", gap).where(F.col("gap_um") <= max_gap_um + SLACK)
+    found = _ordered(met).groupBy("object_id", "entity_a", "label_a", "entity_b", "label_b").agg(F.min("gap_um").alias("gap_um"))
+    return found
+
+
+def select(contacts: DataFrame, gap_um: float, same_type: bool = False, pair: tuple[str, str] | None = None) -> DataFrame:
+    """Contacts up to a gap; all, within one type, or of one unordered pair of types."""
+    a, b = F.col("entity_a"), F.col("entity_b")
+    parts: list[Column] = [F.col("gap_um") <= gap_um + SLACK]
+    if same_type:
+        parts.append(a == b)
+    if pair:
+        parts.append((F.least(a, b) == min(pair)) & (F.greatest(a, b) == max(pair)))
+    return contacts.where(all_of(parts))
+
+
+def limits(contacts: DataFrame) -> DataFrame:
+    """Contacts and the largest gap, by unordered pair of types."""
+    return contacts.groupBy(pair_label(F.col("entity_a"), F.col("entity_b")).alias("pair")).agg(F.count("*").alias("n"), F.max("gap_um").alias("max_gap_um"))
+
+
+def partner_counts(contacts: DataFrame) -> DataFrame:
+    """Different partners of every instance; masks are neither partners nor have any."""
+    side = lambda s, o: contacts.select("object_id", F.col(f"entity_{s}").alias("entity"), F.col(f"label_{s}").alias("label"), partner_key(F.col(f"entity_{o}"), F.col(f"label_{o}")).alias("partner"))
+    both = side("a", "b").unionByName(side("b", "a"))
+    return both.groupBy("object_id", "entity", "label").agg(F.countDistinct("partner").alias("partners"))
+
+
+def profile(instances: DataFrame, contacts: DataFrame, structures: list[str] | None = None) -> DataFrame:
+    """Instances with their number of partners, 0 for none."""
+    rows = instances.select("object_id", "entity", "label").distinct()
+    if structures is not None:
+        rows = rows.where(F.col("entity").isin(structures))
+    return rows.join(partner_counts(contacts), ["object_id", "entity", "label"], "left").withColumn("partners", F.coalesce("partners", F.lit(0).cast("long")))
+
+
+def per_object(profiles: DataFrame, groups: DataFrame) -> DataFrame:
+    found = profiles.groupBy("object_id").agg(F.count("*").alias("instances"), F.count_if(F.col("partners") > 0).alias("in_contact"), F.avg("partners").alias("mean_partners"))
+    return found.join(groups, "object_id", "left")
+
+
+def gaps_per_object(contacts: DataFrame) -> DataFrame:
+    return contacts.groupBy("object_id").agg(F.count("*").alias("contacts"), F.median("gap_um").alias("median_gap_um"))
+
+
+def pair_matrix(contacts: DataFrame, groups: DataFrame) -> DataFrame:
+    """Contacts by condition and unordered pair of types."""
+    pairs = contacts.select("object_id", F.least("entity_a", "entity_b").alias("s1"), F.greatest("entity_a", "entity_b").alias("s2"))
+    return pairs.join(groups, "object_id").groupBy("grp", "s1", "s2").agg(F.count("*").alias("n"))
+
+
+def partner_shares(matrix: DataFrame) -> DataFrame:
+    """Share of each partner type among a type's contacts: both sides of mixed pairs, pairs of one type once."""
+    turned = matrix.where("s1 <> s2").select("grp", F.col("s2").alias("structure"), F.col("s1").alias("partner"), "n")
+    both = matrix.select("grp", F.col("s1").alias("structure"), F.col("s2").alias("partner"), "n").unionByName(turned)
+    return both.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("grp", "structure")))

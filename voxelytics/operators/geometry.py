@@ -1,0 +1,312 @@
+"""Geometry: the quantised payload, outlines, meshes, and skeletons with their metrics.
+
+Kernels are numpy and run by group (an object's entity) in Arrow batches; what they return is one binary column.
+"""
+
+from __future__ import annotations
+
+import struct
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from voxelytics.operators.distance import distance_transform
+from voxelytics.operators.measure import Size
+
+HEADER = struct.Struct("<II6f")
+
+
+def encode_payload(vertices: np.ndarray, indices: np.ndarray) -> bytes | None:
+    """Little-endian: vertex and index counts, minimum and scale of each axis, 16-bit vertices, 32-bit indices; nothing for nothing."""
+    if not len(vertices) or not len(indices):
+        return None
+    low = vertices.min(axis=0).astype(np.float32)
+    scale = (vertices.max(axis=0) - vertices.min(axis=0)).astype(np.float32)
+    scale[scale == 0] = 1
+    steps = np.clip((vertices - low) / scale * 65535 + 0.5, 0, 65535).astype("<u2")
+    return HEADER.pack(len(vertices), indices.size, *low, *scale) + steps.tobytes() + indices.astype("<u4").tobytes()
+
+
+def decode_payload(data: bytes | None, per_index: int = 3) -> tuple[np.ndarray, np.ndarray] | None:
+    """Vertices and indices (rows of ``per_index``); nothing for a short or empty payload."""
+    if data is None or len(data) < HEADER.size:
+        return None
+    n, m, *box = HEADER.unpack_from(data)
+    if not n or not m:
+        return None
+    steps = np.frombuffer(data, "<u2", n * 3, HEADER.size).reshape(n, 3)
+    indices = np.frombuffer(data, "<u4", m, HEADER.size + n * 6).reshape(-1, per_index)
+    return np.array(box[:3]) + steps / 65535 * np.array(box[3:]), indices
+
+
+def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One mesh of several: vertices one after the other, indices moved along."""
+    offsets = np.cumsum([0, *(len(v) for v, _ in parts)])
+    return np.concatenate([v for v, _ in parts]), np.concatenate([i + o for (_, i), o in zip(parts, offsets, strict=False)])
+
+
+def _grid(cells: np.ndarray, pad: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """A boolean grid around the cells and its origin."""
+    low = cells.min(axis=0) - pad
+    grid = np.zeros(cells.max(axis=0) - low + 1 + pad, bool)
+    grid[tuple((cells - low).T)] = True
+    return grid, low
+
+
+#: The six tetrahedra of a cell, by the bits of their corners: paths from corner 0 to corner 7.
+_PATHS = [(0, a, a | b, 7) for a in (1, 2, 4) for b in (1, 2, 4) if a != b]
+
+
+def mesh(cells: np.ndarray, size: Size, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Closed triangle mesh (x, y, z) where the signed distance of the cells is zero, by marching tetrahedra; nothing below ``least`` cells."""
+    if len(cells) < least:
+        return np.zeros((0, 3)), np.zeros((0, 3), int)
+    grid, low = _grid(cells, 2)
+    field = distance_transform(~grid, size) - distance_transform(grid, size)
+    corners = np.array([[(c >> k) & 1 for k in (2, 1, 0)] for c in range(8)])
+    shape = np.array(field.shape)
+    base = np.stack(np.meshgrid(*(np.arange(n - 1) for n in shape), indexing="ij"), -1).reshape(-1, 3)
+    flat = lambda p: np.ravel_multi_index(tuple(np.moveaxis(p, -1, 0)), field.shape)
+    ids = np.stack([flat(base + c) for c in corners], 1)
+    values = field.ravel()
+    crossed = ids[(values[ids] > 0).any(1) & (values[ids] <= 0).any(1)]
+    triangles = []
+    for path in _PATHS:
+        tet = crossed[:, path]
+        inside = values[tet] > 0
+        count = inside.sum(1)
+        # Corners inside first: then one, two or three of them decide the shape of the cut.
+        order = np.argsort(~inside, axis=1, kind="stable")
+        tet = np.take_along_axis(tet, order, 1)
+        edge = lambda t, i, j: np.sort(t[:, [i, j]], axis=1)
+        one, two, three = tet[count == 1], tet[count == 2], tet[count == 3]
+        triangles.append(np.stack([edge(one, 0, 1), edge(one, 0, 2), edge(one, 0, 3)], 1))
+        triangles.append(np.stack([edge(three, 0, 3), edge(three, 1, 3), edge(three, 2, 3)], 1))
+        a, b, c, d = edge(two, 0, 2), edge(two, 0, 3), edge(two, 1, 3), edge(two, 1, 2)
+        triangles += [np.stack([a, b, c], 1), np.stack([a, c, d], 1)]
+    cut = np.concatenate(triangles)
+    keys = cut[..., 0] * field.size + cut[..., 1]
+    unique, faces = np.unique(keys.ravel(), return_inverse=True)
+    p, q = unique // field.size, unique % field.size
+    t = values[p] / (values[p] - values[q])
+    at = lambda i: np.stack(np.unravel_index(i, field.shape), -1) + low
+    points = (at(p) + (at(q) - at(p)) * t[:, None]) * np.array(size)
+    faces = faces.reshape(-1, 3)
+    # Every face looks along the falling field.
+    middle = points[faces].mean(1)
+    normal = np.cross(points[faces[:, 1]] - points[faces[:, 0]], points[faces[:, 2]] - points[faces[:, 0]])
+    centre_in = at(np.where(values[cut[:, 0, 0]] > 0, cut[:, 0, 0], cut[:, 0, 1])) * np.array(size)
+    flip = ((middle - centre_in) * normal).sum(1) < 0
+    faces[flip] = faces[flip][:, ::-1]
+    return points[:, ::-1], faces[:, ::-1]
+
+
+def outline(cells: np.ndarray, size: Size) -> tuple[np.ndarray, np.ndarray]:
+    """Closed loops around the cells (x, y, 0) half a step out, holes as loops of their own, as line segments."""
+    grid, low = _grid(cells)
+    segments = []
+    for dy, dx in ((0, 1), (0, -1), (1, 0), (-1, 0)):
+        edge = np.argwhere(grid & ~np.roll(grid, (-dy, -dx), (0, 1)))
+        middle = edge * 2 + (dy, dx)
+        along = np.array((dx, dy)) if (dy, dx) in ((0, 1), (-1, 0)) else np.array((dx, dy))
+        segments.append(np.stack([middle - np.abs(along), middle + np.abs(along)], 1))
+    ends = np.concatenate(segments)
+    unique, lines = np.unique(ends.reshape(-1, 2), axis=0, return_inverse=True)
+    points = (unique / 2 + low) * np.array(size)
+    return np.column_stack([points[:, ::-1], np.zeros(len(points))]), lines.reshape(-1, 2)
+
+
+def thin(grid: np.ndarray) -> np.ndarray:
+    """Zhang-Suen thinning of a padded boolean image."""
+    image = grid.astype(np.uint8)
+    while True:
+        changed = False
+        for phase in (0, 1):
+            p = [np.roll(image, s, (0, 1)) for s in ((1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1))]
+            around = sum(p)
+            turns = sum((p[k] == 0) & (p[(k + 1) % 8] == 1) for k in range(8))
+            n, e, s, w = p[0], p[2], p[4], p[6]
+            free = (n * e * s == 0) & (e * s * w == 0) if phase == 0 else (n * e * w == 0) & (n * s * w == 0)
+            gone = (image == 1) & (around >= 2) & (around <= 6) & (turns == 1) & free
+            if gone.any():
+                image[gone] = 0
+                changed = True
+        if not changed:
+            return image.astype(bool)
+
+
+def pixel_graph(cells: np.ndarray, size: Size) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices (micrometres) and edges between cells that touch; a diagonal is left out where a straight way round exists."""
+    index = {tuple(c): k for k, c in enumerate(cells.tolist())}
+    edges = []
+    for (y, x), k in index.items():
+        for dy, dx in ((0, 1), (1, 0), (1, 1), (1, -1)):
+            j = index.get((y + dy, x + dx))
+            if j is not None and not (dy and dx and ((y, x + dx) in index or (y + dy, x) in index)):
+                edges.append((k, j))
+    return cells * np.array(size), np.array(edges, int).reshape(-1, 2)
+
+
+def _branches(n: int, edges: np.ndarray) -> list[list[int]]:
+    """Maximal chains between vertices that don't have two neighbours; a loop without such a vertex is one chain."""
+    near: list[set[int]] = [set() for _ in range(n)]
+    for a, b in edges.tolist():
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    used, out = set(), []
+
+    def follow(a: int, b: int) -> list[int]:
+        chain = [a, b]
+        used.add((min(a, b), max(a, b)))
+        while len(near[chain[-1]]) == 2 and chain[-1] != chain[0]:
+            step = next(x for x in near[chain[-1]] if x != chain[-2])
+            used.add((min(chain[-1], step), max(chain[-1], step)))
+            chain.append(step)
+        return chain
+
+    for knots in (True, False):
+        for a in range(n):
+            if (len(near[a]) != 2) == knots:
+                out += [follow(a, b) for b in sorted(near[a]) if (min(a, b), max(a, b)) not in used]
+    return out
+
+
+def _smoothed(points: np.ndarray, window: int = 2, rounds: int = 2) -> np.ndarray:
+    """Moving average over ``window`` neighbours to each side; the ends stay."""
+    for _ in range(rounds):
+        if len(points) > 2:
+            points = np.array([points[0], *(points[max(0, k - window) : k + window + 1].mean(axis=0) for k in range(1, len(points) - 1)), points[-1]])
+    return points
+
+
+def skeleton_graph_metrics(vertices: np.ndarray | list, edges: np.ndarray | list) -> tuple[int, float, float | None]:
+    """Branches, cable length, and tortuosity: each branch's smoothed length over its chord, weighted by length."""
+    points, links = np.array(vertices, float).reshape(len(vertices), -1) if len(vertices) else np.zeros((0, 3)), np.array(edges, int).reshape(-1, 2)
+    if len(points) < 2 or not len(links):
+        return 0, 0.0, None
+    length = lambda p: float(np.linalg.norm(np.diff(p, axis=0), axis=1).sum())
+    chains = _branches(len(points), links)
+    cable = float(np.linalg.norm(points[links[:, 0]] - points[links[:, 1]], axis=1).sum())
+    top = weight = 0.0
+    for chain in chains:
+        line = _smoothed(points[chain])
+        arc, chord = length(line), float(np.linalg.norm(line[-1] - line[0]))
+        if chord > 0:
+            top, weight = top + arc * arc / chord, weight + arc
+    return len(chains), cable, top / weight if weight > 0 else None
+
+
+def curve_skeleton(cells: np.ndarray, size: Size, scale: float = 1.5, const: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+    """Tree skeleton of a 3D instance: paths from the farthest cells to the root, cheap near the centre, each clearing what lies around it.
+
+    The published scheme: a root far from an arbitrary cell, then repeatedly the cell farthest from the root among
+    those not yet covered; a path covers all cells within ``scale`` times the local radius plus ``const``.
+    """
+    import heapq
+
+    index = {tuple(c): k for k, c in enumerate(cells.tolist())}
+    steps = [(d, float(np.linalg.norm(np.multiply(d, size)))) for d in np.ndindex(3, 3, 3) if d != (1, 1, 1)]
+    steps = [(tuple(v - 1 for v in d), float(np.linalg.norm(np.multiply([v - 1 for v in d], size)))) for d, _ in steps]
+    grid, low = _grid(cells)
+    radius = distance_transform(~grid, size)[tuple((cells - low).T)]
+    places = cells * np.array(size)
+
+    def spread(start: int, cost: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        far, before = np.full(len(cells), np.inf), np.full(len(cells), -1)
+        far[start] = 0
+        heap = [(0.0, start)]
+        while heap:
+            d, k = heapq.heappop(heap)
+            if d > far[k]:
+                continue
+            for move, width in steps:
+                j = index.get(tuple(a + b for a, b in zip(cells[k].tolist(), move, strict=True)))
+                if j is not None and (new := d + width * (1 if cost is None else cost[j])) < far[j]:
+                    far[j], before[j] = new, k
+                    heapq.heappush(heap, (new, j))
+        return far, before
+
+    vertices, edges, done = {}, [], np.zeros(len(cells), bool)
+    while not done.all():
+        any_cell = int(np.argmin(done))
+        reach, _ = spread(any_cell, None)
+        piece = np.isfinite(reach)
+        root = int(np.argmax(np.where(piece, reach, -1)))
+        far, _ = spread(root, None)
+        penalty = 1 + 100000 / 4 * (1 - radius / max(radius[piece].max(), 1e-12)) ** 4
+        _, before = spread(root, penalty)
+        left = piece & ~done
+        while left.any():
+            k = int(np.argmax(np.where(left, far, -1)))
+            path = [k]
+            while path[-1] != root and path[-1] not in vertices and before[path[-1]] >= 0:
+                path.append(int(before[path[-1]]))
+            for v in path:
+                vertices.setdefault(v, len(vertices))
+            edges += [(vertices[a], vertices[b]) for a, b in zip(path, path[1:], strict=False)]
+            for v in path:
+                left &= np.linalg.norm(places - places[v], axis=1) > scale * radius[v] + const
+            left[path] = False
+        done |= piece
+    return places[list(vertices)], np.array(edges, int).reshape(-1, 2)
+
+
+def skeleton_payload(vertices: np.ndarray, edges: np.ndarray) -> bytes | None:
+    """Payload of a 3D skeleton (array order in, x first out); nothing below two vertices and one edge."""
+    return encode_payload(np.asarray(vertices)[:, ::-1], np.asarray(edges)) if len(vertices) >= 2 and len(edges) else None
+
+
+def _by_entity(rows: DataFrame, axes: list[str], columns: str, kernel) -> DataFrame:
+    kind = rows.schema["object_id"].dataType.simpleString()
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        found = kernel(group[axes].to_numpy())
+        return pd.DataFrame([(group["object_id"].iloc[0], group["entity"].iloc[0], *found)], columns=["object_id", "entity", *names])
+
+    return rows.groupBy("object_id", "entity").applyInPandas(run, f"object_id {kind}, entity string, {columns}")
+
+
+def meshes(masks: DataFrame, size: Size) -> DataFrame:
+    """``object_id, entity, mesh`` of 3D masks; null where there is too little to mesh."""
+    return _by_entity(masks, ["z", "y", "x"], "mesh binary", lambda cells: (encode_payload(*mesh(cells, size)),))
+
+
+def outlines(masks: DataFrame, size: Size) -> DataFrame:
+    return _by_entity(masks, ["y", "x"], "outline binary", lambda cells: (encode_payload(*outline(cells, size)),))
+
+
+def planar_skeletons(masks: DataFrame, size: Size, most: int | None = None) -> DataFrame:
+    """``branches, cable_length_um, tortuosity`` of 2D masks; null above ``most`` cells."""
+
+    def kernel(cells: np.ndarray) -> tuple:
+        if most is not None and len(cells) > most:
+            return None, None, None
+        grid, low = _grid(cells)
+        return skeleton_graph_metrics(*pixel_graph(np.argwhere(thin(grid)) + low, size))
+
+    return _by_entity(masks, ["y", "x"], "branches long, cable_length_um double, tortuosity double", kernel)
+
+
+def round_trip(points: DataFrame) -> DataFrame:
+    """Encodes each entity's points, decodes them, and tells whether every one is within a quantisation step."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        vertices = group[["x", "y", "z"]].to_numpy()
+        found = decode_payload(encode_payload(vertices, np.zeros((1, 3), int)))
+        step = (vertices.max(axis=0) - vertices.min(axis=0)) / 65535 + 1e-6
+        return pd.DataFrame({"entity": [group["entity"].iloc[0]], "n": [len(vertices)], "within_step": [bool((np.abs(found[0] - vertices) <= step).all())]})
+
+    return points.groupBy("entity").applyInPandas(run, f"entity {points.schema['entity'].dataType.simpleString()}, n long, within_step boolean")
+
+
+def spread_preview(rows: DataFrame, per_entity: int, budget: int, limit: int) -> DataFrame:
+    """The largest geometries of every entity below a vertex budget, largest first."""
+    from pyspark.sql import Window
+
+    size, vertices = F.coalesce("volume_um3", "area_um2"), F.coalesce("mesh_vertices", "outline_vertices", F.lit(0))
+    place = F.row_number().over(Window.partitionBy("entity").orderBy(size.desc_nulls_last(), "label"))
+    return rows.where((F.col("has_mesh") | F.col("has_outline")) & (vertices < budget)).withColumn("place", place).where(F.col("place") <= per_entity).orderBy(size.desc_nulls_last(), "entity", "label").limit(limit)

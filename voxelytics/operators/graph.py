@@ -1,0 +1,90 @@
+"""Groups of touching instances, and how close they come to other structures compared with chance."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from voxelytics.functions.expressions import null_percentile
+
+
+def clusters(instances: DataFrame, contacts: DataFrame, strict: bool = False) -> DataFrame:
+    """``object_id, entity, label, cluster`` of every instance: connected components under the contacts.
+
+    Contacts never leave an object, so each object's components are found in one task, by union-find. A cluster's
+    name is its smallest member's ``entity:label``. Ends of contacts that aren't instances (masks, with a null
+    label) are nodes too, unless ``strict``: then such contacts don't count.
+    """
+    kind = instances.schema["object_id"].dataType.simpleString()
+
+    def union(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        key = lambda e, n: (e, -1 if pd.isna(n) else int(n))
+        parent = {k: k for k in map(key, nodes["entity"], nodes["label"])}
+
+        def root(k: tuple) -> tuple:
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        for ea, la, eb, lb in zip(links["entity_a"], links["label_a"], links["entity_b"], links["label_b"], strict=True):
+            a, b = key(ea, la), key(eb, lb)
+            if strict and not (a in parent and b in parent):
+                continue
+            parent.setdefault(a, a)
+            parent.setdefault(b, b)
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+        own = nodes["object_id"] if len(nodes) else links["of"]
+        rows = [(own.iloc[0], e, None if n < 0 else n, "{}:{}".format(*root((e, n)))) for e, n in parent]
+        return pd.DataFrame(rows, columns=["object_id", "entity", "label", "cluster"]).astype({"label": "Int64"})
+
+    nodes = instances.select("object_id", "entity", F.col("label").cast("long").alias("label")).distinct()
+    links = contacts.select(F.col("object_id").alias("of"), "entity_a", F.col("label_a").cast("long").alias("label_a"), "entity_b", F.col("label_b").cast("long").alias("label_b"))
+    return nodes.groupBy("object_id").cogroup(links.groupBy("of")).applyInPandas(union, f"object_id {kind}, entity string, label long, cluster string")
+
+
+def per_object(members: DataFrame) -> DataFrame:
+    """Clusters of two or more by object: their number, instances, largest, and those of several types."""
+    by_cluster = members.groupBy("object_id", "cluster").agg(F.count("*").alias("n"), F.countDistinct("entity").alias("types"))
+    real = F.col("n") >= 2
+    return by_cluster.groupBy("object_id").agg(
+        F.count_if(real).alias("clusters"), F.coalesce(F.sum(F.when(real, F.col("n"))), F.lit(0)).alias("clustered"),
+        F.coalesce(F.max(F.when(real, F.col("n"))), F.lit(0)).alias("largest"), F.count_if(real & (F.col("types") > 1)).alias("mixed"),
+    )
+
+
+def condition_totals(profiles: DataFrame, contacts: DataFrame, members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Sums by condition of what is known by object."""
+    objects = profiles.groupBy("object_id").agg(F.count("*").alias("instances"), F.count_if(F.col("partners") > 0).alias("in_contact"))
+    touching = contacts.groupBy("object_id").agg(F.count("*").alias("contacts"))
+    rows = groups.join(objects, "object_id").join(touching, "object_id", "left").join(per_object(members), "object_id", "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    out = rows.groupBy("grp").agg(F.count("*").alias("objects"), *(total(c) for c in ("instances", "in_contact", "contacts", "clusters", "mixed")), F.max("largest").alias("largest"))
+    return out.withColumn("pct_in_contact", F.try_divide(100.0 * F.col("in_contact"), F.col("instances")))
+
+
+def cluster_reach(members: DataFrame, distances: DataFrame) -> DataFrame:
+    """For each cluster of two or more and each target it isn't made of: size, observed least distance, and the pool it is compared with.
+
+    The pool is every distance to the target of the instances of the cluster's types in its object, members
+    included. ``beats`` is the percentage of equally large random groups that come less close; see ``null_percentile``.
+    """
+    known = distances.where(F.col("distance_um").isNotNull())
+    groups = members.groupBy("object_id", "cluster").agg(F.count("*").alias("size"), F.array_sort(F.collect_set("entity")).alias("made")).where("size >= 2")
+    own = members.join(groups, ["object_id", "cluster"]).join(known, ["object_id", "entity", "label"]).where(~F.array_contains("made", F.col("target")))
+    observed = own.groupBy("object_id", "cluster", "size", "made", "target").agg(F.min("distance_um").alias("observed_um"))
+    # Clusters that are made of the same types share a pool, so that is made once, and counted by value.
+    pools = observed.select("object_id", "made", "target").distinct().withColumn("entity", F.explode("made")).join(known, ["object_id", "entity", "target"])
+    by_value = pools.groupBy("object_id", "made", "target", "distance_um").agg(F.count("*").alias("times"))
+    up_to = Window.partitionBy("object_id", "made", "target").orderBy("distance_um")
+    whole = Window.partitionBy("object_id", "made", "target")
+    by_value = by_value.select("*", F.sum("times").over(up_to).alias("upto"), F.sum("times").over(whole).alias("pool"))
+    found = observed.join(by_value.withColumnRenamed("distance_um", "observed_um"), ["object_id", "made", "target", "observed_um"])
+    beats = null_percentile(F.col("pool"), F.col("size"), F.col("upto") - F.col("times"), F.col("upto"))
+    return found.select("object_id", "cluster", "target", "size", "pool", "observed_um", beats.alias("beats"))
+
+
+def median_beats(reach: DataFrame) -> DataFrame:
+    return reach.groupBy("target").agg(F.count("beats").alias("n"), F.median("beats").alias("median_beats"))

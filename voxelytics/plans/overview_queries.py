@@ -1,0 +1,332 @@
+"""Registered queries over the report: list columns, ranks, the overview, top-k, names, colours and geometry."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from voxelytics.functions import expressions as ex
+from voxelytics.operators import geometry, measure, report
+from voxelytics.plans.registry import DISTANCES as DISTANCES
+from voxelytics.plans.registry import ENTITIES, FLAT, INSTANCES, UNIT, centres, instances, query, r, rounded
+from voxelytics.sources import adapter
+from voxelytics.sources.adapter import SIZE, with_views
+
+GROUPED = "g AS (SELECT i.*, grp FROM inst i JOIN objects o ON i.object_id = o.object_id)"
+
+
+def grouped(spark, sf):
+    return instances(spark, sf).join(adapter.objects(spark, sf), "object_id")
+
+
+# --- list columns ------------------------------------------------------------------------------------------------
+
+
+def as_report(spark, sf):
+    rows = instances(spark, sf).withColumn("surface_um2", F.lit(None).cast("double"))
+    return report.to_lists(rows, "object_id", ["entity", "label", "volume_um3", "surface_um2"], ["entity", "label"], "instance_")
+
+
+@query("report_lists", with_views("vox", INSTANCES) + f"SELECT object_id, list(entity ORDER BY entity, label) AS instance_entity, list(label ORDER BY entity, label) AS instance_label, list(round(volume_um3, 6) ORDER BY entity, label) AS instance_volume_um3 FROM inst GROUP BY 1")
+def report_lists(spark, sf):
+    found = as_report(spark, sf).withColumn("instance_volume_um3", F.transform("instance_volume_um3", lambda v: F.round(v, 6)))
+    return report.prune_all_null(found)
+
+
+@query("unnest_instances", with_views("vox", INSTANCES) + f"SELECT object_id, entity AS instance_entity, label AS instance_label, {r('volume_um3', 'instance_volume_um3')}, CAST(NULL AS DOUBLE) AS instance_surface_um2 FROM inst")
+def unnest_instances(spark, sf):
+    lists = ["instance_entity", "instance_label", "instance_volume_um3", "instance_surface_um2"]
+    return rounded(report.unnest(as_report(spark, sf), ["object_id"], lists, "instance_entity"), "instance_volume_um3")
+
+
+@query("unnest_round_trip", with_views("vox", INSTANCES) + "SELECT count(*) AS n, count(DISTINCT object_id) AS objects, 0::BIGINT AS different FROM inst")
+def unnest_round_trip(spark, sf):
+    lists = ["instance_entity", "instance_label", "instance_volume_um3", "instance_surface_um2"]
+    back = report.unnest(as_report(spark, sf), ["object_id"], lists, "instance_entity").select("object_id", F.col("instance_entity").alias("entity"), F.col("instance_label").alias("label"), F.col("instance_volume_um3").alias("back"))
+    both = instances(spark, sf).select("object_id", "entity", "label", "volume_um3").join(back, ["object_id", "entity", "label"], "full")
+    return both.agg(F.count("*").alias("n"), F.countDistinct("object_id").alias("objects"), F.count_if(~F.col("volume_um3").eqNullSafe(F.col("back"))).alias("different"))
+
+
+_ODD = "CASE WHEN user_id % 7 = 0 THEN CAST('NaN' AS DOUBLE) WHEN user_id % 11 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE value END"
+
+
+@query("finite_guard", f"SELECT event_type, count(v) FILTER (isfinite(v)) AS n, {r('max(v) FILTER (isfinite(v))', 'high')}, {r('min(v) FILTER (isfinite(v))', 'low')} FROM (SELECT event_type, {_ODD} AS v FROM events) GROUP BY 1")
+def finite_guard(spark, sf):
+    v = ex.finite(F.expr(_ODD))
+    return rounded(adapter.table(spark, sf, "events").groupBy("event_type").agg(F.count(v).alias("n"), F.max(v).alias("high"), F.min(v).alias("low")), "high", "low")
+
+
+@query("distinct_values", "SELECT DISTINCT l_returnflag AS value FROM lineitem WHERE l_returnflag <> 'N'")
+def distinct_values(spark, sf):
+    return report.distinct_values(adapter.voxels(spark, sf), F.when(F.col("entity") != "N", F.col("entity")))
+
+
+# --- distributions and ranks -------------------------------------------------------------------------------------
+
+
+@query("measured_metrics", with_views("vox", INSTANCES) + "SELECT 'volume_um3' AS metric, count(volume_um3) AS n FROM inst UNION ALL SELECT 'centroid_z_um', count(*) FROM inst UNION ALL SELECT 'nothing', 0")
+def measured_metrics(spark, sf):
+    return report.measured(instances(spark, sf).withColumn("nothing", F.lit(None).cast("double")), ["volume_um3", "centroid_z_um", "nothing"])
+
+
+@query("one_per_category", with_views("vox", INSTANCES) + "SELECT max(n) AS most FROM (SELECT count(volume_um3) AS n FROM inst GROUP BY object_id, entity)")
+def one_per_category(spark, sf):
+    return report.one_per_category(instances(spark, sf), ["object_id", "entity"], "volume_um3")
+
+
+@query("instance_counts", with_views("vox", INSTANCES) + "SELECT count(*) AS instances, count(DISTINCT entity) AS entities FROM inst")
+def instance_counts(spark, sf):
+    return instances(spark, sf).agg(F.count("*").alias("instances"), F.countDistinct("entity").alias("entities"))
+
+
+@query("instance_distribution", with_views("vox objects", INSTANCES, GROUPED) + f"SELECT entity, grp, count(*) AS n, {r('min(volume_um3)', 'low')}, {r('max(volume_um3)', 'high')}, {r('median(volume_um3)', 'median')}, {r('stddev_samp(volume_um3)', 'sd')} FROM g GROUP BY 1, 2")
+def instance_distribution(spark, sf):
+    return rounded(report.distribution(grouped(spark, sf), ["entity", "grp"], "volume_um3"), "low", "high", "median", "sd")
+
+
+@query("rank_sums", with_views("vox objects", INSTANCES, GROUPED, "k AS (SELECT entity, grp, avg(rn) OVER (PARTITION BY entity, n_voxels) AS rank FROM (SELECT entity, grp, n_voxels, row_number() OVER (PARTITION BY entity ORDER BY n_voxels) AS rn FROM g))") + f"SELECT entity, grp, {r('sum(rank)', 'rank_sum')}, count(*) AS n FROM k GROUP BY 1, 2")
+def rank_sums(spark, sf):
+    return rounded(report.rank_sums(grouped(spark, sf).withColumn("n_voxels", F.col("n_voxels").cast("double")), "grp", "n_voxels", ["entity"]), "rank_sum")
+
+
+@query(
+    "mann_whitney",
+    with_views(
+        "vox objects", INSTANCES, GROUPED, "names AS (SELECT DISTINCT entity, grp FROM g)", "pairs AS (SELECT a.entity, a.grp AS cat_a, b.grp AS cat_b FROM names a JOIN names b ON a.entity = b.entity AND a.grp < b.grp)",
+        "each AS (SELECT p.*, g.grp, n_voxels, row_number() OVER (PARTITION BY p.entity, cat_a, cat_b ORDER BY n_voxels) AS rn FROM pairs p JOIN g ON g.entity = p.entity AND g.grp IN (cat_a, cat_b))",
+        "ranked AS (SELECT *, avg(rn) OVER (PARTITION BY entity, cat_a, cat_b, n_voxels) AS rank FROM each)",
+        "s AS (SELECT entity, cat_a, cat_b, sum(rank) FILTER (grp = cat_a) AS rank_sum, count(*) FILTER (grp = cat_a) AS n1, count(*) FILTER (grp = cat_b) AS n2 FROM ranked GROUP BY 1, 2, 3)",
+        "u AS (SELECT *, rank_sum - n1 * (n1 + 1) / 2.0::DOUBLE AS u FROM s)",
+    )
+    + f"SELECT entity, cat_a, cat_b, {r('rank_sum', 'rank_sum')}, n1, n2, {r('u', 'u')}, {r('(u - n1 * n2 / 2.0::DOUBLE) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0::DOUBLE)', 'z')} FROM u",
+)
+def mann_whitney(spark, sf):
+    rows = grouped(spark, sf).withColumn("n_voxels", F.col("n_voxels").cast("double"))
+    return rounded(report.mann_whitney(rows, "grp", "n_voxels", ["entity"]), "rank_sum", "u", "z")
+
+
+# --- overview ----------------------------------------------------------------------------------------------------
+
+#: Entities of the overview: some objects lack some; masks have no count.
+_SOME = "some AS (SELECT * FROM ent WHERE NOT (object_id % 9 = 0 AND entity = 'A') UNION ALL SELECT object_id, 'nucleus', NULL, count(*) * ({u}) FROM nucleus WHERE object_id % 4 <> 0 GROUP BY 1)".replace("{u}", UNIT)
+
+
+def some_entities(spark, sf):
+    labels = measure.entity_sizes(adapter.voxels(spark, sf), SIZE).where("not (object_id % 9 = 0 and entity = 'A')")
+    mask = measure.extent(adapter.nucleus(spark, sf).where("object_id % 4 <> 0"), ("object_id",), SIZE, "total_um3")
+    return labels.unionByName(mask.select("object_id", F.lit("nucleus").alias("entity"), F.lit(None).cast("long").alias("instance_count"), "total_um3"))
+
+
+_GRID = "grid AS (SELECT o.object_id, s.entity, e.object_id IS NULL AS missing, e.instance_count FROM objects o CROSS JOIN (SELECT DISTINCT entity FROM some) s LEFT JOIN some e ON e.object_id = o.object_id AND e.entity = s.entity)"
+
+
+def grid(spark, sf):
+    rows = some_entities(spark, sf)
+    return report.presence(adapter.objects(spark, sf), rows, rows)
+
+
+@query("presence_matrix", with_views("vox nucleus objects", ENTITIES, _SOME, _GRID) + "SELECT * FROM grid")
+def presence_matrix(spark, sf):
+    return grid(spark, sf)
+
+
+@query("structure_gaps", with_views("vox nucleus objects", ENTITIES, _SOME, _GRID) + "SELECT entity, count(*) FILTER (missing) AS missing_in FROM grid GROUP BY 1 HAVING count(*) FILTER (missing) > 0")
+def structure_gaps(spark, sf):
+    return report.structure_gaps(grid(spark, sf))
+
+
+@query(
+    "composition",
+    with_views("vox nucleus pm", ENTITIES, _SOME, f"s AS (SELECT object_id, count(*) * ({UNIT}) AS object_um3 FROM pm GROUP BY 1)", "f AS (SELECT some.object_id, entity, total_um3 / object_um3 AS fraction FROM some JOIN s ON s.object_id = some.object_id WHERE total_um3 > 0)")
+    + f"SELECT object_id, entity, {r('fraction', 'fraction')}, {r('sum(fraction) OVER (PARTITION BY object_id)', 'assigned')}, {r('greatest(0, 1 - sum(fraction) OVER (PARTITION BY object_id))', 'unassigned')} FROM f",
+)
+def composition(spark, sf):
+    sizes = centres(spark, sf).select("object_id", F.col("volume_um3").alias("object_um3"))
+    return rounded(report.composition(some_entities(spark, sf), sizes, "pm"), "fraction", "assigned", "unassigned")
+
+
+@query("overview_counts", with_views("vox nucleus", ENTITIES, _SOME, "o AS (SELECT count(DISTINCT object_id) AS objects FROM some)", "e AS (SELECT entity, count(*) AS present, count(instance_count) AS labelled, sum(instance_count) AS instances FROM some GROUP BY 1)") + "SELECT max(objects) AS objects, count(*) AS structures, count(*) FILTER (labelled > 0) AS labelled, sum(instances)::BIGINT AS instances, count(*) FILTER (present < objects) AS uneven FROM e, o")
+def overview_counts(spark, sf):
+    return report.overview(some_entities(spark, sf))
+
+
+@query("mixed_dims", "SELECT CASE WHEN s_suppkey % 6 = 0 THEN 2 ELSE 3 END AS spatial_dims, count(*) AS objects FROM supplier GROUP BY 1 HAVING (SELECT count(DISTINCT CASE WHEN s_suppkey % 6 = 0 THEN 2 ELSE 3 END) FROM supplier) > 1")
+def mixed_dims(spark, sf):
+    return report.mixed_dims(adapter.objects(spark, sf).withColumn("spatial_dims", F.when(F.col("object_id") % 6 == 0, 2).otherwise(3)))
+
+
+@query("coverage", with_views("vox nucleus", ENTITIES, _SOME) + "SELECT count(*) AS objects, count(*) FILTER (n > 0) AS with_instances, count(*) FILTER (m) AS with_mask FROM (SELECT object_id, sum(instance_count) AS n, bool_or(entity = 'nucleus') AS m FROM some GROUP BY 1)")
+def coverage(spark, sf):
+    rows = some_entities(spark, sf).groupBy("object_id").agg(F.sum("instance_count").alias("n"), F.bool_or(F.col("entity") == "nucleus").alias("m"))
+    return rows.agg(F.count("*").alias("objects"), F.count_if(F.col("n") > 0).alias("with_instances"), F.count_if("m").alias("with_mask"))
+
+
+@query("entity_presence", with_views("vox nucleus", ENTITIES, _SOME) + "SELECT (CASE WHEN entity = 'nucleus' THEN 'mask' ELSE 'label' END) || ':' || entity AS key, count(*) AS present, (SELECT count(DISTINCT object_id) FROM some) AS objects FROM some GROUP BY 1")
+def entity_presence(spark, sf):
+    rows = some_entities(spark, sf)
+    key = F.concat(F.when(F.col("entity") == "nucleus", "mask").otherwise("label"), F.lit(":"), F.col("entity"))
+    return rows.groupBy(key.alias("key")).agg(F.count("*").alias("present")).crossJoin(rows.agg(F.countDistinct("object_id").alias("objects")))
+
+
+@query("entity_order", with_views("vox nucleus", ENTITIES, _SOME) + "SELECT entity, CAST(row_number() OVER (ORDER BY entity <> 'nucleus', entity) AS INTEGER) AS place FROM (SELECT DISTINCT entity FROM some)")
+def entity_order(spark, sf):
+    from pyspark.sql import Window
+
+    names = some_entities(spark, sf).select("entity").distinct()
+    # One row for each structure, so the order over all of them is short.
+    return names.select("entity", F.row_number().over(Window.orderBy(F.col("entity") != "nucleus", "entity")).alias("place"))
+
+
+@query(
+    "short_labels",
+    "SELECT 'batch_a_' || n_name || '_x' || CASE WHEN n_nationkey % 2 = 0 THEN '1' ELSE '2' END || '_final_v2' AS id, regexp_replace(n_name, '^NATION_', '') || '_x' || CASE WHEN n_nationkey % 2 = 0 THEN '1' ELSE '2' END AS short FROM nation",
+)
+def short_labels(spark, sf):
+    names = adapter.table(spark, sf, "nation").select(F.concat(F.lit("batch_a_"), "n_name", F.lit("_x"), F.when(F.col("n_nationkey") % 2 == 0, "1").otherwise("2"), F.lit("_final_v2")).alias("id"))
+    return report.short_labels(names)
+
+
+# --- top-k -------------------------------------------------------------------------------------------------------
+
+
+def sized(spark, sf):
+    return instances(spark, sf).select("object_id", "entity", "label", F.round("volume_um3", 9).alias("volume_um3"))
+
+
+_SIZED = "sized AS (SELECT object_id, entity, label, round(volume_um3, 9) AS volume_um3 FROM inst)"
+
+
+@query("topk_largest", with_views("vox", INSTANCES, _SIZED) + "SELECT * FROM sized ORDER BY volume_um3 DESC, object_id, entity, label LIMIT 4000")
+def topk_largest(spark, sf):
+    return report.largest(sized(spark, sf), "volume_um3", 4000)
+
+
+@query("gallery_highest", with_views("vox", INSTANCES, _SIZED) + "SELECT * FROM sized ORDER BY volume_um3 DESC, object_id, entity, label LIMIT 24")
+def gallery_highest(spark, sf):
+    return report.largest(sized(spark, sf), "volume_um3", report.gallery_size(6))
+
+
+@query("gallery_lowest", with_views("vox", INSTANCES, _SIZED) + "SELECT * FROM sized ORDER BY volume_um3, object_id, entity, label LIMIT 24")
+def gallery_lowest(spark, sf):
+    return report.largest(sized(spark, sf), "volume_um3", report.gallery_size(6), ascending=True)
+
+
+@query("gallery_random")
+def gallery_random(spark, sf):
+    return report.sample(sized(spark, sf), ["object_id", "entity", "label"], 24, seed=3)
+
+
+@query("per_entity_topk", with_views("vox", INSTANCES, _SIZED) + "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY entity ORDER BY volume_um3 DESC, object_id, label) AS INTEGER) AS place FROM sized) WHERE place <= 10")
+def per_entity_topk(spark, sf):
+    return report.largest_by_entity(sized(spark, sf), "entity", "volume_um3", 10, ["object_id", "label"])
+
+
+# --- names, colours, paths ---------------------------------------------------------------------------------------
+
+_STEM = "p_brand || ' ' || p_name || CASE WHEN p_partkey % 3 = 0 THEN '_labels' WHEN p_partkey % 3 = 1 THEN '-Mask' ELSE '.tif' END"
+_NORM = f"trim(regexp_replace(lower({_STEM}), '[^a-z0-9]+', '_', 'g'), '_')"
+
+
+@query(
+    "name_parse",
+    f"WITH n AS (SELECT p_partkey, {_NORM} AS s FROM part), m AS (SELECT *, regexp_matches(s, '^(.*)_([a-z0-9_]+)_(labels?|mask)$') AS ok FROM n) SELECT p_partkey, s AS normal, CASE WHEN ok THEN regexp_extract(s, '^(.*)_([a-z0-9_]+)_(labels?|mask)$', 1) END AS prefix, CASE WHEN ok THEN regexp_extract(s, '^(.*)_([a-z0-9_]+)_(labels?|mask)$', 2) END AS name, CASE WHEN ok THEN CASE WHEN s LIKE '%mask' THEN 'mask' ELSE 'label' END END AS kind FROM m",
+)
+def name_parse(spark, sf):
+    end = F.when(F.col("p_partkey") % 3 == 0, "_labels").when(F.col("p_partkey") % 3 == 1, "-Mask").otherwise(".tif")
+    stem = F.concat("p_brand", F.lit(" "), "p_name", end)
+    found = adapter.table(spark, sf, "part").select("p_partkey", ex.normalize_name(stem).alias("normal"), ex.entity_file(stem).alias("e"))
+    return found.select("p_partkey", "normal", "e.prefix", "e.name", "e.kind")
+
+
+_PALETTE = {"A": "#D62728", "N": "#2c3"}
+#: The ten colours that structures without one of their own get in turn.
+DEFAULT_COLOURS = ("#4e79a7", "#f28e2b", "#e15759", "#76b7b2", "#59a14f", "#edc948", "#b07aa1", "#ff9da7", "#9c755f", "#bab0ac")
+
+
+@query("colour_lookup", "SELECT l_returnflag AS entity, count(*) AS n, CASE l_returnflag WHEN 'A' THEN '#d62728' WHEN 'N' THEN '#22cc33' ELSE '#e15759' END AS colour FROM lineitem GROUP BY 1")
+def colour_lookup(spark, sf):
+    from pyspark.sql import Window
+
+    names = adapter.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("entity")).agg(F.count("*").alias("n"))
+    # One row for each structure: a short order, and a palette that is a literal.
+    place = F.pmod(F.row_number().over(Window.orderBy("entity")) - 1, F.lit(len(DEFAULT_COLOURS)))
+    chosen = F.create_map(*(F.lit(v) for k, c in _PALETTE.items() for v in (k, ex.hex_colour_of(c))))
+    return names.select("entity", "n", F.coalesce(F.try_element_at(chosen, "entity"), F.get(F.array(*map(F.lit, DEFAULT_COLOURS)), place)).alias("colour"))
+
+
+_HEX = "CASE p_partkey % 5 WHEN 0 THEN '#' || p_size WHEN 1 THEN '#ABC' WHEN 2 THEN '#12aBef' WHEN 3 THEN 'red' ELSE NULL END"
+
+
+@query("hex_colours", f"WITH c AS (SELECT p_partkey, lower({_HEX}) AS c FROM part) SELECT p_partkey, CASE WHEN regexp_full_match(c, '#[0-9a-f]{{6}}') THEN c WHEN regexp_full_match(c, '#[0-9a-f]{{3}}') THEN regexp_replace(c, '([0-9a-f])', '\\1\\1', 'g') END AS colour FROM c")
+def hex_colours(spark, sf):
+    return adapter.table(spark, sf, "part").select("p_partkey", ex.hex_colour(F.expr(_HEX)).alias("colour"))
+
+
+_STOPS = [[s[k] for s in ex.VIRIDIS] for k in range(3)]
+
+
+def _mix(k: int) -> str:
+    stops = "[" + ", ".join(f"{v}::DOUBLE" for v in _STOPS[k]) + "]"
+    return f"{stops}[lo + 1] + ({stops}[lo + 2] - {stops}[lo + 1]) * (t * 4 - lo)"
+
+
+@query(
+    "viridis",
+    with_views("vox", INSTANCES, "w AS (SELECT object_id, entity, label, volume_um3, min(volume_um3) OVER (PARTITION BY object_id) AS a, max(volume_um3) OVER (PARTITION BY object_id) AS b FROM inst)", "n AS (SELECT object_id, entity, label, CASE WHEN b > a THEN (volume_um3 - a) / (b - a) ELSE 1.0 END AS t FROM w)", "l AS (SELECT *, CAST(least(floor(t * 4), 3) AS INTEGER) AS lo FROM n)")
+    + f"SELECT object_id, entity, label, {r('t', 't')}, {r(_mix(0), 'r')}, {r(_mix(1), 'g')}, {r(_mix(2), 'b')} FROM l",
+)
+def viridis(spark, sf):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("object_id")
+    rows = instances(spark, sf).select("object_id", "entity", "label", ex.normalised(F.col("volume_um3"), F.min("volume_um3").over(w), F.max("volume_um3").over(w)).alias("t"))
+    return rounded(rows.withColumn("c", ex.viridis(F.col("t"))).select("object_id", "entity", "label", "t", "c.*"), "t", "r", "g", "b")
+
+
+@query("explode_offset", f"SELECT id, {r('CASE WHEN d * f = 0 THEN 0 ELSE x * d * f END', 'ox')}, {r('CASE WHEN d * f = 0 THEN 0 ELSE y * d * f END', 'oy')}, {r('CASE WHEN d * f = 0 THEN 0 ELSE z * d * f END', 'oz')} FROM (SELECT vec_id AS id, embedding[1]::DOUBLE AS z, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS x, (vec_id % 4)::DOUBLE AS d, coalesce(nullif(label % 3, 1), 0)::DOUBLE AS f FROM embeddings)")
+def explode_offset(spark, sf):
+    rows = adapter.points(spark, sf).withColumn("d", (F.col("id") % 4).cast("double")).withColumn("f", F.nullif(F.col("entity") % 3, F.lit(1)).cast("double"))
+    rows = rows.withColumn("o", ex.explode_offset(F.col("d"), (F.col("x"), F.col("y"), F.col("z")), F.col("f")))
+    return rounded(rows.select("id", F.col("o")[0].alias("ox"), F.col("o")[1].alias("oy"), F.col("o")[2].alias("oz")), "ox", "oy", "oz")
+
+
+_FOLDER = "CASE p_partkey % 4 WHEN 0 THEN 'control' WHEN 1 THEN 'control/' || p_brand WHEN 2 THEN p_type || '/' || p_brand || '/c' ELSE p_brand END"
+
+
+@query("group_of_path", f"WITH f AS (SELECT p_partkey, {_FOLDER} AS f FROM part) SELECT p_partkey, f AS folder, CASE WHEN f = 'control' OR starts_with(f, 'control/') THEN 'control' WHEN f = 'PROMO' OR starts_with(f, 'PROMO/') THEN 'PROMO' WHEN contains(f, '/') THEN string_split(f, '/')[1] ELSE '' END AS grp FROM f")
+def group_of_path(spark, sf):
+    rows = adapter.table(spark, sf, "part").select("p_partkey", F.expr(_FOLDER).alias("folder"))
+    return rows.withColumn("grp", ex.group_of(F.col("folder"), ["control", "PROMO"]))
+
+
+# --- geometry ----------------------------------------------------------------------------------------------------
+
+
+@query("outline_counts")
+def outline_counts(spark, sf):
+    rows = geometry.outlines(adapter.plane(spark, sf), FLAT)
+    return rows.select("object_id", "entity", ex.payload_count(F.col("outline"), 0).alias("vertices"), ex.payload_count(F.col("outline"), 1).alias("indices"))
+
+
+@query("mesh_counts")
+def mesh_counts(spark, sf):
+    masks = adapter.object_mask(spark, sf).withColumn("entity", F.lit("pm"))
+    rows = geometry.meshes(masks, SIZE)
+    return rows.select("object_id", "entity", ex.payload_count(F.col("mesh"), 0).alias("vertices"), ex.payload_count(F.col("mesh"), 1).alias("indices"))
+
+
+@query("payload_roundtrip", with_views("points") + "SELECT entity, count(*) AS n, true AS within_step FROM points GROUP BY 1")
+def payload_roundtrip(spark, sf):
+    return geometry.round_trip(adapter.points(spark, sf))
+
+
+@query("skeleton_metrics")
+def skeleton_metrics(spark, sf):
+    return rounded(geometry.planar_skeletons(adapter.plane(spark, sf), FLAT), "cable_length_um", "tortuosity")
+
+
+@query(
+    "geometry_summary",
+    with_views("vox", INSTANCES) + f"SELECT entity, 'instance' AS row_type, count(*) AS n, sum(n_voxels)::BIGINT AS voxels FROM inst GROUP BY 1",
+)
+def geometry_summary(spark, sf):
+    return instances(spark, sf).groupBy("entity", F.lit("instance").alias("row_type")).agg(F.count("*").alias("n"), F.sum("n_voxels").alias("voxels"))
