@@ -13,7 +13,8 @@ PROBABILITIES = tuple(i / 50 for i in range(51))
 def to_lists(rows: DataFrame, key: str, columns: list[str], order: list[str], prefix: str) -> DataFrame:
     """Rows as parallel list columns, one report row by ``key``; a list without any value is null."""
     packed = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, F.struct(*(c for c in columns)).alias("row")))).alias("rows"))
-    lists = {c: F.transform("rows", lambda r, c=c: r["row"][c]) for c in columns}
+    pick = lambda c: F.transform("rows", lambda r: r["row"][c])
+    lists = {c: pick(c) for c in columns}
     kept = lambda x: F.when(F.exists(x, lambda v: v.isNotNull()), x)
     return packed.select(key, *(kept(x).alias(f"{prefix}{c}") for c, x in lists.items()))
 

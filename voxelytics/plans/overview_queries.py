@@ -107,7 +107,7 @@ def mann_whitney(spark, sf):
 # --- overview ----------------------------------------------------------------------------------------------------
 
 #: Entities of the overview: some objects lack some; masks have no count.
-_SOME = "some AS (SELECT * FROM ent WHERE NOT (object_id % 9 = 0 AND entity = 'A') UNION ALL SELECT object_id, 'nucleus', NULL, count(*) * ({u}) FROM nucleus WHERE object_id % 4 <> 0 GROUP BY 1)".replace("{u}", UNIT)
+_SOME = "chosen AS (SELECT * FROM ent WHERE NOT (object_id % 9 = 0 AND entity = 'A') UNION ALL SELECT object_id, 'nucleus', NULL, count(*) * ({u}) FROM nucleus WHERE object_id % 4 <> 0 GROUP BY 1)".replace("{u}", UNIT)
 
 
 def some_entities(spark, sf):
@@ -116,7 +116,7 @@ def some_entities(spark, sf):
     return labels.unionByName(mask.select("object_id", F.lit("nucleus").alias("entity"), F.lit(None).cast("long").alias("instance_count"), "total_um3"))
 
 
-_GRID = "grid AS (SELECT o.object_id, s.entity, e.object_id IS NULL AS missing, e.instance_count FROM objects o CROSS JOIN (SELECT DISTINCT entity FROM some) s LEFT JOIN some e ON e.object_id = o.object_id AND e.entity = s.entity)"
+_GRID = "grid AS (SELECT o.object_id, s.entity, e.object_id IS NULL AS missing, e.instance_count FROM objects o CROSS JOIN (SELECT DISTINCT entity FROM chosen) s LEFT JOIN chosen e ON e.object_id = o.object_id AND e.entity = s.entity)"
 
 
 def grid(spark, sf):
@@ -136,7 +136,7 @@ def structure_gaps(spark, sf):
 
 @query(
     "composition",
-    with_views("vox nucleus pm", ENTITIES, _SOME, f"s AS (SELECT object_id, count(*) * ({UNIT}) AS object_um3 FROM pm GROUP BY 1)", "f AS (SELECT some.object_id, entity, total_um3 / object_um3 AS fraction FROM some JOIN s ON s.object_id = some.object_id WHERE total_um3 > 0)")
+    with_views("vox nucleus pm", ENTITIES, _SOME, f"s AS (SELECT object_id, count(*) * ({UNIT}) AS object_um3 FROM pm GROUP BY 1)", "f AS (SELECT chosen.object_id, entity, total_um3 / object_um3 AS fraction FROM chosen JOIN s ON s.object_id = chosen.object_id WHERE total_um3 > 0)")
     + f"SELECT object_id, entity, {r('fraction', 'fraction')}, {r('sum(fraction) OVER (PARTITION BY object_id)', 'assigned')}, {r('greatest(0, 1 - sum(fraction) OVER (PARTITION BY object_id))', 'unassigned')} FROM f",
 )
 def composition(spark, sf):
@@ -144,7 +144,7 @@ def composition(spark, sf):
     return rounded(report.composition(some_entities(spark, sf), sizes, "pm"), "fraction", "assigned", "unassigned")
 
 
-@query("overview_counts", with_views("vox nucleus", ENTITIES, _SOME, "o AS (SELECT count(DISTINCT object_id) AS objects FROM some)", "e AS (SELECT entity, count(*) AS present, count(instance_count) AS labelled, sum(instance_count) AS instances FROM some GROUP BY 1)") + "SELECT max(objects) AS objects, count(*) AS structures, count(*) FILTER (labelled > 0) AS labelled, sum(instances)::BIGINT AS instances, count(*) FILTER (present < objects) AS uneven FROM e, o")
+@query("overview_counts", with_views("vox nucleus", ENTITIES, _SOME, "o AS (SELECT count(DISTINCT object_id) AS objects FROM chosen)", "e AS (SELECT entity, count(*) AS present, count(instance_count) AS labelled, sum(instance_count) AS instances FROM chosen GROUP BY 1)") + "SELECT max(objects) AS objects, count(*) AS structures, count(*) FILTER (labelled > 0) AS labelled, sum(instances)::BIGINT AS instances, count(*) FILTER (present < objects) AS uneven FROM e, o")
 def overview_counts(spark, sf):
     return report.overview(some_entities(spark, sf))
 
@@ -154,20 +154,20 @@ def mixed_dims(spark, sf):
     return report.mixed_dims(adapter.objects(spark, sf).withColumn("spatial_dims", F.when(F.col("object_id") % 6 == 0, 2).otherwise(3)))
 
 
-@query("coverage", with_views("vox nucleus", ENTITIES, _SOME) + "SELECT count(*) AS objects, count(*) FILTER (n > 0) AS with_instances, count(*) FILTER (m) AS with_mask FROM (SELECT object_id, sum(instance_count) AS n, bool_or(entity = 'nucleus') AS m FROM some GROUP BY 1)")
+@query("coverage", with_views("vox nucleus", ENTITIES, _SOME) + "SELECT count(*) AS objects, count(*) FILTER (n > 0) AS with_instances, count(*) FILTER (m) AS with_mask FROM (SELECT object_id, sum(instance_count) AS n, bool_or(entity = 'nucleus') AS m FROM chosen GROUP BY 1)")
 def coverage(spark, sf):
     rows = some_entities(spark, sf).groupBy("object_id").agg(F.sum("instance_count").alias("n"), F.bool_or(F.col("entity") == "nucleus").alias("m"))
     return rows.agg(F.count("*").alias("objects"), F.count_if(F.col("n") > 0).alias("with_instances"), F.count_if("m").alias("with_mask"))
 
 
-@query("entity_presence", with_views("vox nucleus", ENTITIES, _SOME) + "SELECT (CASE WHEN entity = 'nucleus' THEN 'mask' ELSE 'label' END) || ':' || entity AS key, count(*) AS present, (SELECT count(DISTINCT object_id) FROM some) AS objects FROM some GROUP BY 1")
+@query("entity_presence", with_views("vox nucleus", ENTITIES, _SOME) + "SELECT (CASE WHEN entity = 'nucleus' THEN 'mask' ELSE 'label' END) || ':' || entity AS key, count(*) AS present, (SELECT count(DISTINCT object_id) FROM chosen) AS objects FROM chosen GROUP BY 1")
 def entity_presence(spark, sf):
     rows = some_entities(spark, sf)
     key = F.concat(F.when(F.col("entity") == "nucleus", "mask").otherwise("label"), F.lit(":"), F.col("entity"))
     return rows.groupBy(key.alias("key")).agg(F.count("*").alias("present")).crossJoin(rows.agg(F.countDistinct("object_id").alias("objects")))
 
 
-@query("entity_order", with_views("vox nucleus", ENTITIES, _SOME) + "SELECT entity, CAST(row_number() OVER (ORDER BY entity <> 'nucleus', entity) AS INTEGER) AS place FROM (SELECT DISTINCT entity FROM some)")
+@query("entity_order", with_views("vox nucleus", ENTITIES, _SOME) + "SELECT entity, CAST(row_number() OVER (ORDER BY entity <> 'nucleus', entity) AS INTEGER) AS place FROM (SELECT DISTINCT entity FROM chosen)")
 def entity_order(spark, sf):
     from pyspark.sql import Window
 
