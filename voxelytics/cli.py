@@ -1,0 +1,65 @@
+"""Command line: ``dry-run``, ``process`` and ``colours``."""
+
+from __future__ import annotations
+
+import argparse
+import sys
+
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from voxelytics.operators import contacts, distance, measure
+from voxelytics.sources import folders, report_files, tiff
+
+
+def measure_tree(spark: SparkSession, root: str, object_mask: str, size: measure.Size, gap: float) -> dict[str, object]:
+    """Instances, distances and contacts of all objects below ``root``, clipped to the object's mask."""
+    found = tiff.voxels(spark, root)
+    good = found.where("error is null").drop("error")
+    mask = good.where((F.col("kind") == "mask") & (F.col("entity") == object_mask)).select("object_id", "z", "y", "x")
+    inside = measure.clip(good, mask)
+    labels = inside.where("kind = 'label'").drop("kind")
+    masks = inside.where(F.col("kind") == "mask").select("object_id", "entity", "z", "y", "x")
+    targets = distance.to_targets(labels, masks, size, object_mask=object_mask)
+    others = masks.where(F.col("entity") != object_mask)
+    touching = contacts.edges(contacts.claim(labels, others), gap, size)
+    return {"instances": measure.extent(labels, measure.INSTANCE, size), "distances": targets, "contacts": touching, "errors": found.where("error is not null")}
+
+
+def main(argv: list[str] | None = None) -> int:
+    parser = argparse.ArgumentParser(prog="voxelytics")
+    commands = parser.add_subparsers(dest="command", required=True)
+    dry = commands.add_parser("dry-run", help="what is found below a folder, without opening an image")
+    run = commands.add_parser("process", help="measure all objects below a folder")
+    recolour = commands.add_parser("colours", help="replace a report's colours")
+    for p in (dry, run):
+        p.add_argument("root")
+        p.add_argument("--object-mask")
+    run.add_argument("--out", required=True)
+    run.add_argument("--voxel-size", type=lambda s: tuple(map(float, s.split(","))), required=True)
+    run.add_argument("--gap", type=float, default=0.05)
+    recolour.add_argument("report")
+    recolour.add_argument("palette")
+    recolour.add_argument("out")
+    args = parser.parse_args(argv)
+    spark = SparkSession.builder.appName("voxelytics").getOrCreate()
+    if args.command == "dry-run":
+        rows = folders.objects(folders.discover(folders.listing(spark, args.root)), args.object_mask)
+        folders.dry_run(rows).orderBy("key").show(1000, False)
+        bad = rows.where("error is not null").select("folder", "error")
+        bad.show(1000, False)
+        return int(bad.count() > 0)
+    if args.command == "process":
+        tables = measure_tree(spark, args.root, args.object_mask, args.voxel_size, args.gap)
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{args.out}/{name}")
+        return int(spark.read.parquet(f"{args.out}/errors").count() > 0)
+    rows, facts = report_files.read_report(spark, args.report)
+    found, n = report_files.recolour(rows, report_files.read_palette(spark, args.palette))
+    report_files.write_report(found, args.out, facts=facts)
+    print(f"{n} rows have a colour")
+    return 0
+
+
+if __name__ == "__main__":
+    sys.exit(main())

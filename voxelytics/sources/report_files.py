@@ -1,0 +1,92 @@
+"""Writing, resuming and recolouring reports; palettes; which geometry can be used again."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
+
+from voxelytics.functions.expressions import hex_colour_of
+from voxelytics.operators.report import as_float32, prune_all_null
+
+
+def read_palette(spark: SparkSession, path: str) -> dict[str, str]:
+    """Colour by structure from a JSON object; names and colours in lower case. Anything else raises."""
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+    try:
+        found = json.loads(text)
+    except json.JSONDecodeError as e:
+        raise ValueError(f"{path} is not JSON: {e}") from e
+    if not isinstance(found, dict):
+        raise ValueError(f"{path} must hold an object of structure and colour")
+    return {str(k).lower(): hex_colour_of(v) for k, v in found.items()}
+
+
+def described(df: DataFrame, comments: dict[str, str]) -> DataFrame:
+    """Columns with their descriptions, which survive in the file's schema."""
+    return df.select(*(F.col(f"`{c}`").alias(c, metadata={"comment": comments[c]}) if c in comments else F.col(f"`{c}`") for c in df.columns))
+
+
+def write_report(df: DataFrame, path: str, lead: tuple[str, ...] = ("object_id", "obs_level"), facts: dict[str, str] | None = None, comments: dict[str, str] | None = None) -> None:
+    """The report as Parquet: without empty columns, leading columns first, 32-bit floats; ``facts`` as a sidecar table."""
+    kept = as_float32(prune_all_null(df))
+    first = [c for c in lead if c in kept.columns]
+    ordered = described(kept.select(*first, *(c for c in kept.columns if c not in first)), comments or {})
+    ordered.write.mode("overwrite").parquet(f"{path}/rows")
+    facts_df = df.sparkSession.createDataFrame(sorted((facts or {}).items()), "key string, value string")
+    facts_df.coalesce(1).write.mode("overwrite").parquet(f"{path}/facts")
+
+
+def read_report(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
+    return spark.read.parquet(f"{path}/rows"), {r.key: r.value for r in spark.read.parquet(f"{path}/facts").collect()}
+
+
+def finished(spark: SparkSession, parts: str) -> DataFrame | None:
+    """Rows of the objects that earlier runs measured; nothing if there are none or they can't be read."""
+    try:
+        found = spark.read.parquet(parts)
+    except AnalysisException:
+        return None
+    return found if "obs_level" in found.columns and "object_id" in found.columns else None
+
+
+def remaining(objects: DataFrame, done: DataFrame | None) -> DataFrame:
+    """Objects that still have to be measured."""
+    return objects if done is None else objects.join(done.select("object_id").distinct(), "object_id", "left_anti")
+
+
+def write_parts(rows: DataFrame, parts: str) -> None:
+    """Adds measured objects, a directory for each; Spark's commit makes a directory's files appear at once."""
+    rows.write.mode("append").partitionBy("object_id").parquet(parts)
+
+
+def recolour(report: DataFrame, palette: dict[str, str]) -> tuple[DataFrame, int]:
+    """The report with its whole colour column replaced (null for structures without a colour), and how many rows have one."""
+    colours = F.create_map(*(F.lit(x) for kv in palette.items() for x in kv)) if palette else F.expr("cast(map() as map<string,string>)")
+    found = report.withColumn("entity_colour", F.try_element_at(colours, F.lower("entity_name")))
+    return found, found.where("entity_colour is not null").count()
+
+
+def write_geometry(rows: DataFrame, path: str) -> None:
+    """Geometry by object, zstd; an empty blob is null."""
+    blobs = [f.name for f in rows.schema if isinstance(f.dataType, T.BinaryType)]
+    clean = rows.withColumns({c: F.when(F.octet_length(c) > 0, F.col(c)) for c in blobs})
+    scalars = [c for c in rows.columns if c not in blobs]
+    clean.select(*scalars, *blobs).write.mode("overwrite").partitionBy("object_id").option("compression", "zstd").parquet(path)
+
+
+def usable_geometry(spark: SparkSession, path: str) -> int | None:
+    """Rows of a geometry table; nothing if it isn't there or is empty."""
+    try:
+        return spark.read.parquet(path).count() or None
+    except AnalysisException:
+        return None
+
+
+def values_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Computed rows as a table; values that aren't finite become null."""
+    clean = [tuple(None if isinstance(v, float) and (v != v or v in (float("inf"), float("-inf"))) else v for v in r) for r in rows]
+    return spark.createDataFrame(clean, schema)
