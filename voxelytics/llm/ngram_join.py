@@ -13,7 +13,8 @@ The join has two rounds.
   for every set of the group its overlap with the path so far: sets that share a path share that work. A subtree is
   left out for sets whose overlap, with all that remains below, can't reach the threshold, and for sets of other lengths.
 * Round two looks at the other prefix n-grams, and there only at classes that are not yet in one component, whose
-  lengths and positions allow a link, and that did not meet before at an earlier n-gram. These pairs are compared.
+  lengths and positions allow a link, and that did not meet before at an earlier n-gram. These pairs chain classes to
+  families, and every family is a group of its own, joined as in round one.
 
 So links inside a component that are implied by others need not be made, while no link between components is
 missed. Groups beyond ``BLOCK_GRAMS`` are split into blocks, and each pair of blocks is a group of its own.
@@ -112,7 +113,7 @@ def _fingerprints(docs: DataFrame, key: str, text: str, n: int, percent: int) ->
                     p = prefix_length(len(found), percent)
                     part = found[: np.searchsorted(found, min(int(found[p - 1]) + back, SPAN - 1), "right")]
                     later = np.full(len(part), -1, np.int32)
-                    later[:p] = [np.searchsorted(found, min(int(x) + back, SPAN - 1)) for x in part[:p]]
+                    later[:p] = np.searchsorted(found, np.minimum(part[:p], SPAN - 1 - back) + back)
                     parts.append(part)
                     laters.append(later)
                 columns = [batch.column(0).slice(at, len(chunk)), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.array(parts, pa.list_(pa.int64())), pa.array(laters, pa.list_(pa.int32()))]
@@ -140,22 +141,30 @@ def _prefixes(shared: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for label, n, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = sorted((x["at"], x["later"], x["gram"], x["frequent"]) for x in found)
-                at, later, gram, hot = (np.array(c) for c in zip(*found, strict=True))
+            labels, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            offsets, values = batch.column(2).offsets.to_numpy(), batch.column(2).values
+            ats, laters, grams_of, hots = (values.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            kept, firsts, places, lengths = [], [], [], []
+            for k in range(len(labels)):
+                part = slice(offsets[k], offsets[k + 1])
+                order = np.argsort(ats[part])
+                at, later, hot, n = ats[part][order], laters[part][order], hots[part][order], int(sizes[k])
                 moved = at[hot]
                 place = at - np.searchsorted(moved, at) + np.searchsorted(np.sort(later[hot]), at, "right")
                 own = later[hot]
                 place[hot] = own - np.searchsorted(moved, own) + np.arange(len(moved))
                 place = np.where(hot & (later < 0), n, place)
                 keep = np.flatnonzero(place < prefix_length(n, percent))
-                keep = keep[np.argsort(place[keep], kind="stable")]
                 if len(keep):
-                    out.append((label, n, gram[keep], place[keep].astype(np.int32)))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["label", "n", "firsts", "places"])
+                    keep = keep[np.argsort(place[keep], kind="stable")]
+                    kept.append(k)
+                    firsts.append(grams_of[part][order][keep])
+                    places.append(place[keep].astype(np.int32))
+                    lengths.append(len(keep))
+            ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+            joined = lambda x, kind: pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x) if x else [], kind))  # noqa: E731, B023
+            columns = [pa.array(labels[kept], pa.int64()), pa.array(sizes[kept], pa.int32()), joined(firsts, pa.int64()), joined(places, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["label", "n", "firsts", "places"])
 
     lists = shared.groupBy("label").agg(F.first("n").alias("n"), F.collect_list(F.struct("at", "later", "gram", "frequent")).alias("found"))
     return lists.mapInArrow(run, "label bigint, n int, firsts array<bigint>, places array<int>")
@@ -280,6 +289,17 @@ def _candidates(entries: DataFrame, percent: int) -> DataFrame:
     def compare(group: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
         if len(rows) < 2:
             return []
+        if len(rows) <= 12:
+            out = []
+            for k, (own, label, n, root, place, rank, earlier) in enumerate(rows):
+                mine = set(earlier)
+                for own2, label2, n2, root2, place2, rank2, earlier2 in rows[:k]:
+                    if root == root2 or (rank == 0 and rank2 == 0) or (group[1] != group[2] and own == own2) or 100 * n < percent * n2 or percent * n > 100 * n2:
+                        continue
+                    common = max(0, min(rank, rank2) - CARRIED) + min(n - place, n2 - place2)
+                    if linked(common, n, n2, percent) and mine.isdisjoint(earlier2):
+                        out.append((min(label, label2), max(label, label2)))
+            return out
         own, label, n, root, place, rank = (np.array(c) for c in list(zip(*rows, strict=True))[:6])
         earlier = np.full((len(rows), CARRIED), -1, np.int64)
         for k, r in enumerate(rows):
@@ -317,21 +337,9 @@ def _candidates(entries: DataFrame, percent: int) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs whose whole sets are linked."""
-    one = sets.select(F.col("label").alias("a"), F.col("grams").alias("left"))
-    two = sets.select(F.col("label").alias("b"), F.col("grams").alias("right"))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = [(batch.column(k).offsets.to_numpy(), batch.column(k).values.to_numpy()) for k in (2, 3)]
-            out = []
-            for k, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                x, y = (values[offsets[k] : offsets[k + 1]] for offsets, values in sides)
-                if linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent):
-                    out.append((a, b))
-            yield _pairs(out)
-
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint")
+    """Enough links to connect what is linked among the ``pairs``. Each set goes, once, to the family that the pairs chain it to."""
+    families = components(pairs).select(F.col("node").alias("label"), F.col("root").alias("gram"))
+    return _meet(sets.select("label", "grams").join(families, "label"), percent)
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
@@ -374,8 +382,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3
         F.transform(F.slice("found", F.lit(1), F.least(F.col("nth"), F.lit(CARRIED))), lambda x: x["gram"]).alias("carried"),
     )
     pairs = written(_candidates(entries, percent), "pairs")
-    slim = sets.dropDuplicates(["label"])
-    more = _compared(pairs, slim, percent)
+    more = _compared(pairs, sets, percent)
     roots = components(links.unionByName(more))
 
     mine = by_sig.join(roots, by_sig["label"] == roots["node"], "left").withColumn("root", F.coalesce("root", "label"))
