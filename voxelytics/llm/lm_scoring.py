@@ -30,7 +30,7 @@ from voxelytics.llm.common import SPACE_RUN, written
 
 BACKOFF, LEAST = 0.4, 2
 #: Characters of text in a batch, and words a worker remembers.
-BATCH_CHARS, REMEMBERED = 16_000_000, 400_000
+BATCH_CHARS, REMEMBERED = 8_000_000, 200_000
 ROW = "route long, kind int, batch long, bucket int, a binary, b binary, c binary"
 _FIELDS = pa.schema([("route", pa.int64()), ("kind", pa.int32()), ("batch", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 TEXTS, WORDS, PAIRS = 0, 1, 2
