@@ -112,7 +112,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", found=TEMPLAT
     sizes = [len(_grams_of(t)) for _, t in found]
     low, high = percent, 200 - percent
     words = telling_words(found, percent)
-    told = lambda c: reduce(or_, (F.contains(F.lower(c), F.lit(w)) for w in words))
+    # As a lambda's variable the lower-case text is made once, not once for each word.
+    told = lambda c: F.exists(F.array(F.lower(c)), lambda t: reduce(or_, (F.contains(t, F.lit(w)) for w in words)))
     likely = docs.select(F.col(key).alias(key), F.col(text).alias("body")).where(told("body"))
     segment = likely.select(key, F.explode(F.array_distinct(_segments(F.col("body")))).alias("segment")).where(told("segment"))
     # A set is no larger than the word count less one, so the lower bound prunes before normalisation ...
