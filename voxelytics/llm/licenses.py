@@ -54,6 +54,8 @@ TEMPLATES = (
     ("all-rights-reserved", "Copyright. All rights reserved."),
 )
 PERCENT = 80
+#: Words of the templates that are so common that they tell little.
+COMMON = frozenset("a all an and any are as at be by for free from in is it of on or that the this to under use used with you your".split())
 
 
 def normal(text: Column) -> Column:
@@ -96,7 +98,7 @@ def telling_words(found=TEMPLATES, percent: int = PERCENT) -> list[str]:
         worth = Counter()
         for grams, need in missing.values():
             for w in {w for g in grams for w in g} if need > 0 else ():
-                worth[w] += min(need, sum(w in g for g in grams)) * (100 if len(w) > 5 else 10 if w.isalpha() else 1)
+                worth[w] += min(need, sum(w in g for g in grams)) * (1 if w in COMMON or not w.isalpha() else 100 if len(w) > 5 else 10)
         best = min(worth, key=lambda w: (-worth[w], w))
         words.append(best)
         for entry in missing.values():
@@ -113,7 +115,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", found=TEMPLAT
     low, high = percent, 200 - percent
     words = telling_words(found, percent)
     # As a lambda's variable the lower-case text is made once, not once for each word.
-    told = lambda c: F.exists(F.array(F.lower(c)), lambda t: reduce(or_, (F.contains(t, F.lit(w)) for w in words)))
+    part = r"[\p{L}\p{M}0-9]"
+    whole = lambda t, w: F.contains(t, F.lit(w)) & t.rlike(f"(?<!{part}){re.escape(w)}(?!{part})")
+    told = lambda c: F.exists(F.array(F.lower(c)), lambda t: reduce(or_, (whole(t, w) for w in words)))
     likely = docs.select(F.col(key).alias(key), F.col(text).alias("body")).where(told("body"))
     segment = likely.select(key, F.explode(F.array_distinct(_segments(F.col("body")))).alias("segment")).where(told("segment"))
     # A set is no larger than the word count less one, so the lower bound prunes before normalisation ...
