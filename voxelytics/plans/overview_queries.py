@@ -330,3 +330,64 @@ def skeleton_metrics(spark, sf):
 )
 def geometry_summary(spark, sf):
     return instances(spark, sf).groupBy("entity", F.lit("instance").alias("row_type")).agg(F.count("*").alias("n"), F.sum("n_voxels").alias("voxels"))
+
+
+# --- further selections ------------------------------------------------------------------------------------------
+
+
+@query("gallery_total", with_views("vox", INSTANCES) + "SELECT count(*) AS n FROM inst WHERE isfinite(volume_um3) AND entity = 'A'")
+def gallery_total(spark, sf):
+    return instances(spark, sf).where((F.col("entity") == "A") & ex.finite(F.col("volume_um3")).isNotNull()).agg(F.count("*").alias("n"))
+
+
+@query(
+    "object_rows",
+    with_views("vox nucleus objects", ENTITIES, _SOME) + "SELECT o.object_id, grp, bool_or(instance_count IS NOT NULL) AS has_instances, count(entity) AS n_entities FROM objects o LEFT JOIN chosen c ON c.object_id = o.object_id GROUP BY 1, 2",
+)
+def object_rows(spark, sf):
+    rows = adapter.objects(spark, sf).join(some_entities(spark, sf), "object_id", "left")
+    return rows.groupBy("object_id", "grp").agg(F.bool_or(F.col("instance_count").isNotNull()).alias("has_instances"), F.count("entity").alias("n_entities"))
+
+
+@query("entity_rows_of_group", with_views("vox nucleus objects", ENTITIES, _SOME) + f"SELECT object_id, entity, instance_count, {r('total_um3', 'total_um3')} FROM chosen WHERE object_id IN (SELECT object_id FROM objects WHERE grp = 'ASIA')")
+def entity_rows_of_group(spark, sf):
+    wanted = adapter.objects(spark, sf).where("grp = 'ASIA'")
+    return rounded(some_entities(spark, sf).join(wanted, "object_id", "left_semi"), "total_um3")
+
+
+@query(
+    "preview_topk",
+    with_views("vox", INSTANCES, "p AS (SELECT object_id, entity, label, round(volume_um3, 9) AS volume_um3, n_voxels * 8 AS mesh_vertices, row_number() OVER (PARTITION BY entity ORDER BY round(volume_um3, 9) DESC, label, object_id) AS place FROM inst WHERE n_voxels * 8 < 48)")
+    + "SELECT object_id, entity, label, volume_um3, mesh_vertices FROM p WHERE place <= 5",
+)
+def preview_topk(spark, sf):
+    rows = instances(spark, sf).select("object_id", "entity", "label", F.round("volume_um3", 9).alias("volume_um3"), (F.col("n_voxels") * 8).alias("mesh_vertices"))
+    some = report.largest_by_entity(rows.where("mesh_vertices < 48"), "entity", "volume_um3", 5, ["label", "object_id"])
+    return some.drop("place")
+
+
+@query("geometry_palette", with_views("vox", INSTANCES) + "SELECT DISTINCT entity, CASE entity WHEN 'A' THEN '#d62728' WHEN 'N' THEN '#22cc33' END AS colour FROM inst")
+def geometry_palette(spark, sf):
+    chosen = F.create_map(*(F.lit(v) for k, c in _PALETTE.items() for v in (k, ex.hex_colour_of(c))))
+    return instances(spark, sf).select("entity", F.try_element_at(chosen, "entity").alias("colour")).distinct()
+
+
+@query("carried_metrics", with_views("vox", INSTANCES) + f"SELECT i.object_id, i.entity, i.label, {r('coalesce(CASE WHEN i.label % 2 = 0 THEN 1.5 END, volume_um3)', 'volume_um3')} FROM inst i")
+def carried_metrics(spark, sf):
+    known = instances(spark, sf).where("label % 2 = 0").select("object_id", "entity", "label", F.lit(1.5).alias("reported"))
+    both = instances(spark, sf).join(known, ["object_id", "entity", "label"], "left")
+    return rounded(both.select("object_id", "entity", "label", F.coalesce("reported", "volume_um3").alias("volume_um3")), "volume_um3")
+
+
+@query(
+    "significance",
+    with_views(
+        "vox objects", INSTANCES, GROUPED, "names AS (SELECT DISTINCT entity, grp FROM g)", "pairs AS (SELECT a.entity, a.grp AS cat_a, b.grp AS cat_b FROM names a JOIN names b ON a.entity = b.entity AND a.grp < b.grp)",
+    )
+    + "SELECT entity, count(*) AS pairs, round(0.05 / count(*), 6) AS level FROM pairs GROUP BY 1",
+)
+def significance(spark, sf):
+    """Bonferroni: the level divided by the number of pairs that are shown."""
+    names = grouped(spark, sf).select("entity", "grp").distinct()
+    pairs = names.alias("a").join(names.withColumnRenamed("grp", "other"), "entity").where("grp < other")
+    return pairs.groupBy("entity").agg(F.count("*").alias("pairs")).withColumn("level", F.round(0.05 / F.col("pairs"), 6))
