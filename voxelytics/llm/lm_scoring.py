@@ -99,15 +99,16 @@ def _distinct_pairs(vocabulary: np.ndarray, local: np.ndarray, sizes: np.ndarray
     return np.unique(_pair_hash(vocabulary[local[later - 1]], vocabulary[local[later]]), return_counts=True, return_inverse=True) if len(later) else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
 def _dealt(keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """The keys by bucket, each still sorted: the order in which totals come back."""
-    bucket = (keys % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    """The ascending keys by bucket, a bucket being an equal part of the hashes: the order in which totals come back."""
+    cuts = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1))
     for b in range(buckets):
         if cuts[b] < cuts[b + 1]:
-            at = order[cuts[b] : cuts[b + 1]]
-            yield b, keys[at], counts[at]
+            yield b, keys[cuts[b] : cuts[b + 1]], counts[cuts[b] : cuts[b + 1]]
 
 
 def _pack(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
@@ -187,12 +188,7 @@ def _scored(totals: DataFrame, key: str, kind: str, buckets: int) -> DataFrame:
         def back(which: int, keys: np.ndarray) -> np.ndarray:
             """Totals in the order of ``keys``."""
             got = {r[3]: _from_planes(r[4], np.uint64 if r[5] == b"8" else np.uint32) for r in held if r[1] == which}
-            out = np.zeros(len(keys))
-            bucket = (keys % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            if len(keys):
-                out[order] = np.concatenate([got[b] for b in sorted(got)])
-            return out
+            return np.concatenate([got[b] for b in sorted(got)]).astype(float) if len(keys) else np.zeros(0)
 
         word, pair = np.log(np.maximum(back(WORDS, vocabulary), 1)), back(PAIRS, pairs)
         text = np.repeat(np.arange(len(sizes)), sizes)
