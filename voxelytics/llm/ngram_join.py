@@ -365,13 +365,19 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3
 
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = 0
             for chunk in _chunks(batch.column(0)):
+                sigs = batch.column(1).slice(at, len(chunk)).to_pylist()
                 found = [grams(t, n) for t in chunk]
-                yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in found], pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["of", "grams"])
+                # Of texts that share a key, only the one that the class is named after.
+                own = [k for k, x in enumerate(found) if _digest(x) == sigs[k]]
+                rows = pa.array([at + k for k in own], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(2).take(rows), batch.column(3).take(rows), pa.array([found[k] for k in own], pa.list_(pa.int64()))], ["label", "gram", "grams"])
+                at += len(chunk)
 
     texts = docs.select(F.col(key).alias("of_id"), F.col(text).alias("body"))
-    texts = texts.join(wanted.select(F.col("first").alias("w")).distinct(), F.col("of_id").eqNullSafe(F.col("w")), "left_semi").select("body")
-    sets = texts.mapInArrow(whole, "of binary, grams array<bigint>").join(wanted, F.col("of") == F.col("sig")).select("label", "gram", "grams")
+    texts = texts.join(wanted, F.col("of_id").eqNullSafe(F.col("first"))).select("body", "sig", "label", "gram")
+    sets = texts.mapInArrow(whole, "label bigint, gram bigint, grams array<bigint>")
     sets = written(sets, "sets")
     links = written(_meet(sets, percent), "links")
     roots = components(links)
