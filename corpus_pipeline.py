@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"), passages=True)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
