@@ -4,8 +4,8 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` w
 folder and reads again as the next stage's ``docs``. All but the last return the columns of ``documents``.
 
 * quality rules: rows that the rules reject go.
-* n-gram Jaccard join: of each component of near copies the row with the smallest id stays.
-* benchmark decontamination: rows that a benchmark item leaks into go.
+* n-gram Jaccard join: of each component of near copies the row with the smallest id stays, one of them if several have it.
+* benchmark decontamination: rows that a benchmark item leaks into go, each judged by itself.
 * secret scans: secrets are masked in the text, and ``n_chars`` follows; no row goes.
 * SentencePiece: each text's ids, their digest, and that of the text decoded from them.
 """
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from voxelytics.llm import decontamination, ngram_join, quality_rules, secret_scan, sentencepiece_codec
-from voxelytics.llm.common import table, written
+from voxelytics.llm.common import fresh, numbered, table, written
 from voxelytics.llm.entry import piece_model_path
 
 
@@ -28,7 +28,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"), passages=True)
+    row = fresh(docs, "leak_row")
+    return decontamination.drop_leaks(numbered(docs, row), table(spark, sf_dir, "benchmark"), row, passages=True).drop(row)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

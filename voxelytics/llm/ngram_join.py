@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelytics.llm.common import fresh, written
+from voxelytics.llm.common import fresh, numbered, written
 from voxelytics.llm.components import components
 
 SPAN = 1 << 63
@@ -399,8 +399,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
-    """``docs`` without the rows whose key isn't their component's smallest one. Rows that share a key stay or go together."""
-    name = fresh(docs, "gone_id")
-    gone = classes(docs, key, text, n, percent).groupBy("id").agg(F.min((~F.col("id").eqNullSafe(F.col("component"))).cast("int")).alias("gone"))
-    gone = written(gone.where("gone = 1").select(F.col("id").alias(name)), "gone")
-    return docs.join(gone, docs[key].eqNullSafe(gone[name]), "left_anti")
+    """One row of each component: that with the smallest key, null keys last; of rows that share it, any one. Rows are told apart by a number of their own, not by the key."""
+    row = fresh(docs, "gone_row")
+    docs = numbered(docs, row)
+    found = written(classes(docs, row, text, n, percent).select(F.col("id").alias("of"), F.col("component")), "found")
+    keyed = docs.select(F.col(row).alias("row"), F.col(key).alias("key")).join(found, F.col("row") == F.col("of"))
+    first = keyed.groupBy("component").agg(F.min(F.struct(F.col("key").isNull(), F.col("key"), F.col("row"))).alias("first")).select(F.col("first.row").alias("kept"))
+    gone = written(found.join(first, F.col("of") == F.col("kept"), "left_anti").select(F.col("of").alias(row)), "gone")
+    return docs.join(gone, row, "left_anti").drop(row)
