@@ -4,7 +4,7 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` w
 folder and reads again as the next stage's ``docs``. All but the last return the columns of ``documents``.
 
 * quality rules: rows that the rules reject go.
-* n-gram Jaccard join: of each component of near copies the row with the smallest id stays, one of them if several have it.
+* n-gram Jaccard join: of each component of near copies (80 % of all five-word shingles in common) the row with the smallest id stays, one of them if several have it.
 * benchmark decontamination: rows that a benchmark item leaks into go, each judged by itself.
 * secret scans: secrets are masked in the text, and ``n_chars`` follows; no row goes.
 * SentencePiece: each text's ids, their digest, and that of the text decoded from them.
@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, n=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
