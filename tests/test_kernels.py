@@ -5,8 +5,8 @@ import math
 import numpy as np
 import pytest
 
-from voxelytics.operators import distance, geometry, measure, report
-from voxelytics.sources import tiff
+from voxelgrain.operators import distance, geometry, measure, report
+from voxelgrain.sources import tiff
 
 
 def ball(shape, centre, radius, size):

@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxelytics.functions import expressions as ex
-from voxelytics.operators import contacts, distance, graph, measure, report
+from voxelgrain.functions import expressions as ex
+from voxelgrain.operators import contacts, distance, graph, measure, report
 
 SIZE = (0.1, 0.02, 0.02)
 

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from voxelytics.plans import registry
+from voxelgrain.plans import registry
 
 duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"

@@ -7,10 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxelytics import cli
-from voxelytics.operators import measure
-from voxelytics.sources import folders, report_files, tiff
-from voxelytics.streaming.arrivals import measure_arrivals
+from voxelgrain import cli
+from voxelgrain.operators import measure
+from voxelgrain.sources import folders, report_files, tiff
+from voxelgrain.streaming.arrivals import measure_arrivals
 
 
 def put(path, volume, **more):

@@ -8,8 +8,8 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from voxelytics.operators import contacts, distance, measure
-from voxelytics.sources import folders, report_files, tiff
+from voxelgrain.operators import contacts, distance, measure
+from voxelgrain.sources import folders, report_files, tiff
 
 
 def measure_tree(spark: SparkSession, root: str, object_mask: str, size: measure.Size, gap: float) -> dict[str, object]:
@@ -27,7 +27,7 @@ def measure_tree(spark: SparkSession, root: str, object_mask: str, size: measure
 
 
 def main(argv: list[str] | None = None) -> int:
-    parser = argparse.ArgumentParser(prog="voxelytics")
+    parser = argparse.ArgumentParser(prog="voxelgrain")
     commands = parser.add_subparsers(dest="command", required=True)
     dry = commands.add_parser("dry-run", help="what is found below a folder, without opening an image")
     run = commands.add_parser("process", help="measure all objects below a folder")
@@ -42,7 +42,7 @@ def main(argv: list[str] | None = None) -> int:
     recolour.add_argument("palette")
     recolour.add_argument("out")
     args = parser.parse_args(argv)
-    spark = SparkSession.builder.appName("voxelytics").getOrCreate()
+    spark = SparkSession.builder.appName("voxelgrain").getOrCreate()
     if args.command == "dry-run":
         rows = folders.objects(folders.discover(folders.listing(spark, args.root)), args.object_mask)
         folders.dry_run(rows).orderBy("key").show(1000, False)

@@ -8,8 +8,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelytics.functions.expressions import all_of, pair_label, partner_key
-from voxelytics.operators.measure import Size
+from voxelgrain.functions.expressions import all_of, pair_label, partner_key
+from voxelgrain.operators.measure import Size
 
 #: Voxel steps are not exact in binary; gaps up to this much above the limit are within it.
 SLACK = 1e-9

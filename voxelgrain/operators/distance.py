@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelytics.operators.measure import Size
+from voxelgrain.operators.measure import Size
 
 BINS = 20
 MASK_LABEL = 0

@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelytics.operators.distance import distance_transform
-from voxelytics.operators.measure import Size
+from voxelgrain.operators.distance import distance_transform
+from voxelgrain.operators.measure import Size
 
 HEADER = struct.Struct("<II6f")
 

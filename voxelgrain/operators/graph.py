@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelytics.functions.expressions import null_percentile
+from voxelgrain.functions.expressions import null_percentile
 
 
 def clusters(instances: DataFrame, contacts: DataFrame, strict: bool = False) -> DataFrame:

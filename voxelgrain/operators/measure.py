@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelytics.functions.expressions import clamp_unit, direction, direction_2d
+from voxelgrain.functions.expressions import clamp_unit, direction, direction_2d
 
 Size = tuple[float, ...]
 AXES = {3: ("z", "y", "x"), 2: ("y", "x")}

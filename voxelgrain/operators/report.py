@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelytics.functions.expressions import finite
+from voxelgrain.functions.expressions import finite
 
 PROBABILITIES = tuple(i / 50 for i in range(51))
 

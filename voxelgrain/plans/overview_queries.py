@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxelytics.functions import expressions as ex
-from voxelytics.operators import geometry, measure, report
-from voxelytics.plans.registry import DISTANCES as DISTANCES
-from voxelytics.plans.registry import ENTITIES, FLAT, INSTANCES, UNIT, centres, instances, query, r, rounded
-from voxelytics.sources import adapter
-from voxelytics.sources.adapter import SIZE, with_views
+from voxelgrain.functions import expressions as ex
+from voxelgrain.operators import geometry, measure, report
+from voxelgrain.plans.registry import DISTANCES as DISTANCES
+from voxelgrain.plans.registry import ENTITIES, FLAT, INSTANCES, UNIT, centres, instances, query, r, rounded
+from voxelgrain.sources import adapter
+from voxelgrain.sources.adapter import SIZE, with_views
 
 GROUPED = "g AS (SELECT i.*, grp FROM inst i JOIN objects o ON i.object_id = o.object_id)"
 

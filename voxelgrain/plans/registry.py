@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelytics.functions import expressions as ex
-from voxelytics.operators import contacts, distance, graph, measure, report
-from voxelytics.sources import adapter
-from voxelytics.sources.adapter import SIZE, UNIT, with_views
+from voxelgrain.functions import expressions as ex
+from voxelgrain.operators import contacts, distance, graph, measure, report
+from voxelgrain.sources import adapter
+from voxelgrain.sources.adapter import SIZE, UNIT, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -529,7 +529,7 @@ def null_percentile(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    from voxelytics.plans import overview_queries  # noqa: F401  registers the rest
+    from voxelgrain.plans import overview_queries  # noqa: F401  registers the rest
 
     return dict(QUERIES)
 

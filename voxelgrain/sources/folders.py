@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxelytics.functions.expressions import entity_file, normalize_name
+from voxelgrain.functions.expressions import entity_file, normalize_name
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from voxelytics.functions.expressions import hex_colour_of
-from voxelytics.operators.report import as_float32, prune_all_null
+from voxelgrain.functions.expressions import hex_colour_of
+from voxelgrain.operators.report import as_float32, prune_all_null
 
 
 def read_palette(spark: SparkSession, path: str) -> dict[str, str]:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from voxelytics.operators.measure import INSTANCE, Size, extent
-from voxelytics.sources.report_files import write_parts
+from voxelgrain.operators.measure import INSTANCE, Size, extent
+from voxelgrain.sources.report_files import write_parts
 
 VOXELS = "object_id string, entity string, label long, z int, y int, x int"
 
