@@ -14,9 +14,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelytics.llm import decontamination, ngram_join, quality_rules, secret_scan, sentencepiece_codec
-from voxelytics.llm.common import fresh, numbered, table, written
-from voxelytics.llm.entry import piece_model_path
+from voxelgrain.llm import decontamination, ngram_join, quality_rules, secret_scan, sentencepiece_codec
+from voxelgrain.llm.common import fresh, numbered, table, written
+from voxelgrain.llm.entry import piece_model_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

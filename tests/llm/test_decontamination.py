@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import regex
 
-from voxelytics.llm import decontamination as d
+from voxelgrain.llm import decontamination as d
 
 
 def canon(text):

@@ -1,6 +1,6 @@
 import regex
 
-from voxelytics.llm import licenses as l
+from voxelgrain.llm import licenses as l
 
 
 def grams(text):

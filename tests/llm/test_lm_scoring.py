@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from voxelytics.llm import lm_scoring as m
+from voxelgrain.llm import lm_scoring as m
 
 
 def words(text):

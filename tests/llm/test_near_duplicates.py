@@ -1,6 +1,6 @@
 import corpus_pipeline
 from tests.llm import test_ngram_join as t
-from voxelytics.llm import ngram_join
+from voxelgrain.llm import ngram_join
 
 
 def test_stage_takes_five_words_at_80_percent(spark):

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from voxelytics.llm import ngram_join as j
+from voxelgrain.llm import ngram_join as j
 
 
 def shingles(text, n=3):

@@ -1,5 +1,5 @@
 from tests.llm.test_decontamination import ITEMS
-from voxelytics.llm import decontamination as d
+from voxelgrain.llm import decontamination as d
 
 A, B = ITEMS[0][1], ITEMS[1][1]
 LONG = " ".join(f"{x}{y}" for x in "bdfgklmnpr" for y in ("a", "e", "io", "u"))

@@ -5,8 +5,8 @@ import sentencepiece
 
 import corpus_pipeline
 from tests.llm import test_decontamination, test_ngram_join, test_secret_scan
-from voxelytics.llm import quality_rules, secret_scan
-from voxelytics.llm.entry import piece_model_path
+from voxelgrain.llm import quality_rules, secret_scan
+from voxelgrain.llm.entry import piece_model_path
 
 
 def masked(text):

@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from voxelytics.llm import quality_rules as q
+from voxelgrain.llm import quality_rules as q
 
 SCHEMA = "doc_id long, text string, lang string, source string, quality_measured string"
 

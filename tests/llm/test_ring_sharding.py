@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from voxelytics.llm import ring_sharding as r
+from voxelgrain.llm import ring_sharding as r
 
 
 def one_by_one(ranked, nodes, shards):

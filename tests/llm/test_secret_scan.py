@@ -4,7 +4,7 @@ import random
 import re
 from collections import Counter
 
-from voxelytics.llm import secret_scan as s
+from voxelgrain.llm import secret_scan as s
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 

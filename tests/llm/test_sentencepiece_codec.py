@@ -3,8 +3,8 @@ import random
 import pytest
 import sentencepiece
 
-from voxelytics.llm import sentencepiece_codec as codec
-from voxelytics.llm.entry import piece_model_path
+from voxelgrain.llm import sentencepiece_codec as codec
+from voxelgrain.llm.entry import piece_model_path
 
 PATH = piece_model_path()
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=PATH)

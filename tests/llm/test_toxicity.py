@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from voxelytics.llm import toxicity as t
+from voxelgrain.llm import toxicity as t
 
 BAD = ["fool", "rotten", "vequeur", "vequez", "vequais"]
 

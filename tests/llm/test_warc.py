@@ -5,8 +5,8 @@ import zlib
 import pytest
 from pyarrow import fs
 
-from voxelytics.llm import common
-from voxelytics.llm import warc as w
+from voxelgrain.llm import common
+from voxelgrain.llm import warc as w
 
 
 def pages():

@@ -23,14 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the session names it; a temporary one only where none is named."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="voxelytics-")
+        found = tempfile.mkdtemp(prefix="voxelgrain-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/voxelytics/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/voxelgrain/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

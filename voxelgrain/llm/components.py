@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelytics.llm.common import written
+from voxelgrain.llm.common import written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelytics.llm.common import fresh, written
+from voxelgrain.llm.common import fresh, written
 
 WINDOW, LEAST_LITERAL, LEAST_PERCENT = 8, 4, 50
 #: With ``passages``: the share of an item's windows, and their number, of which the smaller is enough.

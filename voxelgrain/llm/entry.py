@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelytics.llm import decontamination, licenses, lm_scoring, ngram_join, quality_rules, ring_sharding, secret_scan, sentencepiece_codec, toxicity, warc
-from voxelytics.llm.common import table
+from voxelgrain.llm import decontamination, licenses, lm_scoring, ngram_join, quality_rules, ring_sharding, secret_scan, sentencepiece_codec, toxicity, warc
+from voxelgrain.llm.common import table
 
 
 def piece_model_path() -> str:

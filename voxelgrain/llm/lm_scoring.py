@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelytics.llm.common import SPACE_RUN, written
+from voxelgrain.llm.common import SPACE_RUN, written
 
 BACKOFF, LEAST = 0.4, 2
 #: Characters of text in a batch, and words a worker remembers.

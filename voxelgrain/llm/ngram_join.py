@@ -36,8 +36,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelytics.llm.common import fresh, numbered, written
-from voxelytics.llm.components import components
+from voxelgrain.llm.common import fresh, numbered, written
+from voxelgrain.llm.components import components
 
 SPAN = 1 << 63
 #: How far frequent n-grams are moved back, as a share of all hashes, and how many classes make one frequent: any

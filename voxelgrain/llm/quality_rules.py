@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelytics.llm.common import SPACE_RUN, SPACES, fresh, words, written
+from voxelgrain.llm.common import SPACE_RUN, SPACES, fresh, words, written
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50

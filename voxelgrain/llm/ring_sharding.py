@@ -25,7 +25,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelytics.llm.common import written
+from voxelgrain.llm.common import written
 
 RING_BITS, VNODES, CELLS = 40, 64, 4096
 SEED = "ring"

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelytics.llm.common import fresh
+from voxelgrain.llm.common import fresh
 
 #: Kinds in their order: the base patterns, then the classes.
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_alnum", "entropy_base64")

@@ -42,7 +42,7 @@ def _one_by_one(error: UnicodeDecodeError) -> tuple[str, int]:
     return "�", error.start + 1
 
 
-codecs.register_error("voxelytics_bytes", _one_by_one)
+codecs.register_error("voxelgrain_bytes", _one_by_one)
 
 
 class PieceModel:
@@ -245,7 +245,7 @@ class PieceModel:
         """The text of ``ids``; bytes that aren't UTF-8 become U+FFFD one by one."""
         if not len(ids):
             return ""
-        text = b"".join(self.bytes_of[ids].tolist()).decode("utf-8", "voxelytics_bytes")
+        text = b"".join(self.bytes_of[ids].tolist()).decode("utf-8", "voxelgrain_bytes")
         heard = np.flatnonzero(~self.silent[ids])
         return text[1:] if self.prefix and len(heard) and self.leads[ids[heard[0]]] else text
 

@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelytics.llm.common import scratch, written
+from voxelgrain.llm.common import scratch, written
 
 LEAST_SHARED = 100
 #: Bytes that are inflated or copied at once.
