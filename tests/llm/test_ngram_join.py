@@ -64,7 +64,7 @@ def test_against_brute_force(spark, seed):
 
 
 def test_small_blocks_and_frequent(spark, monkeypatch):
-    monkeypatch.setattr(j, "BLOCK_GRAMS", 700)
+    monkeypatch.setattr(j, "CELL_BYTES", 20_000)
     monkeypatch.setattr(j, "FREQUENT", 5)
     rows = corpus(3, 5, 40)
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -90,8 +90,8 @@ def test_trie_finds_every_component():
             for _ in range(rng.randint(0, 3)):
                 s ^= {rng.randrange(60)}
             sets.append(np.array(sorted(s or {1})))
-        side = np.array([rng.randrange(2) for _ in sets]) if rng.random() < 0.5 else None
-        want, got = list(range(len(sets))), list(range(len(sets)))
+        known = np.array([rng.randrange(8) for _ in sets]) if rng.random() < 0.5 else np.arange(len(sets))
+        want, got = known.tolist(), known.tolist()
 
         def join(p, a, b):
             old, new = p[a], p[b]
@@ -101,9 +101,31 @@ def test_trie_finds_every_component():
 
         for a in range(len(sets)):
             for b in range(a):
-                if (side is None or side[a] != side[b]) and 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b])):
+                if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b])):
                     join(want, a, b)
-        for a, b in j.trie_links(sets, 80, side):
+        for a, b in j.trie_links(sets, 80, known):
             join(got, a, b)
         groups = lambda p: {frozenset(k for k in range(len(p)) if p[k] == r) for r in p}
         assert groups(got) == groups(want)
+
+
+def test_sketches_rule_out_no_link():
+    rng = random.Random(4)
+    for _ in range(150):
+        pool = [[rng.getrandbits(62) for _ in range(rng.choice((3, 40, 70, 130, 500)))] for _ in range(3)]
+        sets = []
+        for _ in range(rng.choice((2, 5, 9, 30))):
+            s = set(rng.choice(pool))
+            for _ in range(rng.randint(0, len(s) // 6 + 1)):
+                s ^= {rng.choice(list(s)), rng.getrandbits(62)}
+            sets.append(np.array(sorted(s or {1})))
+        percent = rng.choice((50, 80, 90))
+        rows = [(k, rng.choice((k, 0)), len(x), j.sketch(x)) for k, x in enumerate(sets)]
+        root = {k: r[1] for k, r in enumerate(rows)}
+        for a, b in j._sketch_cell(rows, percent):
+            old = root[a]
+            root = {k: root[b] if v == old else v for k, v in root.items()}
+        for a in range(len(sets)):
+            for b in range(a):
+                if 100 * len(np.intersect1d(sets[a], sets[b])) >= percent * len(np.union1d(sets[a], sets[b])):
+                    assert root[a] == root[b]

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,8 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 #: The same as a regular expression for Spark, DuckDB and Python alike.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_noted: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("noted", default=())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; a temporary one only where none is named."""
+    """The folder that all executors share, as the session names it. Where none is named, a local session gets a temporary one; a cluster must name it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="voxelgrain-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -30,14 +37,55 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/voxelgrain/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/voxelgrain/{name}-{uuid.uuid4().hex}"
+    for paths in _noted.get():
+        paths.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def noting() -> Iterator[list[str]]:
+    """Notes the paths in the shared folder that are given out meanwhile."""
+    paths: list[str] = []
+    token = _noted.set((*_noted.get(), paths))
+    try:
+        yield paths
+    finally:
+        _noted.reset(token)
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes what lies at ``paths``, by Spark's own file system; what is gone already is no error."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is run meanwhile leaves no shuffle files behind when it ends, rather than when the driver happens to collect garbage."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: ``df`` as a Parquet table in the shared folder, which outlives any executor."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cuts lineage: ``df`` as a Parquet table in the shared folder, which outlives any executor. ``discard`` deletes it."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` gave, when nothing is still to be computed from them."""
+    for t in tables:
+        remove(t.sparkSession, [t.scratch_path])
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Connected components of a table of links, by alternating large and small stars.
 
-Nothing but counts comes to the driver. Every round is written to the shared folder, so lineage stays short. Each
-star operation groups by a node's smallest neighbour, found by a grouped minimum, so a node with very many links
-is no hot key: the minimum is combined before the shuffle, and the join back may be split.
+Nothing but counts comes to the driver. Every round is written to the shared folder, so lineage stays short, and
+the round before is deleted. Each star operation groups by a node's smallest neighbour, found by a grouped minimum,
+so a node with very many links is no hot key: the minimum is combined before the shuffle, and the join back may be
+split. An empty table of links gives an empty result; repeated links and links of a node with itself change nothing.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelgrain.llm.common import written
+from voxelgrain.llm.common import discard, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,11 +35,14 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
-        edges = written(_star(_star(edges, True), False), "edges")
+        last, edges = edges, written(_star(_star(edges, True), False), "edges")
+        discard(last)
         # A star forest hangs every node on one root that hangs on none; the digest tells whether a round changed anything.
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out = written(roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "roots")
+    discard(edges)
+    return out

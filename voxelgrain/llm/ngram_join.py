@@ -3,32 +3,37 @@
 Texts that have the same set of word n-grams are one class; only classes are joined. All n-grams have one global
 order, by their hash, in which frequent ones are moved back by a fixed distance ``BACK``. Sets with Jaccard
 similarity ``percent`` or more share one of the first ``n - ceil(percent * n) + 1`` n-grams of each, so only these
-prefixes are counted, joined and compared. As ``BACK`` is fixed, a prefix always lies inside the part of a set that
-one look at the hashes gives, and frequencies are needed for that part alone.
+prefixes are counted and joined. As ``BACK`` is fixed, a prefix always lies inside the part of a set that one look
+at the hashes gives, and frequencies are needed for that part alone.
 
-The join has two rounds.
+The join has two steps, and whole sets are fetched for the second alone.
 
-* Round one deals every class out by the first n-gram of its prefix that another class's prefix has, once, with its
-  whole set. Those that meet are stored in a trie over the global order. The trie is walked from the root, carrying
-  for every set of the group its overlap with the path so far: sets that share a path share that work. A subtree is
-  left out for sets whose overlap, with all that remains below, can't reach the threshold, and for sets of other lengths.
-* Round two looks at the other prefix n-grams, and there only at classes that are not yet in one component, whose
-  lengths and positions allow a link, and that did not meet before at an earlier n-gram. These pairs chain classes to
-  families, and every family is a group of its own, joined as in round one.
+* Families. Classes that share a prefix n-gram meet with a sketch of their sets, a parity bit for each of about n
+  hash values. Sketches that differ in more bits than linked sets have differing n-grams rule a link out, for
+  certain. What isn't ruled out chains classes to families, and no link leaves a family.
+* Links. The whole sets of a family are stored in a trie over the global order. The trie is walked from the root,
+  carrying for every set its overlap with the path so far: sets that share a path share that work. A subtree is
+  left out for sets whose overlap, with all that remains below, can't reach the threshold, for sets of other
+  lengths, and for sets that are already known to be of one component with all of the subtree.
 
-So links inside a component that are implied by others need not be made, while no link between components is
-missed. Groups beyond ``BLOCK_GRAMS`` are split into blocks, and each pair of blocks is a group of its own.
+Both steps meet in the same way (``_meet``): the rows of a group are dealt out to cells of bounded size, twice. At
+first every row goes to one cell, and the group's leader to all. What is found becomes known. Then only groups with
+more than one known component are dealt out again: the commonest component's rows to one cell each, the others to
+all of them. A cell gives links that connect what is linked in it, fewer than it has rows, never pairs. So links
+that others imply aren't made, while no link between components is missed.
 
 Words are runs without white space, after lower-casing A-Z. A text with fewer words than n has its whole sequence
 as its only n-gram. Null, empty and blank texts have no n-gram and are linked with nothing. n-grams are compared by
-63-bit hashes and classes by 128-bit digests of all hashes. Rows may repeat; a null key never becomes a
-component's id unless all its keys are null. Other columns aren't read, but are carried along by ``keep_one``.
+63-bit hashes and classes by 128-bit digests of all hashes. Very long texts are taken whole; only the n-grams of one
+text must fit a worker. Rows may repeat, ids too: a row is told by its id and its text's hash. Ties go to the smallest
+id; a null id never becomes a component's id unless all its ids are null. An empty table gives an empty result.
+Other columns aren't read, whatever their names, but are carried along by ``keep_one``.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +41,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelgrain.llm.common import fresh, numbered, written
+from voxelgrain.llm.common import discard, fresh, written
 from voxelgrain.llm.components import components
 
 SPAN = 1 << 63
 #: How far frequent n-grams are moved back, as a share of all hashes, and how many classes make one frequent: any
 #: that is shared at all, so that a prefix begins with n-grams that can't match.
 BACK, FREQUENT = 0.12, 2
-#: n-grams that a group's blocks hold, words a worker remembers, prefix n-grams that a class carries in round two.
-BLOCK_GRAMS, REMEMBERED, CARRIED = 2_000_000, 500_000, 8
+#: Bytes that a cell's rows hold, at ``ROW_BYTES`` a row besides its set or sketch, and words a worker remembers.
+CELL_BYTES, ROW_BYTES, REMEMBERED = 16_000_000, 4096, 500_000
+
 
 class _Hashes(dict):
     """Hashes of words, each computed when it is first asked for."""
@@ -89,23 +95,35 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """A bit for each of the next power of two of hash values: whether an odd number of the n-grams has it."""
+    bits = max(64, 1 << (max(len(found), 1) - 1).bit_length())
+    return np.packbits((np.bincount(found & (bits - 1), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def most_differing(a, b, percent: int):
+    """How many n-grams linked sets of ``a`` and ``b`` n-grams may have that the other has not."""
+    return a + b + 2 * (-percent * (a + b) // (100 + percent))
+
+
 def linked(common, a, b, percent: int):
     return 100 * common >= percent * (a + b - common)
 
 
 def _fingerprints(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """``id``, ``n``, ``sig`` and the part of the set that any prefix lies in: ``part`` and, if frequent, the ``later`` place of each."""
+    """``id``, ``hash`` (the text's), ``n``, ``sig``, ``sketch``, and the part of the set that any prefix lies in: ``part`` and, if frequent, the ``later`` place of each."""
     back = int(BACK * SPAN)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for chunk in _chunks(batch.column(1)):
-                sizes, sigs, parts, laters = [], [], [], []
+                sizes, sigs, sketches, parts, laters = [], [], [], [], []
                 for t in chunk:
                     found = grams(t, n)
                     sizes.append(len(found))
                     sigs.append(_digest(found) if len(found) else None)
+                    sketches.append(sketch(found))
                     if not len(found):
                         parts.append([])
                         laters.append([])
@@ -116,12 +134,14 @@ def _fingerprints(docs: DataFrame, key: str, text: str, n: int, percent: int) ->
                     later[:p] = np.searchsorted(found, np.minimum(part[:p], SPAN - 1 - back) + back)
                     parts.append(part)
                     laters.append(later)
-                columns = [batch.column(0).slice(at, len(chunk)), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.array(parts, pa.list_(pa.int64())), pa.array(laters, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "sig", "part", "later"])
+                columns = [batch.column(0).slice(at, len(chunk)), batch.column(2).slice(at, len(chunk)), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary())]
+                columns += [pa.array(sketches, pa.binary()), pa.array(parts, pa.list_(pa.int64())), pa.array(laters, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "hash", "n", "sig", "sketch", "part", "later"])
                 at += len(chunk)
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"id {kind}, n int, sig binary, part array<bigint>, later array<int>")
+    rows = docs.select(F.col(key), F.col(text), F.xxhash64(text))
+    return rows.mapInArrow(run, f"id {kind}, hash bigint, n int, sig binary, sketch binary, part array<bigint>, later array<int>")
 
 
 def _chunks(column, chars: int = 4_000_000) -> Iterator[list[str | None]]:
@@ -137,14 +157,14 @@ def _chunks(column, chars: int = 4_000_000) -> Iterator[list[str | None]]:
 
 
 def _prefixes(shared: DataFrame, percent: int) -> DataFrame:
-    """``label``, ``n``, ``firsts`` and ``places``: the n-grams of each class's prefix that others have too, in global order."""
+    """``label`` and ``firsts``: the n-grams of each class's prefix that others have too, in global order."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             offsets, values = batch.column(2).offsets.to_numpy(), batch.column(2).values
             ats, laters, grams_of, hots = (values.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-            kept, firsts, places, lengths = [], [], [], []
+            kept, firsts, lengths = [], [], []
             for k in range(len(labels)):
                 part = slice(offsets[k], offsets[k + 1])
                 order = np.argsort(ats[part])
@@ -159,24 +179,32 @@ def _prefixes(shared: DataFrame, percent: int) -> DataFrame:
                     keep = keep[np.argsort(place[keep], kind="stable")]
                     kept.append(k)
                     firsts.append(grams_of[part][order][keep])
-                    places.append(place[keep].astype(np.int32))
                     lengths.append(len(keep))
             ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-            joined = lambda x, kind: pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x) if x else [], kind))  # noqa: E731, B023
-            columns = [pa.array(labels[kept], pa.int64()), pa.array(sizes[kept], pa.int32()), joined(firsts, pa.int64()), joined(places, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["label", "n", "firsts", "places"])
+            joined = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(firsts) if firsts else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(labels[kept], pa.int64()), joined], ["label", "firsts"])
 
     lists = shared.groupBy("label").agg(F.first("n").alias("n"), F.collect_list(F.struct("at", "later", "gram", "frequent")).alias("found"))
-    return lists.mapInArrow(run, "label bigint, n int, firsts array<bigint>, places array<int>")
+    return lists.mapInArrow(run, "label bigint, firsts array<bigint>")
+
 
+def _united(known: np.ndarray, at: int, hits: np.ndarray) -> list[tuple[int, int]]:
+    """Makes ``at`` and all ``hits`` one component in ``known``, and gives a link to one of each component that was another."""
+    _, first = np.unique(known[hits], return_index=True)
+    out = [(at, int(hits[k])) for k in first if known[hits[k]] != known[at]]
+    for _, other in out:
+        known[known == known[other]] = known[at]
+    return out
 
-def trie_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Enough of the links between ``sets`` (ascending arrays) to connect all that are linked; with ``side``, between the sides only.
+
+def trie_links(sets: list[np.ndarray], percent: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Enough of the links between ``sets`` (ascending arrays) to connect all that are linked; sets with equal ``known`` are connected already.
 
     The sets, cut down to the n-grams that two of them have, are sorted; a range of the sorted list with a common
     beginning is a node of the trie, and the beginning its path.
     """
     m = len(sets)
+    known = np.arange(m) if known is None else np.unique(known, return_inverse=True)[1]
     sizes = np.array([len(s) for s in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(m), sizes)
     order = np.argsort(flat, kind="stable")
@@ -192,83 +220,160 @@ def trie_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = N
     ranked = sorted(range(m), key=lambda k: paths[k].astype(">i4").tobytes())
     place = np.empty(m, int)
     place[ranked] = np.arange(m)
-    parent = list(range(m))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    links = []
+    links: list[tuple[int, int]] = []
     deep = np.array([len(paths[k]) for k in ranked])
-    size_at = sizes[ranked]
-    stack = [(0, m, 0, np.zeros(m, np.int64))]
+    at_rank, size_at = np.array(ranked), sizes[ranked]
+    # A node carries the sets that may still be linked with one below it, and their overlaps with its path.
+    stack = [(0, m, 0, np.arange(m), np.zeros(m, np.int64))]
     while stack:
-        lo, hi, depth, overlap = stack.pop()
+        lo, hi, depth, among, overlap = stack.pop()
+        below = known[at_rank[lo:hi]]
+        if (below == below[0]).all():
+            use = known[among] != below[0]
+            among, overlap = among[use], overlap[use]
+        if not len(among):
+            continue
         first, last = paths[ranked[lo]], paths[ranked[hi - 1]]
         most = min(len(first), len(last))
         differ = np.flatnonzero(first[depth:most] != last[depth:most])
         end = depth + int(differ[0]) if len(differ) else most
         if end > depth:
-            overlap = overlap + np.bincount(np.concatenate([posting[g] for g in first[depth:end].tolist()]), minlength=m)
-        small, large, below = size_at[lo:hi].min(), size_at[lo:hi].max(), deep[lo:hi].max() - end
-        reach = overlap + below
+            overlap = overlap + np.bincount(np.concatenate([posting[g] for g in first[depth:end].tolist()]), minlength=m)[among]
+        small, large, left = size_at[lo:hi].min(), size_at[lo:hi].max(), deep[lo:hi].max() - end
+        size = sizes[among]
         # Each pair is looked at from the later of the two; lengths and what remains rule out the rest.
-        alive = (place < hi) & linked(np.minimum(reach, large), sizes, small, percent) & (100 * sizes >= percent * small) & (percent * sizes <= 100 * large)
-        if not alive.any():
+        alive = (place[among] < hi) & linked(np.minimum(overlap + left, large), size, small, percent) & (100 * size >= percent * small) & (percent * size <= 100 * large)
+        among, overlap, size = among[alive], overlap[alive], size[alive]
+        if not len(among):
             continue
         stop = lo
         while stop < hi and deep[stop] == end:
             k = ranked[stop]
-            hit = alive & (place < stop) & linked(overlap, sizes, sizes[k], percent)
-            if side is not None:
-                hit &= side != side[k]
-            for x in np.flatnonzero(hit).tolist():
-                a, b = root(x), root(k)
-                if a != b:
-                    parent[a] = b
-                    links.append((x, k))
+            hit = (place[among] < stop) & (known[among] != known[k]) & linked(overlap, size, sizes[k], percent)
+            if hit.any():
+                links += _united(known, k, among[hit])
             stop += 1
         while stop < hi:
             head, step = paths[ranked[stop]][end], stop + 1
             while step < hi and paths[ranked[step]][end] == head:
                 step += 1
-            stack.append((stop, step, end, overlap))
+            stack.append((stop, step, end, among, overlap))
             stop = step
     return links
 
 
-def _meet(sets: DataFrame, percent: int) -> DataFrame:
-    """Round one: ``a`` and ``b``, labels of linked classes that have the same ``gram``; from ``label``, ``gram`` and ``grams``."""
-    sizes = sets.groupBy("gram").agg(F.count("*").alias("m"), F.sum(F.size("grams")).alias("total")).where("m > 1")
-    blocks = sizes.select("gram", F.ceil(F.col("total") / BLOCK_GRAMS).cast("int").alias("blocks"))
-    dealt = sets.join(blocks, "gram").withColumn("own", F.pmod(F.xxhash64("label"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("gram", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "label", "grams")
+Rows = list[tuple[int, int, int, bytes]]
+
+
+def _trie_cell(rows: Rows, percent: int) -> list[tuple[int, int]]:
+    """Links of labels from rows of label, what is known, size and set."""
+    rows = list({r[0]: r for r in rows}.values())
+    if len({r[1] for r in rows}) < 2:
+        return []
+    found = trie_links([np.frombuffer(r[3], np.int64) for r in rows], percent, np.array([r[1] for r in rows]))
+    return [(rows[x][0], rows[y][0]) for x, y in found]
+
+
+def _folded(sketch: int, bits: int, to: int) -> int:
+    while bits > to:
+        bits //= 2
+        sketch = (sketch >> bits) ^ (sketch & ((1 << bits) - 1))
+    return sketch
+
+
+def _sketch_cell(rows: Rows, percent: int) -> list[tuple[int, int]]:
+    """Pairs of labels, from rows of label, what is known, size and sketch, that connect all whose sketches don't rule a link out."""
+    if len({r[1] for r in rows}) < 2:
+        return []
+    out = []
+    if len(rows) <= 8:
+        known, bits, found = [r[1] for r in rows], [8 * len(r[3]) for r in rows], [int.from_bytes(r[3], "little") for r in rows]
+        for x in range(1, len(rows)):
+            for y in range(x):
+                a, b = rows[x][2], rows[y][2]
+                if known[x] == known[y] or 100 * a < percent * b or 100 * b < percent * a:
+                    continue
+                least = min(bits[x], bits[y])
+                if (_folded(found[x], bits[x], least) ^ _folded(found[y], bits[y], least)).bit_count() <= most_differing(a, b, percent):
+                    known = [known[x] if k == known[y] else k for k in known]
+                    out.append((rows[x][0], rows[y][0]))
+        return out
+    rows = sorted(rows, key=lambda r: r[2])
+    sizes, labels = np.array([r[2] for r in rows]), [r[0] for r in rows]
+    known = np.unique(np.array([r[1] for r in rows]), return_inverse=True)[1]
+    bits = np.array([8 * len(r[3]) for r in rows])
+    for level in np.unique(bits):
+        lo = int(np.searchsorted(bits, level))
+        here = int(np.searchsorted(bits, level, "right"))
+        hi = int(np.searchsorted(sizes, 100 * sizes[here - 1] // percent, "right"))
+        # Sketches of this length and, folded to it, those of larger sets that may be linked with one of these.
+        found = np.concatenate([_fold(np.frombuffer(b"".join(r[3] for r in rows[a:b]), np.uint64).reshape(b - a, -1), int(level) // 64) for a, b in _runs(bits, lo, hi)])
+        for x in range(lo, here):
+            end = int(np.searchsorted(sizes, 100 * sizes[x] // percent, "right"))
+            others = x + 1 + np.flatnonzero(known[x + 1 : end] != known[x])
+            if len(others):
+                apart = np.bitwise_count(found[others - lo] ^ found[x - lo]).sum(axis=1)
+                hits = others[apart <= most_differing(sizes[x], sizes[others], percent)]
+                if len(hits):
+                    out += [(labels[a], labels[b]) for a, b in _united(known, x, hits)]
+    return out
+
+
+def _runs(bits: np.ndarray, lo: int, hi: int) -> list[tuple[int, int]]:
+    """The ranges of equal values between ``lo`` and ``hi`` of an ascending array."""
+    cuts = [lo, *(lo + 1 + np.flatnonzero(np.diff(bits[lo:hi]))).tolist(), hi]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def _fold(sketches: np.ndarray, words: int) -> np.ndarray:
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def _cells(rows: DataFrame, first: bool) -> DataFrame:
+    """Deals ``rows`` (``group``, ``label``, ``known``, ``n``, ``payload``) out to cells ``host``, ``guest`` of their groups.
+
+    Every row is a host in one block of its group. Guests go to all blocks of hosts: the row with the smallest label
+    if ``first``, else those that don't belong to the commonest ``known``. Guests have blocks of their own, so that no
+    cell holds more than two blocks. Groups in which nothing is left to be found are left out.
+    """
+    weight = F.octet_length("payload") + ROW_BYTES
+    count = lambda column, of: F.ceil(F.greatest(column, F.lit(1)) / F.lit(of)).cast("int")
+    if first:
+        stats = rows.groupBy("group").agg(F.count("*").alias("m"), F.sum(weight).alias("total"), F.min("label").alias("of")).where("m > 1")
+        stats, is_guest = stats.select("group", "of", count(F.col("total"), CELL_BYTES).alias("hosts"), F.lit(1).alias("guests")), F.col("label") == F.col("of")
+    else:
+        each = rows.groupBy("group", "known").agg(F.count("*").alias("m"), F.sum(weight).alias("w"))
+        stats = each.groupBy("group").agg(F.count("*").alias("kinds"), F.sum("w").alias("total"), F.max(F.struct("w", "known")).alias("most")).where("kinds > 1")
+        stats = stats.select("group", F.col("most.known").alias("of"), count(F.col("total"), CELL_BYTES).alias("hosts"), count(F.col("total") - F.col("most.w"), CELL_BYTES).alias("guests"))
+        is_guest = F.col("known") != F.col("of")
+    dealt = rows.join(stats, "group")
+    own = lambda blocks: F.pmod(F.xxhash64("label"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.sequence(F.lit(0), F.col(blocks) - 1)
+    as_host = F.transform(every("guests"), lambda g: F.struct(own("hosts").alias("host"), g.alias("guest")))
+    as_guest = F.transform(every("hosts"), lambda h: F.struct(h.alias("host"), own("guests").alias("guest")))
+    cells = F.when(is_guest, F.array_distinct(F.concat(as_host, as_guest))).otherwise(as_host)
+    return dealt.withColumn("cell", F.explode(cells)).select("group", "cell.host", "cell.guest", "label", "known", "n", "payload")
+
+
+def _meet(rows: DataFrame, first: bool, cell: Callable[[Rows, int], list[tuple[int, int]]], percent: int) -> DataFrame:
+    """``a`` and ``b``: what ``cell`` finds in every cell of ``rows``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, {}
-
-        def links() -> list[tuple[int, int]]:
-            if len(held) < 2:
-                return []
-            labels = list(held)
-            side = np.array([held[k][0] for k in labels]) if group[1] != group[2] else None
-            return [(labels[x], labels[y]) for x, y in trie_links([held[k][1] for k in labels], percent, side)]
-
+        group, held = None, []
         for batch in batches:
-            out, columns = [], [batch.column(k).to_pylist() for k in range(5)]
-            offsets, values = batch.column(5).offsets.to_numpy(), batch.column(5).values.to_numpy()
-            for k, (gram, one, two, own, label) in enumerate(zip(*columns, strict=True)):
-                if (gram, one, two) != group:
-                    out += links()
-                    group, held = (gram, one, two), {}
-                held[label] = (own, values[offsets[k] : offsets[k + 1]].copy())
+            out = []
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r[:3] != group:
+                    out += cell(held, percent)
+                    group, held = r[:3], []
+                held.append(r[3:])
             yield _pairs(out)
-        yield _pairs(links())
+        yield _pairs(cell(held, percent))
 
-    dealt = dealt.repartition("gram", "one", "two").sortWithinPartitions("gram", "one", "two")
+    dealt = _cells(rows, first).repartition("group", "host", "guest").sortWithinPartitions("group", "host", "guest")
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
@@ -277,133 +382,98 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _candidates(entries: DataFrame, percent: int) -> DataFrame:
-    """Round two: pairs of labels from different components that first meet at this ``gram`` and may be linked."""
-    stats = entries.groupBy("gram").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    block = 4096
-    dealt = entries.join(stats.select("gram", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "gram")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("label"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("gram", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "label", "n", "root", "place", "rank", "carried")
-
-    def compare(group: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
-        if len(rows) < 2:
-            return []
-        if len(rows) <= 12:
-            out = []
-            for k, (own, label, n, root, place, rank, earlier) in enumerate(rows):
-                mine = set(earlier)
-                for own2, label2, n2, root2, place2, rank2, earlier2 in rows[:k]:
-                    if root == root2 or (rank == 0 and rank2 == 0) or (group[1] != group[2] and own == own2) or 100 * n < percent * n2 or percent * n > 100 * n2:
-                        continue
-                    common = max(0, min(rank, rank2) - CARRIED) + min(n - place, n2 - place2)
-                    if linked(common, n, n2, percent) and mine.isdisjoint(earlier2):
-                        out.append((min(label, label2), max(label, label2)))
-            return out
-        own, label, n, root, place, rank = (np.array(c) for c in list(zip(*rows, strict=True))[:6])
-        earlier = np.full((len(rows), CARRIED), -1, np.int64)
-        for k, r in enumerate(rows):
-            earlier[k, : len(r[6])] = r[6]
-        out = []
-        for k in range(len(rows)):
-            may = (root != root[k]) & (np.arange(len(rows)) > k) & (100 * n >= percent * n[k]) & (percent * n <= 100 * n[k]) & ~((rank == 0) & (rank[k] == 0))
-            if group[1] != group[2]:
-                may &= own != own[k]
-            # Before this place, only n-grams that aren't carried could be common.
-            spare = np.minimum(np.maximum(rank - CARRIED, 0), max(int(rank[k]) - CARRIED, 0))
-            common = spare + 1 + np.minimum(n - place, n[k] - place[k]) - 1
-            may &= linked(common, n, n[k], percent)
-            at = np.flatnonzero(may)
-            if len(at):
-                mine = earlier[k][earlier[k] >= 0]
-                met = np.isin(earlier[at], mine).any(axis=1) if len(mine) else np.zeros(len(at), bool)
-                out += [(int(min(label[k], x)), int(max(label[k], x))) for x in label[at[~met]]]
-        return out
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows = None, []
-        for batch in batches:
-            out = []
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if r[:3] != group:
-                    out += compare(group, rows)
-                    group, rows = r[:3], []
-                rows.append(r[3:])
-            yield _pairs(out)
-        yield _pairs(compare(group, rows))
-
-    dealt = dealt.repartition("gram", "one", "two").sortWithinPartitions("gram", "one", "two")
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Enough links to connect what is linked among the ``pairs``. Each set goes, once, to the family that the pairs chain it to."""
-    families = components(pairs).select(F.col("node").alias("label"), F.col("root").alias("gram"))
-    return _meet(sets.select("label", "grams").join(families, "label"), percent)
+def _connected(first: DataFrame, again: DataFrame, cell: Callable, percent: int, name: str) -> DataFrame:
+    """Components of what ``cell`` finds: in the groups of ``first``, then among all of ``again`` that isn't connected yet."""
+    links = written(_meet(first.withColumn("known", F.col("label")), True, cell, percent), name)
+    roots = components(links)
+    rest = again.join(roots, again["label"] == roots["node"], "left").withColumn("known", F.coalesce("root", "label")).drop("node", "root")
+    more = written(_meet(rest, False, cell, percent), name)
+    out = components(links.unionByName(more))
+    discard(links, roots, more)
+    return out
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
-    """``id``, ``n`` (the set's size), ``component`` (the smallest id of the component) of every row of ``docs``."""
-    prints = written(_fingerprints(docs, key, text, n, percent).withColumn("label", F.monotonically_increasing_id()), "prints")
-    by_sig = prints.where("n > 0").groupBy("sig").agg(F.min("label").alias("label"), F.min("id").alias("first"))
-    by_sig = written(by_sig, "classes")
-    one = prints.select("label", "n", "part", "later").join(by_sig.select("label"), "label", "left_semi")
+def _families(prints: DataFrame, by_sig: DataFrame, percent: int) -> DataFrame:
+    """``node`` and ``root`` of classes that may be linked with another."""
+    one = prints.join(by_sig.select("label"), "label", "left_semi")
     parts = one.select("label", "n", F.posexplode(F.arrays_zip("part", "later")).alias("at", "x")).select("label", "n", "at", F.col("x.part").alias("gram"), F.col("x.later").alias("later"))
     times = parts.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1")
     shared = parts.join(times, "gram").select("label", "n", "at", "later", "gram", (F.col("times") >= FREQUENT).alias("frequent"))
     prefixes = written(_prefixes(shared, percent), "prefixes")
-
-    # Of the prefix n-grams, those that two classes' prefixes have; most classes have none and need no set.
-    entries = prefixes.select("label", "n", F.posexplode(F.arrays_zip("firsts", "places")).alias("rank", "x")).select("label", "n", "rank", F.col("x.firsts").alias("gram"), F.col("x.places").alias("place"))
+    # Of the prefix n-grams, those that two classes' prefixes have; most classes have none.
+    entries = prefixes.select("label", F.posexplode("firsts").alias("rank", "gram"))
     twice = entries.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").drop("m")
-    entries = entries.join(twice, "gram", "left_semi")
-    by_label = entries.groupBy("label").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("rank", "gram", "place"))).alias("found"))
-    by_label = written(by_label, "candidates")
+    found = entries.join(twice, "gram", "left_semi").groupBy("label").agg(F.sort_array(F.collect_list(F.struct("rank", "gram"))).alias("found"))
+    found = found.select("label", F.transform("found", lambda x: x["gram"]).alias("grams")).join(prints.select("label", "n", F.col("sketch").alias("payload")), "label")
+    found = written(found, "candidates")
+    discard(prefixes)
+    out = _connected(found.withColumn("group", F.col("grams")[0]), found.withColumn("group", F.explode("grams")), _sketch_cell, percent, "near")
+    discard(found)
+    return out
+
 
-    wanted = by_sig.join(by_label.select("label", F.col("found")[0]["gram"].alias("gram")), "label").select("sig", "label", "gram", "first")
-    wanted = written(wanted, "wanted")
+def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """``label``, ``group``, ``n`` and the whole set as ``payload`` of the classes in ``wanted`` (``id``, ``hash``, ``label``, ``family``)."""
 
-    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for chunk in _chunks(batch.column(0)):
-                sigs = batch.column(1).slice(at, len(chunk)).to_pylist()
                 found = [grams(t, n) for t in chunk]
-                # Of texts that share a key, only the one that the class is named after.
-                own = [k for k, x in enumerate(found) if _digest(x) == sigs[k]]
-                rows = pa.array([at + k for k in own], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(2).take(rows), batch.column(3).take(rows), pa.array([found[k] for k in own], pa.list_(pa.int64()))], ["label", "gram", "grams"])
+                columns = [batch.column(1).slice(at, len(chunk)), batch.column(2).slice(at, len(chunk)), pa.array([len(x) for x in found], pa.int32()), pa.array([x.tobytes() for x in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["label", "group", "n", "payload"])
                 at += len(chunk)
 
-    texts = docs.select(F.col(key).alias("of_id"), F.col(text).alias("body"))
-    texts = texts.join(wanted, F.col("of_id").eqNullSafe(F.col("first"))).select("body", "sig", "label", "gram")
-    sets = texts.mapInArrow(whole, "label bigint, gram bigint, grams array<bigint>")
-    sets = written(sets, "sets")
-    links = written(_meet(sets, percent), "links")
-    roots = components(links)
-    found = by_label.join(roots, by_label["label"] == roots["node"], "left").withColumn("root", F.coalesce("root", "label"))
-    # What a class carries is cut to the few n-grams before each, so its size stays in proportion to the prefix.
-    entries = found.select("label", "n", "root", F.col("found"), F.posexplode("found").alias("nth", "x")).select(
-        "label", "n", "root", F.col("nth").alias("rank"), F.col("x.gram").alias("gram"), F.col("x.place").alias("place"),
-        F.transform(F.slice("found", F.lit(1), F.least(F.col("nth"), F.lit(CARRIED))), lambda x: x["gram"]).alias("carried"),
-    )
-    pairs = written(_candidates(entries, percent), "pairs")
-    more = _compared(pairs, sets, percent)
-    roots = components(links.unionByName(more))
+    texts = docs.select(F.col(key).alias("of_id"), F.col(text).alias("body"), F.xxhash64(text).alias("of_hash"))
+    texts = texts.join(wanted, F.col("of_id").eqNullSafe(F.col("id")) & (F.col("of_hash") == F.col("hash"))).select("body", "label", "family")
+    return texts.mapInArrow(run, "label bigint, group bigint, n int, payload binary")
+
 
+def _labelled(docs: DataFrame, key: str, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's ``id``, ``hash``, ``n`` and ``sig``; and by ``sig`` its component's ``best`` row: ``missing``, ``id`` and ``hash``, the smallest."""
+    prints = written(_fingerprints(docs, key, text, n, percent).withColumn("label", F.monotonically_increasing_id()), "prints")
+    by_sig = prints.where("n > 0").groupBy("sig").agg(F.min("label").alias("label"), F.min(F.struct(F.isnull("id").alias("missing"), "id", "hash")).alias("best"))
+    by_sig = written(by_sig, "classes")
+    families = _families(prints, by_sig, percent)
+    wanted = prints.select("id", "hash", "label").join(families.select(F.col("node").alias("label"), F.col("root").alias("family")), "label")
+    sets = written(_sets(docs, written(wanted, "wanted"), key, text, n), "sets")
+    slim = written(prints.select("id", "hash", "n", "sig"), "rows")
+    discard(prints, families)
+    roots = _connected(sets, sets, _trie_cell, percent, "links")
+    discard(sets)
     mine = by_sig.join(roots, by_sig["label"] == roots["node"], "left").withColumn("root", F.coalesce("root", "label"))
-    smallest = mine.groupBy("root").agg(F.min("first").alias("component"))
-    named = mine.join(smallest, "root").select(F.col("sig").alias("of"), "component")
-    out = prints.select("id", "n", "sig").join(named, F.col("sig") == F.col("of"), "left")
-    return out.select("id", F.col("n").cast("long").alias("n"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+    best = mine.groupBy("root").agg(F.min("best").alias("best"))
+    named = written(mine.select("sig", "root").join(best, "root").select(F.col("sig").alias("of"), "best"), "named")
+    discard(by_sig, roots)
+    return slim, named
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
+    """``id``, ``n`` (the set's size), ``component`` (the smallest id of the component) of every row of ``docs``."""
+    rows, named = _labelled(docs, key, text, n, percent)
+    size = F.col("n").cast("long").alias("n")
+    linked_rows = rows.where("n > 0").join(named, F.col("sig") == F.col("of")).select("id", size, F.col("best.id").alias("component"))
+    return linked_rows.unionByName(rows.where("n = 0").select("id", size, F.col("id").alias("component")))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
-    """One row of each component: that with the smallest key, null keys last; of rows that share it, any one. Rows are told apart by a number of their own, not by the key."""
-    row = fresh(docs, "gone_row")
-    docs = numbered(docs, row)
-    found = written(classes(docs, row, text, n, percent).select(F.col("id").alias("of"), F.col("component")), "found")
-    keyed = docs.select(F.col(row).alias("row"), F.col(key).alias("key")).join(found, F.col("row") == F.col("of"))
-    first = keyed.groupBy("component").agg(F.min(F.struct(F.col("key").isNull(), F.col("key"), F.col("row"))).alias("first")).select(F.col("first.row").alias("kept"))
-    gone = written(found.join(first, F.col("of") == F.col("kept"), "left_anti").select(F.col("of").alias(row)), "gone")
-    return docs.join(gone, row, "left_anti").drop(row)
+    """One row of each component: that with the smallest key, null keys last; of rows that share it, any one. Rows without words all stay."""
+    rows, named = _labelled(docs, key, text, n, percent)
+    found = rows.where("n > 0").join(named, F.col("sig") == F.col("of"))
+    stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("hash") == F.col("best.hash"))
+    judged = written(found.groupBy("id", "hash").agg(F.count("*").alias("times"), F.first(stays).alias("stays")).where("times > 1 or not stays"), "judged")
+    discard(rows, named)
+    base = fresh(docs, "gone_of")
+    out = [F.col(f"`{c}`") for c in docs.columns]
+    mine = [f"{base}_id", f"{base}_hash"]
+    marked = docs.withColumn(mine[1], F.xxhash64(F.col(f"`{text}`")))
+    same = lambda of: marked[f"`{key}`"].eqNullSafe(of[mine[0]]) & (marked[mine[1]] == of[f"{mine[1]}_"])
+    gone = judged.select(F.col("id").alias(mine[0]), F.col("hash").alias(f"{mine[1]}_"), "times", "stays")
+    kept = marked.join(gone, same(gone), "left_anti").select(*out)
+    # Rows with one key and text that stay: one of each, found by a grouped aggregate.
+    often = gone.where("stays")
+    if often.isEmpty():
+        return kept
+    again = marked.join(often, same(often), "left_semi")
+    again = again.groupBy(F.col(f"`{key}`").alias(mine[0]), F.col(mine[1])).agg(F.first(F.struct(*out)).alias("row"))
+    return kept.unionByName(again.select("row.*"))
