@@ -156,14 +156,15 @@ def _chunks(column, chars: int = 4_000_000) -> Iterator[list[str | None]]:
         yield chunk
 
 
-def _prefixes(shared: DataFrame, percent: int) -> DataFrame:
-    """``label`` and ``firsts``: the n-grams of each class's prefix that others have too, in global order."""
+def _prefixes(shared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """``label`` and ``firsts``: the n-grams of each class's prefix that others have too, in global order; ``spot`` is a place and, above 32 bits, the later one plus 1."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             offsets, values = batch.column(2).offsets.to_numpy(), batch.column(2).values
-            ats, laters, grams_of, hots = (values.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            spots, grams_of, hots = (values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            ats, laters = spots & 0xFFFFFFFF, (spots >> 32) - 1
             kept, firsts, lengths = [], [], []
             for k in range(len(labels)):
                 part = slice(offsets[k], offsets[k + 1])
@@ -184,7 +185,8 @@ def _prefixes(shared: DataFrame, percent: int) -> DataFrame:
             joined = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(firsts) if firsts else [], pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(labels[kept], pa.int64()), joined], ["label", "firsts"])
 
-    lists = shared.groupBy("label").agg(F.first("n").alias("n"), F.collect_list(F.struct("at", "later", "gram", "frequent")).alias("found"))
+    lists = shared.groupBy("label").agg(F.collect_list(F.struct("spot", "gram", "frequent")).alias("found"))
+    lists = lists.join(sizes.select("label", "n"), "label").select("label", "n", "found")
     return lists.mapInArrow(run, "label bigint, firsts array<bigint>")
 
 
@@ -395,16 +397,20 @@ def _connected(first: DataFrame, again: DataFrame, cell: Callable, percent: int,
 
 def _families(prints: DataFrame, by_sig: DataFrame, percent: int) -> DataFrame:
     """``node`` and ``root`` of classes that may be linked with another."""
-    one = prints.join(by_sig.select("label"), "label", "left_semi")
-    parts = one.select("label", "n", F.posexplode(F.arrays_zip("part", "later")).alias("at", "x")).select("label", "n", "at", F.col("x.part").alias("gram"), F.col("x.later").alias("later"))
+    sizes = prints.select("label", "n", F.col("sketch").alias("payload"))
+    one = written(prints.select("label", "part", "later").join(by_sig.select("label"), "label", "left_semi"), "one")
+    # Both places in one number, as these are the most rows that are ever shuffled.
+    spot = F.shiftleft((F.col("x.later") + 1).cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("spot")
+    parts = one.select("label", F.posexplode(F.arrays_zip("part", "later")).alias("at", "x")).select("label", F.col("x.part").alias("gram"), spot)
     times = parts.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1")
-    shared = parts.join(times, "gram").select("label", "n", "at", "later", "gram", (F.col("times") >= FREQUENT).alias("frequent"))
-    prefixes = written(_prefixes(shared, percent), "prefixes")
+    shared = parts.join(times, "gram").select("label", "spot", "gram", (F.col("times") >= FREQUENT).alias("frequent"))
+    prefixes = written(_prefixes(shared, sizes, percent), "prefixes")
+    discard(one)
     # Of the prefix n-grams, those that two classes' prefixes have; most classes have none.
     entries = prefixes.select("label", F.posexplode("firsts").alias("rank", "gram"))
     twice = entries.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").drop("m")
     found = entries.join(twice, "gram", "left_semi").groupBy("label").agg(F.sort_array(F.collect_list(F.struct("rank", "gram"))).alias("found"))
-    found = found.select("label", F.transform("found", lambda x: x["gram"]).alias("grams")).join(prints.select("label", "n", F.col("sketch").alias("payload")), "label")
+    found = found.select("label", F.transform("found", lambda x: x["gram"]).alias("grams")).join(sizes, "label")
     found = written(found, "candidates")
     discard(prefixes)
     out = _connected(found.withColumn("group", F.col("grams")[0]), found.withColumn("group", F.explode("grams")), _sketch_cell, percent, "near")
