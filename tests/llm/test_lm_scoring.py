@@ -14,16 +14,20 @@ def words(text):
 
 def brute(rows):
     split = [(i, words(t)) for i, t in rows]
-    uni, pairs = Counter(w for _, s in split for w in s), Counter(p for _, s in split for p in zip(s, s[1:], strict=False))
-    n, out = sum(uni.values()), []
+    grams = lambda s: Counter(tuple(s[k : k + n]) for n in (1, 2, 3) for k in range(len(s) - n + 1))
+    everywhere, total, out = Counter(), sum(len(s) for _, s in split), []
+    for _, s in split:
+        everywhere.update(grams(s))
     for i, s in split:
-        value, back = 0.0, 0
-        for k, w in enumerate(s):
-            if k and pairs[s[k - 1], w] >= 2:
-                value += math.log(pairs[s[k - 1], w] / uni[s[k - 1]])
-            else:
-                back += k > 0
-                value += math.log((0.4 if k else 1) * uni[w] / n)
+        own, value, back = grams(s), 0.0, 0
+        count = lambda g, own=own: everywhere[g] - own[g]
+        for k in range(len(s)):
+            longest = min(k + 1, 3)
+            n = next((n for n in range(longest, 1, -1) if count(tuple(s[k + 1 - n : k + 1])) > 0), 1)
+            gram = tuple(s[k + 1 - n : k + 1])
+            share = count(gram) / count(gram[:-1]) if n > 1 else max(count(gram), 1) / max(total - len(s), 1)
+            value += math.log(0.4 ** (longest - n) * share)
+            back += n < longest
         out.append((i, len(s), back, round(value / len(s), 5) if s else None))
     return sorted(out, key=repr)
 
@@ -31,6 +35,7 @@ def brute(rows):
 @pytest.mark.parametrize("chars", [200, 8_000_000])
 def test_against_brute_force(spark, monkeypatch, chars):
     monkeypatch.setattr(m, "BATCH_CHARS", chars)
+    monkeypatch.setattr(m, "BUCKET_GRAMS", chars)
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice(["the", "of", "The", "é", "w%d" % rng.randrange(50)]) for _ in range(rng.randint(0, 60)))) for i in range(200)]
     rows += [(500, None), (None, "the of the"), (501, " \t\n"), (501, "the of"), (502, "one"), (503, "the of " * 20000)]

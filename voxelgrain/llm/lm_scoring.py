@@ -1,18 +1,24 @@
-"""Stupid-backoff scores of every text, from the bigram and unigram counts of all texts.
-
-A word (a run without white space, A-Z in lower case) after another word scores ``c(pair) / c(first word)`` if the
-pair occurs ``LEAST`` times or more in all texts, and ``BACKOFF * c(word) / N`` otherwise; a text's first word
-scores ``c(word) / N``. A text's score is the mean logarithm.
-
-The relations are packed, so that 130 million exploded n-grams needn't be 130 million rows. A batch of texts is a
-row set of its own: its words as local numbers, text by text, and its distinct n-grams with their counts. The count
-tables are partitioned by the hash of the n-gram: a batch's n-grams go to the buckets of these tables, with counts
-combined beforehand, are summed there, and every batch gets the totals of its own n-grams back, in its own order.
-Then the batch joins them to its exploded n-grams and sums by text. A frequent n-gram is one entry for each batch,
-never one for each text, so no bucket is hot; buckets grow in number with the input. Nothing is sampled or cut off.
-
-Null, empty and blank texts have no words and a null score. Repeated rows count as often as they occur. n-grams are
-told apart by 64-bit hashes. Other columns aren't read.
+"""Stupid-backoff scores of every text, from the n-gram counts of all other texts.
+
+The order is ``ORDER`` (three). A word scores ``c(n-gram) / c(context)`` by the longest n-gram that ends with it and
+that other texts have, times ``BACKOFF`` for each order that had to be left out; a word alone scores ``c(word) / N``,
+and one that no other text has counts as if it occurred once. A text's first words have shorter n-grams to begin
+with, for which nothing is taken off. A text's own n-grams are taken off all counts, and its words off N: else every
+n-gram would be found, as the text itself holds it. Counts of one are counts. A text's score is the mean logarithm.
+
+The relations are packed, so that hundreds of millions of exploded n-grams needn't be as many rows. A batch of texts
+is a row: its words as local numbers, text by text. For each order, the batch's distinct n-grams with their counts
+go to the count table, which is partitioned by the n-grams' hash: counts are combined beforehand, summed in the
+table's buckets, and every batch gets the totals of its own n-grams back, in its own order. Then the batch joins them
+to its exploded n-grams and sums by text. A frequent n-gram is one entry for each batch, never one for each text, so
+no bucket is hot; buckets grow in number with the words. Orders follow one another, and what an order shuffled is
+deleted before the next. Between batches and buckets there are as many rows as a shuffle between so many tasks has
+blocks; at very large sizes, larger batches keep them long. Nothing is sampled or cut off.
+
+Null, empty and blank texts have no words and a null score. Very long texts are batches of their own. Repeated rows
+count as often as they occur, each as a text of its own, ids being carried along only: null and equal ones are
+nothing special. An empty table gives an empty result. n-grams are told apart by 64-bit hashes. Other columns aren't
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,21 +32,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelgrain.llm.common import SPACE_RUN, written
+from voxelgrain.llm.common import SPACE_RUN, discard, written
 
-BACKOFF, LEAST = 0.4, 2
-#: Characters of text in a batch, and words a worker remembers.
-BATCH_CHARS, REMEMBERED = 8_000_000, 200_000
-ROW = "route long, kind int, batch long, bucket int, a binary, b binary, c binary"
-_FIELDS = pa.schema([("route", pa.int64()), ("kind", pa.int32()), ("batch", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-TEXTS, WORDS, PAIRS = 0, 1, 2
+ORDER, BACKOFF = 3, 0.4
+#: Characters of text in a batch, words a worker remembers, and n-grams of a bucket.
+BATCH_CHARS, REMEMBERED, BUCKET_GRAMS = 8_000_000, 200_000, 4_000_000
+_TEXTS = pa.schema([("batch", pa.int64()), ("words", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("vocabulary", pa.binary()), ("local", pa.binary())])
+_COUNTS = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
+_BACK = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("totals", pa.binary())])
 
 
-def _rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+def _ddl(schema: pa.Schema) -> str:
+    names = {pa.int64(): "bigint", pa.int32(): "int", pa.binary(): "binary"}
+    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """A few rows at a time, as each holds up to some hundred KB."""
     for at in range(0, len(rows), 64):
         columns = zip(*rows[at : at + 64], strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FIELDS, strict=True)], schema=_FIELDS)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 class _Hashes(dict):
@@ -79,53 +90,18 @@ def _from_steps(data: bytes) -> np.ndarray:
     return np.cumsum(_from_planes(data, np.uint64), dtype=np.uint64)
 
 
-def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    x = first * np.uint64(0x9E3779B97F4A7C15) + second
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def _starts(sizes: np.ndarray, n: int) -> np.ndarray:
-    """Whether a place is a text's first word."""
-    out = np.zeros(n, bool)
-    out[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
-    return out
+def _packed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """One row for each batch of texts."""
 
-
-def _distinct_pairs(vocabulary: np.ndarray, local: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted pair hashes, the index of each place's pair, for places that have a predecessor, and the number of each."""
-    later = np.flatnonzero(~_starts(sizes, len(local)))
-    return np.unique(_pair_hash(vocabulary[local[later - 1]], vocabulary[local[later]]), return_counts=True, return_inverse=True) if len(later) else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-
-
-def _dealt(keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """The ascending keys by bucket, a bucket being an equal part of the hashes: the order in which totals come back."""
-    cuts = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1))
-    for b in range(buckets):
-        if cuts[b] < cuts[b + 1]:
-            yield b, keys[cuts[b] : cuts[b + 1]], counts[cuts[b] : cuts[b + 1]]
-
-
-def _pack(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
-    def emit(batch: int, ids: list, texts: list[str | None]) -> Iterator[pa.RecordBatch]:
+    def row(batch: int, ids: pa.Array, texts: list[str | None]) -> tuple:
         split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
         sizes = np.array([len(s) for s in split], np.uint32)
         flat = np.concatenate([_hashes(s) for s in split]) if len(split) else np.zeros(0, np.uint64)
-        vocabulary, local, times = np.unique(flat, return_inverse=True, return_counts=True)
-        pairs, _, often = _distinct_pairs(vocabulary, local, sizes)
+        vocabulary, local = np.unique(flat, return_inverse=True)
         named = pa.ipc.new_stream(sink := pa.BufferOutputStream(), pa.schema([("id", ids.type)]))
         named.write_batch(pa.RecordBatch.from_arrays([ids], ["id"]))
         named.close()
-        out = [(batch, TEXTS, batch, 0, sink.getvalue().to_pybytes(), sizes.tobytes(), _steps(vocabulary) + _planes(local.astype(np.uint32)))]
-        for which, keys, counts in ((WORDS, vocabulary, times), (PAIRS, pairs, often)):
-            for b, k, c in _dealt(keys, counts, buckets):
-                out.append(((b << 2) | which, which, batch, b, _steps(k), _planes(c.astype(np.uint32)), None))
-        yield from _rows(out)
+        return batch, len(flat), sink.getvalue().to_pybytes(), sizes.tobytes(), _steps(vocabulary), _planes(local.astype(np.uint32))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -136,73 +112,108 @@ def _pack(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
                 while end < len(texts) and (end == at or chars + len(texts[end] or "") <= BATCH_CHARS):
                     chars += len(texts[end] or "")
                     end += 1
-                yield from emit(number, arrived.column(0).slice(at, end - at), texts[at:end])
+                yield from _rows([row(number, arrived.column(0).slice(at, end - at), texts[at:end])], _TEXTS)
                 number, at = number + 1, end
 
-    return docs.select(key, text).mapInArrow(run, ROW)
+    return docs.select(key, text).mapInArrow(run, _ddl(_TEXTS))
+
 
+class _Batch:
+    """A batch's words by place, and the n-grams that end there."""
 
-def _totals(packed: DataFrame, buckets: int) -> DataFrame:
-    """Sums every bucket of the count tables and sends each batch the totals of its own keys; texts pass through."""
+    def __init__(self, sizes: bytes, vocabulary: bytes, local: bytes):
+        self.sizes = np.frombuffer(sizes, np.uint32).astype(np.int64)
+        words, at = _from_steps(vocabulary), _from_planes(local, np.uint32).astype(np.int64)
+        self.word = words[at]
+        self.text = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        # How many words of its text stand before a place.
+        self.before = np.arange(len(at)) - (np.cumsum(self.sizes) - self.sizes)[self.text]
+
+    def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """By order from one: the places that have so many words, and the n-grams' hashes."""
+        places, hashes = np.arange(len(self.word)), self.word
+        for order in range(1, ORDER + 1):
+            yield places, hashes
+            # An n-gram is the one that ends a place before it, and its last word.
+            ends = np.flatnonzero(self.before >= order)
+            shorter = np.zeros(len(self.word), np.uint64)
+            shorter[places] = hashes
+            places, hashes = ends, _joined(shorter[ends - 1], self.word[ends])
+
+
+def _joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    x = first * np.uint64(0x9E3779B97F4A7C15) + second
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """An equal part of the hashes each, so that a batch's ascending keys come back in their order."""
+    return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def _totals(texts: DataFrame, order: int, buckets: int) -> DataFrame:
+    """For every batch, the totals of its distinct n-grams of this order, by bucket."""
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for arrived in batches:
+            for batch, sizes, vocabulary, local in zip(*(c.to_pylist() for c in arrived.columns), strict=True):
+                hashes = [h for _, h in _Batch(sizes, vocabulary, local).grams()][order - 1]
+                grams, counts = np.unique(hashes, return_counts=True)
+                cuts = np.searchsorted(_bucket(grams, buckets), np.arange(buckets + 1))
+                yield from _rows([(b, batch, _steps(grams[x:y]), _planes(counts[x:y].astype(np.uint32))) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if x < y], _COUNTS)
 
     def summed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        keys = [_from_steps(r[4]) for r in held]
-        _, place = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.bincount(place, np.concatenate([_from_planes(r[5], np.uint32) for r in held])).astype(np.uint64)[place]
-        ends = np.cumsum([len(k) for k in keys])
-        wide = totals.max() >= 1 << 32
-        totals = totals if wide else totals.astype(np.uint32)
-        yield from _rows([(r[2], r[1], r[2], r[3], _planes(totals[e - len(k) : e]), b"8" if wide else b"4", None) for r, k, e in zip(held, keys, ends.tolist(), strict=True)])
+        grams = [_from_steps(r[2]) for r in held]
+        _, place = np.unique(np.concatenate(grams), return_inverse=True)
+        totals = np.bincount(place, np.concatenate([_from_planes(r[3], np.uint32) for r in held])).astype(np.uint64)[place]
+        ends = np.cumsum([len(g) for g in grams])
+        yield from _rows([(r[1], r[0], _planes(totals[e - len(g) : e])) for r, g, e in zip(held, grams, ends.tolist(), strict=True)], _BACK)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, route = [], None
+        held = []
         for arrived in batches:
-            for row in zip(*(c.to_pylist() for c in arrived.columns), strict=True):
-                if row[1] == TEXTS:
-                    yield from _rows([row])
-                    continue
-                if row[0] != route:
+            for r in zip(*(c.to_pylist() for c in arrived.columns), strict=True):
+                if held and r[0] != held[0][0]:
                     yield from summed(held)
-                    held, route = [], row[0]
-                held.append(row)
-        yield from summed(held)
+                    held = []
+                held.append(r)
+        if held:
+            yield from summed(held)
 
-    dealt = packed.repartition(buckets, F.col("kind") == TEXTS, F.col("route")).sortWithinPartitions("kind", "route", "batch")
-    return dealt.mapInArrow(run, ROW)
+    counts = texts.select("batch", "sizes", "vocabulary", "local").mapInArrow(deal, _ddl(_COUNTS))
+    return counts.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, _ddl(_BACK))
 
 
-def _scored(totals: DataFrame, key: str, kind: str, buckets: int) -> DataFrame:
-    """``key``, ``n_words``, ``n_backoff``, ``n_unigram`` and ``part``: the sum of logarithms but for ``log N`` of each unigram."""
+def _scored(texts: DataFrame, totals: list[DataFrame], key: str, kind: str) -> DataFrame:
+    """``key``, ``n_words``, ``n_backoff``, ``n_unigram`` and ``part``: the sum of logarithms but for ``log N`` of each word that is scored alone."""
 
     def score(held: list[tuple]) -> pa.RecordBatch:
-        (row,) = [r for r in held if r[1] == TEXTS]
-        ids = pa.ipc.open_stream(row[4]).read_all().column(0).combine_chunks()
-        sizes = np.frombuffer(row[5], np.uint32).astype(np.int64)
-        n = int(sizes.sum())
-        split = len(row[6]) - 4 * n
-        vocabulary, local = _from_steps(row[6][:split]), _from_planes(row[6][split:], np.uint32).astype(np.int64)
-        pairs, index, _ = _distinct_pairs(vocabulary, local, sizes)
-
-        def back(which: int, keys: np.ndarray) -> np.ndarray:
-            """Totals in the order of ``keys``."""
-            got = {r[3]: _from_planes(r[4], np.uint64 if r[5] == b"8" else np.uint32) for r in held if r[1] == which}
-            return np.concatenate([got[b] for b in sorted(got)]).astype(float) if len(keys) else np.zeros(0)
-
-        word, pair = np.log(np.maximum(back(WORDS, vocabulary), 1)), back(PAIRS, pairs)
-        text = np.repeat(np.arange(len(sizes)), sizes)
-        first = _starts(sizes, n)
-        later = np.flatnonzero(~first)
-        value, unigram = word[local], np.ones(n, bool)
-        known = pair[index] >= LEAST if len(later) else np.zeros(0, bool)
-        value[later] += np.log(BACKOFF)
-        hit = later[known]
-        value[hit] = np.log(pair[index[known]]) - word[local[hit - 1]] if len(hit) else value[hit]
-        unigram[hit] = False
-        by_text = lambda w: np.bincount(text, w, len(sizes)) if n else np.zeros(len(sizes))
-        part, alone = by_text(value), by_text(unigram)
-        columns = [ids, pa.array(sizes), pa.array((alone - (sizes > 0)).astype(np.int64)), pa.array(alone.astype(np.int64)), pa.array(part)]
+        (row,) = [r for r in held if r[1] == 0]
+        ids = pa.ipc.open_stream(row[3]).read_all().column(0).combine_chunks()
+        batch = _Batch(*row[4:7])
+        n, used, value = len(batch.word), np.zeros(len(batch.word), np.int64), np.zeros(len(batch.word))
+        shorter = np.zeros(n)
+        for order, (places, hashes) in enumerate(batch.grams(), 1):
+            _, index = np.unique(hashes, return_inverse=True)
+            got = {r[2]: _from_planes(r[3], np.uint64) for r in held if r[1] == order}
+            total = np.concatenate([got[b] for b in sorted(got)]) if got else np.zeros(0, np.uint64)
+            # What other texts have of it: all, but for the text's own.
+            own = batch.text[places] * (len(total) + 1) + index
+            _, of, times = np.unique(own, return_inverse=True, return_counts=True)
+            others = np.zeros(n)
+            others[places] = total[index].astype(float) - times[of] if n else 0
+            if order == 1:
+                used[:], value = 1, np.log(np.maximum(others, 1))
+            else:
+                found = np.flatnonzero(others > 0)
+                used[found], value[found] = order, np.log(others[found]) - np.log(shorter[found - 1])
+            shorter = others
+        left_out = np.minimum(batch.before + 1, ORDER) - used
+        value += left_out * np.log(BACKOFF)
+        by_text = lambda w: np.bincount(batch.text, w, len(batch.sizes)) if n else np.zeros(len(batch.sizes))
+        columns = [ids, pa.array(batch.sizes), pa.array(by_text(left_out > 0).astype(np.int64)), pa.array(by_text(used == 1).astype(np.int64)), pa.array(by_text(value))]
         return pa.RecordBatch.from_arrays(columns, [key, "n_words", "n_backoff", "n_unigram", "part"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,32 +227,38 @@ def _scored(totals: DataFrame, key: str, kind: str, buckets: int) -> DataFrame:
         if held:
             yield score(held)
 
-    dealt = totals.repartition(buckets, F.col("route")).sortWithinPartitions("route")
-    return dealt.mapInArrow(run, f"`{key}` {kind}, n_words bigint, n_backoff bigint, n_unigram bigint, part double")
+    none = lambda name: F.lit(None).cast("binary").alias(name)
+    rows = texts.select("batch", F.lit(0).alias("order"), F.lit(0).alias("bucket"), F.col("ids").alias("data"), "sizes", "vocabulary", "local")
+    for order, back in enumerate(totals, 1):
+        rows = rows.unionByName(back.select("batch", F.lit(order).alias("order"), "bucket", F.col("totals").alias("data"), none("sizes"), none("vocabulary"), none("local")))
+    return rows.repartition("batch").sortWithinPartitions("batch").mapInArrow(run, f"`{key}` {kind}, n_words bigint, n_backoff bigint, n_unigram bigint, part double")
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``n_words``, ``n_backoff`` (words that back off to their own count) and ``score`` of every row."""
+    """``key``, ``n_words``, ``n_backoff`` (words whose longest n-gram no other text has) and ``score`` of every row."""
     spark = docs.sparkSession
-    # As many buckets as input partitions, so that a bucket's share of the input stays the same.
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    kind = docs.schema[key].dataType.simpleString()
-    parts = written(_scored(_totals(_pack(docs, key, text, buckets), buckets), key, kind, buckets), "lm")
-    total = parts.agg(F.sum("n_words")).first()[0] or 1
-    log = (F.col("part") - F.col("n_unigram") * F.log(F.lit(float(total)))) / F.col("n_words")
-    return parts.select(key, "n_words", "n_backoff", F.when(F.col("n_words") > 0, F.round(log, 6)).alias("score"))
+    texts = written(_packed(docs, key, text), "lm-texts")
+    total = texts.agg(F.sum("words")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_GRAMS))
+    totals = [written(_totals(texts, order, buckets), f"lm-totals-{order}") for order in range(1, ORDER + 1)]
+    parts = written(_scored(texts, totals, key, docs.schema[key].dataType.simpleString()), "lm")
+    discard(texts, *totals)
+    others = F.greatest(F.lit(total) - F.col("n_words"), F.lit(1)).cast("double")
+    mean = (F.col("part") - F.col("n_unigram") * F.log(others)) / F.col("n_words")
+    return parts.select(key, "n_words", "n_backoff", F.when(F.col("n_words") > 0, F.round(mean, 6)).alias("score"))
 
 
 def sql() -> str:
     """DuckDB SQL for ``score`` of ``documents``."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    others = lambda gram: f"count(*) OVER (PARTITION BY {gram}) - count(*) OVER (PARTITION BY rid, {gram})"
     return f"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '{SPACE_RUN}'), lambda x: x <> '') AS w FROM documents),
-e AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM t),
-p AS (SELECT rid, i, word, lag(word) OVER (PARTITION BY rid ORDER BY i) AS prev FROM e),
-u AS (SELECT word, count(*) AS c FROM e GROUP BY word),
-b AS (SELECT prev, word, count(*) AS c FROM p WHERE prev IS NOT NULL GROUP BY ALL HAVING count(*) >= {LEAST}),
-n AS (SELECT count(*) AS n FROM e),
-s AS (SELECT p.rid, p.i, b.c IS NULL AND p.i > 1 AS back, CASE WHEN b.c IS NOT NULL THEN ln(b.c) - ln(q.c) WHEN p.i > 1 THEN ln({BACKOFF}) + ln(u.c) - ln(n.n) ELSE ln(u.c) - ln(n.n) END AS v
-  FROM p JOIN u ON p.word = u.word LEFT JOIN u q ON p.prev = q.word LEFT JOIN b ON b.prev = p.prev AND b.word = p.word, n),
-g AS (SELECT rid, count(*) FILTER (back) AS n_backoff, avg(v) AS score FROM s GROUP BY rid)
+e AS (SELECT rid, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM t),
+p AS (SELECT *, lag(word) OVER o AS w1, lag(word, 2) OVER o AS w2 FROM e WINDOW o AS (PARTITION BY rid ORDER BY i)),
+c AS (SELECT rid, n, i, {others("word")} AS c1, CASE WHEN i > 1 THEN {others("w1, word")} END AS c2, CASE WHEN i > 2 THEN {others("w2, w1, word")} END AS c3 FROM p),
+d AS (SELECT *, lag(c1) OVER o AS d1, lag(c2) OVER o AS d2 FROM c WINDOW o AS (PARTITION BY rid ORDER BY i)),
+total AS (SELECT count(*) AS n FROM e),
+s AS (SELECT rid, CASE WHEN c3 > 0 THEN 0 WHEN c2 > 0 THEN least(i, 3) - 2 ELSE least(i, 3) - 1 END AS back,
+  CASE WHEN c3 > 0 THEN ln(c3) - ln(d2) WHEN c2 > 0 THEN ln(c2) - ln(d1) ELSE ln(greatest(c1, 1)) - ln(greatest(total.n - d.n, 1)) END AS v FROM d, total),
+g AS (SELECT rid, count(*) FILTER (back > 0) AS n_backoff, avg(v + back * ln({BACKOFF})) AS score FROM s GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_backoff, 0)::BIGINT AS n_backoff, round(score, 6) AS score FROM t LEFT JOIN g ON t.rid = g.rid"""
