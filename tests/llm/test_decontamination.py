@@ -84,7 +84,7 @@ def test_without_broadcast_and_empty(spark, monkeypatch):
     rows = list(enumerate(documents()))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    monkeypatch.setattr(d, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(d, "BROADCAST_BYTES", 0)
     assert {(r.doc, r.item) for r in d.leaks(docs, items).collect()} == brute(rows, ITEMS)
     assert d.leaks(docs.limit(0), items).count() == 0
     assert d.drop_leaks(docs, items.limit(0)).count() == len(rows)

@@ -16,7 +16,8 @@ template as well, in which letter case tells nothing and so no token is a name,
 itself. A window without a differing slot counts even in an occurrence whose slots contradict each other. An item
 leaks if a fifth of its windows are covered, or ``LEAST_RUN`` of them (13 tokens in a row) if that is less.
 
-Null and empty texts, and items of fewer than eight tokens, match nothing. Rows that share a key (null included)
+Null and empty texts, and items of fewer than eight tokens, match nothing; an empty table gives an empty result, and
+very long texts are taken whole. Ties don't arise, as each document and item is judged by itself. Rows that share a key (null included)
 are one document; an item that is repeated counts once for each id. Other columns are carried along by
 ``drop_leaks``, whatever their names.
 """
@@ -37,8 +38,9 @@ UNITS = (
     "mm cm m km in inch inches ft foot feet yd yards mile miles mg g kg lb lbs oz ton tons ml cl l liter liters litre litres s sec second seconds min minute minutes "
     "h hour hours day days week weeks month months year years percent euro euros dollar dollars cent cents pound pounds mph kmh km2 m2 m3 hz khz mhz ghz w kw kwh v a c f"
 ).split()
-#: Benchmark windows up to this number may be broadcast (24 bytes each); more are joined by shuffling.
-BROADCAST_WINDOWS = 1_000_000
+#: Benchmark windows are broadcast up to so many bytes, of hashes, places and ids alone. Beyond that both sides are
+#: shuffled, and each window is spread over ``SALTS`` keys, so that a common one is no hot key.
+BROADCAST_BYTES, SALTS = 24_000_000, 32
 
 
 def _tokens(text: Column) -> Column:
@@ -91,8 +93,13 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text", fol
     return df.join(totals.withColumnRenamed("item", "of"), F.col("item").eqNullSafe(F.col("of"))).drop("of").dropDuplicates(["item", "j", "window"])
 
 
-def _joined(windows: DataFrame, of: DataFrame, small: bool) -> DataFrame:
-    return windows.join(F.broadcast(of) if small else of, "window")
+def _joined(windows: DataFrame, of: DataFrame) -> DataFrame:
+    """``windows`` with what ``of`` has of the same window."""
+    size = of.agg(F.sum(F.lit(24) + F.octet_length(F.col("item").cast("string")))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return windows.join(F.broadcast(of), "window")
+    spread = of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return windows.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(spread, ["window", "salt"]).drop("salt")
 
 
 def _enough(n: str, passages: bool) -> Column:
@@ -108,11 +115,10 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     if passages:
         bench = bench.unionByName(item_windows(items, item_key, folded=True))
     bench = written(bench, "bench")
-    small = bench.count() <= BROADCAST_WINDOWS
     prints = _with_templates(docs.select(F.col(key).alias("doc"), _tokens(F.col(text)).alias("raw")), passages)
     # Only hashes and places leave the row; repeated hits of an item's window in one document count once.
     seen = prints.select("doc", F.explode(_all_windows(passages)).alias("window"))
-    hits = _joined(seen, bench.select("window", "item", "folded", "j", "total"), small)
+    hits = _joined(seen, bench.select("window", "item", "folded", "j", "total"))
     likely = hits.groupBy("doc", "item", "folded", "total").agg(F.countDistinct("j").alias("n")).where(_enough("n", passages))
     likely = written(likely.select(F.col("doc").alias("of_doc"), F.col("item").alias("of_item")).distinct(), "likely")
     # Only texts with a likely leak are looked at again, in full.
@@ -121,8 +127,11 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     again = again.select("doc", F.col("raw"), F.posexplode(_all_windows(passages)).alias("i", "window"))
     again = again.withColumn("i", F.col("i") % (F.size("raw") - (WINDOW - 1)))
     again = again.select("doc", "i", "window", F.transform(F.slice("raw", F.col("i") + 1, F.lit(WINDOW)), lambda t: F.lower(t)).alias("values"))
-    met = _joined(again, bench, small)
+    met = _joined(again, bench.select("window", "item", "folded", "j", "total"))
     met = met.join(likely, F.col("doc").eqNullSafe(F.col("of_doc")) & F.col("item").eqNullSafe(F.col("of_item")), "left_semi")
+    # Slots are fetched for what is left, by a join of the size that Spark finds.
+    slots = bench.select(F.col("item").alias("of"), F.col("folded").alias("of_folded"), F.col("j").alias("of_j"), "slots")
+    met = met.join(slots, F.col("item").eqNullSafe(F.col("of")) & (F.col("folded") == F.col("of_folded")) & (F.col("j") == F.col("of_j"))).drop("of", "of_folded", "of_j")
     pairs = F.filter(F.zip_with("slots", "values", lambda s, v: F.struct(s["kind"].alias("kind"), s["value"].alias("item"), v.alias("doc"))), lambda p: p["kind"].isNotNull())
     met = met.select("doc", "item", "folded", "total", (F.col("i") - F.col("j")).alias("at"), "j", pairs.alias("pairs"))
     same = F.forall("pairs", lambda p: p["item"] == p["doc"])
