@@ -88,11 +88,6 @@ def discard(*tables: DataFrame) -> None:
         remove(t.sparkSession, [t.scratch_path])
 
 
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written once, with the column ``name``: a number of its own for each row, whatever its keys are."""
-    return written(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
-
-
 def fresh(df: DataFrame, base: str) -> str:
     """A name that no column of ``df`` begins with, for columns that come and go inside an operator."""
     names = [c.lower() for c in df.columns]
