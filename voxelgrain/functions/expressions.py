@@ -56,12 +56,14 @@ def hex_colour_of(text: object) -> str:
 
 
 def normalised(value: Column, low: Column, high: Column) -> Column:
-    """Position of ``value`` in its range, from 0 to 1; 1 if the range is empty."""
-    return F.when(high > low, (value - low) / (high - low)).otherwise(F.when(value.isNotNull(), F.lit(1.0)))
+    """Position of ``value`` in its range, from 0 to 1; an empty range counts as one of width 1."""
+    return (value - low) / F.when(high > low, high - low).otherwise(F.lit(1.0))
 
 
-#: Five evenly spaced stops of the viridis colour map, as red, green and blue from 0 to 1.
-VIRIDIS = ((0.267, 0.005, 0.329), (0.229, 0.322, 0.546), (0.128, 0.567, 0.551), (0.369, 0.789, 0.383), (0.993, 0.906, 0.144))
+#: Nine evenly spaced stops of the viridis colour map.
+VIRIDIS = ("#440154", "#472d7b", "#3b528b", "#2c728e", "#21918c", "#28ae80", "#5ec962", "#addc30", "#fde725")
+#: What has no finite value is drawn in this share of white.
+GREY = 0.6
 
 
 def viridis(t: Column) -> Column:
@@ -69,11 +71,22 @@ def viridis(t: Column) -> Column:
     n = len(VIRIDIS) - 1
     at = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0)) * n
     lower = F.least(F.floor(at), F.lit(n - 1)).cast("int")
-    stops = [F.array(*(F.lit(s[k]) for s in VIRIDIS)) for k in range(3)]
+    stops = [F.array(*(F.lit(v) for v in channel)) for channel in zip(*map(channels_of, VIRIDIS), strict=True)]
     mix = lambda s: F.get(s, lower) + (F.get(s, lower + 1) - F.get(s, lower)) * (at - lower)
     return F.when(t.isNotNull(), F.struct(*(mix(s).alias(k) for s, k in zip(stops, "rgb", strict=True))))
 
 
+def channels_of(colour: str) -> tuple[float, float, float]:
+    """Red, green and blue of a hex colour, from 0 to 1."""
+    red, green, blue = (int(colour[k : k + 2], 16) / 255 for k in (1, 3, 5))
+    return red, green, blue
+
+
+def metric_colour(value: Column, low: Column, high: Column) -> Column:
+    """Struct of r, g and b for a value in its range; grey where it isn't finite."""
+    return F.coalesce(viridis(normalised(finite(value), low, high)), F.struct(*(F.lit(GREY).alias(k) for k in "rgb")))
+
+
 def explode_offset(dist: Column, direction: tuple[Column, Column, Column], factor: Column) -> Column:
     """Array (x, y, z): direction times distance times factor; zeros if any is missing or zero."""
     zero = F.coalesce(dist, F.lit(0.0)) * F.coalesce(factor, F.lit(0.0)) == 0

@@ -15,6 +15,8 @@ from voxelgrain.operators.measure import Size
 SLACK = 1e-9
 #: Voxel steps within a gap, up to which every voxel is shifted by each of them; beyond, cells of the gap's size are joined.
 MOST_SHIFTS = 250
+#: Steps above which it pays to leave out cells inside an instance; finding them takes a step to each face.
+SURFACE_SHIFTS = 40
 
 
 def claim(labels: DataFrame, masks: DataFrame | None = None) -> DataFrame:
@@ -39,24 +41,43 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select("object_id", pick("entity", "a", "b"), pick("label", "a", "b"), pick("entity", "b", "a"), pick("label", "b", "a"), "gap_um")
 
 
-def edges(cells: DataFrame, max_gap_um: float, size: Size, axes: tuple[str, ...] = ("z", "y", "x")) -> DataFrame:
-    """All pairs of instances within ``max_gap_um``, with their least gap, from claimed ``cells``.
+def surface(cells: DataFrame, axes: tuple[str, ...] = ("z", "y", "x")) -> DataFrame:
+    """The cells with a face towards another instance or none. The least gap of two instances is one between such cells:
+    from any other, one step towards the other instance stays inside and is nearer."""
+    steps = [tuple(s if i == k else 0 for i in range(len(axes))) for k in range(len(axes)) for s in (-1, 1)]
+    moves = F.explode(F.array(*(F.struct(*(F.lit(v).alias(f"d{i}") for i, v in enumerate(d))) for d in steps)))
+    seen = cells.withColumn("s", moves).select("object_id", "entity", "label", *((F.col(a) + F.col(f"s.d{i}")).alias(a) for i, a in enumerate(axes)))
+    # A cell that all its neighbours of the same instance point at is inside.
+    inside = seen.groupBy("object_id", "entity", "label", *axes).agg(F.count("*").alias("faces")).where(F.col("faces") == len(steps))
+    of = inside.select(F.col("object_id").alias("of"), F.col("entity").alias("of_entity"), F.col("label").alias("of_label"), *(F.col(a).alias(f"of_{a}") for a in axes))
+    same = (F.col("object_id") == F.col("of")) & (F.col("entity") == F.col("of_entity")) & F.col("label").eqNullSafe(F.col("of_label"))
+    return cells.join(of, [same, *(F.col(a) == F.col(f"of_{a}") for a in axes)], "left_anti")
+
+
+def edges(cells: DataFrame, max_gap_um: float, size: Size, axes: tuple[str, ...] = ("z", "y", "x"), same_type: bool = False) -> DataFrame:
+    """All pairs of instances within ``max_gap_um``, with their least gap, from claimed ``cells``; with ``same_type``, those of one entity.
 
     Few voxel steps lie within a small gap, so each voxel is shifted by every one of half of them and met by an
     equi-join: every row of the join is a hit. For large gaps, space is cut into cells of the gap's size and the
-    neighbouring cells are joined before the distance is tested.
+    neighbouring cells are joined before the distance is tested. Where there are many steps, cells inside an instance
+    are left out first.
     """
+    if same_type:
+        cells = cells.where(F.col("label").isNotNull())
     reach = [math.floor((max_gap_um + SLACK) / s) for s in size]
     shifts = [d for d in itertools.product(*(range(-r, r + 1) for r in reach)) if d >= (0,) * len(size)]
     shifts = [(*d, math.sqrt(sum((k * s) ** 2 for k, s in zip(d, size, strict=True)))) for d in shifts]
     shifts = [d for d in shifts if d[-1] <= max_gap_um + SLACK]
+    if len(shifts) > SURFACE_SHIFTS:
+        cells = surface(cells, axes)
     other = cells.select(F.col("object_id").alias("of"), F.col("entity").alias("entity_b"), F.col("label").alias("label_b"), *(F.col(a).alias(f"{a}_b") for a in axes))
     one = cells.select("object_id", F.col("entity").alias("entity_a"), F.col("label").alias("label_a"), *axes)
     different = (F.col("entity_a") != F.col("entity_b")) | ~F.col("label_a").eqNullSafe(F.col("label_b"))
+    types = [F.col("entity_a") == F.col("entity_b")] if same_type else []
     if len(shifts) <= MOST_SHIFTS:
         steps = F.explode(F.array(*(F.struct(*(F.lit(v).alias(f"d{i}") for i, v in enumerate(s))) for s in shifts)))
         one = one.withColumn("s", steps)
-        same = [F.col("object_id") == F.col("of")] + [F.col(a) + F.col(f"s.d{i}") == F.col(f"{a}_b") for i, a in enumerate(axes)]
+        same = [F.col("object_id") == F.col("of")] + types + [F.col(a) + F.col(f"s.d{i}") == F.col(f"{a}_b") for i, a in enumerate(axes)]
         met = one.join(other, same).where(different).withColumn("gap_um", F.col(f"s.d{len(axes)}"))
     else:
         width = [max(1, r) for r in reach]
@@ -64,7 +85,7 @@ def edges(cells: DataFrame, max_gap_um: float, size: Size, axes: tuple[str, ...]
         near = F.explode(F.array(*(F.struct(*(F.lit(v).alias(f"d{i}") for i, v in enumerate(d))) for d in itertools.product((-1, 0, 1), repeat=len(axes)))))
         one = one.withColumn("s", near).select("*", *((c + F.col(f"s.d{i}")).alias(f"cell{i}") for i, c in enumerate(cell(""))))
         other = other.select("*", *(c.alias(f"of_cell{i}") for i, c in enumerate(cell("_b"))))
-        met = one.join(other, [F.col("object_id") == F.col("of")] + [F.col(f"cell{i}") == F.col(f"of_cell{i}") for i in range(len(axes))]).where(different)
+        met = one.join(other, [F.col("object_id") == F.col("of")] + types + [F.col(f"cell{i}") == F.col(f"of_cell{i}") for i in range(len(axes))]).where(different)
         gap = F.sqrt(sum((((F.col(a) - F.col(f"{a}_b")) * s) ** 2 for a, s in zip(axes, size, strict=True)), F.lit(0.0)))
         met = met.withColumn("gap_um", gap).where(F.col("gap_um") <= max_gap_um + SLACK)
     found = _ordered(met).groupBy("object_id", "entity_a", "label_a", "entity_b", "label_b").agg(F.min("gap_um").alias("gap_um"))

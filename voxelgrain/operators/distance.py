@@ -1,51 +1,116 @@
 """Distances from instances to structures.
 
 An object is the unit: its voxels meet in one task, are laid out on the object's own grid, and one exact Euclidean
-distance transform for each target gives the distances of all its instances at once. An object has one grid, so
-the work grows with the number of objects and not with the square of anything.
+distance transform for each target gives the distances of all its instances at once. The transform takes time in
+proportion to the grid, axis by axis: a scan along the first, then the lower envelope of parabolas, for many lines at
+a time; the last axis only where an instance is. Memory is the grid (nine bytes a cell) and ``BLOCK_CELLS`` of lines,
+whatever the number of targets, which follow one another.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelgrain.operators.lineage import kept
 from voxelgrain.operators.measure import Size
 
 BINS = 20
 MASK_LABEL = 0
-
-
-def distance_transform(target: np.ndarray, size: Size) -> np.ndarray:
+#: How much wider cells get when nothing was found near enough.
+WIDER = 4
+
+
+#: Cells of the lines whose envelopes are made at a time.
+BLOCK_CELLS = 4_000_000
+
+
+def _scan(target: np.ndarray, step: float) -> np.ndarray:
+    """Squared distance to the nearest target along the first axis."""
+    n = len(target)
+    at = np.arange(n, dtype=np.int32).reshape(-1, *[1] * (target.ndim - 1))
+    far = np.int32(2 * n + 1)
+    before = np.maximum.accumulate(np.where(target, at, -far), axis=0)
+    after = np.minimum.accumulate(np.where(target, at, 2 * far)[::-1], axis=0)[::-1]
+    cells = np.minimum(at - before, after - at)
+    return np.where(cells <= n, (cells * step) ** 2, np.inf)
+
+
+def _envelope(lines: np.ndarray, step: float) -> np.ndarray:
+    """For every line (row) of squared distances, the least over all places of that place's value and the squared way to it."""
+    rows, n = lines.shape
+    if n == 1:
+        return lines.copy()
+    places = np.arange(n) * step
+    hull = np.zeros((rows, n), np.int32)
+    begins = np.full((rows, n + 1), np.inf)
+    top = np.full(rows, -1)
+    for q in range(n):
+        open_rows = np.flatnonzero(np.isfinite(lines[:, q]))
+        while len(open_rows):
+            last = top[open_rows]
+            some = last >= 0
+            p = hull[open_rows, np.maximum(last, 0)]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                meet = (lines[open_rows, q] + places[q] ** 2 - lines[open_rows, p] - places[p] ** 2) / (2 * (places[q] - places[p]))
+            hidden = some & (meet <= begins[open_rows, np.maximum(last, 0)])
+            lies = open_rows[~hidden]
+            top[lies] += 1
+            hull[lies, top[lies]] = q
+            begins[lies, top[lies]] = np.where(some, meet, -np.inf)[~hidden]
+            open_rows = open_rows[hidden]
+            top[open_rows] -= 1
+    at, out, every = np.zeros(rows, np.int64), np.full((rows, n), np.inf), np.arange(rows)
+    filled = every[top >= 0]
+    if not len(filled):
+        return out
+    end = top[filled]
+    for q in range(n):
+        ahead = filled
+        while len(ahead):
+            ahead = ahead[(at[ahead] < top[ahead]) & (begins[ahead, np.minimum(at[ahead] + 1, n)] < places[q])]
+            at[ahead] += 1
+        # Neighbours on the hull as well: where parabolas meet, rounding may have taken the other one.
+        best = np.full(len(filled), np.inf)
+        for k in (-1, 0, 1):
+            p = hull[filled, np.clip(at[filled] + k, 0, end)]
+            best = np.minimum(best, lines[filled, p] + ((q - p) * step) ** 2)
+        out[filled, q] = best
+    return out
+
+
+def distance_transform(target: np.ndarray, size: Size, wanted: np.ndarray | None = None) -> np.ndarray:
     """Distance of every cell to the nearest cell of ``target`` (boolean, any number of axes); infinite without one.
 
-    Separable: along each axis in turn, the lower envelope of the parabolas of the squared distances so far.
+    With ``wanted`` (boolean, as large), cells on lines of the last axis without a wanted cell are left infinite.
     """
-    squared = np.where(target, 0.0, np.inf)
-    for axis, step in enumerate(size):
+    squared = _scan(target, size[0])
+    for axis in range(1, target.ndim):
         n = squared.shape[axis]
-        offsets = ((np.arange(n)[:, None] - np.arange(n)) * step) ** 2
-        moved = np.moveaxis(squared, axis, -1)
-        out = np.empty(moved.shape)
-        flat, into = moved.reshape(-1, n), out.reshape(-1, n)
-        block = max(1, 4_000_000 // (n * n))
-        for a in range(0, len(flat), block):
-            into[a : a + block] = (flat[a : a + block, None, :] + offsets).min(axis=2)
-        squared = np.moveaxis(out, -1, axis)
+        lines = np.moveaxis(squared, axis, -1).reshape(-1, n)
+        use = np.arange(len(lines)) if wanted is None or axis < target.ndim - 1 else np.flatnonzero(wanted.any(axis=axis).reshape(-1))
+        out = np.full(lines.shape, np.inf)
+        block = max(1, BLOCK_CELLS // n)
+        for a in range(0, len(use), block):
+            out[use[a : a + block]] = _envelope(lines[use[a : a + block]], size[axis])
+        squared = np.moveaxis(out.reshape(np.moveaxis(squared, axis, -1).shape), -1, axis)
     return np.sqrt(squared)
 
 
-def to_targets(voxels: DataFrame, masks: DataFrame, size: Size, object_mask: str | None = None, histogram: bool = False) -> DataFrame:
+def to_targets(voxels: DataFrame, masks: DataFrame, size: Size, object_mask: str | None = None, histogram: bool = False, targets: tuple[str, ...] = ()) -> DataFrame:
     """Least and mean distance (micrometres) of every instance to every other entity of its object.
 
     ``voxels`` are label entities (``object_id, entity, label, z, y, x``), ``masks`` are targets only (``object_id,
     entity, z, y, x``). The ``object_mask`` is turned inside out: its distance is that to the outside within the
-    object's bounding box. A target without a cell has a null distance. ``bins`` counts an instance's voxels over
-    ``BINS`` bins that all instances of an entity share for one target.
+    object's bounding box. ``targets`` are entities that every object has, if only without a cell, as after clipping;
+    the distance to one without a cell is null. ``bins`` counts an instance's voxels over ``BINS`` bins that all
+    instances of an entity share for one target.
     """
     rows = voxels.select("object_id", "entity", F.col("label").cast("long").alias("label"), "z", "y", "x").unionByName(masks.select("object_id", "entity", F.lit(MASK_LABEL).cast("long").alias("label"), "z", "y", "x"))
     kind = voxels.schema["object_id"].dataType.simpleString()
@@ -56,12 +121,14 @@ def to_targets(voxels: DataFrame, masks: DataFrame, size: Size, object_mask: str
         at, shape = cells - origin, tuple(cells.max(axis=0) - origin + 1)
         entity, label = group["entity"].to_numpy(), group["label"].to_numpy()
         out = []
-        for target in sorted(set(entity.tolist())):
+        wanted = np.zeros(shape, bool)
+        wanted[tuple(at[label != MASK_LABEL].T)] = True
+        for target in sorted({*entity.tolist(), *targets}):
             grid = np.zeros(shape, bool)
             grid[tuple(at[entity == target].T)] = True
             if target == object_mask:
                 grid = ~grid
-            far = distance_transform(grid, size)
+            far = distance_transform(grid, size, wanted)
             for source in sorted(set(entity[label != MASK_LABEL].tolist())):
                 own = (entity == source) & (label != MASK_LABEL)
                 if source == target:
@@ -79,7 +146,7 @@ def to_targets(voxels: DataFrame, masks: DataFrame, size: Size, object_mask: str
                     bins = None
                     if histogram and known:
                         part = values[begins[k] : begins[k + 1] if k + 1 < len(names) else None]
-                        place = np.clip(((part - low) / width * BINS + 1e-9).astype(int), 0, BINS - 1)
+                        place = np.clip(((part - low) / width * BINS).astype(int), 0, BINS - 1)
                         bins = np.bincount(place, minlength=BINS).tolist()
                     out.append((source, name, target, float(least[k]) if known else None, float(mean[k]) if known else None, bins))
         found = pd.DataFrame(out, columns=["entity", "label", "target", "distance_um", "mean_distance_um", "bins"])
@@ -94,12 +161,47 @@ def bins_json(bins: list[int] | None) -> str | None:
 
 
 def nearest_same(instances: DataFrame, axes: tuple[str, ...] = ("z", "y", "x"), key: tuple[str, ...] = ("object_id", "entity"), label: str = "label") -> DataFrame:
-    """Distance from each instance's centroid to the nearest other one of its entity; null for a lone instance."""
+    """Distance from each instance's centroid to the nearest other one of its entity; null for a lone instance.
+
+    Centroids of a group are laid out in cells, so wide that a cell holds a few, and each looks at the cells around
+    its own: an equi-join. A distance up to the width of a cell is final. What has none looks again among cells that
+    are ``WIDER`` times as wide, until the cells are as wide as the group. Centroids at one place are one row, and
+    as near to each other as can be.
+    """
     names = [f"centroid_{a}_um" for a in axes]
-    others = instances.select(*(F.col(k).alias(f"of_{k}") for k in key), F.col(label).alias("of_label"), *(F.col(n).alias(f"of_{n}") for n in names))
-    pairs = instances.join(others, [F.col(k) == F.col(f"of_{k}") for k in key] + [F.col(label) != F.col("of_label")], "left")
-    squared = sum(((F.col(n) - F.col(f"of_{n}")) ** 2 for n in names), F.lit(0.0))
-    return pairs.groupBy(*key, label).agg(F.sqrt(F.min(squared)).alias("nearest_um"))
+    points = instances.select(*key, label, *names)
+    places = points.groupBy(*key, *names).agg(F.count("*").alias("times"))
+    spans = [F.max(n) - F.min(n) for n in names]
+    box = places.groupBy(*key).agg(F.count("*").alias("many"), F.greatest(*spans).alias("span"), *(x.alias(f"span_{n}") for x, n in zip(spans, names, strict=True)), *(F.min(n).alias(f"low_{n}") for n in names))
+    # A cell of that size holds about two, for points that fill the box; a flat box counts as a little thick.
+    volume = reduce(lambda a, b: a * b, (F.greatest(F.col(f"span_{n}"), F.col("span") * 1e-6) for n in names))
+    width = F.pow(volume * 2 / F.col("many"), F.lit(1 / len(axes)))
+    found = places.join(box, list(key)).withColumn("width", F.when(F.col("span") > 0, width).otherwise(F.lit(1.0)))
+    found = kept(found.withColumn("place", F.monotonically_increasing_id()))
+    open_places, done = found.where("times = 1 and many > 1").select("*", F.lit(1.0).alias("scale")), []
+    while True:
+        cell = lambda n, scale: F.floor((F.col(n) - F.col(f"low_{n}")) / (F.col("width") * scale))
+        scale = F.lit(float(WIDER ** len(done)))
+        steps = F.explode(F.array(*(F.struct(*(F.lit(v).alias(f"d{i}") for i, v in enumerate(d))) for d in itertools.product((-1, 0, 1), repeat=len(axes)))))
+        looking = open_places.select(*key, "place", "span", "width", *names, *(cell(n, scale).alias(f"cell{i}") for i, n in enumerate(names))).withColumn("s", steps)
+        looking = looking.select(*(F.col(k).alias(f"own_{k}") for k in key), F.col("place").alias("own"), "span", "width", *(F.col(n).alias(f"own_{n}") for n in names), *((F.col(f"cell{i}") + F.col(f"s.d{i}")).alias(f"at{i}") for i in range(len(names))))
+        others = found.select(*key, "place", *names, *(cell(n, scale).alias(f"cell{i}") for i, n in enumerate(names)))
+        met = looking.join(others, [F.col(f"own_{k}").eqNullSafe(F.col(k)) for k in key] + [F.col(f"at{i}") == F.col(f"cell{i}") for i in range(len(names))], "left")
+        squared = sum(((F.col(n) - F.col(f"own_{n}")) ** 2 for n in names), F.lit(0.0))
+        near = F.sqrt(F.min(F.when(F.col("place") != F.col("own"), squared)))
+        level = met.groupBy("own").agg(near.alias("nearest_um"), F.first("span").alias("span"), F.first("width").alias("width"))
+        final = (F.col("nearest_um") <= F.col("width") * scale) | (F.col("width") * scale >= F.col("span"))
+        level = kept(level.withColumn("final", F.coalesce(final, F.lit(False))))
+        done.append(level.where("final").select("own", "nearest_um"))
+        left = level.where("not final").select("own")
+        if left.isEmpty():
+            break
+        open_places = open_places.join(left, F.col("place") == F.col("own"), "left_semi")
+    known = reduce(DataFrame.unionByName, done)
+    by_place = found.join(known, F.col("place") == F.col("own"), "left").select(*key, *names, F.when(F.col("times") > 1, 0.0).otherwise(F.col("nearest_um")).alias("nearest_um"))
+    renamed = by_place.select(*(F.col(c).alias(f"of_{c}") for c in (*key, *names)), "nearest_um")
+    joined = points.join(renamed, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in (*key, *names)])
+    return joined.select(*key, label, "nearest_um")
 
 
 def overlap_share(distances: DataFrame) -> DataFrame:

@@ -2,43 +2,42 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelgrain.functions.expressions import null_percentile
+from voxelgrain.operators.measure import connected
 
 
 def clusters(instances: DataFrame, contacts: DataFrame, strict: bool = False) -> DataFrame:
     """``object_id, entity, label, cluster`` of every instance: connected components under the contacts.
 
-    Contacts never leave an object, so each object's components are found in one task, by union-find. A cluster's
+    Contacts never leave an object, so each object's components are found in one task, by whole arrays at a time. A cluster's
     name is its smallest member's ``entity:label``. Ends of contacts that aren't instances (masks, with a null
     label) are nodes too, unless ``strict``: then such contacts don't count.
     """
     kind = instances.schema["object_id"].dataType.simpleString()
 
     def union(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        key = lambda e, n: (e, -1 if pd.isna(n) else int(n))
-        parent = {k: k for k in map(key, nodes["entity"], nodes["label"])}
-
-        def root(k: tuple) -> tuple:
-            while parent[k] != k:
-                parent[k] = parent[parent[k]]
-                k = parent[k]
-            return k
-
-        for ea, la, eb, lb in zip(links["entity_a"], links["label_a"], links["entity_b"], links["label_b"], strict=True):
-            a, b = key(ea, la), key(eb, lb)
-            if strict and not (a in parent and b in parent):
-                continue
-            parent.setdefault(a, a)
-            parent.setdefault(b, b)
-            a, b = root(a), root(b)
-            parent[max(a, b)] = min(a, b)
         own = nodes["object_id"] if len(nodes) else links["of"]
-        rows = [(own.iloc[0], e, None if n < 0 else n, "{}:{}".format(*root((e, n)))) for e, n in parent]
-        return pd.DataFrame(rows, columns=["object_id", "entity", "label", "cluster"]).astype({"label": "Int64"})
+        ends = [pd.DataFrame({"entity": links[f"entity_{s}"], "label": links[f"label_{s}"].astype("Int64")}) for s in "ab"]
+        rows = pd.concat([nodes[["entity", "label"]].astype({"label": "Int64"}), *ends], ignore_index=True)
+        # Masks, which have no label, come before all labels.
+        rows["rank"] = rows["label"].fillna(-1).astype("int64")
+        order = rows.drop_duplicates(["entity", "rank"]).sort_values(["entity", "rank"], ignore_index=True)
+        place = pd.MultiIndex.from_frame(order[["entity", "rank"]]).get_indexer(pd.MultiIndex.from_frame(rows[["entity", "rank"]]))
+        n, k = len(nodes), len(links)
+        real, a, b = np.zeros(len(order), bool), place[n : n + k], place[n + k :]
+        real[place[:n]] = True
+        if strict:
+            both = real[a] & real[b]
+            a, b = a[both], b[both]
+        root = connected(len(order), a, b)
+        name = order["entity"] + ":" + order["rank"].astype(str)
+        found = pd.DataFrame({"object_id": own.iloc[0], "entity": order["entity"], "label": order["label"], "cluster": name.to_numpy()[root]})
+        return found[real] if strict else found
 
     nodes = instances.select("object_id", "entity", F.col("label").cast("long").alias("label")).distinct()
     links = contacts.select(F.col("object_id").alias("of"), "entity_a", F.col("label_a").cast("long").alias("label_a"), "entity_b", F.col("label_b").cast("long").alias("label_b"))

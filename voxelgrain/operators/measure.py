@@ -62,8 +62,9 @@ def polar_spread(voxels: DataFrame, centres: DataFrame, size: Size) -> DataFrame
     unit = joined.where("r > 0").select(*INSTANCE, *((F.col(f"d{a}") / F.col("r")).alias(f"u{a}") for a in "zyx"))
     mean = unit.groupBy(*INSTANCE).agg(*(F.avg(f"u{a}").alias(f"m{a}") for a in "zyx"), F.count("*").alias("n"))
     length = F.sqrt(F.col("mz") ** 2 + F.col("my") ** 2 + F.col("mx") ** 2)
-    mean = mean.withColumn("length", length).where("length > 0")
-    dot = (F.col("uz") * F.col("mz") + F.col("uy") * F.col("my") + F.col("ux") * F.col("mx")) / F.col("length")
+    mean = mean.withColumn("length", length)
+    # Directions that cancel out have no mean; every one counts as at a right angle to it.
+    dot = F.when(F.col("length") > 0, (F.col("uz") * F.col("mz") + F.col("uy") * F.col("my") + F.col("ux") * F.col("mx")) / F.col("length")).otherwise(F.lit(0.0))
     angle = F.degrees(F.acos(clamp_unit(dot)))
     found = unit.join(mean, list(INSTANCE)).groupBy(*INSTANCE).agg(F.when(F.max("n") >= 3, F.stddev_pop(angle)).alias("polar_spread_deg"))
     return voxels.select(*INSTANCE).distinct().join(found, list(INSTANCE), "left")
@@ -153,26 +154,35 @@ def crop(voxels: DataFrame, mask: DataFrame) -> DataFrame:
     return joined.select(*voxels.columns)
 
 
+def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` nodes the smallest one that the links between ``a`` and ``b`` lead to: roots hang on smaller roots, and paths are halved."""
+    root = np.arange(n)
+    while len(a):
+        one, two = root[a], root[b]
+        apart = one != two
+        a, b, one, two = a[apart], b[apart], one[apart], two[apart]
+        np.minimum.at(root, np.maximum(one, two), np.minimum(one, two))
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
 def component_labels(cells: np.ndarray) -> np.ndarray:
     """Component of every cell (rows of coordinates), all neighbours counting, numbered from 1 in raster order of first cells."""
-    order = np.lexsort(cells.T[::-1])
-    index = {tuple(c): k for k, c in enumerate(cells[order].tolist())}
-    parent = list(range(len(cells)))
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    back = [tuple(-v for v in d) for d in half_directions(cells.shape[1])]
-    for c, k in index.items():
-        for d in back:
-            j = index.get(tuple(a + b for a, b in zip(c, d, strict=True)))
-            if j is not None:
-                a, b = root(j), root(k)
-                parent[max(a, b)] = min(a, b)
-    roots = np.array([root(k) for k in range(len(cells))])
+    if not len(cells):
+        return np.zeros(0, int)
+    low = cells.min(axis=0) - 1
+    shape = tuple((cells.max(axis=0) - low + 2).tolist())
+    keys = np.ravel_multi_index(tuple((cells - low).T), shape)
+    order = np.argsort(keys)
+    ranked = keys[order]
+    links = []
+    for d in half_directions(cells.shape[1]):
+        step = int(np.dot(d, [math.prod(shape[k + 1 :]) for k in range(len(shape))]))
+        place = np.minimum(np.searchsorted(ranked, ranked + step), len(ranked) - 1)
+        hit = np.flatnonzero(ranked[place] == ranked + step)
+        links.append((hit, place[hit]))
+    roots = connected(len(cells), np.concatenate([x for x, _ in links]), np.concatenate([y for _, y in links]))
     out = np.empty(len(cells), int)
     out[order] = np.unique(roots, return_inverse=True)[1] + 1
     return out
@@ -188,10 +198,12 @@ def components(cells: DataFrame, axes: tuple[str, ...] = ("y", "x")) -> DataFram
     return cells.groupBy("object_id", "entity").applyInPandas(run, schema)
 
 
-def promote(masks: DataFrame, axes: tuple[str, ...] = ("z", "y", "x")) -> DataFrame:
-    """Masks with several components become label entities: ``kind`` and ``label`` are set; others stay masks with a null label."""
+def promote(masks: DataFrame, axes: tuple[str, ...] = ("z", "y", "x"), object_mask: str | None = None) -> DataFrame:
+    """Masks with several components become label entities: ``kind`` and ``label`` are set; others stay masks with a null label, the ``object_mask`` always."""
     found = components(masks, axes)
     many = found.groupBy("object_id", "entity").agg(F.max("label").alias("components"))
     joined = found.join(many, ["object_id", "entity"])
     several = F.col("components") > 1
+    if object_mask is not None:
+        several = several & (F.col("entity") != object_mask)
     return joined.select(*masks.columns, F.when(several, "label").otherwise("mask").alias("kind"), F.when(several, F.col("label")).alias("label"))

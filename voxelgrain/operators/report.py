@@ -129,17 +129,23 @@ def mixed_dims(rows: DataFrame) -> DataFrame:
 
 
 def short_labels(ids: DataFrame, name: str = "id") -> DataFrame:
-    """Ids without the fields, split at ``_``, that all share at the front and at the back; at least one field stays."""
+    """Ids without the fields, split at ``_``, that all share at the front and then at the back.
+
+    The first id, in order of its fields, keeps one field at least; one that would keep none stays whole. A lone id stays
+    whole, and so do all if one of them is a single field.
+    """
     split = ids.select(F.col(name).alias("id"), F.split(name, "_").alias("f"))
-    shortest = F.min(F.size("f"))
-    # The longest field list bounds the positions; a common prefix shows in the smallest and the largest list alone.
-    ends = split.agg(F.min("f").alias("a"), F.max("f").alias("b"), F.min(F.reverse("f")).alias("c"), F.max(F.reverse("f")).alias("d"), shortest.alias("least"))
-    common = lambda x, y: F.coalesce(F.array_position(F.transform(F.arrays_zip(F.col(x).alias("p"), F.col(y).alias("q")), lambda z: (z["p"].eqNullSafe(z["q"])).cast("int")), 0) - 1, F.lit(0))
-    whole = lambda x, y: F.when(F.col(x) == F.col(y), F.size(x).cast("long")).otherwise(common(x, y))
-    ends = ends.select(F.least(whole("a", "b"), F.col("least") - 1).alias("front"), whole("c", "d").alias("back"), "least")
-    ends = ends.select("front", F.least("back", F.col("least") - 1 - F.col("front")).alias("back"))
+    # What all share at an end shows in the smallest and the largest list alone.
+    ends = split.agg(F.min("f").alias("a"), F.max("f").alias("b"), F.min(F.reverse("f")).alias("c"), F.max(F.reverse("f")).alias("d"), F.min(F.size("f")).alias("least"), (F.min("id") == F.max("id")).alias("lone"))
+    differs = lambda x, y: F.array_position(F.transform(F.arrays_zip(F.col(x).alias("p"), F.col(y).alias("q")), lambda z: z["p"].eqNullSafe(z["q"]).cast("int")), 0)
+    common = lambda x, y: F.when(differs(x, y) > 0, differs(x, y) - 1).otherwise(F.size(x).cast("long"))
+    kept = (F.col("least") > 1) & ~F.col("lone")
+    ends = ends.select("a", common("c", "d").alias("back"), F.when(kept, F.least(common("a", "b"), F.size("a") - 1)).otherwise(F.lit(0)).alias("front"), kept.alias("kept"))
+    ends = ends.select("front", F.when(F.col("kept"), F.least("back", F.size("a") - 1 - F.col("front"))).otherwise(F.lit(0)).alias("back"))
     rows = split.crossJoin(F.broadcast(ends))
-    return rows.select("id", F.array_join(F.slice("f", (F.col("front") + 1).cast("int"), (F.size("f") - F.col("front") - F.col("back")).cast("int")), "_").alias("short"))
+    left = F.greatest(F.size("f") - F.col("front") - F.col("back"), F.lit(0)).cast("int")
+    short = F.array_join(F.slice("f", (F.col("front") + 1).cast("int"), left), "_")
+    return rows.select("id", F.when(short == "", F.col("id")).otherwise(short).alias("short"))
 
 
 def largest(rows: DataFrame, size: str, k: int, ascending: bool = False) -> DataFrame:

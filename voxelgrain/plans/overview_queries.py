@@ -237,20 +237,33 @@ def name_parse(spark, sf):
     return found.select("p_partkey", "normal", "e.prefix", "e.name", "e.kind")
 
 
-_PALETTE = {"A": "#D62728", "N": "#2c3"}
-#: The ten colours that structures without one of their own get in turn.
-DEFAULT_COLOURS = ("#4e79a7", "#f28e2b", "#e15759", "#76b7b2", "#59a14f", "#edc948", "#b07aa1", "#ff9da7", "#9c755f", "#bab0ac")
+_PALETTE = {"A1": "#D62728", "N2": "#2c3"}
+#: The ten colours that structures without one of their own get in turn, in the overview and in space.
+OBJECT_COLOURS = ("#1f77b4", "#ff7f0e", "#2ca02c", "#d62728", "#9467bd", "#8c564b", "#e377c2", "#7f7f7f", "#bcbd22", "#17becf")
+SPACE_COLOURS = ("#33ddff", "#ff8f00", "#acff6c", "#ff2728", "#9467ff", "#f1a69b", "#e377ff", "#7f7f7f", "#ccff22", "#17beff")
 
 
-@query("colour_lookup", "SELECT l_returnflag AS entity, count(*) AS n, CASE l_returnflag WHEN 'A' THEN '#d62728' WHEN 'N' THEN '#22cc33' ELSE '#e15759' END AS colour FROM lineitem GROUP BY 1")
+def _turn_sql(colours: tuple[str, ...], name: str) -> str:
+    listed = ", ".join(f"'{c}'" for c in colours)
+    return f"coalesce(chosen, [{listed}][1 + (row_number() OVER (ORDER BY entity) - 1) % {len(colours)}]) AS {name}"
+
+
+@query(
+    "colour_lookup",
+    "WITH n AS (SELECT l_returnflag || (l_linenumber::VARCHAR) AS entity, count(*) AS n FROM lineitem GROUP BY 1), "
+    "c AS (SELECT *, CASE entity WHEN 'A1' THEN '#d62728' WHEN 'N2' THEN '#22cc33' END AS chosen FROM n) "
+    f"SELECT entity, n, {_turn_sql(OBJECT_COLOURS, 'colour')}, {_turn_sql(SPACE_COLOURS, 'colour_in_space')} FROM c",
+)
 def colour_lookup(spark, sf):
     from pyspark.sql import Window
 
-    names = adapter.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("entity")).agg(F.count("*").alias("n"))
+    name = F.concat("l_returnflag", F.col("l_linenumber").cast("string"))
+    names = adapter.table(spark, sf, "lineitem").groupBy(name.alias("entity")).agg(F.count("*").alias("n"))
     # One row for each structure: a short order, and a palette that is a literal.
-    place = F.pmod(F.row_number().over(Window.orderBy("entity")) - 1, F.lit(len(DEFAULT_COLOURS)))
+    place = F.row_number().over(Window.orderBy("entity")) - 1
     chosen = F.create_map(*(F.lit(v) for k, c in _PALETTE.items() for v in (k, ex.hex_colour_of(c))))
-    return names.select("entity", "n", F.coalesce(F.try_element_at(chosen, "entity"), F.get(F.array(*map(F.lit, DEFAULT_COLOURS)), place)).alias("colour"))
+    turn = lambda colours: F.coalesce(F.try_element_at(chosen, "entity"), F.get(F.array(*map(F.lit, colours)), F.pmod(place, F.lit(len(colours)))))
+    return names.select("entity", "n", turn(OBJECT_COLOURS).alias("colour"), turn(SPACE_COLOURS).alias("colour_in_space"))
 
 
 _HEX = "CASE p_partkey % 5 WHEN 0 THEN '#' || p_size WHEN 1 THEN '#ABC' WHEN 2 THEN '#12aBef' WHEN 3 THEN 'red' ELSE NULL END"
@@ -261,25 +274,34 @@ def hex_colours(spark, sf):
     return adapter.table(spark, sf, "part").select("p_partkey", ex.hex_colour(F.expr(_HEX)).alias("colour"))
 
 
-_STOPS = [[s[k] for s in ex.VIRIDIS] for k in range(3)]
-
-
 def _mix(k: int) -> str:
-    stops = "[" + ", ".join(f"{v}::DOUBLE" for v in _STOPS[k]) + "]"
-    return f"{stops}[lo + 1] + ({stops}[lo + 2] - {stops}[lo + 1]) * (t * 4 - lo)"
+    """One channel between two stops of the colour map, from its hex digits."""
+    stops = "[" + ", ".join(f"{int(c[1 + 2 * k : 3 + 2 * k], 16)} / 255.0::DOUBLE" for c in ex.VIRIDIS) + "]"
+    return f"CASE WHEN t IS NULL THEN 0.6 ELSE {stops}[lo + 1] + ({stops}[lo + 2] - {stops}[lo + 1]) * (t * 8 - lo) END"
 
 
 @query(
     "viridis",
-    with_views("vox", INSTANCES, "w AS (SELECT object_id, entity, label, volume_um3, min(volume_um3) OVER (PARTITION BY object_id) AS a, max(volume_um3) OVER (PARTITION BY object_id) AS b FROM inst)", "n AS (SELECT object_id, entity, label, CASE WHEN b > a THEN (volume_um3 - a) / (b - a) ELSE 1.0 END AS t FROM w)", "l AS (SELECT *, CAST(least(floor(t * 4), 3) AS INTEGER) AS lo FROM n)")
-    + f"SELECT object_id, entity, label, {r('t', 't')}, {r(_mix(0), 'r')}, {r(_mix(1), 'g')}, {r(_mix(2), 'b')} FROM l",
+    with_views(
+        "vox",
+        INSTANCES,
+        "v AS (SELECT object_id, entity, label, CASE WHEN label % 13 = 0 THEN NULL ELSE volume_um3 END AS v FROM inst)",
+        "w AS (SELECT *, min(v) OVER (PARTITION BY object_id) AS a, max(v) OVER (PARTITION BY object_id) AS b FROM v)",
+        "n AS (SELECT object_id, entity, label, (v - a) / CASE WHEN b > a THEN b - a ELSE 1 END AS t FROM w)",
+        "l AS (SELECT *, CAST(least(floor(t * 8), 7) AS INTEGER) AS lo FROM n)",
+    )
+    + f"SELECT object_id, entity, label, {r(_mix(0), 'r')}, {r(_mix(1), 'g')}, {r(_mix(2), 'b')} FROM l",
 )
 def viridis(spark, sf):
     from pyspark.sql import Window
 
     w = Window.partitionBy("object_id")
-    rows = instances(spark, sf).select("object_id", "entity", "label", ex.normalised(F.col("volume_um3"), F.min("volume_um3").over(w), F.max("volume_um3").over(w)).alias("t"))
-    return rounded(rows.withColumn("c", ex.viridis(F.col("t"))).select("object_id", "entity", "label", "t", "c.*"), "t", "r", "g", "b")
+    # Some instances have no finite value, and are grey.
+    v = F.when(F.col("label") % 13 == 0, F.lit(float("nan"))).otherwise(F.col("volume_um3"))
+    rows = instances(spark, sf).select("object_id", "entity", "label", v.alias("v"))
+    known = ex.finite(F.col("v"))
+    rows = rows.withColumn("c", ex.metric_colour(F.col("v"), F.min(known).over(w), F.max(known).over(w)))
+    return rounded(rows.select("object_id", "entity", "label", "c.*"), "r", "g", "b")
 
 
 @query("explode_offset", f"SELECT id, {r('CASE WHEN d * f = 0 THEN 0 ELSE x * d * f END', 'ox')}, {r('CASE WHEN d * f = 0 THEN 0 ELSE y * d * f END', 'oy')}, {r('CASE WHEN d * f = 0 THEN 0 ELSE z * d * f END', 'oz')} FROM (SELECT vec_id AS id, embedding[1]::DOUBLE AS z, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS x, (vec_id % 4)::DOUBLE AS d, coalesce(nullif(label % 3, 1), 0)::DOUBLE AS f FROM embeddings)")

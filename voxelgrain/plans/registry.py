@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from voxelgrain.functions import expressions as ex
 from voxelgrain.operators import contacts, distance, graph, measure, report
+from voxelgrain.operators.lineage import kept
 from voxelgrain.sources import adapter
 from voxelgrain.sources.adapter import SIZE, UNIT, with_views
 
@@ -295,7 +296,7 @@ def distance_boundary(spark, sf):
     with_views(
         "vox nucleus", _TARGETS, _NEAR, "d AS (SELECT *, sqrt(d2) AS d FROM near)",
         "g AS (SELECT object_id, entity, target, min(d) AS lo, max(d) AS hi FROM d GROUP BY 1, 2, 3)",
-        "b AS (SELECT d.object_id, d.entity, d.label, d.target, least(19, greatest(0, floor((d - lo) / (CASE WHEN hi > lo THEN hi - lo ELSE 1 END) * 20 + 1e-9)))::BIGINT AS bin FROM d JOIN g ON d.object_id = g.object_id AND d.entity = g.entity AND d.target = g.target)",
+        "b AS (SELECT d.object_id, d.entity, d.label, d.target, least(19, greatest(0, floor((d - lo) / (CASE WHEN hi > lo THEN hi - lo ELSE 1 END) * 20)))::BIGINT AS bin FROM d JOIN g ON d.object_id = g.object_id AND d.entity = g.entity AND d.target = g.target)",
     )
     + "SELECT object_id, entity, label, target, bin, count(*) AS n FROM b GROUP BY ALL",
 )
@@ -394,7 +395,7 @@ def contact_edges_wide(spark, sf):
 
 @query("contact_same_type", with_views("vox nucleus", *_CONTACTS) + f"SELECT object_id, entity_a, label_a, entity_b, label_b, {r('gap_um', 'gap_um')} FROM edges WHERE entity_a = entity_b AND gap_um <= 0.03 + 1e-9")
 def contact_same_type(spark, sf):
-    return rounded(contacts.select(edges(spark, sf), 0.03, same_type=True), "gap_um")
+    return rounded(contacts.edges(owned(spark, sf), 0.03, SIZE, same_type=True), "gap_um")
 
 
 @query("contact_pair_filter", with_views("vox nucleus", *_CONTACTS) + f"SELECT object_id, entity_a, label_a, entity_b, label_b, {r('gap_um', 'gap_um')} FROM edges WHERE least(entity_a, entity_b) = 'A' AND greatest(entity_a, entity_b) = 'R'")
@@ -470,8 +471,7 @@ _GROUPS = (
 def close_contacts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Instances that own a cell, and their contacts of one type within the clusters' gap."""
     cells = contacts.claim(adapter.voxels(spark, sf))
-    found = contacts.select(contacts.edges(cells, CLUSTER_GAP, SIZE), CLUSTER_GAP, same_type=True)
-    return cells.select(*measure.INSTANCE).distinct(), found
+    return cells.select(*measure.INSTANCE).distinct(), contacts.edges(cells, CLUSTER_GAP, SIZE, same_type=True)
 
 
 def members(spark: SparkSession, sf: str) -> DataFrame:
@@ -502,7 +502,8 @@ _CLOSE_PARTNERS = _PARTNERS.replace("FROM edges", "FROM same").replace("partners
   {r('100.0 * sum(in_contact) / sum(instances)', 'pct_in_contact')} FROM objects JOIN o USING (object_id) LEFT JOIN t USING (object_id) LEFT JOIN per_object USING (object_id) GROUP BY 1""",
 )
 def contact_condition_totals(spark, sf):
-    nodes, found = close_contacts(spark, sf)
+    # Contacts feed three branches, so they are made once.
+    nodes, found = (kept(df) for df in close_contacts(spark, sf))
     return rounded(graph.condition_totals(contacts.profile(nodes, found), found, graph.clusters(nodes, found), adapter.objects(spark, sf)), "pct_in_contact")
 
 
@@ -515,7 +516,7 @@ _REACHED = (
 
 
 def reached(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.cluster_reach(members(spark, sf), distances(spark, sf))
+    return graph.cluster_reach(kept(members(spark, sf)), kept(distances(spark, sf).where("distance_um is not null")))
 
 
 @query("cluster_reach", with_views("vox nucleus", *_GROUPS, *_DISTANCE_VIEWS, *_REACHED) + f"SELECT object_id, cluster, target, k AS size, n AS pool, {r('observed', 'observed_um')}, {r('beats', 'beats')} FROM beats")
