@@ -21,6 +21,11 @@ def normalize_name(c: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), F.lit("_"))
 
 
+def normal_name(text: str) -> str:
+    """The same for one Python value."""
+    return re.sub("[^a-z0-9]+", "_", text.lower()).strip("_")
+
+
 ENTITY_FILE = r"^(.*)_([a-z0-9_]+)_(labels?|mask)$"
 
 
@@ -152,6 +157,11 @@ def all_of(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
+def maybe_int(c: Column) -> Column:
+    """A whole number from a number or its text; null for nothing, an empty text, and what isn't finite or a number."""
+    return finite(c.cast("string").try_cast("double")).cast("long")
+
+
 def payload_count(payload: Column, index: int) -> Column:
     """The 32-bit little-endian count at ``index`` (0 or 1) of a payload's header; null if there is no header."""
     four = F.reverse(F.hex(F.substring(payload, index * 4 + 1, 4)))

@@ -103,6 +103,12 @@ def select(contacts: DataFrame, gap_um: float, same_type: bool = False, pair: tu
     return contacts.where(all_of(parts))
 
 
+def ordered(contacts: DataFrame) -> DataFrame:
+    """Contacts in the order of their ends: by entity, and by label, masks first."""
+    ends = [x for s in "ab" for x in (F.col(f"entity_{s}"), F.coalesce(F.col(f"label_{s}"), F.lit(-1)))]
+    return contacts.orderBy("object_id", *ends)
+
+
 def limits(contacts: DataFrame) -> DataFrame:
     """Contacts and the largest gap, by unordered pair of types."""
     return contacts.groupBy(pair_label(F.col("entity_a"), F.col("entity_b")).alias("pair")).agg(F.count("*").alias("n"), F.max("gap_um").alias("max_gap_um"))

@@ -1,21 +1,30 @@
-"""Geometry: the quantised payload, outlines, meshes, and skeletons with their metrics.
+"""Geometry: the quantised payload, outlines, meshes, and skeletons with their metrics, and the rows that hold them.
 
-Kernels are numpy and run by group (an object's entity) in Arrow batches; what they return is one binary column.
+Kernels are numpy. Each takes one instance's cells, which a grouped aggregate has gathered as packed numbers, so that
+an Arrow batch holds many small instances; what kernels return are binary columns and numbers.
 """
 
 from __future__ import annotations
 
+import math
 import struct
+from collections.abc import Iterable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelgrain.functions import expressions as ex
+from voxelgrain.operators import measure
 from voxelgrain.operators.distance import distance_transform
+from voxelgrain.operators.lineage import kept
 from voxelgrain.operators.measure import Size
 
 HEADER = struct.Struct("<II6f")
+#: Faces above which a mesh is thinned out, and cells below which an instance has no skeleton.
+MANY_FACES, DUST_CELLS = 100, 2
 
 
 def encode_payload(vertices: np.ndarray, indices: np.ndarray) -> bytes | None:
@@ -59,12 +68,80 @@ def _grid(cells: np.ndarray, pad: int = 1) -> tuple[np.ndarray, np.ndarray]:
 _PATHS = [(0, a, a | b, 7) for a in (1, 2, 4) for b in (1, 2, 4) if a != b]
 
 
-def mesh(cells: np.ndarray, size: Size, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Closed triangle mesh (x, y, z) where the signed distance of the cells is zero, by marching tetrahedra; nothing below ``least`` cells."""
+def _blurred(field: np.ndarray, widths: list[float]) -> np.ndarray:
+    """Gaussian blur, ``widths`` in cells along each axis, with the edge values going on outside."""
+    for axis, width in enumerate(widths):
+        reach = math.ceil(4 * width)
+        if width <= 0 or reach < 1:
+            continue
+        weights = np.exp(-0.5 * (np.arange(-reach, reach + 1) / width) ** 2)
+        weights /= weights.sum()
+        lines = np.moveaxis(field, axis, -1)
+        padded = np.pad(lines, [(0, 0)] * (field.ndim - 1) + [(reach, reach)], mode="edge")
+        blurred = sum(w * padded[..., k : k + lines.shape[-1]] for k, w in enumerate(weights))
+        field = np.moveaxis(blurred, -1, axis)
+    return field
+
+
+def decimated(points: np.ndarray, faces: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` faces: vertices in one cell of a grid become one, in the finest grid that leaves so few.
+
+    A face that loses a corner goes, and so do two that cover each other, so a closed mesh stays closed.
+    """
+    low = points.min(axis=0)
+    span = float((points.max(axis=0) - low).max())
+
+    def merged(cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        place = np.floor((points - low) / span * cells).astype(np.int64)
+        _, of = np.unique(place, axis=0, return_inverse=True)
+        of = of.reshape(-1)
+        found = of[faces]
+        found = found[(found[:, 0] != found[:, 1]) & (found[:, 1] != found[:, 2]) & (found[:, 2] != found[:, 0])]
+        if len(found):
+            # Faces with the same corners count by the way they go round them; what cancels out goes.
+            first = found.argmin(axis=1)
+            found = np.take_along_axis(found, (first[:, None] + np.arange(3)) % 3, 1)
+            turned = found[:, 1] > found[:, 2]
+            corners, back = np.unique(np.where(turned[:, None], found[:, [0, 2, 1]], found), axis=0, return_inverse=True)
+            net = np.bincount(back.reshape(-1), np.where(turned, -1, 1), len(corners)).astype(int)
+            found = np.concatenate([np.repeat(corners, np.maximum(net, 0), axis=0), np.repeat(corners[:, [0, 2, 1]], np.maximum(-net, 0), axis=0)])
+        return of, found, place
+
+    few, many = 1, max(2, int(math.sqrt(len(faces))) * 4)
+    while many - few > 1:
+        middle = (few + many) // 2
+        few, many = (middle, many) if len(merged(middle)[1]) <= most else (few, middle)
+    of, found, _ = merged(few)
+    if span <= 0 or not len(found):
+        return points, faces
+    counts = np.bincount(of)
+    centres = np.stack([np.bincount(of, points[:, k]) / counts for k in range(3)], 1)
+    used, index = np.unique(found, return_inverse=True)
+    return centres[used], index.reshape(-1, 3)
+
+
+def mesh(cells: np.ndarray, size: Size, least: int = 8, sigma: float = 0.0, step: int = 1, reduction: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Closed triangle mesh (x, y, z) where the signed distance of the cells is zero, by marching tetrahedra; nothing below ``least`` cells.
+
+    The field is blurred by ``sigma`` finest cells and taken at every ``step``-th cell, but neither by more than the
+    instance can bear: half its inscribed radius, and a step less than that radius in coarsest cells. Of more than
+    ``MANY_FACES`` faces the share ``reduction`` goes.
+    """
     if len(cells) < least:
         return np.zeros((0, 3)), np.zeros((0, 3), int)
-    grid, low = _grid(cells, 2)
-    field = distance_transform(~grid, size) - distance_transform(grid, size)
+    width = max(0.0, sigma) * min(size)
+    pad = 2 if width <= 0 else max(math.ceil(3 * width / s) + 1 for s in size)
+    grid, low = _grid(cells, max(pad, 2 * step))
+    inside = distance_transform(~grid, size)
+    field = inside - distance_transform(grid, size)
+    radius = float(inside.max())
+    width = min(width, radius / 2)
+    step = max(1, min(step, int(radius / max(size)) - 1))
+    if width > 0:
+        field = _blurred(field, [width / s for s in size])
+    field = field[::step, ::step, ::step]
+    if not (field > 0).any():
+        return np.zeros((0, 3)), np.zeros((0, 3), int)
     corners = np.array([[(c >> k) & 1 for k in (2, 1, 0)] for c in range(8)])
     shape = np.array(field.shape)
     base = np.stack(np.meshgrid(*(np.arange(n - 1) for n in shape), indexing="ij"), -1).reshape(-1, 3)
@@ -91,7 +168,7 @@ def mesh(cells: np.ndarray, size: Size, least: int = 8) -> tuple[np.ndarray, np.
     unique, faces = np.unique(keys.ravel(), return_inverse=True)
     p, q = unique // field.size, unique % field.size
     t = values[p] / (values[p] - values[q])
-    at = lambda i: np.stack(np.unravel_index(i, field.shape), -1) + low
+    at = lambda i: np.stack(np.unravel_index(i, field.shape), -1) * step + low
     points = (at(p) + (at(q) - at(p)) * t[:, None]) * np.array(size)
     faces = faces.reshape(-1, 3)
     # Every face looks along the falling field.
@@ -100,7 +177,8 @@ def mesh(cells: np.ndarray, size: Size, least: int = 8) -> tuple[np.ndarray, np.
     centre_in = at(np.where(values[cut[:, 0, 0]] > 0, cut[:, 0, 0], cut[:, 0, 1])) * np.array(size)
     flip = ((middle - centre_in) * normal).sum(1) < 0
     faces[flip] = faces[flip][:, ::-1]
-    return points[:, ::-1], faces[:, ::-1]
+    points, faces = points[:, ::-1], faces[:, ::-1]
+    return decimated(points, faces, int(len(faces) * (1 - reduction))) if reduction > 0 and len(faces) > MANY_FACES else (points, faces)
 
 
 def outline(cells: np.ndarray, size: Size) -> tuple[np.ndarray, np.ndarray]:
@@ -138,15 +216,18 @@ def thin(grid: np.ndarray) -> np.ndarray:
 
 
 def pixel_graph(cells: np.ndarray, size: Size) -> tuple[np.ndarray, np.ndarray]:
-    """Vertices (micrometres) and edges between cells that touch; a diagonal is left out where a straight way round exists."""
-    index = {tuple(c): k for k, c in enumerate(cells.tolist())}
+    """Vertices (micrometres) and edges between all cells that touch, at sides and corners, each pair once."""
+    if not len(cells):
+        return np.zeros((0, 2)), np.zeros((0, 2), int)
+    low, wide = cells.min(axis=0), int(np.ptp(cells[:, 1])) + 3
+    keys = (cells[:, 0] - low[0]) * wide + cells[:, 1] - low[1] + 1
+    order = np.argsort(keys)
     edges = []
-    for (y, x), k in index.items():
-        for dy, dx in ((0, 1), (1, 0), (1, 1), (1, -1)):
-            j = index.get((y + dy, x + dx))
-            if j is not None and not (dy and dx and ((y, x + dx) in index or (y + dy, x) in index)):
-                edges.append((k, j))
-    return cells * np.array(size), np.array(edges, int).reshape(-1, 2)
+    for dy, dx in measure.half_directions(2):
+        place = np.minimum(np.searchsorted(keys[order], keys + dy * wide + dx), len(keys) - 1)
+        hit = np.flatnonzero(keys[order][place] == keys + dy * wide + dx)
+        edges.append(np.column_stack([hit, order[place[hit]]]))
+    return cells * np.array(size), np.concatenate(edges)
 
 
 def _branches(n: int, edges: np.ndarray) -> list[list[int]]:
@@ -255,58 +336,249 @@ def curve_skeleton(cells: np.ndarray, size: Size, scale: float = 1.5, const: flo
 
 
 def skeleton_payload(vertices: np.ndarray, edges: np.ndarray) -> bytes | None:
-    """Payload of a 3D skeleton (array order in, x first out); nothing below two vertices and one edge."""
-    return encode_payload(np.asarray(vertices)[:, ::-1], np.asarray(edges)) if len(vertices) >= 2 and len(edges) else None
+    """Payload of a skeleton (array order in, x first out; z is 0 in the plane); nothing below two vertices and one edge."""
+    if len(vertices) < 2 or not len(edges):
+        return None
+    points = np.asarray(vertices)[:, ::-1]
+    return encode_payload(np.column_stack([points, *[np.zeros(len(points))] * (3 - points.shape[1])]), np.asarray(edges))
 
 
-def _by_entity(rows: DataFrame, axes: list[str], columns: str, kernel) -> DataFrame:
-    kind = rows.schema["object_id"].dataType.simpleString()
-    names = [c.split()[0] for c in columns.split(", ")]
+def gathered(rows: DataFrame, by: list[str], axes: tuple[str, ...]) -> DataFrame:
+    """``by``, ``n_voxels`` and ``cells``: every group's cells as numbers of 21 bits an axis."""
+    packed = F.lit(0).cast("long")
+    for a in axes:
+        packed = F.shiftleft(packed, 21).bitwiseOR(F.col(a).cast("long"))
+    return rows.groupBy(*by).agg(F.count("*").alias("n_voxels"), F.collect_list(packed).alias("cells"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = kernel(group[axes].to_numpy())
-        return pd.DataFrame([(group["object_id"].iloc[0], group["entity"].iloc[0], *found)], columns=["object_id", "entity", *names])
 
-    return rows.groupBy("object_id", "entity").applyInPandas(run, f"object_id {kind}, entity string, {columns}")
+def _unpacked(cells: np.ndarray, dims: int) -> np.ndarray:
+    cells = np.sort(np.asarray(cells, np.int64))
+    return np.stack([cells >> (21 * (dims - 1 - k)) & 0x1FFFFF for k in range(dims)], 1)
+
+
+def _mesh_udf(size: Size, step: int, reduction: float):
+    @F.pandas_udf("binary")
+    def run(cells: pd.Series, sigma: pd.Series) -> pd.Series:
+        return pd.Series([encode_payload(*mesh(_unpacked(c, 3), size, sigma=s, step=step, reduction=reduction)) for c, s in zip(cells, sigma, strict=True)], dtype=object)
+
+    return run
+
+
+def _outline_udf(size: Size):
+    @F.pandas_udf("binary")
+    def run(cells: pd.Series) -> pd.Series:
+        return pd.Series([encode_payload(*outline(_unpacked(c, 2), size)) for c in cells], dtype=object)
+
+    return run
+
+
+_SKELETON = "skeleton binary, vertices int, branches long, cable_length_um double, tortuosity double"
+
+
+def _skeleton_udf(size: Size):
+    """The skeleton, its vertices and its metrics, of instances that are ``wanted``; no vertices for dust."""
+
+    @F.pandas_udf(_SKELETON)
+    def run(cells: pd.Series, wanted: pd.Series) -> pd.DataFrame:
+        out = []
+        for c, want in zip(cells, wanted, strict=True):
+            if not want or len(c) < DUST_CELLS:
+                out.append((None, 0, 0, 0.0, None))
+                continue
+            at = _unpacked(c, len(size))
+            if len(size) == 2:
+                grid, low = _grid(at)
+                points, edges = pixel_graph(np.argwhere(thin(grid)) + low, size)
+            else:
+                points, edges = curve_skeleton(at, size)
+            out.append((skeleton_payload(points, edges), len(points), *skeleton_graph_metrics(points, edges)))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _SKELETON.split(", ")]).astype({"tortuosity": "float64"})
+
+    return run
+
+
+def entity_filter(text: str | None, none: bool = False) -> frozenset[str] | None:
+    """Which entities get skeletons, from names with commas between them: all for nothing, and no entity at all if ``none``."""
+    if none:
+        return frozenset()
+    return None if text is None else frozenset(x for x in (ex.normal_name(part) for part in text.split(",")) if x)
+
+
+def wants_skeletons(entity: Column, allowed: frozenset[str] | None) -> Column:
+    return F.lit(True) if allowed is None else ex.normalize_name(entity).isin(sorted(allowed)) if allowed else F.lit(False)
+
+
+def skeletons(rows: DataFrame, size: Size, allowed: frozenset[str] | None = None, most: int | None = None, by: tuple[str, ...] = measure.INSTANCE, cells: DataFrame | None = None) -> DataFrame:
+    """``by``, ``skeleton, branches, cable_length_um, tortuosity`` of every instance, in the plane or in space by ``size``.
+
+    Not measured, and so null: entities that aren't wanted, those of whose instances in an object none has a skeleton,
+    and instances of more than ``most`` cells. Any other instance without a skeleton has no branch and no length.
+    """
+    cells = gathered(rows, list(by), measure.AXES[len(size)]) if cells is None else cells
+    small = F.lit(True) if most is None else F.col("n_voxels") <= most
+    wanted = wants_skeletons(F.col("entity"), allowed) & small
+    found = cells.select(*by, wanted.alias("wanted"), _skeleton_udf(size)("cells", wanted).alias("s"))
+    some = F.max(F.col("s.vertices") > 0).over(Window.partitionBy("object_id", "entity"))
+    found = found.withColumn("measured", F.col("wanted") & some)
+    known = lambda c: F.when(F.col("measured"), F.col(f"s.{c}")).alias(c)
+    return found.select(*by, F.col("s.skeleton").alias("skeleton"), known("branches"), known("cable_length_um"), known("tortuosity"))
 
 
 def meshes(masks: DataFrame, size: Size) -> DataFrame:
     """``object_id, entity, mesh`` of 3D masks; null where there is too little to mesh."""
-    return _by_entity(masks, ["z", "y", "x"], "mesh binary", lambda cells: (encode_payload(*mesh(cells, size)),))
+    cells = gathered(masks, ["object_id", "entity"], ("z", "y", "x"))
+    return cells.select("object_id", "entity", _mesh_udf(size, 1, 0.0)("cells", F.lit(0.0)).alias("mesh"))
 
 
 def outlines(masks: DataFrame, size: Size) -> DataFrame:
-    return _by_entity(masks, ["y", "x"], "outline binary", lambda cells: (encode_payload(*outline(cells, size)),))
+    cells = gathered(masks, ["object_id", "entity"], ("y", "x"))
+    return cells.select("object_id", "entity", _outline_udf(size)("cells").alias("outline"))
 
 
 def planar_skeletons(masks: DataFrame, size: Size, most: int | None = None) -> DataFrame:
     """``branches, cable_length_um, tortuosity`` of 2D masks; null above ``most`` cells."""
+    return skeletons(masks, size, most=most, by=("object_id", "entity")).drop("skeleton")
 
-    def kernel(cells: np.ndarray) -> tuple:
-        if most is not None and len(cells) > most:
-            return None, None, None
-        grid, low = _grid(cells)
-        return skeleton_graph_metrics(*pixel_graph(np.argwhere(thin(grid)) + low, size))
 
-    return _by_entity(masks, ["y", "x"], "branches long, cable_length_um double, tortuosity double", kernel)
+@dataclass(frozen=True)
+class Options:
+    """How geometry is made: the step and blur of meshes, the share of faces that goes, and which instances get skeletons."""
 
+    step: int = 2
+    smoothing: float = 0.7
+    reduction: float = 0.8
+    skeleton_entities: frozenset[str] | None = None
+    most_skeleton_voxels: int | None = None
 
-def round_trip(points: DataFrame) -> DataFrame:
-    """Encodes each entity's points, decodes them, and tells whether every one is within a quantisation step."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        vertices = group[["x", "y", "z"]].to_numpy()
-        found = decode_payload(encode_payload(vertices, np.zeros((1, 3), int)))
-        step = (vertices.max(axis=0) - vertices.min(axis=0)) / 65535 + 1e-6
-        return pd.DataFrame({"entity": [group["entity"].iloc[0]], "n": [len(vertices)], "within_step": [bool((np.abs(found[0] - vertices) <= step).all())]})
+SIZES = {3: ("volume_um3", "surface_um2", "sphericity"), 2: ("area_um2", "perimeter_um", "circularity")}
+
+
+def shapes(voxels: DataFrame, by: tuple[str, ...], size: Size) -> DataFrame:
+    """Extent, centroid, boundary, roundness, aspect ratio and fill of every group."""
+    dims = len(size)
+    extent, bound, roundness = SIZES[dims]
+    round_of = ex.roundness_3d if dims == 3 else ex.roundness_2d
+    ratio = measure.aspect_ratio_3d if dims == 3 else measure.aspect_ratio_2d
+    found = measure.extent(voxels, by, size, extent).join(measure.boundary(voxels, by, size), list(by), "left")
+    found = found.join(ratio(voxels, by, size), list(by), "left").join(measure.fill_ratio(voxels, by, dims).drop("n_voxels", "bbox_cells"), list(by), "left")
+    return found.withColumn(roundness, round_of(F.col(extent), F.col(bound)))
+
+
+def geometry_rows(labels: DataFrame, masks: DataFrame, size: Size, object_mask: str | None = None, contacts: DataFrame | None = None, options: Options | None = None) -> DataFrame:
+    """One table of an object's geometry: a row for each instance, for each whole mask (``row_type`` file), and for each contact.
+
+    Instances carry their shape, their direction from the object mask's centre, and their skeleton; instances and masks
+    a mesh in space or an outline in the plane. Counts from the payloads' headers are columns, so that a budget can be
+    kept without reading geometry.
+    """
+    options, dims = options or Options(), len(size)
+    axes, roundness = measure.AXES[dims], SIZES[dims][2]
+    by = list(measure.INSTANCE)
+
+    def drawn(cells: DataFrame) -> DataFrame:
+        if dims == 2:
+            return cells.withColumns({"mesh": F.lit(None).cast("binary"), "outline": _outline_udf(size)("cells")})
+        sigma = ex.smoothing(F.col(roundness), F.col("fill_ratio"), 0.3, 2 * options.smoothing)
+        return cells.withColumns({"mesh": _mesh_udf(size, options.step, options.reduction)("cells", sigma), "outline": F.lit(None).cast("binary")})
+
+    cells = kept(gathered(labels, by, axes))
+    found = drawn(cells.join(shapes(labels, measure.INSTANCE, size).drop("n_voxels"), by)).drop("cells")
+    found = found.join(skeletons(labels, size, options.skeleton_entities, options.most_skeleton_voxels, cells=cells), by)
+    if object_mask is not None:
+        centres = measure.extent(masks.where(F.col("entity") == object_mask), ("object_id",), size)
+        found = (measure.polarity if dims == 3 else measure.polarity_2d)(found, centres)
+    found = found.withColumns({"entity_kind": F.lit("label"), "row_type": F.lit("instance")})
+    whole = ("object_id", "entity")
+    files = drawn(gathered(masks, list(whole), axes).join(shapes(masks, whole, size).drop("n_voxels"), list(whole))).drop("cells")
+    files = files.withColumns({"entity_kind": F.lit("mask"), "row_type": F.lit("file")})
+    rows = found.unionByName(files, allowMissingColumns=True)
+    if contacts is not None:
+        rows = rows.unionByName(contacts.withColumn("row_type", F.lit("contact")), allowMissingColumns=True)
+    counts = {"mesh_vertices": ex.payload_count(F.col("mesh"), 0), "mesh_faces": F.expr("mesh_indices div 3"), "outline_vertices": ex.payload_count(F.col("outline"), 0)}
+    rows = rows.withColumns({"mesh_indices": ex.payload_count(F.col("mesh"), 1), "spatial_dims": F.lit(dims)}).withColumns(counts).drop("mesh_indices")
+    return kept(rows)
+
+
+def has_geometry() -> Column:
+    return F.col("mesh").isNotNull() | F.col("outline").isNotNull()
+
+
+def geometry_size(rows: DataFrame) -> Column:
+    """The extent by which geometry is ordered, whichever the table has."""
+    return F.coalesce(*(F.col(c) for c in ("volume_um3", "area_um2") if c in rows.columns))
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """Rows with geometry and their faces, by entity and kind of row; and, for an entity of null, the widest gap of the contacts."""
+    drawn = rows.where(has_geometry()).groupBy("entity", "row_type").agg(F.count("*").alias("n"), F.sum("mesh_faces").alias("faces"))
+    gap = F.col("gap_um") if "gap_um" in rows.columns else F.lit(None).cast("double")
+    widest = rows.where("row_type = 'contact'").agg(F.max(gap).alias("widest_gap_um"))
+    widest = widest.select(F.lit(None).cast("string").alias("entity"), F.lit("contact").alias("row_type"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("faces"), "widest_gap_um")
+    return drawn.withColumn("widest_gap_um", F.lit(None).cast("double")).unionByName(widest)
 
-    return points.groupBy("entity").applyInPandas(run, f"entity {points.schema['entity'].dataType.simpleString()}, n long, within_step boolean")
 
+def carry(rows: DataFrame, report: DataFrame, metrics: list[str], by: tuple[str, ...] = measure.INSTANCE) -> DataFrame:
+    """Geometry rows with what a report says of the same instance; where both have a value, the report's is taken."""
+    told = report.select(*(F.col(c).alias(f"of_{c}") for c in by), *(F.col(m).alias(f"told_{m}") for m in metrics))
+    joined = rows.join(told, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in by], "left")
+    mine = {m: F.coalesce(f"told_{m}", m) if m in rows.columns else F.col(f"told_{m}") for m in metrics}
+    return joined.withColumns(mine).drop(*told.columns)
+
+
+def merged_meshes(rows: DataFrame, by: tuple[str, ...] = ("object_id", "entity")) -> DataFrame:
+    """``by``, ``parts`` and one ``mesh`` of all meshes of a group, vertices one after the other."""
+
+    @F.pandas_udf("binary")
+    def run(payloads: pd.Series) -> pd.Series:
+        return pd.Series([encode_payload(*merge([decode_payload(p) for p in some])) for some in payloads], dtype=object)
+
+    parts = rows.where("mesh is not null").groupBy(*by).agg(F.count("*").alias("parts"), F.sort_array(F.collect_list("mesh")).alias("meshes"))
+    return parts.select(*by, "parts", run("meshes").alias("mesh"))
+
+
+def importable(rows: DataFrame, objects: Iterable[str] | None = None, entities: Iterable[str] | None = None, excluded: Iterable[str] = ()) -> DataFrame:
+    """Meshes that a scene takes: of the named objects and entities, or all, but for excluded entities; by object, entity and kind of row."""
+    chosen = rows.where("mesh is not null")
+    for column, names in (("object_id", objects), ("entity", entities)):
+        if names is not None:
+            chosen = chosen.where(F.col(column).cast("string").isin([str(n) for n in names]))
+    return chosen.where(~F.col("entity").isin(list(excluded)))
+
+
+def locations(objects: DataFrame, base: str | None = None) -> DataFrame:
+    """Where every object's geometry is: what its row says, or below ``base`` if that is given."""
+    known = objects.where("mesh_geometry_file is not null and object_id is not null")
+    told = F.col("mesh_geometry_file") if not base else F.concat(F.lit(base.rstrip("/") + "/"), F.col("object_id").cast("string"), F.lit("/geometry.parquet"))
+    return known.select("object_id", *[c for c in known.columns if c == "grp"], told.alias("path"))
+
+
+def palette(rows: DataFrame, chosen: DataFrame, colours: tuple[str, ...]) -> DataFrame:
+    """``entity`` and ``colour`` of all entities with geometry: the one chosen for it, else that of its place in the order of names."""
+    names = rows.where(has_geometry()).select("entity").distinct()
+    # One row for each structure: a short order.
+    place = F.pmod(F.row_number().over(Window.orderBy("entity")) - 1, F.lit(len(colours)))
+    own = chosen.where("entity_colour is not null").select(F.col("entity").alias("of"), "entity_colour").distinct()
+    turn = F.get(F.array(*map(F.lit, colours)), place)
+    return names.select("entity", turn.alias("turn")).join(own, F.col("entity") == F.col("of"), "left").select("entity", F.coalesce("entity_colour", "turn").alias("colour"))
+
+
+def payload_steps(points: DataFrame) -> DataFrame:
+    """``entity``, the counts of the header, and the sum of each axis's quantised steps, from every entity's points as a payload."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        data = encode_payload(group[["x", "y", "z"]].to_numpy(), np.zeros((1, 3), int))
+        n, m = np.frombuffer(data, "<u4", 2).tolist()
+        steps = np.frombuffer(data, "<u2", n * 3, 32).reshape(n, 3).astype(np.int64).sum(axis=0)
+        return pd.DataFrame([(group["entity"].iloc[0], n, m, *steps.tolist())], columns=["entity", "n", "indices", "x_steps", "y_steps", "z_steps"])
+
+    return points.groupBy("entity").applyInPandas(run, f"entity {points.schema['entity'].dataType.simpleString()}, n long, indices long, x_steps long, y_steps long, z_steps long")
 
-def spread_preview(rows: DataFrame, per_entity: int, budget: int, limit: int) -> DataFrame:
-    """The largest geometries of every entity below a vertex budget, largest first."""
-    from pyspark.sql import Window
 
-    size, vertices = F.coalesce("volume_um3", "area_um2"), F.coalesce("mesh_vertices", "outline_vertices", F.lit(0))
-    place = F.row_number().over(Window.partitionBy("entity").orderBy(size.desc_nulls_last(), "label"))
-    return rows.where((F.col("has_mesh") | F.col("has_outline")) & (vertices < budget)).withColumn("place", place).where(F.col("place") <= per_entity).orderBy(size.desc_nulls_last(), "entity", "label").limit(limit)
+def spread_preview(rows: DataFrame, row_type: str, per_entity: int, budget: int, limit: int) -> DataFrame:
+    """The largest geometries of one kind of row below a vertex budget, some of every entity, largest first."""
+    size, vertices = geometry_size(rows), F.coalesce("mesh_vertices", "outline_vertices", F.lit(0))
+    tie = ["entity", "label", "object_id"]
+    place = F.row_number().over(Window.partitionBy("entity").orderBy(size.desc_nulls_last(), *tie))
+    some = rows.where((F.col("row_type") == row_type) & has_geometry() & (vertices < budget)).withColumn("place", place)
+    return some.where(F.col("place") <= per_entity).orderBy(size.desc_nulls_last(), *tie).limit(limit).drop("place")

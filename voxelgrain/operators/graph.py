@@ -54,6 +54,15 @@ def per_object(members: DataFrame) -> DataFrame:
     )
 
 
+def object_metrics(profiles: DataFrame, contacts: DataFrame, members: DataFrame) -> DataFrame:
+    """By object: the share of instances in contact, the mean number of partners, the largest cluster (null for none), and the median gap."""
+    rows = profiles.groupBy("object_id").agg(
+        F.try_divide(100.0 * F.count_if(F.col("partners") > 0), F.count("*")).alias("pct_in_contact"), F.avg("partners").alias("mean_partners"),
+    )
+    rows = rows.join(per_object(members).select("object_id", F.nullif("largest", F.lit(0)).alias("largest_cluster")), "object_id", "left")
+    return rows.join(contacts.groupBy("object_id").agg(F.median("gap_um").alias("median_gap_um")), "object_id", "left")
+
+
 def condition_totals(profiles: DataFrame, contacts: DataFrame, members: DataFrame, groups: DataFrame) -> DataFrame:
     """Sums by condition of what is known by object."""
     objects = profiles.groupBy("object_id").agg(F.count("*").alias("instances"), F.count_if(F.col("partners") > 0).alias("in_contact"))

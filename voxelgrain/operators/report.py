@@ -180,3 +180,45 @@ def as_float32(rows: DataFrame) -> DataFrame:
     """Doubles and lists of doubles as 32-bit floats, for the sink."""
     kinds = {"double": "float", "array<double>": "array<float>"}
     return rows.select(*(F.col(f"`{f.name}`").cast(kinds[t]).alias(f.name) if (t := f.dataType.simpleString()) in kinds else F.col(f"`{f.name}`") for f in rows.schema))
+
+
+def object_coverage(objects: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
+    """How many objects there are, and how many of them each part says something of."""
+    joined = objects.select("object_id")
+    for name, rows in parts.items():
+        joined = joined.join(rows.select(F.col("object_id").alias(f"of_{name}")).distinct(), F.col("object_id") == F.col(f"of_{name}"), "left")
+    return joined.agg(F.count("*").alias("objects"), *(F.count(f"of_{name}").alias(name) for name in parts))
+
+
+def ordered_objects(objects: DataFrame, groups: list[str]) -> DataFrame:
+    """Objects with the rank of their group (those not named last) and their place in it: the order in which they are shown."""
+    rank = F.coalesce(*(F.when(F.col("grp") == g, F.lit(k)) for k, g in enumerate(groups)), F.lit(len(groups)))
+    return objects.select("*", rank.alias("rank"), F.row_number().over(Window.partitionBy("grp").orderBy("object_id")).alias("place"))
+
+
+def object_level(report: DataFrame) -> DataFrame:
+    """A report's rows of objects."""
+    return report.where("obs_level = 0")
+
+
+def entity_level(report: DataFrame) -> DataFrame:
+    """A report's rows of entities."""
+    return report.where("obs_level = 1 and entity_name is not null")
+
+
+#: Metrics by the number of dimensions: those of space have no meaning in the plane.
+METRICS = {3: ("volume_um3", "surface_um2", "sphericity", "elevation_deg"), 2: ("area_um2", "perimeter_um", "circularity")}
+
+
+def vocabulary(columns: list[str]) -> dict[str, str]:
+    """What a report with these columns calls an extent: volume in space; area in the plane, if that is all it has."""
+    planar = "total_volume_um3" not in columns and "total_area_um2" in columns
+    name, unit = ("area", "um2") if planar else ("volume", "um3")
+    return {"object": f"object_{name}_{unit}", "total": f"total_{name}_{unit}", "noun": name, "unit": unit}
+
+
+def metrics_of(columns: list[str], prefix: str = "instance_") -> list[str]:
+    """The metrics to offer, in order, of those that a report's columns have; in the plane without those of space."""
+    dims = 2 if vocabulary(columns)["noun"] == "area" else 3
+    common = ("aspect_ratio", "branches", "length_um", "tortuosity", "nearest_um", "polar_spread_deg")
+    return [m for m in (*METRICS[dims], *common) if f"{prefix}{m}" in columns]

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxelgrain.functions import expressions as ex
-from voxelgrain.operators import geometry, measure, report
-from voxelgrain.plans.registry import DISTANCES as DISTANCES
-from voxelgrain.plans.registry import ENTITIES, FLAT, INSTANCES, UNIT, centres, instances, query, r, rounded
+from voxelgrain.operators import contacts, geometry, graph, measure, report
+from voxelgrain.operators.lineage import kept
+from voxelgrain.plans.registry import CLOSE_PARTNERS, COMPONENTS, CONTACTS, FLAT, GROUPS, INSTANCES, PER_OBJECT, PROFILE, close_contacts, distances, edges, instances, query, r, rounded
 from voxelgrain.sources import adapter
 from voxelgrain.sources.adapter import SIZE, with_views
 
@@ -38,12 +38,12 @@ def unnest_instances(spark, sf):
     return rounded(report.unnest(as_report(spark, sf), ["object_id"], lists, "instance_entity"), "instance_volume_um3")
 
 
-@query("unnest_round_trip", with_views("vox", INSTANCES) + "SELECT count(*) AS n, count(DISTINCT object_id) AS objects, 0::BIGINT AS different FROM inst")
+@query("unnest_round_trip", with_views("vox", INSTANCES) + f"SELECT entity, count(*) AS n, count(DISTINCT object_id) AS objects, sum(label)::BIGINT AS labels, {r('sum(volume_um3)', 'volume_um3')} FROM inst GROUP BY 1")
 def unnest_round_trip(spark, sf):
     lists = ["instance_entity", "instance_label", "instance_volume_um3", "instance_surface_um2"]
-    back = report.unnest(as_report(spark, sf), ["object_id"], lists, "instance_entity").select("object_id", F.col("instance_entity").alias("entity"), F.col("instance_label").alias("label"), F.col("instance_volume_um3").alias("back"))
-    both = instances(spark, sf).select("object_id", "entity", "label", "volume_um3").join(back, ["object_id", "entity", "label"], "full")
-    return both.agg(F.count("*").alias("n"), F.countDistinct("object_id").alias("objects"), F.count_if(~F.col("volume_um3").eqNullSafe(F.col("back"))).alias("different"))
+    back = report.unnest(as_report(spark, sf), ["object_id"], lists, "instance_entity").withColumnRenamed("instance_entity", "entity")
+    found = back.groupBy("entity").agg(F.count("*").alias("n"), F.countDistinct("object_id").alias("objects"), F.sum("instance_label").alias("labels"), F.sum("instance_volume_um3").alias("volume_um3"))
+    return rounded(found, "volume_um3")
 
 
 _ODD = "CASE WHEN user_id % 7 = 0 THEN CAST('NaN' AS DOUBLE) WHEN user_id % 11 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE value END"
@@ -106,13 +106,24 @@ def mann_whitney(spark, sf):
 
 # --- overview ----------------------------------------------------------------------------------------------------
 
-#: Entities of the overview: some objects lack some; masks have no count.
-_SOME = "chosen AS (SELECT * FROM ent WHERE NOT (object_id % 9 = 0 AND entity = 'A') UNION ALL SELECT object_id, 'nucleus', NULL, count(*) * ({u}) FROM nucleus WHERE object_id % 4 <> 0 GROUP BY 1)".replace("{u}", UNIT)
+#: The overview's objects are customers and their structures the priorities of their orders, so that some objects lack
+#: some structures, or have none, as the rows are. The mask, with no count, is what is partly delivered.
+_CUSTOMERS = "objects AS (SELECT c_custkey AS object_id, r_name AS grp FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+_SOME = """chosen AS (SELECT o_custkey AS object_id, o_orderpriority AS entity, count(*) AS instance_count, sum(o_totalprice) AS total_um3 FROM orders GROUP BY 1, 2
+  UNION ALL SELECT o_custkey, 'nucleus', NULL, sum(o_totalprice) FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)"""
+
+
+def customers(spark, sf):
+    nation, region = adapter.table(spark, sf, "nation"), adapter.table(spark, sf, "region")
+    joined = adapter.table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return joined.select(F.col("c_custkey").alias("object_id"), F.col("r_name").alias("grp"))
 
 
 def some_entities(spark, sf):
-    labels = measure.entity_sizes(adapter.voxels(spark, sf), SIZE).where("not (object_id % 9 = 0 and entity = 'A')")
-    mask = measure.extent(adapter.nucleus(spark, sf).where("object_id % 4 <> 0"), ("object_id",), SIZE, "total_um3")
+    orders = adapter.table(spark, sf, "orders").withColumnRenamed("o_custkey", "object_id")
+    size = F.sum("o_totalprice").alias("total_um3")
+    labels = orders.groupBy("object_id", F.col("o_orderpriority").alias("entity")).agg(F.count("*").alias("instance_count"), size)
+    mask = orders.where("o_orderstatus = 'P'").groupBy("object_id").agg(size)
     return labels.unionByName(mask.select("object_id", F.lit("nucleus").alias("entity"), F.lit(None).cast("long").alias("instance_count"), "total_um3"))
 
 
@@ -121,53 +132,58 @@ _GRID = "grid AS (SELECT o.object_id, s.entity, e.object_id IS NULL AS missing,
 
 def grid(spark, sf):
     rows = some_entities(spark, sf)
-    return report.presence(adapter.objects(spark, sf), rows, rows)
+    return report.presence(customers(spark, sf), rows, rows)
 
 
-@query("presence_matrix", with_views("vox nucleus objects", ENTITIES, _SOME, _GRID) + "SELECT * FROM grid")
+@query("presence_matrix", with_views("", _CUSTOMERS, _SOME, _GRID) + "SELECT * FROM grid")
 def presence_matrix(spark, sf):
     return grid(spark, sf)
 
 
-@query("structure_gaps", with_views("vox nucleus objects", ENTITIES, _SOME, _GRID) + "SELECT entity, count(*) FILTER (missing) AS missing_in FROM grid GROUP BY 1 HAVING count(*) FILTER (missing) > 0")
+@query("structure_gaps", with_views("", _CUSTOMERS, _SOME, _GRID) + "SELECT entity, count(*) FILTER (missing) AS missing_in FROM grid GROUP BY 1 HAVING count(*) FILTER (missing) > 0")
 def structure_gaps(spark, sf):
     return report.structure_gaps(grid(spark, sf))
 
 
 @query(
     "composition",
-    with_views("vox nucleus pm", ENTITIES, _SOME, f"s AS (SELECT object_id, count(*) * ({UNIT}) AS object_um3 FROM pm GROUP BY 1)", "f AS (SELECT chosen.object_id, entity, total_um3 / object_um3 AS fraction FROM chosen JOIN s ON s.object_id = chosen.object_id WHERE total_um3 > 0)")
+    with_views("", _SOME, "s AS (SELECT o_custkey AS object_id, 2 * sum(o_totalprice) AS object_um3 FROM orders GROUP BY 1)", "f AS (SELECT chosen.object_id, entity, total_um3 / object_um3 AS fraction FROM chosen JOIN s ON s.object_id = chosen.object_id WHERE total_um3 > 0)")
     + f"SELECT object_id, entity, {r('fraction', 'fraction')}, {r('sum(fraction) OVER (PARTITION BY object_id)', 'assigned')}, {r('greatest(0, 1 - sum(fraction) OVER (PARTITION BY object_id))', 'unassigned')} FROM f",
 )
 def composition(spark, sf):
-    sizes = centres(spark, sf).select("object_id", F.col("volume_um3").alias("object_um3"))
+    sizes = adapter.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("object_id")).agg((2 * F.sum("o_totalprice")).alias("object_um3"))
     return rounded(report.composition(some_entities(spark, sf), sizes, "pm"), "fraction", "assigned", "unassigned")
 
 
-@query("overview_counts", with_views("vox nucleus", ENTITIES, _SOME, "o AS (SELECT count(DISTINCT object_id) AS objects FROM chosen)", "e AS (SELECT entity, count(*) AS present, count(instance_count) AS labelled, sum(instance_count) AS instances FROM chosen GROUP BY 1)") + "SELECT max(objects) AS objects, count(*) AS structures, count(*) FILTER (labelled > 0) AS labelled, sum(instances)::BIGINT AS instances, count(*) FILTER (present < objects) AS uneven FROM e, o")
+@query("overview_counts", with_views("", _SOME, "o AS (SELECT count(DISTINCT object_id) AS objects FROM chosen)", "e AS (SELECT entity, count(*) AS present, count(instance_count) AS labelled, sum(instance_count) AS instances FROM chosen GROUP BY 1)") + "SELECT max(objects) AS objects, count(*) AS structures, count(*) FILTER (labelled > 0) AS labelled, sum(instances)::BIGINT AS instances, count(*) FILTER (present < objects) AS uneven FROM e, o")
 def overview_counts(spark, sf):
     return report.overview(some_entities(spark, sf))
 
 
-@query("mixed_dims", "SELECT CASE WHEN s_suppkey % 6 = 0 THEN 2 ELSE 3 END AS spatial_dims, count(*) AS objects FROM supplier GROUP BY 1 HAVING (SELECT count(DISTINCT CASE WHEN s_suppkey % 6 = 0 THEN 2 ELSE 3 END) FROM supplier) > 1")
+@query(
+    "mixed_dims",
+    with_views("vox plane", "d AS (SELECT DISTINCT object_id, 3 AS spatial_dims FROM vox UNION ALL SELECT DISTINCT object_id, 2 FROM plane)")
+    + "SELECT spatial_dims, count(*) AS objects FROM d GROUP BY 1 HAVING (SELECT count(DISTINCT spatial_dims) FROM d) > 1",
+)
 def mixed_dims(spark, sf):
-    return report.mixed_dims(adapter.objects(spark, sf).withColumn("spatial_dims", F.when(F.col("object_id") % 6 == 0, 2).otherwise(3)))
+    solid = adapter.voxels(spark, sf).select("object_id").distinct().withColumn("spatial_dims", F.lit(3))
+    return report.mixed_dims(solid.unionByName(adapter.plane(spark, sf).select("object_id").distinct().withColumn("spatial_dims", F.lit(2))))
 
 
-@query("coverage", with_views("vox nucleus", ENTITIES, _SOME) + "SELECT count(*) AS objects, count(*) FILTER (n > 0) AS with_instances, count(*) FILTER (m) AS with_mask FROM (SELECT object_id, sum(instance_count) AS n, bool_or(entity = 'nucleus') AS m FROM chosen GROUP BY 1)")
+@query("coverage", with_views("", _SOME) + "SELECT count(*) AS objects, count(*) FILTER (n > 0) AS with_instances, count(*) FILTER (m) AS with_mask FROM (SELECT object_id, sum(instance_count) AS n, bool_or(entity = 'nucleus') AS m FROM chosen GROUP BY 1)")
 def coverage(spark, sf):
     rows = some_entities(spark, sf).groupBy("object_id").agg(F.sum("instance_count").alias("n"), F.bool_or(F.col("entity") == "nucleus").alias("m"))
     return rows.agg(F.count("*").alias("objects"), F.count_if(F.col("n") > 0).alias("with_instances"), F.count_if("m").alias("with_mask"))
 
 
-@query("entity_presence", with_views("vox nucleus", ENTITIES, _SOME) + "SELECT (CASE WHEN entity = 'nucleus' THEN 'mask' ELSE 'label' END) || ':' || entity AS key, count(*) AS present, (SELECT count(DISTINCT object_id) FROM chosen) AS objects FROM chosen GROUP BY 1")
+@query("entity_presence", with_views("", _SOME) + "SELECT (CASE WHEN entity = 'nucleus' THEN 'mask' ELSE 'label' END) || ':' || entity AS key, count(*) AS present, (SELECT count(DISTINCT object_id) FROM chosen) AS objects FROM chosen GROUP BY 1")
 def entity_presence(spark, sf):
     rows = some_entities(spark, sf)
     key = F.concat(F.when(F.col("entity") == "nucleus", "mask").otherwise("label"), F.lit(":"), F.col("entity"))
     return rows.groupBy(key.alias("key")).agg(F.count("*").alias("present")).crossJoin(rows.agg(F.countDistinct("object_id").alias("objects")))
 
 
-@query("entity_order", with_views("vox nucleus", ENTITIES, _SOME) + "SELECT entity, CAST(row_number() OVER (ORDER BY entity <> 'nucleus', entity) AS INTEGER) AS place FROM (SELECT DISTINCT entity FROM chosen)")
+@query("entity_order", with_views("", _SOME) + "SELECT entity, CAST(row_number() OVER (ORDER BY entity <> 'nucleus', entity) AS INTEGER) AS place FROM (SELECT DISTINCT entity FROM chosen)")
 def entity_order(spark, sf):
     from pyspark.sql import Window
 
@@ -322,83 +338,174 @@ def group_of_path(spark, sf):
 
 # --- geometry ----------------------------------------------------------------------------------------------------
 
+#: Regions of the plane, each a component of its mask, and the whole of an object's masks as one; the outline of a set
+#: of cells has a vertex at every corner of an edge that has no other cell behind it.
+_REGIONS = COMPONENTS + """,
+region AS (SELECT object_id, entity, CAST(dense_rank() OVER (PARTITION BY object_id, entity ORDER BY root) AS INTEGER) AS label, CAST(id // 1000 AS INTEGER) AS y, CAST(id % 1000 AS INTEGER) AS x FROM c),
+drawn AS (SELECT 'instance' AS row_type, * FROM region UNION ALL SELECT DISTINCT 'file', object_id, 'all', NULL, y, x FROM plane),
+sides AS (SELECT d.*, dy, dx FROM drawn d, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) v(dy, dx) WHERE NOT EXISTS (SELECT 1 FROM drawn o
+  WHERE o.row_type = d.row_type AND o.object_id = d.object_id AND o.entity = d.entity AND o.label IS NOT DISTINCT FROM d.label AND o.y = d.y + dy AND o.x = d.x + dx)),
+corners AS (SELECT row_type, object_id, entity, label, unnest([[2 * y + dy - abs(dx), 2 * x + dx - abs(dy)], [2 * y + dy + abs(dx), 2 * x + dx + abs(dy)]]) AS p FROM sides),
+outlined AS (SELECT row_type, object_id, entity, label, count(DISTINCT p) AS outline_vertices FROM corners GROUP BY ALL),
+sized AS (SELECT row_type, object_id, entity, label, count(*) AS n_voxels, count(*) * 0.02::DOUBLE * 0.02 AS area_um2 FROM drawn GROUP BY ALL),
+shape AS (SELECT s.*, outline_vertices FROM sized s JOIN outlined o ON s.row_type = o.row_type AND s.object_id = o.object_id AND s.entity = o.entity AND s.label IS NOT DISTINCT FROM o.label),
+touch AS (SELECT a.object_id, a.entity AS entity_a, a.label AS label_a, b.entity AS entity_b, b.label AS label_b, min(sqrt(pow((a.y - b.y) * 0.02, 2) + pow((a.x - b.x) * 0.02, 2))) AS gap_um FROM region a JOIN region b
+  ON a.object_id = b.object_id AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 AND (a.entity < b.entity OR (a.entity = b.entity AND a.label < b.label)) GROUP BY ALL HAVING min(pow((a.y - b.y) * 0.02, 2) + pow((a.x - b.x) * 0.02, 2)) <= 0.04 * 0.04 + 1e-9)
+"""
+
+
+def regions(spark, sf):
+    return measure.components(adapter.plane(spark, sf))
+
+
+def flat_geometry(spark, sf):
+    cells = adapter.plane(spark, sf)
+    found = kept(regions(spark, sf))
+    whole = cells.select("object_id", F.lit("all").alias("entity"), "y", "x").distinct()
+    touching = contacts.edges(found, 2 * FLAT[0], FLAT, ("y", "x"))
+    return geometry.geometry_rows(found, whole, FLAT, "all", touching)
+
 
-@query("outline_counts")
+@query("geometry_rows", _REGIONS + f"SELECT object_id, entity, label, row_type, n_voxels, {r('area_um2', 'area_um2')}, outline_vertices, NULL AS entity_a, NULL AS label_a, NULL AS entity_b, NULL AS label_b, CAST(NULL AS DOUBLE) AS gap_um FROM shape UNION ALL SELECT object_id, NULL, NULL, 'contact', NULL, NULL, NULL, entity_a, label_a, entity_b, label_b, {r('gap_um', 'gap_um')} FROM touch")
+def geometry_rows(spark, sf):
+    names = ("object_id", "entity", "label", "row_type", "n_voxels", "area_um2", "outline_vertices", "entity_a", "label_a", "entity_b", "label_b", "gap_um")
+    return rounded(flat_geometry(spark, sf).select(*names), "area_um2", "gap_um")
+
+
+@query("geometry_summary", _REGIONS + f"SELECT entity, row_type, count(*) AS n, CAST(NULL AS BIGINT) AS faces, CAST(NULL AS DOUBLE) AS widest_gap_um FROM shape GROUP BY 1, 2 UNION ALL SELECT NULL, 'contact', NULL, NULL, {r('max(gap_um)', 'widest_gap_um')} FROM touch")
+def geometry_summary(spark, sf):
+    return rounded(geometry.summary(flat_geometry(spark, sf)), "widest_gap_um")
+
+
+@query(
+    "preview_topk",
+    _REGIONS + ", p AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY area_um2 DESC, label, object_id) AS place FROM shape WHERE row_type = 'instance' AND outline_vertices < 16) "
+    f"SELECT object_id, entity, label, {r('area_um2', 'area_um2')}, outline_vertices FROM p WHERE place <= 5 ORDER BY area_um2 DESC, entity, label, object_id LIMIT 12",
+)
+def preview_topk(spark, sf):
+    some = geometry.spread_preview(flat_geometry(spark, sf), "instance", per_entity=5, budget=16, limit=12)
+    return rounded(some.select("object_id", "entity", "label", "area_um2", "outline_vertices"), "area_um2")
+
+
+@query(
+    "geometry_palette",
+    _REGIONS + ", names AS (SELECT DISTINCT entity FROM shape), named AS (SELECT entity, CASE entity WHEN 'all' THEN '#d62728' WHEN 'click' THEN '#22cc33' END AS chosen FROM names) "
+    f"SELECT entity, {_turn_sql(SPACE_COLOURS, 'colour')} FROM named",
+)
+def geometry_palette(spark, sf):
+    chosen = spark.createDataFrame([("all", "#D62728"), ("click", "#2c3"), ("elsewhere", "#000000")], "entity string, entity_colour string")
+    return geometry.palette(flat_geometry(spark, sf), chosen.withColumn("entity_colour", ex.hex_colour(F.col("entity_colour"))), SPACE_COLOURS)
+
+
+@query(
+    "carried_metrics",
+    _REGIONS + ", owner AS (SELECT object_id, y, x, max(entity) AS entity FROM region GROUP BY 1, 2, 3), told AS (SELECT object_id, entity, label, count(*) * 0.02::DOUBLE * 0.02 AS area_um2 FROM region JOIN owner USING (object_id, y, x, entity) GROUP BY 1, 2, 3) "
+    f"SELECT s.object_id, s.entity, s.label, {r('coalesce(t.area_um2, s.area_um2)', 'area_um2')} FROM shape s LEFT JOIN told t ON s.object_id = t.object_id AND s.entity = t.entity AND s.label = t.label WHERE row_type = 'instance'",
+)
+def carried_metrics(spark, sf):
+    """Areas as a report has them, of the cells that a region owns; regions that own none keep the area of their geometry."""
+    owned = contacts.claim(regions(spark, sf).withColumn("z", F.lit(0)))
+    told = measure.extent(owned, measure.INSTANCE, FLAT, "area_um2").withColumn("row_type", F.lit("instance"))
+    rows = geometry.carry(flat_geometry(spark, sf), told, ["area_um2"], (*measure.INSTANCE, "row_type"))
+    return rounded(rows.where("row_type = 'instance'").select(*measure.INSTANCE, "area_um2"), "area_um2")
+
+
+@query("outline_counts", _REGIONS + "SELECT s.object_id, s.entity, s.label, outline_vertices AS vertices, 2 * sides AS indices FROM shape s JOIN (SELECT object_id, entity, label, count(*) AS sides FROM sides WHERE row_type = 'instance' GROUP BY ALL) e ON s.object_id = e.object_id AND s.entity = e.entity AND s.label = e.label")
 def outline_counts(spark, sf):
-    rows = geometry.outlines(adapter.plane(spark, sf), FLAT)
-    return rows.select("object_id", "entity", ex.payload_count(F.col("outline"), 0).alias("vertices"), ex.payload_count(F.col("outline"), 1).alias("indices"))
+    rows = flat_geometry(spark, sf).where("row_type = 'instance'")
+    return rows.select("object_id", "entity", "label", ex.payload_count(F.col("outline"), 0).alias("vertices"), ex.payload_count(F.col("outline"), 1).alias("indices"))
+
+
+def solid_geometry(spark, sf):
+    masks = adapter.object_mask(spark, sf).withColumn("entity", F.lit("pm")).unionByName(adapter.nucleus(spark, sf).withColumn("entity", F.lit("nucleus")))
+    return geometry.geometry_rows(adapter.voxels(spark, sf, adapter.FEW), masks, SIZE, "pm")
 
 
 @query("mesh_counts")
 def mesh_counts(spark, sf):
-    masks = adapter.object_mask(spark, sf).withColumn("entity", F.lit("pm"))
-    rows = geometry.meshes(masks, SIZE)
-    return rows.select("object_id", "entity", ex.payload_count(F.col("mesh"), 0).alias("vertices"), ex.payload_count(F.col("mesh"), 1).alias("indices"))
+    """All instances and masks in space: meshes, and skeletons with their metrics."""
+    rows = solid_geometry(spark, sf)
+    return rounded(rows.select("object_id", "entity", "label", "row_type", "n_voxels", "mesh_vertices", "mesh_faces", "branches", "cable_length_um", "tortuosity"), "cable_length_um", "tortuosity")
 
 
-@query("payload_roundtrip", with_views("points") + "SELECT entity, count(*) AS n, true AS within_step FROM points GROUP BY 1")
-def payload_roundtrip(spark, sf):
-    return geometry.round_trip(adapter.points(spark, sf))
+@query("merged_meshes")
+def merged_meshes(spark, sf):
+    rows = geometry.merged_meshes(geometry.importable(solid_geometry(spark, sf), excluded=["pm"]))
+    return rows.select("object_id", "entity", "parts", ex.payload_count(F.col("mesh"), 0).alias("vertices"), ex.payload_count(F.col("mesh"), 1).alias("indices"))
 
 
-@query("skeleton_metrics")
-def skeleton_metrics(spark, sf):
-    return rounded(geometry.planar_skeletons(adapter.plane(spark, sf), FLAT), "cable_length_um", "tortuosity")
+_STEPS = ", ".join(f"CAST(sum(floor(({a}::DOUBLE - {a}0::DOUBLE) / ({a}1 - {a}0)::FLOAT::DOUBLE * 65535 + 0.5)) AS BIGINT) AS {a}_steps" for a in "xyz")
 
 
 @query(
-    "geometry_summary",
-    with_views("vox", INSTANCES) + f"SELECT entity, 'instance' AS row_type, count(*) AS n, sum(n_voxels)::BIGINT AS voxels FROM inst GROUP BY 1",
+    "payload_roundtrip",
+    with_views("points", "b AS (SELECT entity AS of, " + ", ".join(f"min({a}) AS {a}0, max({a}) AS {a}1" for a in "xyz") + " FROM points GROUP BY 1)")
+    + f"SELECT entity, count(*) AS n, 3::BIGINT AS indices, {_STEPS} FROM points JOIN b ON entity = of GROUP BY 1",
 )
-def geometry_summary(spark, sf):
-    return instances(spark, sf).groupBy("entity", F.lit("instance").alias("row_type")).agg(F.count("*").alias("n"), F.sum("n_voxels").alias("voxels"))
+def payload_roundtrip(spark, sf):
+    return geometry.payload_steps(adapter.points(spark, sf))
+
+
+@query("skeleton_metrics")
+def skeleton_metrics(spark, sf):
+    return rounded(geometry.planar_skeletons(adapter.plane(spark, sf), FLAT), "cable_length_um", "tortuosity")
 
 
 # --- further selections ------------------------------------------------------------------------------------------
 
 
-@query("gallery_total", with_views("vox", INSTANCES) + "SELECT count(*) AS n FROM inst WHERE isfinite(volume_um3) AND entity = 'A'")
+@query("gallery_total", with_views("vox", INSTANCES) + "SELECT count(*) AS n FROM inst WHERE isfinite(volume_um3)")
 def gallery_total(spark, sf):
-    return instances(spark, sf).where((F.col("entity") == "A") & ex.finite(F.col("volume_um3")).isNotNull()).agg(F.count("*").alias("n"))
+    return instances(spark, sf).where(ex.finite(F.col("volume_um3")).isNotNull()).agg(F.count("*").alias("n"))
 
 
-@query(
-    "object_rows",
-    with_views("vox nucleus objects", ENTITIES, _SOME) + "SELECT o.object_id, grp, bool_or(instance_count IS NOT NULL) AS has_instances, count(entity) AS n_entities FROM objects o LEFT JOIN chosen c ON c.object_id = o.object_id GROUP BY 1, 2",
-)
-def object_rows(spark, sf):
-    rows = adapter.objects(spark, sf).join(some_entities(spark, sf), "object_id", "left")
-    return rows.groupBy("object_id", "grp").agg(F.bool_or(F.col("instance_count").isNotNull()).alias("has_instances"), F.count("entity").alias("n_entities"))
+@query("distance_pairs", with_views("vox nucleus") + "SELECT DISTINCT v.entity, t.target FROM vox v JOIN (SELECT DISTINCT object_id, entity AS target FROM vox UNION SELECT DISTINCT object_id, 'nucleus' FROM nucleus) t ON v.object_id = t.object_id AND v.entity <> t.target")
+def distance_pairs(spark, sf):
+    """Which entities have distances to which, from a report's two aligned lists."""
+    rows = distances(spark, sf).where("distance_um is not null")
+    listed = report.to_lists(rows, "object_id", ["entity", "target", "label", "distance_um"], ["entity", "target", "label"], "distance_")
+    return report.unnest(listed, ["object_id"], ["distance_entity", "distance_target"], "distance_entity").select(F.col("distance_entity").alias("entity"), F.col("distance_target").alias("target")).distinct()
 
 
-@query("entity_rows_of_group", with_views("vox nucleus objects", ENTITIES, _SOME) + f"SELECT object_id, entity, instance_count, {r('total_um3', 'total_um3')} FROM chosen WHERE object_id IN (SELECT object_id FROM objects WHERE grp = 'ASIA')")
-def entity_rows_of_group(spark, sf):
-    wanted = adapter.objects(spark, sf).where("grp = 'ASIA'")
-    return rounded(some_entities(spark, sf).join(wanted, "object_id", "left_semi"), "total_um3")
+@query("contact_coverage", with_views("objects vox nucleus", *CONTACTS) + "SELECT count(*) AS objects, count(i.object_id) AS with_instances, count(e.object_id) AS with_contacts FROM objects o LEFT JOIN (SELECT DISTINCT object_id FROM vox) i ON i.object_id = o.object_id LEFT JOIN (SELECT DISTINCT object_id FROM edges) e ON e.object_id = o.object_id")
+def contact_coverage(spark, sf):
+    return report.object_coverage(adapter.objects(spark, sf), {"with_instances": adapter.voxels(spark, sf), "with_contacts": edges(spark, sf)})
+
+
+@query("maybe_int", f"SELECT event_id, CASE WHEN isfinite(v) THEN CAST(trunc(v) AS BIGINT) END AS id FROM (SELECT event_id, try_cast(nullif({'{}'}, '') AS DOUBLE) AS v FROM events)".replace("{}", "CASE user_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'NaN' WHEN 2 THEN NULL ELSE CAST(value AS VARCHAR) END"))
+def maybe_int(spark, sf):
+    text = F.expr("case user_id % 5 when 0 then '' when 1 then 'NaN' when 2 then null else cast(value as string) end")
+    return adapter.table(spark, sf, "events").select("event_id", ex.maybe_int(text).alias("id"))
+
+
+@query("object_order", with_views("objects") + "SELECT object_id, grp, CAST(CASE grp WHEN 'EUROPE' THEN 0 WHEN 'ASIA' THEN 1 ELSE 2 END AS INTEGER) AS rank, CAST(row_number() OVER (PARTITION BY grp ORDER BY object_id) AS INTEGER) AS place FROM objects")
+def object_order(spark, sf):
+    return report.ordered_objects(adapter.objects(spark, sf), ["EUROPE", "ASIA"])
 
 
 @query(
-    "preview_topk",
-    with_views("vox", INSTANCES, "p AS (SELECT object_id, entity, label, round(volume_um3, 9) AS volume_um3, n_voxels * 8 AS mesh_vertices, row_number() OVER (PARTITION BY entity ORDER BY round(volume_um3, 9) DESC, label, object_id) AS place FROM inst WHERE n_voxels * 8 < 48)")
-    + "SELECT object_id, entity, label, volume_um3, mesh_vertices FROM p WHERE place <= 5",
+    "object_metrics",
+    with_views("vox", *GROUPS, PER_OBJECT, CLOSE_PARTNERS, PROFILE.replace("FROM vox", "FROM owned"), "o AS (SELECT object_id, count(*) AS instances, count(*) FILTER (partners > 0) AS in_contact, avg(partners) AS mean_partners FROM profile GROUP BY 1)", "t AS (SELECT object_id, median(gap_um) AS median_gap_um FROM same GROUP BY 1)")
+    + f"SELECT object_id, {r('100.0 * in_contact / instances', 'pct_in_contact')}, {r('mean_partners', 'mean_partners')}, nullif(largest, 0) AS largest_cluster, {r('median_gap_um', 'median_gap_um')} FROM o LEFT JOIN t USING (object_id) LEFT JOIN per_object USING (object_id)",
 )
-def preview_topk(spark, sf):
-    rows = instances(spark, sf).select("object_id", "entity", "label", F.round("volume_um3", 9).alias("volume_um3"), (F.col("n_voxels") * 8).alias("mesh_vertices"))
-    some = report.largest_by_entity(rows.where("mesh_vertices < 48"), "entity", "volume_um3", 5, ["label", "object_id"])
-    return some.drop("place")
+def object_metrics(spark, sf):
+    nodes, found = (kept(df) for df in close_contacts(spark, sf))
+    return rounded(graph.object_metrics(contacts.profile(nodes, found), found, graph.clusters(nodes, found)), "pct_in_contact", "mean_partners", "median_gap_um")
 
 
-@query("geometry_palette", with_views("vox", INSTANCES) + "SELECT DISTINCT entity, CASE entity WHEN 'A' THEN '#d62728' WHEN 'N' THEN '#22cc33' END AS colour FROM inst")
-def geometry_palette(spark, sf):
-    chosen = F.create_map(*(F.lit(v) for k, c in _PALETTE.items() for v in (k, ex.hex_colour_of(c))))
-    return instances(spark, sf).select("entity", F.try_element_at(chosen, "entity").alias("colour")).distinct()
+@query(
+    "object_rows",
+    with_views("", _CUSTOMERS, _SOME) + "SELECT o.object_id, grp, bool_or(instance_count IS NOT NULL) AS has_instances, count(entity) AS n_entities FROM objects o LEFT JOIN chosen c ON c.object_id = o.object_id GROUP BY 1, 2",
+)
+def object_rows(spark, sf):
+    rows = customers(spark, sf).join(some_entities(spark, sf), "object_id", "left")
+    return rows.groupBy("object_id", "grp").agg(F.bool_or(F.col("instance_count").isNotNull()).alias("has_instances"), F.count("entity").alias("n_entities"))
 
 
-@query("carried_metrics", with_views("vox", INSTANCES) + f"SELECT i.object_id, i.entity, i.label, {r('coalesce(CASE WHEN i.label % 2 = 0 THEN 1.5 END, volume_um3)', 'volume_um3')} FROM inst i")
-def carried_metrics(spark, sf):
-    known = instances(spark, sf).where("label % 2 = 0").select("object_id", "entity", "label", F.lit(1.5).alias("reported"))
-    both = instances(spark, sf).join(known, ["object_id", "entity", "label"], "left")
-    return rounded(both.select("object_id", "entity", "label", F.coalesce("reported", "volume_um3").alias("volume_um3")), "volume_um3")
+@query("entity_rows_of_group", with_views("", _CUSTOMERS, _SOME) + f"SELECT object_id, entity, instance_count, {r('total_um3', 'total_um3')} FROM chosen WHERE object_id IN (SELECT object_id FROM objects WHERE grp = 'ASIA')")
+def entity_rows_of_group(spark, sf):
+    wanted = customers(spark, sf).where("grp = 'ASIA'")
+    return rounded(some_entities(spark, sf).join(wanted, "object_id", "left_semi"), "total_um3")
 
 
 @query(

@@ -70,10 +70,14 @@ def entity_sizes(spark, sf):
     return rounded(measure.entity_sizes(adapter.voxels(spark, sf), SIZE), "total_um3")
 
 
-@query("entity_rollup", with_views("vox", ENTITIES) + f"SELECT object_id, count(*) AS n_entities, sum(instance_count)::BIGINT AS instance_count, round(CASE WHEN count(*) = 1 THEN min(total_um3) END, {DIGITS}) AS total_um3 FROM ent WHERE object_id % 5 <> 0 OR entity = 'R' GROUP BY 1")
+@query(
+    "entity_rollup",
+    f"SELECT o_custkey AS object_id, count(*) AS n_entities, sum(n)::BIGINT AS instance_count, round(CASE WHEN count(*) = 1 THEN min(total) END, {DIGITS}) AS total_um3 FROM (SELECT o_custkey, o_orderpriority, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY 1, 2) GROUP BY 1",
+)
 def entity_rollup(spark, sf):
-    some = measure.entity_sizes(adapter.voxels(spark, sf), SIZE).where("object_id % 5 <> 0 or entity = 'R'")
-    return measure.roll_up(some, ["instance_count"], ["total_um3"]).withColumn("total_um3", F.round("total_um3", DIGITS))
+    """Customers as objects and the priorities of their orders as entities: some have one only, whose size is passed on."""
+    entities = adapter.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("object_id"), "o_orderpriority").agg(F.count("*").alias("instance_count"), F.sum("o_totalprice").alias("total_um3"))
+    return measure.roll_up(entities, ["instance_count"], ["total_um3"]).withColumn("total_um3", F.round("total_um3", DIGITS))
 
 
 @query("object_extent", with_views("pm") + f"SELECT object_id, count(*) AS n_voxels, {r(f'count(*) * ({UNIT})', 'volume_um3')} FROM pm GROUP BY 1")
@@ -228,7 +232,7 @@ def crop_to_bbox(spark, sf):
     return measure.crop(adapter.voxels(spark, sf), adapter.nucleus(spark, sf))
 
 
-_COMPONENTS = with_views(
+COMPONENTS = with_views(
     "plane",
     "n AS (SELECT object_id, entity, y, x, y * 1000 + x AS id FROM plane)",
     "e AS (SELECT a.object_id, a.entity, a.id AS a, b.id AS b FROM n a JOIN n b ON a.object_id = b.object_id AND a.entity = b.entity AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1)",
@@ -237,12 +241,12 @@ _COMPONENTS = with_views(
 )
 
 
-@query("components_2d", _COMPONENTS + "SELECT object_id, entity, CAST(id // 1000 AS INTEGER) AS y, CAST(id % 1000 AS INTEGER) AS x, CAST(dense_rank() OVER (PARTITION BY object_id, entity ORDER BY root) AS INTEGER) AS label FROM c")
+@query("components_2d", COMPONENTS + "SELECT object_id, entity, CAST(id // 1000 AS INTEGER) AS y, CAST(id % 1000 AS INTEGER) AS x, CAST(dense_rank() OVER (PARTITION BY object_id, entity ORDER BY root) AS INTEGER) AS label FROM c")
 def components_2d(spark, sf):
     return measure.components(adapter.plane(spark, sf))
 
 
-@query("promoted_masks", _COMPONENTS + "SELECT object_id, entity, CASE WHEN count(DISTINCT root) > 1 THEN 'label' ELSE 'mask' END AS kind, CASE WHEN count(DISTINCT root) > 1 THEN count(DISTINCT root) ELSE 0 END AS instance_count FROM c GROUP BY 1, 2")
+@query("promoted_masks", COMPONENTS + "SELECT object_id, entity, CASE WHEN count(DISTINCT root) > 1 THEN 'label' ELSE 'mask' END AS kind, CASE WHEN count(DISTINCT root) > 1 THEN count(DISTINCT root) ELSE 0 END AS instance_count FROM c GROUP BY 1, 2")
 def promoted_masks(spark, sf):
     found = measure.promote(adapter.plane(spark, sf), ("y", "x"))
     return found.groupBy("object_id", "entity", "kind").agg(F.countDistinct("label").alias("instance_count"))
@@ -366,7 +370,7 @@ def _edges_sql(gap: float) -> str:
   ON a.object_id = b.object_id AND abs(a.y - b.y) <= 5 AND (a.entity < b.entity OR (a.entity = b.entity AND coalesce(a.label, -1) < coalesce(b.label, -1)))) WHERE gap <= {gap} + 1e-9 GROUP BY ALL)"""
 
 
-_CONTACTS = (_CLAIM, _OWNED, _edges_sql(GAP))
+CONTACTS = (_CLAIM, _OWNED, _edges_sql(GAP))
 
 
 def owned(spark: SparkSession, sf: str) -> DataFrame:
@@ -382,7 +386,7 @@ def claimed_cells(spark, sf):
     return owned(spark, sf)
 
 
-@query("contact_edges", with_views("vox nucleus", *_CONTACTS) + f"SELECT object_id, entity_a, label_a, entity_b, label_b, {r('gap_um', 'gap_um')} FROM edges")
+@query("contact_edges", with_views("vox nucleus", *CONTACTS) + f"SELECT object_id, entity_a, label_a, entity_b, label_b, {r('gap_um', 'gap_um')} FROM edges")
 def contact_edges(spark, sf):
     return rounded(edges(spark, sf), "gap_um")
 
@@ -393,26 +397,26 @@ def contact_edges_wide(spark, sf):
     return rounded(found.groupBy("entity_a", "entity_b").agg(F.count("*").alias("n"), F.max("gap_um").alias("max_gap_um"), F.sum("gap_um").alias("sum_gap_um")), "max_gap_um", "sum_gap_um")
 
 
-@query("contact_same_type", with_views("vox nucleus", *_CONTACTS) + f"SELECT object_id, entity_a, label_a, entity_b, label_b, {r('gap_um', 'gap_um')} FROM edges WHERE entity_a = entity_b AND gap_um <= 0.03 + 1e-9")
+@query("contact_same_type", with_views("vox nucleus", *CONTACTS) + f"SELECT object_id, entity_a, label_a, entity_b, label_b, {r('gap_um', 'gap_um')} FROM edges WHERE entity_a = entity_b AND gap_um <= 0.03 + 1e-9")
 def contact_same_type(spark, sf):
     return rounded(contacts.edges(owned(spark, sf), 0.03, SIZE, same_type=True), "gap_um")
 
 
-@query("contact_pair_filter", with_views("vox nucleus", *_CONTACTS) + f"SELECT object_id, entity_a, label_a, entity_b, label_b, {r('gap_um', 'gap_um')} FROM edges WHERE least(entity_a, entity_b) = 'A' AND greatest(entity_a, entity_b) = 'R'")
+@query("contact_pair_filter", with_views("vox nucleus", *CONTACTS) + f"SELECT object_id, entity_a, label_a, entity_b, label_b, {r('gap_um', 'gap_um')} FROM edges WHERE least(entity_a, entity_b) = 'A' AND greatest(entity_a, entity_b) = 'R'")
 def contact_pair_filter(spark, sf):
     return rounded(contacts.select(edges(spark, sf), GAP, pair=("R", "A")), "gap_um")
 
 
-@query("contact_limits", with_views("vox nucleus", *_CONTACTS) + f"SELECT least(entity_a, entity_b) || ' + ' || greatest(entity_a, entity_b) AS pair, count(*) AS n, {r('max(gap_um)', 'max_gap_um')} FROM edges GROUP BY 1")
+@query("contact_limits", with_views("vox nucleus", *CONTACTS) + f"SELECT least(entity_a, entity_b) || ' + ' || greatest(entity_a, entity_b) AS pair, count(*) AS n, {r('max(gap_um)', 'max_gap_um')} FROM edges GROUP BY 1")
 def contact_limits(spark, sf):
     return rounded(contacts.limits(edges(spark, sf)), "max_gap_um")
 
 
 _PARTNERS = "partners AS (SELECT object_id, entity, label, count(DISTINCT partner) AS partners FROM (SELECT object_id, entity_a AS entity, label_a AS label, entity_b || ':' || CAST(label_b AS VARCHAR) AS partner FROM edges UNION ALL SELECT object_id, entity_b, label_b, entity_a || ':' || CAST(label_a AS VARCHAR) FROM edges) GROUP BY 1, 2, 3)"
-_PROFILE = "profile AS (SELECT i.object_id, i.entity, i.label, coalesce(p.partners, 0) AS partners FROM (SELECT DISTINCT object_id, entity, label FROM vox) i LEFT JOIN partners p ON i.object_id = p.object_id AND i.entity = p.entity AND i.label = p.label)"
+PROFILE = "profile AS (SELECT i.object_id, i.entity, i.label, coalesce(p.partners, 0) AS partners FROM (SELECT DISTINCT object_id, entity, label FROM vox) i LEFT JOIN partners p ON i.object_id = p.object_id AND i.entity = p.entity AND i.label = p.label)"
 
 
-@query("partner_counts", with_views("vox nucleus", *_CONTACTS, _PARTNERS) + "SELECT * FROM partners")
+@query("partner_counts", with_views("vox nucleus", *CONTACTS, _PARTNERS) + "SELECT * FROM partners")
 def partner_counts(spark, sf):
     return contacts.partner_counts(edges(spark, sf))
 
@@ -421,17 +425,17 @@ def profiles(spark: SparkSession, sf: str) -> DataFrame:
     return contacts.profile(adapter.voxels(spark, sf), edges(spark, sf))
 
 
-@query("instance_profile", with_views("vox nucleus", *_CONTACTS, _PARTNERS, _PROFILE) + "SELECT * FROM profile")
+@query("instance_profile", with_views("vox nucleus", *CONTACTS, _PARTNERS, PROFILE) + "SELECT * FROM profile")
 def instance_profile(spark, sf):
     return profiles(spark, sf)
 
 
-@query("contact_per_object", with_views("objects vox nucleus", *_CONTACTS, _PARTNERS, _PROFILE) + f"SELECT p.object_id, grp, count(*) AS instances, count(*) FILTER (partners > 0) AS in_contact, {r('avg(partners)', 'mean_partners')} FROM profile p LEFT JOIN objects o ON p.object_id = o.object_id GROUP BY 1, 2")
+@query("contact_per_object", with_views("objects vox nucleus", *CONTACTS, _PARTNERS, PROFILE) + f"SELECT p.object_id, grp, count(*) AS instances, count(*) FILTER (partners > 0) AS in_contact, {r('avg(partners)', 'mean_partners')} FROM profile p LEFT JOIN objects o ON p.object_id = o.object_id GROUP BY 1, 2")
 def contact_per_object(spark, sf):
     return rounded(contacts.per_object(profiles(spark, sf), adapter.objects(spark, sf)), "mean_partners")
 
 
-@query("contact_gap_per_object", with_views("vox nucleus", *_CONTACTS) + f"SELECT object_id, count(*) AS contacts, {r('median(gap_um)', 'median_gap_um')} FROM edges GROUP BY 1")
+@query("contact_gap_per_object", with_views("vox nucleus", *CONTACTS) + f"SELECT object_id, count(*) AS contacts, {r('median(gap_um)', 'median_gap_um')} FROM edges GROUP BY 1")
 def contact_gap_per_object(spark, sf):
     return rounded(contacts.gaps_per_object(edges(spark, sf)), "median_gap_um")
 
@@ -439,26 +443,27 @@ def contact_gap_per_object(spark, sf):
 _MATRIX = "matrix AS (SELECT grp, least(entity_a, entity_b) AS s1, greatest(entity_a, entity_b) AS s2, count(*) AS n FROM edges JOIN objects USING (object_id) GROUP BY 1, 2, 3)"
 
 
-@query("pair_matrix", with_views("objects vox nucleus", *_CONTACTS, _MATRIX) + "SELECT * FROM matrix")
+@query("pair_matrix", with_views("objects vox nucleus", *CONTACTS, _MATRIX) + "SELECT * FROM matrix")
 def pair_matrix(spark, sf):
     return contacts.pair_matrix(edges(spark, sf), adapter.objects(spark, sf))
 
 
-@query("partner_shares", with_views("objects vox nucleus", *_CONTACTS, _MATRIX) + f"SELECT grp, structure, partner, n, {r('n / sum(n) OVER (PARTITION BY grp, structure)', 'share')} FROM (SELECT grp, s1 AS structure, s2 AS partner, n FROM matrix UNION ALL SELECT grp, s2, s1, n FROM matrix WHERE s1 <> s2)")
+@query("partner_shares", with_views("objects vox nucleus", *CONTACTS, _MATRIX) + f"SELECT grp, structure, partner, n, {r('n / sum(n) OVER (PARTITION BY grp, structure)', 'share')} FROM (SELECT grp, s1 AS structure, s2 AS partner, n FROM matrix UNION ALL SELECT grp, s2, s1, n FROM matrix WHERE s1 <> s2)")
 def partner_shares(spark, sf):
     return rounded(contacts.partner_shares(contacts.pair_matrix(edges(spark, sf), adapter.objects(spark, sf))), "share")
 
 
-@query("orphan_distances", with_views("vox nucleus", *_DISTANCE_VIEWS) + "SELECT object_id, entity, label, target FROM dist d WHERE NOT EXISTS (SELECT 1 FROM vox v WHERE v.object_id = d.object_id AND v.entity = d.entity AND v.label = d.label AND v.label % 7 <> 0)")
+@query("orphan_distances", with_views("vox nucleus", *_DISTANCE_VIEWS, _CLAIM, _OWNED) + "SELECT object_id, entity, label, target FROM dist d WHERE NOT EXISTS (SELECT 1 FROM owned v WHERE v.object_id = d.object_id AND v.entity = d.entity AND v.label = d.label)")
 def orphan_distances(spark, sf):
-    kept = adapter.voxels(spark, sf).where("label % 7 <> 0").select(*measure.INSTANCE).distinct()
-    return distances(spark, sf).join(kept, list(measure.INSTANCE), "left_anti").select(*measure.INSTANCE, "target")
+    """Distances of instances that own no cell, since later entities have them all."""
+    left = owned(spark, sf).select(*measure.INSTANCE).distinct()
+    return distances(spark, sf).join(left, list(measure.INSTANCE), "left_anti").select(*measure.INSTANCE, "target")
 
 
 # --- clusters ----------------------------------------------------------------------------------------------------
 
 _LINKS = _edges_sql(CLUSTER_GAP).replace("edges AS", "close AS")
-_GROUPS = (
+GROUPS = (
     _CLAIM.replace("UNION ALL SELECT object_id, 'nucleus', NULL, z, y, x, false FROM nucleus", ""), _OWNED, _LINKS,
     "nodes AS (SELECT DISTINCT object_id, entity, label, dense_rank() OVER (PARTITION BY object_id ORDER BY entity, label) AS id FROM owned)",
     "ends AS (SELECT c.object_id, a.id AS a, b.id AS b FROM close c JOIN nodes a ON a.object_id = c.object_id AND a.entity = entity_a AND a.label = label_a JOIN nodes b ON b.object_id = c.object_id AND b.entity = entity_b AND b.label = label_b WHERE entity_a = entity_b)",
@@ -478,26 +483,26 @@ def members(spark: SparkSession, sf: str) -> DataFrame:
     return graph.clusters(*close_contacts(spark, sf))
 
 
-@query("clusters", with_views("vox", *_GROUPS) + "SELECT object_id, entity, label, cluster FROM members")
+@query("clusters", with_views("vox", *GROUPS) + "SELECT object_id, entity, label, cluster FROM members")
 def clusters(spark, sf):
     return members(spark, sf)
 
 
-_PER_OBJECT = """sizes AS (SELECT object_id, cluster, count(*) AS n, count(DISTINCT entity) AS types FROM members GROUP BY 1, 2),
+PER_OBJECT = """sizes AS (SELECT object_id, cluster, count(*) AS n, count(DISTINCT entity) AS types FROM members GROUP BY 1, 2),
 per_object AS (SELECT object_id, count(*) FILTER (n >= 2) AS clusters, coalesce(sum(n) FILTER (n >= 2), 0)::BIGINT AS clustered, coalesce(max(n) FILTER (n >= 2), 0) AS largest, count(*) FILTER (n >= 2 AND types > 1) AS mixed FROM sizes GROUP BY 1)"""
 
 
-@query("clusters_per_object", with_views("vox", *_GROUPS, _PER_OBJECT) + "SELECT * FROM per_object")
+@query("clusters_per_object", with_views("vox", *GROUPS, PER_OBJECT) + "SELECT * FROM per_object")
 def clusters_per_object(spark, sf):
     return graph.per_object(members(spark, sf))
 
 
-_CLOSE_PARTNERS = _PARTNERS.replace("FROM edges", "FROM same").replace("partners AS", "same AS (SELECT * FROM close WHERE entity_a = entity_b),\npartners AS", 1)
+CLOSE_PARTNERS = _PARTNERS.replace("FROM edges", "FROM same").replace("partners AS", "same AS (SELECT * FROM close WHERE entity_a = entity_b),\npartners AS", 1)
 
 
 @query(
     "contact_condition_totals",
-    with_views("objects vox", *_GROUPS, _PER_OBJECT, _CLOSE_PARTNERS, _PROFILE.replace("FROM vox", "FROM owned"), "o AS (SELECT object_id, count(*) AS instances, count(*) FILTER (partners > 0) AS in_contact FROM profile GROUP BY 1)", "t AS (SELECT object_id, count(*) AS contacts FROM same GROUP BY 1)")
+    with_views("objects vox", *GROUPS, PER_OBJECT, CLOSE_PARTNERS, PROFILE.replace("FROM vox", "FROM owned"), "o AS (SELECT object_id, count(*) AS instances, count(*) FILTER (partners > 0) AS in_contact FROM profile GROUP BY 1)", "t AS (SELECT object_id, count(*) AS contacts FROM same GROUP BY 1)")
     + f"""SELECT grp, count(*) AS objects, sum(instances)::BIGINT AS instances, sum(in_contact)::BIGINT AS in_contact, coalesce(sum(contacts), 0)::BIGINT AS contacts, sum(clusters)::BIGINT AS clusters, sum(mixed)::BIGINT AS mixed, max(largest) AS largest,
   {r('100.0 * sum(in_contact) / sum(instances)', 'pct_in_contact')} FROM objects JOIN o USING (object_id) LEFT JOIN t USING (object_id) LEFT JOIN per_object USING (object_id) GROUP BY 1""",
 )
@@ -519,12 +524,12 @@ def reached(spark: SparkSession, sf: str) -> DataFrame:
     return graph.cluster_reach(kept(members(spark, sf)), kept(distances(spark, sf).where("distance_um is not null")))
 
 
-@query("cluster_reach", with_views("vox nucleus", *_GROUPS, *_DISTANCE_VIEWS, *_REACHED) + f"SELECT object_id, cluster, target, k AS size, n AS pool, {r('observed', 'observed_um')}, {r('beats', 'beats')} FROM beats")
+@query("cluster_reach", with_views("vox nucleus", *GROUPS, *_DISTANCE_VIEWS, *_REACHED) + f"SELECT object_id, cluster, target, k AS size, n AS pool, {r('observed', 'observed_um')}, {r('beats', 'beats')} FROM beats")
 def cluster_reach(spark, sf):
     return rounded(reached(spark, sf), "observed_um", "beats")
 
 
-@query("null_percentile", with_views("vox nucleus", *_GROUPS, *_DISTANCE_VIEWS, *_REACHED) + f"SELECT target, count(beats) AS n, {r('median(beats)', 'median_beats')} FROM beats GROUP BY 1")
+@query("null_percentile", with_views("vox nucleus", *GROUPS, *_DISTANCE_VIEWS, *_REACHED) + f"SELECT target, count(beats) AS n, {r('median(beats)', 'median_beats')} FROM beats GROUP BY 1")
 def null_percentile(spark, sf):
     return rounded(graph.median_beats(reached(spark, sf)), "median_beats")
 
