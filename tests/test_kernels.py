@@ -24,9 +24,27 @@ def test_distance_transform_is_brute_force():
     assert np.isinf(distance.distance_transform(np.zeros((2, 3), bool), (1, 1))).all()
 
 
+def test_distance_transform_over_long_lines():
+    rng = np.random.default_rng(3)
+    target, wanted = rng.random((3, 4, 700)) < 0.004, np.zeros((3, 4, 700), bool)
+    wanted[1, 2, 5] = True
+    size = (1.0, 0.3, 0.07)
+    cells = np.argwhere(target) * size
+    got = distance.distance_transform(target, size, wanted)[1, 2]
+    want = [np.sqrt(((cells - np.array((1, 2, k)) * size) ** 2).sum(1).min()) for k in range(700)]
+    assert np.allclose(got, want)
+    flat = rng.random((300, 300)) < 0.001
+    assert distance.distance_transform(flat, (1, 1)).max() < 300
+
+
 def test_component_labels():
     cells = np.array([(0, 0), (0, 1), (1, 2), (5, 5), (6, 4), (9, 9)])
     assert measure.component_labels(cells).tolist() == [1, 1, 1, 2, 2, 3]
+    # A spiral is one piece however far round it goes, and edges of rows don't wrap.
+    snake = [(y, x) for y in range(0, 21, 2) for x in range(11)] + [(y, 10 if y % 4 == 1 else 0) for y in range(1, 20, 2)]
+    assert set(measure.component_labels(np.array(snake)).tolist()) == {1}
+    assert measure.component_labels(np.array([(0, 5), (1, 0), (1, 5)])).tolist() == [1, 2, 1]
+    assert len(measure.component_labels(np.zeros((0, 2), int))) == 0
 
 
 @pytest.mark.parametrize(
@@ -79,6 +97,36 @@ def test_mesh_is_closed_and_has_the_balls_size():
     assert len(geometry.mesh(cells[:5], tuple(size))[1]) == 0
 
 
+def closed(faces):
+    """Every directed edge has its opposite."""
+    edges = np.concatenate([faces[:, [0, 1]], faces[:, [1, 2]], faces[:, [2, 0]]])
+    net = {}
+    for a, b in edges.tolist():
+        net[min(a, b), max(a, b)] = net.get((min(a, b), max(a, b)), 0) + (1 if a < b else -1)
+    return not any(net.values())
+
+
+def test_smoothed_and_thinned_mesh():
+    size = (0.1, 0.05, 0.05)
+    cells = np.argwhere(ball((41, 81, 81), np.array((20, 40, 40)), 1.0, np.array(size)))
+    whole = geometry.mesh(cells, size, sigma=0.7, step=2)
+    points, faces = geometry.mesh(cells, size, sigma=0.7, step=2, reduction=0.8)
+    assert 100 < len(faces) <= 0.2 * len(whole[1]) and closed(faces) and closed(whole[1])
+    volume = abs(np.einsum("ij,ij->i", points[faces[:, 0]], np.cross(points[faces[:, 1]], points[faces[:, 2]])).sum() / 6)
+    assert volume == pytest.approx(4 * math.pi / 3, rel=0.12)
+    # A small instance is neither blurred away nor stepped over, and a mesh of few faces isn't thinned.
+    small = np.argwhere(np.ones((2, 2, 2), bool))
+    assert 0 < len(geometry.mesh(small, (1, 1, 1), sigma=1.5, step=2, reduction=0.8)[1]) and closed(geometry.mesh(small, (1, 1, 1), sigma=1.5, step=2)[1])
+
+
+def test_pixel_graph_keeps_diagonals():
+    corner = np.array([(0, 0), (0, 1), (1, 1)])
+    points, edges = geometry.pixel_graph(corner, (1.0, 1.0))
+    assert sorted(tuple(sorted(e)) for e in edges.tolist()) == [(0, 1), (0, 2), (1, 2)]
+    branches, length, _ = geometry.skeleton_graph_metrics(points, edges)
+    assert length == pytest.approx(2 + math.sqrt(2))
+
+
 def test_outline_of_a_ring_has_a_hole():
     cells = np.array([(y, x) for y in range(5) for x in range(5) if not (y == 2 and x == 2)])
     points, lines = geometry.outline(cells, (1, 1))

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelgrain.functions import expressions as ex
-from voxelgrain.operators import contacts, distance, graph, measure, report
+from voxelgrain.functions import spatial
+from voxelgrain.operators import contacts, distance, geometry, graph, measure, report
 
 SIZE = (0.1, 0.02, 0.02)
 
@@ -145,3 +146,101 @@ def test_expressions(spark):
     assert [r.short for r in report.short_labels(names).orderBy("id").collect()] == ["a_1", "b_1", "c_2"]
     odd = spark.createDataFrame([(1.0,), (float("nan"),), (float("inf"),), (None,)], "v double")
     assert [r[0] for r in odd.select(ex.finite(F.col("v"))).collect()] == [1.0, None, None, None]
+
+
+def test_short_labels_keep_what_tells_ids_apart(spark):
+    short = lambda *ids: [r.short for r in report.short_labels(spark.createDataFrame([(i,) for i in ids], "id string")).orderBy("id").collect()]
+    assert short("a_b_c") == ["a_b_c"]
+    assert short("a", "a_b") == ["a", "a_b"]
+    assert short("x_a", "x_b") == ["a", "b"]
+    assert short("x_a", "x_a_c") == ["a", "a_c"]
+    assert short("x_a_c_z", "x_b_z") == ["a_c", "b"]
+
+
+def test_directions_that_cancel_out(spark):
+    rows = frame(spark, [("o", "e", 1, 0, 0, x) for x in (0, 1, 3, 4)] + [("o", "e", 2, 0, 0, x) for x in (0, 1)])
+    centres = spark.createDataFrame([("o", 0.0, 0.0, 0.04)], "object_id string, centroid_z_um double, centroid_y_um double, centroid_x_um double")
+    got = {r.label: r.polar_spread_deg for r in measure.polar_spread(rows, centres, SIZE).collect()}
+    assert got[1] == pytest.approx(0) and got[2] is None
+
+
+def test_the_object_mask_stays_a_mask(spark):
+    rows = spark.createDataFrame([("o", e, 0, 0, x) for e in ("pm", "er") for x in (0, 5)], "object_id string, entity string, z int, y int, x int")
+    got = {(r.entity, r.kind, r.label) for r in measure.promote(rows, object_mask="pm").collect()}
+    assert got == {("pm", "mask", None), ("er", "label", 1), ("er", "label", 2)}
+
+
+def test_nearest_of_clustered_and_equal_points(spark):
+    rng = np.random.default_rng(5)
+    points = np.concatenate([rng.normal(0, 0.001, (60, 3)), rng.random((40, 3)) * 100, np.full((3, 3), 7.0), [[1e4, 0, 0]]])
+    rows = [("o", "e", k, *map(float, p)) for k, p in enumerate(points)] + [("o", "lone", 1, 0.0, 0.0, 0.0), ("p", "line", 1, 0.0, 0.0, 0.0), ("p", "line", 2, 0.0, 0.0, 9.0)]
+    df = spark.createDataFrame(rows, "object_id string, entity string, label long, centroid_z_um double, centroid_y_um double, centroid_x_um double")
+    got = {(r.object_id, r.entity, r.label): r.nearest_um for r in distance.nearest_same(df).collect()}
+    far = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
+    np.fill_diagonal(far, np.inf)
+    assert len(got) == len(rows)
+    assert all(got["o", "e", k] == pytest.approx(d, abs=1e-9) for k, d in enumerate(far.min(axis=1)))
+    assert got["o", "lone", 1] is None and got["p", "line", 1] == 9.0
+
+
+def test_gaps_between_surfaces_alone(spark):
+    rows = frame(spark, block("mito", 1, (0, 0, 0), (6, 7, 8)) + block("mito", 2, (0, 0, 12), (6, 7, 8)) + block("er", 1, (9, 0, 0), (5, 5, 5)))
+    cells = contacts.claim(rows)
+    assert contacts.surface(cells).count() == (6 * 7 * 8 - 4 * 5 * 6) * 2 + 125 - 27
+    wide = {(r.entity_a, r.entity_b): round(r.gap_um, 6) for r in contacts.edges(cells, 0.4, SIZE).collect()}
+    assert wide["mito", "mito"] == 0.1 and wide["er", "mito"] == 0.4
+    assert contacts.edges(cells, 0.4, SIZE, same_type=True).count() == 1
+
+
+def test_targets_without_a_cell(spark):
+    rows = frame(spark, block("mito", 1, (0, 0, 0)))
+    masks = spark.createDataFrame([("o", "nucleus", 0, 0, 9)], "object_id string, entity string, z int, y int, x int")
+    names = spark.createDataFrame([("o", "mito"), ("o", "gone"), ("o", "nucleus"), ("empty", "gone")], "object_id string, entity string")
+    got = {r.target: r.distance_um for r in distance.to_targets(rows, masks, SIZE, targets=names).collect()}
+    assert got["gone"] is None and got["nucleus"] == pytest.approx(0.14) and set(got) == {"gone", "nucleus"}
+
+
+def test_what_is_not_measured_of_skeletons(spark):
+    rows = frame(spark, block("er", 1, (0, 0, 0), (1, 1, 9)) + block("er", 2, (5, 0, 0), (1, 1, 1)) + block("er", 3, (9, 0, 0), (2, 2, 9)) + block("dot", 1, (20, 0, 0), (1, 1, 1)))
+    got = {(r.entity, r.label): (r.branches, r.cable_length_um) for r in geometry.skeletons(rows, SIZE, most=20).collect()}
+    assert got["er", 1][0] == 1 and got["er", 2] == (0, 0.0) and got["er", 3] == (None, None) and got["dot", 1] == (None, None)
+    none = geometry.skeletons(rows, SIZE, geometry.entity_filter(None, none=True)).where("branches is not null")
+    assert none.count() == 0 and geometry.entity_filter("ER , Golgi-body") == {"er", "golgi_body"} and geometry.entity_filter(None) is None
+    some = geometry.skeletons(rows, SIZE, geometry.entity_filter("Er"))
+    assert {r.entity for r in some.where("branches is not null").collect()} == {"er"}
+
+
+def test_scenes_and_places(spark):
+    rows = frame(spark, block("a", 1, (0, 0, 0)) + block("a", 2, (0, 0, 9)) + block("b", 1, (9, 0, 0), (1, 1, 2)))
+    masks = spark.createDataFrame([("o", "pm", z, y, x) for _, _, _, z, y, x in block("a", 1, (0, 0, 0))], "object_id string, entity string, z int, y int, x int")
+    found = geometry.geometry_rows(rows, masks, SIZE, "pm")
+    assert geometry.importable(found).count() == 3 and geometry.importable(found, entities=["a", "pm"], excluded=["pm"]).count() == 2
+    (one,) = geometry.merged_meshes(geometry.importable(found, ["o"], ["a"])).collect()
+    parts = [geometry.decode_payload(r.mesh) for r in geometry.importable(found, ["o"], ["a"]).collect()]
+    whole = geometry.decode_payload(one.mesh)
+    assert one.parts == 2 and len(whole[0]) == sum(len(v) for v, _ in parts) and whole[1].max() == len(whole[0]) - 1
+    summary = {(r.entity, r.row_type): (r.n, r.faces) for r in geometry.summary(found).collect()}
+    assert summary["a", "instance"] == (2, sum(len(f) for _, f in parts)) and summary["pm", "file"][0] == 1
+    places = spark.createDataFrame([("o", "g", "/x/o.parquet"), ("p", "g", None)], "object_id string, grp string, mesh_geometry_file string")
+    assert [r.path for r in geometry.locations(places).collect()] == ["/x/o.parquet"]
+    assert [r.path for r in geometry.locations(places, "http://h/").collect()] == ["http://h/o/geometry.parquet"]
+
+
+def test_accessors(spark):
+    df = spark.createDataFrame([(0.1, 0.02, 0.02, 1.0, None)], "pixel_size_Z double, pixel_size_Y double, pixel_size_X double, object_center_y_um double, object_center_x_um double")
+    row = df.select(spatial.voxel_size(spatial.spatial_axes("CZYX")).alias("a"), spatial.voxel_size("YX").alias("b"), spatial.object_center("YX").alias("c")).first()
+    assert row.a == [0.1, 0.02, 0.02] and row.b == [0.02, 0.02] and row.c is None and spatial.spatial_axes("CYX") == "YX"
+    texts = spark.createDataFrame([("12",), ("3.0",), ("",), ("NaN",), ("x",), (None,)], "v string")
+    assert [r[0] for r in texts.select(ex.maybe_int(F.col("v"))).collect()] == [12, 3, None, None, None, None]
+    links = spark.createDataFrame([("o", "b", 1, "b", 2), ("o", "a", None, "b", 1), ("o", "a", 1, "a", 2)], "object_id string, entity_a string, label_a long, entity_b string, label_b long")
+    assert [(r.entity_a, r.label_a) for r in contacts.ordered(links).collect()] == [("a", None), ("a", 1), ("b", 1)]
+    rows = spark.createDataFrame([("o", 0, None), ("o", 1, "e"), ("o", 1, None)], "object_id string, obs_level int, entity_name string")
+    assert report.entity_level(rows).count() == 1 and report.object_level(rows).count() == 1
+
+
+def test_natural_gaps_in_small(spark):
+    rows = spark.createDataFrame([("a", "m", 2), ("a", "n", None), ("b", "m", 1)], "object_id string, entity string, instance_count long")
+    objects = spark.createDataFrame([("a",), ("b",), ("c",)], "object_id string")
+    grid = report.presence(objects, rows, rows)
+    assert {(r.object_id, r.entity) for r in grid.where("missing").collect()} == {("b", "n"), ("c", "m"), ("c", "n")}
+    assert {(r.entity, r.missing_in) for r in report.structure_gaps(grid).collect()} == {("m", 1), ("n", 2)}

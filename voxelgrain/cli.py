@@ -8,22 +8,9 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from voxelgrain.operators import contacts, distance, measure
-from voxelgrain.sources import folders, report_files, tiff
-
-
-def measure_tree(spark: SparkSession, root: str, object_mask: str, size: measure.Size, gap: float) -> dict[str, object]:
-    """Instances, distances and contacts of all objects below ``root``, clipped to the object's mask."""
-    found = tiff.voxels(spark, root)
-    good = found.where("error is null").drop("error")
-    mask = good.where((F.col("kind") == "mask") & (F.col("entity") == object_mask)).select("object_id", "z", "y", "x")
-    inside = measure.clip(good, mask)
-    labels = inside.where("kind = 'label'").drop("kind")
-    masks = inside.where(F.col("kind") == "mask").select("object_id", "entity", "z", "y", "x")
-    targets = distance.to_targets(labels, masks, size, object_mask=object_mask)
-    others = masks.where(F.col("entity") != object_mask)
-    touching = contacts.edges(contacts.claim(labels, others), gap, size)
-    return {"instances": measure.extent(labels, measure.INSTANCE, size), "distances": targets, "contacts": touching, "errors": found.where("error is not null")}
+from voxelgrain.operators.geometry import entity_filter
+from voxelgrain.plans import process
+from voxelgrain.sources import folders, report_files
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -36,11 +23,18 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("root")
         p.add_argument("--object-mask")
     run.add_argument("--out", required=True)
-    run.add_argument("--voxel-size", type=lambda s: tuple(map(float, s.split(","))), required=True)
-    run.add_argument("--gap", type=float, default=0.05)
+    run.add_argument("--voxel-size", type=lambda s: tuple(map(float, s.split(","))), help="z,y,x or y,x in micrometres; else what the images say")
+    run.add_argument("--gap", type=float, default=0.5)
+    run.add_argument("--group", action="append", default=[], help="a folder below the root that is one condition")
+    run.add_argument("--palette")
+    run.add_argument("--skeletons", help="entities that get skeletons, with commas between them; else all")
+    run.add_argument("--no-skeletons", action="store_true")
+    run.add_argument("--no-clip", action="store_true")
+    run.add_argument("--no-promote", action="store_true")
+    run.add_argument("--resume", action="store_true")
+    run.add_argument("--geometry", action="store_true")
     recolour.add_argument("report")
     recolour.add_argument("palette")
-    recolour.add_argument("out")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("voxelgrain").getOrCreate()
     if args.command == "dry-run":
@@ -50,13 +44,16 @@ def main(argv: list[str] | None = None) -> int:
         bad.show(1000, False)
         return int(bad.count() > 0)
     if args.command == "process":
-        tables = measure_tree(spark, args.root, args.object_mask, args.voxel_size, args.gap)
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{args.out}/{name}")
-        return int(spark.read.parquet(f"{args.out}/errors").count() > 0)
+        if args.object_mask is None:
+            parser.error("--object-mask is needed")
+        palette = report_files.read_palette(spark, args.palette) if args.palette else {}
+        settings = process.Settings(gap_um=args.gap, skeleton_entities=entity_filter(args.skeletons, args.no_skeletons), groups=tuple(args.group), palette=palette)
+        failures = process.run(spark, args.root, args.out, args.object_mask, args.voxel_size, settings, not args.no_clip, not args.no_promote, args.resume, args.geometry)
+        failures.show(1000, False)
+        return int(failures.count() > 0)
     rows, facts = report_files.read_report(spark, args.report)
     found, n = report_files.recolour(rows, report_files.read_palette(spark, args.palette))
-    report_files.write_report(found, args.out, facts=facts)
+    report_files.replace_report(found, args.report, facts)
     print(f"{n} rows have a colour")
     return 0
 

@@ -23,6 +23,8 @@ from voxelgrain.operators.measure import Size
 
 BINS = 20
 MASK_LABEL = 0
+#: Labels of rows that only name an entity.
+NAME_LABEL = -1
 #: How much wider cells get when nothing was found near enough.
 WIDER = 4
 
@@ -103,19 +105,26 @@ def distance_transform(target: np.ndarray, size: Size, wanted: np.ndarray | None
     return np.sqrt(squared)
 
 
-def to_targets(voxels: DataFrame, masks: DataFrame, size: Size, object_mask: str | None = None, histogram: bool = False, targets: tuple[str, ...] = ()) -> DataFrame:
+def to_targets(voxels: DataFrame, masks: DataFrame, size: Size, object_mask: str | None = None, histogram: bool = False, targets: DataFrame | None = None) -> DataFrame:
     """Least and mean distance (micrometres) of every instance to every other entity of its object.
 
     ``voxels`` are label entities (``object_id, entity, label, z, y, x``), ``masks`` are targets only (``object_id,
     entity, z, y, x``). The ``object_mask`` is turned inside out: its distance is that to the outside within the
-    object's bounding box. ``targets`` are entities that every object has, if only without a cell, as after clipping;
-    the distance to one without a cell is null. ``bins`` counts an instance's voxels over ``BINS`` bins that all
+    object's bounding box. ``targets`` (``object_id, entity``) are all entities of an object, if only without a cell, as
+    after clipping; the distance to one without a cell is null. ``bins`` counts an instance's voxels over ``BINS`` bins that all
     instances of an entity share for one target.
     """
     rows = voxels.select("object_id", "entity", F.col("label").cast("long").alias("label"), "z", "y", "x").unionByName(masks.select("object_id", "entity", F.lit(MASK_LABEL).cast("long").alias("label"), "z", "y", "x"))
+    if targets is not None:
+        place = [F.lit(0).cast(voxels.schema[a].dataType).alias(a) for a in "zyx"]
+        rows = rows.unionByName(targets.select("object_id", "entity", F.lit(NAME_LABEL).cast("long").alias("label"), *place))
     kind = voxels.schema["object_id"].dataType.simpleString()
 
     def measure(group: pd.DataFrame) -> pd.DataFrame:
+        names_only = group["label"] == NAME_LABEL
+        named, group = set(group["entity"][names_only]), group[~names_only]
+        if not len(group):
+            return pd.DataFrame(columns=["object_id", "entity", "label", "target", "distance_um", "mean_distance_um", "bins"])
         cells = group[["z", "y", "x"]].to_numpy()
         origin = cells.min(axis=0)
         at, shape = cells - origin, tuple(cells.max(axis=0) - origin + 1)
@@ -123,7 +132,7 @@ def to_targets(voxels: DataFrame, masks: DataFrame, size: Size, object_mask: str
         out = []
         wanted = np.zeros(shape, bool)
         wanted[tuple(at[label != MASK_LABEL].T)] = True
-        for target in sorted({*entity.tolist(), *targets}):
+        for target in sorted({*entity.tolist(), *named}):
             grid = np.zeros(shape, bool)
             grid[tuple(at[entity == target].T)] = True
             if target == object_mask:

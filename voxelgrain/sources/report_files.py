@@ -25,31 +25,58 @@ def read_palette(spark: SparkSession, path: str) -> dict[str, str]:
     return {str(k).lower(): hex_colour_of(v) for k, v in found.items()}
 
 
-def described(df: DataFrame, comments: dict[str, str]) -> DataFrame:
-    """Columns with their descriptions, which survive in the file's schema."""
-    return df.select(*(F.col(f"`{c}`").alias(c, metadata={"comment": comments[c]}) if c in comments else F.col(f"`{c}`") for c in df.columns))
+def write_report(df: DataFrame, path: str, lead: tuple[str, ...] = ("obs_level", "object_id"), facts: dict[str, str] | None = None, comments: dict[str, str] | None = None) -> None:
+    """The report as Parquet: without empty columns, leading columns first, 32-bit floats.
 
-
-def write_report(df: DataFrame, path: str, lead: tuple[str, ...] = ("object_id", "obs_level"), facts: dict[str, str] | None = None, comments: dict[str, str] | None = None) -> None:
-    """The report as Parquet: without empty columns, leading columns first, 32-bit floats; ``facts`` as a sidecar table."""
+    ``facts`` and column descriptions are the schema's metadata, which Spark keeps in the footer of every file.
+    """
     kept = as_float32(prune_all_null(df))
     first = [c for c in lead if c in kept.columns]
-    ordered = described(kept.select(*first, *(c for c in kept.columns if c not in first)), comments or {})
-    ordered.write.mode("overwrite").parquet(f"{path}/rows")
-    facts_df = df.sparkSession.createDataFrame(sorted((facts or {}).items()), "key string, value string")
-    facts_df.coalesce(1).write.mode("overwrite").parquet(f"{path}/facts")
+    ordered = kept.select(*first, *(c for c in kept.columns if c not in first))
+    notes = {c: ordered.schema[c].metadata for c in ordered.columns}
+    for c, text in (comments or {}).items():
+        if c in notes:
+            notes[c] = notes[c] | {"comment": text}
+    if facts is not None:
+        notes = {c: {k: v for k, v in n.items() if k != "facts"} for c, n in notes.items()}
+        notes[ordered.columns[0]]["facts"] = facts
+    ordered.select(*(F.col(f"`{c}`").alias(c, metadata=n) for c, n in notes.items())).write.mode("overwrite").parquet(path)
 
 
 def read_report(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
-    return spark.read.parquet(f"{path}/rows"), {r.key: r.value for r in spark.read.parquet(f"{path}/facts").collect()}
+    df = spark.read.parquet(path)
+    return df, next((dict(f.metadata["facts"]) for f in df.schema if "facts" in f.metadata), {})
+
+
+def replace_report(df: DataFrame, path: str, facts: dict[str, str]) -> None:
+    """Writes a report in the place of the one it was read from: beside it first, then both are renamed."""
+    spark = df.sparkSession
+    write_report(df, f"{path}.new", facts=facts)
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(at(f"{path}.old"), True)
+    if not (files.rename(at(path), at(f"{path}.old")) and files.rename(at(f"{path}.new"), at(path))):
+        raise OSError(f"{path} can't be replaced; the new report is at {path}.new")
+    files.delete(at(f"{path}.old"), True)
+
+
+def read_geometry(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The geometry of all objects whose paths are given, as one table."""
+    return spark.read.option("mergeSchema", True).parquet(*paths)
 
 
 def finished(spark: SparkSession, parts: str) -> DataFrame | None:
-    """Rows of the objects that earlier runs measured; nothing if there are none or they can't be read."""
+    """Rows of the objects that earlier runs measured; nothing if there are none. A file that can't be read is left out, so its object is measured again."""
+    inference = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(inference)
+    # Ids are texts, whatever they look like.
+    spark.conf.set(inference, "false")
     try:
-        found = spark.read.parquet(parts)
+        found = spark.read.option("ignoreCorruptFiles", True).option("mergeSchema", True).parquet(parts)
     except AnalysisException:
         return None
+    finally:
+        spark.conf.set(inference, before)
     return found if "obs_level" in found.columns and "object_id" in found.columns else None
 
 
@@ -59,8 +86,14 @@ def remaining(objects: DataFrame, done: DataFrame | None) -> DataFrame:
 
 
 def write_parts(rows: DataFrame, parts: str) -> None:
-    """Adds measured objects, a directory for each; Spark's commit makes a directory's files appear at once."""
-    rows.write.mode("append").partitionBy("object_id").parquet(parts)
+    """Measured objects, a directory for each. One that was there already is replaced, so that a retry or a replayed batch leaves no row twice."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("object_id").parquet(parts)
+
+
+def discard_parts(spark: SparkSession, parts: str) -> None:
+    """Deletes the parts, once the report that they were kept for is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(parts)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def recolour(report: DataFrame, palette: dict[str, str]) -> tuple[DataFrame, int]:

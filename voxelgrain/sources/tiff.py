@@ -81,6 +81,19 @@ def read_volume(data: bytes) -> np.ndarray:
     return planes[0] if len(planes) == 1 else np.stack(planes)
 
 
+def header(data: bytes) -> tuple[tuple[int, ...], str]:
+    """Shape and type of a plane or a stack, from the tags alone."""
+    found = pages(data)
+    sizes = {(p.tags[HEIGHT][0], p.tags[WIDTH][0]) for p in found}
+    if len(sizes) != 1:
+        raise ValueError("the planes differ in size")
+    tags = found[0].tags
+    kind = {1: "uint", 2: "int", 3: "float"}[tags.get(FORMAT, (1,))[0]] + str(tags.get(BITS, (8,))[0])
+    n = len(found) if len(found) > 1 else int(_settings(found[0]).get("images", 1))
+    (plane,) = sizes
+    return (plane if n == 1 else (n, *plane)), kind
+
+
 def voxel_size(data: bytes, ndim: int = 3) -> tuple[float, ...]:
     """Micrometres along each axis in array order; raises if one isn't given."""
     page = pages(data)[0]
