@@ -13,6 +13,7 @@ def pages():
     rows = [(i, f"http://a/{i}", ("x" if i % 3 else "é") * (i * 7 % 400)) for i in range(200)]
     rows += [(500 + i, "http://copy", "shared payload " * 20) for i in range(60)] + [(700, None, None), (701, "u\r\nWARC/1.1", ""), (702, "", "WARC/1.1\r\n\r\n" * 40)]
     rows += [(None, "n", "shared payload " * 20), (703, "z", "\x00\r\n\r\n" * 100), (704, "big", "0123456789" * 300000), (500, "again", "other"), (705, "s", "short"), (706, "s", "short")]
+    rows += [(90_001 + k // 2, "tied", "the same body twice " * 9) for k in range(4)]
     return rows
 
 
@@ -42,7 +43,9 @@ def test_members_and_index(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
     folder = common.scratch(spark, "warc-test")
     archives = w.write(w.with_types(df), folder)
-    index = w.normalise(archives, folder)
+    files = w.normalise(archives, folder)
+    index = w.index(files, folder)
+    assert {r.file: r.records for r in files.collect()} == {r.file: r["count"] for r in index.groupBy("file").count().collect()}
     store, base = w._open(folder)
     for (file,) in index.select("file").distinct().collect():
         data = store.open_input_file(f"{base}/{file}").read()
@@ -58,6 +61,18 @@ def test_members_and_index(spark):
     assert bodies[704, hashlib.sha256(("0123456789" * 300000).encode()).hexdigest()] == b"0123456789" * 300000
 
 
+def test_a_lost_sidecar_line_shows(spark):
+    folder = common.scratch(spark, "warc-cut")
+    files = w.normalise(w.write(w.with_types(spark.createDataFrame([(1, "u", "a"), (2, "u", "b")], "page_id long, url string, html string").coalesce(1)), folder), folder)
+    store, base = w._open(folder)
+    (name,) = [r.file for r in files.collect()]
+    lines = store.open_input_file(f"{base}/{name}.idx").read().splitlines(keepends=True)
+    with store.open_output_stream(f"{base}/{name}.idx") as out:
+        out.write(lines[0])
+    with pytest.raises(Exception, match="sidecar"):
+        w.index(files, folder).collect()
+
+
 def test_broken_streams():
     good = gzip.compress(w._record(1, "u", b"abc", "d", "response", None))
     pieces = lambda data: list(w._records(w._inflated(fs.LocalFileSystem and __import__("io").BytesIO(data))))

@@ -3,7 +3,7 @@
 ``write`` lays pages out as WARC 1.1 records, a gzip stream over the whole of each file, as crawlers that don't
 know the format's rules do. ``normalise`` is the operator proper: it inflates each such stream once, from front to
 back and a piece at a time, finds the records, writes every record as a gzip member of its own and a sidecar index
-(offset, length, kind, identifiers, digest) beside the file. ``read`` then takes records from their offsets alone,
+(offset, length, kind, identifiers, digest) beside the file. ``index`` reads the sidecars, and ``read`` takes records from their offsets alone,
 checks their digest and yields one row a record.
 
 Of records with equal payloads of ``LEAST_SHARED`` bytes or more the one with the smallest page id is a response;
@@ -12,8 +12,10 @@ minimum over digests (combined before the shuffle), joined back on the digest.
 
 Files live in the shared folder of the session and are opened with ``pyarrow.fs``, by the folder's URI. A file is
 written under a name of its own by every task attempt, and only attempts that end are listed in the index table,
-so a lost executor or a repeated task leaves nothing that a reader would see. Null payloads are empty ones; rows
-whose page id is repeated get a record each; other columns aren't read.
+so a lost executor or a repeated task leaves nothing that a reader would see. Null payloads are empty ones; rows whose page id is
+repeated get a record each, and those that share the smallest id and the payload are all responses. Very long payloads
+are inflated a piece at a time, but one record must fit a worker. An empty table gives an empty result. Other columns
+aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ DATE = "2020-01-01T00:00:00Z"
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI and the path in it; Hadoop's names for a store that Arrow calls s3 are understood."""
+    path = re.sub("^s3[an]:", "s3:", path)
     return fs.FileSystem.from_uri(path) if re.match(r"[a-z0-9+.-]+:/", path) else (fs.LocalFileSystem(), path)
 
 
@@ -154,7 +158,7 @@ def _page(name: str | None) -> int | None:
 
 
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
-    """Rewrites each file of ``archives`` with a gzip member for every record, beside a sidecar ``.idx``. Returns the index, a row a record."""
+    """Rewrites each file of ``archives`` with a gzip member for every record, beside a sidecar ``.idx``. Returns a row a file: ``file``, ``records``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,13 +174,32 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                         at += len(member)
                 with store.open_output_stream(f"{base}/{name}.idx") as out:
                     out.write("".join("\t".join(map(str, r[1:])) + "\n" for r in rows).encode())
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["file", "offset", "length", "record_type", "record_id", "digest"])
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(rows)], pa.int64())], ["file", "records"])
 
     # A task for each file, as they are about as large as the partitions they come from.
     spread = archives.select("file").repartition(max(1, archives.count()), "file")
-    return written(spread.mapInArrow(run, INDEX), "index")
+    return written(spread.mapInArrow(run, "file string, records bigint"), "normalised")
+
+
+def index(files: DataFrame, folder: str) -> DataFrame:
+    """The rows of the files' sidecars, a row a record; a sidecar of another length than its file's records is an error."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _open(folder)
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+        names = [x.split()[0] for x in INDEX.split(", ")]
+        for batch in batches:
+            for name, records in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with store.open_input_stream(f"{base}/{name}.idx", compression=None) as source:
+                    lines = [x.split("\t") for x in source.read().decode().splitlines()]
+                if len(lines) != records:
+                    raise ValueError(f"the sidecar of {name} has {len(lines)} records of {records}")
+                rows = [(name, int(x[0]), int(x[1]), *x[2:]) for x in lines]
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    spread = files.select("file", "records").repartition(max(1, files.count()), "file")
+    return spread.mapInArrow(run, INDEX)
 
 
 ROWS = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string"
@@ -212,8 +235,8 @@ def read(index: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
 def round_trip(pages: DataFrame, key: str = "page_id", payload: str = "html") -> DataFrame:
     """Writes ``pages``, normalises the archives, and returns what reading them back gives."""
     folder = scratch(pages.sparkSession, "warc")
-    index = normalise(write(with_types(pages, key, payload), folder), folder)
-    return read(index, folder)
+    files = normalise(write(with_types(pages, key, payload), folder), folder)
+    return read(index(files, folder), folder)
 
 
 def sql() -> str:
