@@ -60,6 +60,22 @@ def test_scores_know_nothing_but_the_text(spark, scored):
     assert {r.score for r in t.score(docs.limit(4), labels.where(F.col("toxic") == 9)).collect()} == {0.5}
 
 
+def test_whole_score_by_plain_loops(scored, spark):
+    """The score of every text from nested loops over words, filters and places, against the vectorised one."""
+    data, docs, labels, got = scored
+    model = t.fit(*zip(*[(r["text"], r["toxic"], r["lang"]) for r in t.training_rows(docs, labels)], strict=True))
+    by = {r.doc_id: r.score for r in got}
+    for i, text, _, _ in data[10:60]:
+        e = [sum(model.weights["embed"][k] for k in row) for row in t.word_ids(text)]
+        features = []
+        for w in t.WIDTHS:
+            for f in range(t.FILTERS):
+                best = max((sum(float(e[p + s] @ model.weights[f"filter{w}"][s * t.WIDTH : (s + 1) * t.WIDTH, f]) for s in range(w)) for p in range(len(e) - w + 1)), default=0.0)
+                features.append(max(best, 0.0))
+        raw = float(np.array(features) @ model.weights["out"].reshape(-1) + model.weights["bias"][0])
+        assert abs(1 / (1 + np.exp(-(model.scale * raw + model.shift))) - by[i]) < 1e-4
+
+
 def test_gradient_matches_differences():
     rng = np.random.default_rng(0)
     model = t.Classifier.new()

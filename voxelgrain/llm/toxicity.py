@@ -11,9 +11,11 @@ A share of the sample is kept out of training to calibrate: scores are shifted a
 a threshold is found that gives the best F1, shrunk to the overall one where a language has few labels. The
 language only selects the threshold of ``flagged``; it is no input of the score, and neither are source or id.
 
-Null, empty and wordless texts have the score that the bias alone gives. Rows map to rows, labels whose document
-doesn't exist and null labels teach nothing, and with no labels of both kinds the score is the share of toxic ones.
-Other columns aren't read.
+Null, empty and wordless texts have the score that the bias alone gives; an empty table gives an empty result. Rows map
+to rows, also repeated ones. Of rows and labels that share an id the smallest text and the larger label teach; labels
+whose document doesn't exist, null labels and null ids teach nothing, nor do texts beyond ``MAX_TRAINING_CHARS``, so that
+the sample is bounded in bytes too. With no labels of both kinds the score is the share of toxic ones. A score at a
+threshold reaches it. Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bound of the sample that a classifier is fitted on, in rows, and of the words of one training batch.
-MAX_TRAINING, BATCH_WORDS = 4000, 30_000
+MAX_TRAINING, MAX_TRAINING_CHARS, BATCH_WORDS = 4000, 50_000, 30_000
 BUCKETS, WIDTH, FILTERS, WIDTHS = 1 << 17, 8, 8, (1, 2, 3)
 #: Lengths of the beginnings that are embedded beside the word.
 STEMS = (3, 4, 5)
@@ -255,18 +257,19 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(key.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> list:
-    """At most ``MAX_TRAINING`` labelled rows that aren't held out: those whose id has the smallest hash."""
+def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> list:
+    """At most ``MAX_TRAINING`` labelled rows that aren't held out: those whose id has the smallest hash, but for very long ones."""
     known = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(key).agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64(F.lit(SEED), key), key).limit(MAX_TRAINING).select(F.col(key).alias("of"), "toxic")
     # A bounded number of narrow rows, so it may be broadcast.
-    joined = docs.select(key, "text", "lang").join(F.broadcast(chosen), F.col(key) == F.col("of"))
-    return joined.groupBy("of").agg(F.min(F.struct("text", "lang", "toxic")).alias("row")).select("of", "row.*").orderBy("of").collect()
+    joined = docs.select(key, F.col(text).alias("text"), "lang").join(F.broadcast(chosen), F.col(key) == F.col("of"))
+    short = joined.where(F.coalesce(F.char_length("text"), F.lit(0)) <= MAX_TRAINING_CHARS)
+    return short.groupBy("of").agg(F.min(F.struct("text", "lang", "toxic")).alias("row")).select("of", "row.*").orderBy("of").collect()
 
 
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``held_out``, ``score``, ``predicted`` (score of 0.3 or more) and ``flagged`` (by the language's threshold) of every row."""
-    rows = training_rows(docs, labels, key)
+    rows = training_rows(docs, labels, key, text)
     model = fit([r["text"] for r in rows], [r["toxic"] for r in rows], [r["lang"] for r in rows])
     # A few hundred KB of weights, whatever the input; float16 would do as well.
     shared = docs.sparkSession.sparkContext.broadcast(model)
