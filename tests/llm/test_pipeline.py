@@ -22,6 +22,23 @@ def masked(text):
     return text
 
 
+def test_odd_rows(spark, tmp_path):
+    rng = random.Random(4)
+    body = lambda n: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    texts = [body(80) for _ in range(130)]
+    rows = [(k, x, "en", "s", len(x), "x") for k, x in enumerate(texts)]
+    rows += [(None, texts[0], "en", "s", 1, "copy"), (None, body(90), None, None, None, "null id"), (3, body(70), "en", "s", 1, "id of another"), (5, texts[5], "en", "s", 1, "twice")]
+    rows += [(900, body(60_000), "en", "s", 1, "long"), (901, None, "en", "s", None, "null"), (902, "", "en", "s", 0, "empty"), (903, " \n", "en", "s", 2, "blank")]
+    names = "doc_id long, text string, lang string, source string, n_chars long, leak_row string"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/in/documents.parquet")
+    spark.createDataFrame([(1, "no leak here at all")], "item_id long, text string").write.parquet(f"{tmp_path}/in/benchmark.parquet")
+    got = [r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/in").collect()]
+    assert sorted(got, key=repr) == sorted([*range(130), None, 3, 900], key=repr)
+    spark.createDataFrame([], names).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_against_brute_force(spark, tmp_path):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 8)))

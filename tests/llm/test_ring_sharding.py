@@ -47,6 +47,8 @@ def test_plan_is_the_walk():
 @pytest.mark.parametrize("n", [0, 1, 7, 1000])
 def test_laws(spark, n):
     rows = [(i if i % 50 else None, ("é" * (i % 90)) if i % 13 else None, 1) for i in range(n)] + [(5, "same", 2)] * (n // 3)
+    if n:
+        rows.append((3, "long " * 300_000, 3))
     df = spark.createDataFrame(rows, "doc_id long, text string, ring int")
     got = r.assign(df, 16).collect()
     assert len(got) == len(rows)
@@ -65,4 +67,4 @@ def test_growth_moves_few_rows(spark):
     before = {x.doc_id: x.shard for x in r.assign(df, 16).collect()}
     after = {x.doc_id: x.shard for x in r.assign(df, 17).collect()}
     moved = sum(before[k] != after[k] for k in before)
-    assert moved < 0.35 * len(before)
+    assert moved < 0.12 * len(before)

@@ -10,8 +10,9 @@ metric's least spread, if that is larger). A text is kept if it passes the fixed
 within its group's fences; the fences are joined to the rows.
 
 Only texts that pass the fixed rules are sketched. Null texts count as empty, null languages and sources form
-groups of their own, repeated rows are judged one by one, and an empty table gives an empty result. Other
-columns are carried along by ``keep_good`` and never read.
+groups of their own, repeated rows are judged one by one, and an empty table gives an empty result. Very long texts are
+measured whole; a value at a fence is inside it. Other columns are carried along by ``keep_good`` and never read,
+whatever their names.
 """
 
 from __future__ import annotations

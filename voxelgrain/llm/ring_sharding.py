@@ -13,8 +13,10 @@ driver, which walks the ring once over arcs and yields, for every arc, the runs
 Each of the shards fills up once, so there are as many runs as cells, points and shards, at most. The second pass
 ranks rows inside their cell and looks their run up. Only narrow columns are shuffled.
 
-Null texts have size 1 and the checksum of an empty text, null keys hash like any key, repeated rows get slots of
-their own, an empty table has no rows in any shard, and other columns aren't read.
+Null texts have size 1 and the checksum of an empty text, empty ones the same; very long ones count by their bytes and
+are read once. Null keys hash like any key, and repeated rows, which tie, get slots of their own. An empty table has no
+rows in any shard. Other columns aren't read, whatever their names. One more shard than 16 moves about a tenth of the
+rows, of which it takes 1/17; the rest had overflowed.
 """
 
 from __future__ import annotations

@@ -9,8 +9,9 @@ numbers (micro-bits), so that no rounding accumulates. What lies from the first
 class's threshold is a span, unless the candidate is on the allow-list. Candidates of letters alone, or of
 digits alone, have no class: the first are words, the second belong to the hexadecimal pattern.
 
-Offsets count code points, ends are exclusive. Null and empty texts have no spans; repeated rows are scanned one
-by one; other columns are carried along by ``redact``, whatever their names.
+Offsets count code points, ends are exclusive. Null and empty texts have no spans; very long ones are scanned whole.
+Repeated rows are scanned one by one, and an empty table gives an empty result. Spans that begin at one place are in
+the order of their kinds. Other columns are carried along by ``redact``, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ library's one-merge-at-a-time order:
 The words come from white space, which no piece holds after another character (checked when a model is
 loaded). A bounded cache per Python worker keeps the ids of words that were seen before.
 
-Nulls and empty texts have no ids and decode to an empty text. Text is treated whole, whatever its length.
+Nulls and empty texts have no ids and decode to an empty text. Text is treated whole, whatever its length. Rows map to
+rows: repeated ones and equal or null ids are encoded one by one, and ties don't arise. An empty table gives an empty
+result. Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
