@@ -38,7 +38,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelgrain.llm.common import discard, fresh, written
@@ -50,6 +50,8 @@ SPAN = 1 << 63
 BACK, FREQUENT = 0.12, 2
 #: Bytes that a cell's rows hold, at ``ROW_BYTES`` a row besides its set or sketch, and words a worker remembers.
 CELL_BYTES, ROW_BYTES, REMEMBERED = 16_000_000, 4096, 500_000
+#: The bitmap of wanted texts has two to this power bits: 2 MB, in at most 262,144 rows of 64 bits.
+FILTER_BITS = 24
 
 
 class _Hashes(dict):
@@ -398,14 +400,12 @@ def _connected(first: DataFrame, again: DataFrame, cell: Callable, percent: int,
 def _families(prints: DataFrame, by_sig: DataFrame, percent: int) -> DataFrame:
     """``node`` and ``root`` of classes that may be linked with another."""
     sizes = prints.select("label", "n", F.col("sketch").alias("payload"))
-    one = written(prints.select("label", "part", "later").join(by_sig.select("label"), "label", "left_semi"), "one")
     # Both places in one number, as these are the most rows that are ever shuffled.
     spot = F.shiftleft((F.col("x.later") + 1).cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("spot")
-    parts = one.select("label", F.posexplode(F.arrays_zip("part", "later")).alias("at", "x")).select("label", F.col("x.part").alias("gram"), spot)
+    parts = by_sig.select("label", F.posexplode(F.arrays_zip("part", "later")).alias("at", "x")).select("label", F.col("x.part").alias("gram"), spot)
     times = parts.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1")
     shared = parts.join(times, "gram").select("label", "spot", "gram", (F.col("times") >= FREQUENT).alias("frequent"))
     prefixes = written(_prefixes(shared, sizes, percent), "prefixes")
-    discard(one)
     # Of the prefix n-grams, those that two classes' prefixes have; most classes have none.
     entries = prefixes.select("label", F.posexplode("firsts").alias("rank", "gram"))
     twice = entries.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").drop("m")
@@ -418,6 +418,15 @@ def _families(prints: DataFrame, by_sig: DataFrame, percent: int) -> DataFrame:
     return out
 
 
+def _word(hashed: Column) -> Column:
+    """Which 64 bits of the bitmap a hash's bit lies in."""
+    return F.pmod(F.shiftright(hashed, 6), F.lit(1 << (FILTER_BITS - 6)))
+
+
+def _bit(hashed: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(hashed, F.lit(64)).cast("int"))
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """``label``, ``group``, ``n`` and the whole set as ``payload`` of the classes in ``wanted`` (``id``, ``hash``, ``label``, ``family``)."""
 
@@ -431,6 +440,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, n: int) -> Da
                 at += len(chunk)
 
     texts = docs.select(F.col(key).alias("of_id"), F.col(text).alias("body"), F.xxhash64(text).alias("of_hash"))
+    # Most texts aren't wanted. A bitmap of the wanted hashes, of a size that doesn't grow, leaves them out before they
+    # are shuffled; where so many are wanted that it fills up, it lets more through, and the join is right all the same.
+    marks = wanted.groupBy(_word(F.col("hash")).alias("word")).agg(F.bit_or(_bit(F.col("hash"))).alias("mark"))
+    texts = texts.join(F.broadcast(marks), _word(F.col("of_hash")) == F.col("word")).where(F.col("mark").bitwiseAND(_bit(F.col("of_hash"))) != 0)
     texts = texts.join(wanted, F.col("of_id").eqNullSafe(F.col("id")) & (F.col("of_hash") == F.col("hash"))).select("body", "label", "family")
     return texts.mapInArrow(run, "label bigint, group bigint, n int, payload binary")
 
@@ -438,13 +451,18 @@ def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, n: int) -> Da
 def _labelled(docs: DataFrame, key: str, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Every row's ``id``, ``hash``, ``n`` and ``sig``; and by ``sig`` its component's ``best`` row: ``missing``, ``id`` and ``hash``, the smallest."""
     prints = written(_fingerprints(docs, key, text, n, percent).withColumn("label", F.monotonically_increasing_id()), "prints")
-    by_sig = prints.where("n > 0").groupBy("sig").agg(F.min("label").alias("label"), F.min(F.struct(F.isnull("id").alias("missing"), "id", "hash")).alias("best"))
-    by_sig = written(by_sig, "classes")
-    families = _families(prints, by_sig, percent)
+    # Copies are combined before the shuffle; of each class one row's part goes on, that with the smallest label.
+    best = F.min(F.struct(F.isnull("id").alias("missing"), "id", "hash")).alias("best")
+    whole = prints.where("n > 0").groupBy("sig").agg(F.min(F.struct("label", "part", "later")).alias("one"), best)
+    whole = written(whole.select("sig", "best", "one.*"), "classes")
+    families = _families(prints, whole, percent)
     wanted = prints.select("id", "hash", "label").join(families.select(F.col("node").alias("label"), F.col("root").alias("family")), "label")
-    sets = written(_sets(docs, written(wanted, "wanted"), key, text, n), "sets")
+    wanted = written(wanted, "wanted")
+    by_sig = written(whole.select("sig", "label", "best"), "named-classes")
     slim = written(prints.select("id", "hash", "n", "sig"), "rows")
-    discard(prints, families)
+    discard(prints, families, whole)
+    sets = written(_sets(docs, wanted, key, text, n), "sets")
+    discard(wanted)
     roots = _connected(sets, sets, _trie_cell, percent, "links")
     discard(sets)
     mine = by_sig.join(roots, by_sig["label"] == roots["node"], "left").withColumn("root", F.coalesce("root", "label"))
