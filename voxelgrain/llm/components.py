@@ -3,15 +3,20 @@
 Nothing but counts comes to the driver. Every round is written to the shared folder, so lineage stays short, and
 the round before is deleted. Each star operation groups by a node's smallest neighbour, found by a grouped minimum,
 so a node with very many links is no hot key: the minimum is combined before the shuffle, and the join back may be
-split. An empty table of links gives an empty result; repeated links and links of a node with itself change nothing.
+split. Before the first round every task connects the links that it has by itself, which leaves few rounds. An empty table of links gives an empty result; repeated links and links of a node with itself change nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelgrain.llm.common import discard, written
+from voxelgrain.operators.measure import connected
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,15 +35,35 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """The links of every partition as stars around the smallest nodes that they connect."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        ends = [np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1)]
+        nodes, place = np.unique(np.concatenate(ends), return_inverse=True)
+        root = connected(len(nodes), *np.split(place, 2))
+        hung = np.flatnonzero(root != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[hung]), pa.array(nodes[root[hung]])], ["a", "b"])
+
+    return edges.mapInArrow(run, "a bigint, b bigint")
+
+
+def _digest(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the smallest node reachable) of every node that has a link. ``edges`` has columns ``a`` and ``b``."""
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    while True:
+    edges = written(_contracted(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), "edges")
+    before = _digest(edges)
+    while before[0]:
         last, edges = edges, written(_star(_star(edges, True), False), "edges")
         discard(last)
         # A star forest hangs every node on one root that hangs on none; the digest tells whether a round changed anything.
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        now = _digest(edges)
         if now == before:
             break
         before = now
