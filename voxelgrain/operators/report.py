@@ -94,7 +94,7 @@ def reach_pair_count(distances: DataFrame) -> DataFrame:
 def presence(objects: DataFrame, structures: DataFrame, entities: DataFrame) -> DataFrame:
     """Every object against every structure: ``missing`` tells an absent one from a mask, whose count is null."""
     rows = entities.select("object_id", "entity", "instance_count", F.lit(True).alias("there"))
-    grid = objects.select("object_id").crossJoin(F.broadcast(structures.select("entity").distinct()))
+    grid = objects.select("object_id").crossJoin(structures.select("entity").distinct())
     return grid.join(rows, ["object_id", "entity"], "left").select("object_id", "entity", F.col("there").isNull().alias("missing"), "instance_count")
 
 
@@ -142,7 +142,7 @@ def short_labels(ids: DataFrame, name: str = "id") -> DataFrame:
     kept = (F.col("least") > 1) & ~F.col("lone")
     ends = ends.select("a", common("c", "d").alias("back"), F.when(kept, F.least(common("a", "b"), F.size("a") - 1)).otherwise(F.lit(0)).alias("front"), kept.alias("kept"))
     ends = ends.select("front", F.when(F.col("kept"), F.least("back", F.size("a") - 1 - F.col("front"))).otherwise(F.lit(0)).alias("back"))
-    rows = split.crossJoin(F.broadcast(ends))
+    rows = split.crossJoin(ends)
     left = F.greatest(F.size("f") - F.col("front") - F.col("back"), F.lit(0)).cast("int")
     short = F.array_join(F.slice("f", (F.col("front") + 1).cast("int"), left), "_")
     return rows.select("id", F.when(short == "", F.col("id")).otherwise(short).alias("short"))
