@@ -428,6 +428,17 @@ def mesh_counts(spark, sf):
     return rounded(rows.select("object_id", "entity", "label", "row_type", "n_voxels", "mesh_vertices", "mesh_faces", "branches", "cable_length_um", "tortuosity"), "cable_length_um", "tortuosity")
 
 
+@query(
+    "skeleton_filter",
+    with_views("vox16", "i AS (SELECT object_id, entity, label, count(*) AS n FROM vox16 GROUP BY 1, 2, 3)", "m AS (SELECT *, entity IN ('A', 'R') AND n <= 12 AS wanted FROM i)")
+    + "SELECT object_id, entity, label, wanted AND max(CASE WHEN wanted AND n >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY object_id, entity) = 1 AS measured FROM m",
+)
+def skeleton_filter(spark, sf):
+    """Which instances are measured: those of the named entities, up to a size, if any of the entity's has a skeleton."""
+    found = geometry.skeletons(adapter.voxels(spark, sf, adapter.FEW), SIZE, geometry.entity_filter("a, R"), most=12)
+    return found.select("object_id", "entity", "label", F.col("branches").isNotNull().alias("measured"))
+
+
 @query("merged_meshes")
 def merged_meshes(spark, sf):
     rows = geometry.merged_meshes(geometry.importable(solid_geometry(spark, sf), excluded=["pm"]))

@@ -252,6 +252,26 @@ def promoted_masks(spark, sf):
     return found.groupBy("object_id", "entity", "kind").agg(F.countDistinct("label").alias("instance_count"))
 
 
+@query(
+    "promoted_masks_3d",
+    with_views(
+        "nucleus pm",
+        "n AS (SELECT object_id, z, y, x, (z * 1000 + y) * 1000 + x AS id FROM nucleus)",
+        "e AS (SELECT a.object_id, a.id AS a, b.id AS b FROM n a JOIN n b ON a.object_id = b.object_id AND abs(a.z - b.z) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1)",
+        "w(object_id, id, root) AS (SELECT object_id, id, id FROM n UNION SELECT e.object_id, e.b, w.root FROM w JOIN e ON e.object_id = w.object_id AND e.a = w.id AND w.root < e.b)",
+        "c AS (SELECT object_id, id, min(root) AS root FROM w GROUP BY 1, 2)",
+        "k AS (SELECT object_id, count(DISTINCT root) AS n FROM c GROUP BY 1)",
+    )
+    + """SELECT object_id, 'nucleus' AS entity, CASE WHEN n > 1 THEN 'label' ELSE 'mask' END AS kind, CASE WHEN n > 1 THEN n ELSE 0 END AS instance_count FROM k
+  UNION ALL SELECT DISTINCT object_id, 'pm', 'mask', 0 FROM pm""",
+)
+def promoted_masks_3d(spark, sf):
+    """In space, all 26 neighbours counting; the object mask stays a mask whatever its pieces."""
+    both = masks(spark, sf).unionByName(adapter.object_mask(spark, sf).withColumn("entity", F.lit("pm")))
+    found = measure.promote(both.select("object_id", "entity", "z", "y", "x"), object_mask="pm")
+    return found.groupBy("object_id", "entity", "kind").agg(F.countDistinct("label").alias("instance_count"))
+
+
 # --- distances ---------------------------------------------------------------------------------------------------
 
 #: Every voxel's least distance to every target, by brute force.
@@ -280,6 +300,27 @@ def distance_mean(spark, sf):
     return rounded(distances(spark, sf).select("object_id", "entity", "label", "target", "mean_distance_um"), "mean_distance_um")
 
 
+@query(
+    "distance_empty_targets",
+    with_views(
+        "vox nucleus",
+        "inside AS (SELECT v.* FROM vox v JOIN nucleus n ON v.object_id = n.object_id AND v.z = n.z AND v.y = n.y AND v.x = n.x)",
+        "i AS (SELECT DISTINCT object_id, entity, label FROM inside)",
+        "t AS (SELECT DISTINCT object_id, entity AS target FROM vox)",
+        "d AS (SELECT a.object_id, a.entity, a.label, b.entity AS target, min(sqrt(pow((a.z - b.z) * 0.1, 2) + pow((a.y - b.y) * 0.02, 2) + pow((a.x - b.x) * 0.02, 2))) AS d "
+        "FROM inside a JOIN inside b ON a.object_id = b.object_id AND a.entity <> b.entity GROUP BY 1, 2, 3, 4)",
+    )
+    + f"SELECT i.object_id, i.entity, i.label, t.target, {r('d.d', 'distance_um')} FROM i JOIN t ON t.object_id = i.object_id AND t.target <> i.entity "
+    "LEFT JOIN d ON d.object_id = i.object_id AND d.entity = i.entity AND d.label = i.label AND d.target = t.target",
+)
+def distance_empty_targets(spark, sf):
+    """Distances inside a mask: an entity that has no cell there is a target all the same, at no known distance."""
+    vox = adapter.voxels(spark, sf)
+    none = masks(spark, sf).where("false").select("object_id", "entity", "z", "y", "x")
+    found = distance.to_targets(measure.clip(vox, adapter.nucleus(spark, sf)), none, SIZE, targets=vox.select("object_id", "entity").distinct())
+    return rounded(found.select("object_id", "entity", "label", "target", "distance_um"), "distance_um")
+
+
 @query(
     "distance_boundary",
     with_views(
