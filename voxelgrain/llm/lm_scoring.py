@@ -23,20 +23,23 @@ read, whatever their names.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelgrain.llm.common import SPACE_RUN, discard, written
 
 ORDER, BACKOFF = 3, 0.4
 #: Characters of text in a batch, words a worker remembers, and n-grams of a bucket.
-BATCH_CHARS, REMEMBERED, BUCKET_GRAMS = 8_000_000, 200_000, 4_000_000
+BATCH_CHARS, REMEMBERED, BUCKET_GRAMS = 4_000_000, 200_000, 4_000_000
+#: Rows that go to a Python worker at once: each holds up to some MB.
+ARROW_ROWS = 32
 _TEXTS = pa.schema([("batch", pa.int64()), ("words", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("vocabulary", pa.binary()), ("local", pa.binary())])
 _COUNTS = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
 _BACK = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("totals", pa.binary())])
@@ -81,6 +84,16 @@ def _from_planes(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
+def _narrow(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as the largest needs, and that number of bytes first."""
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if values.max(initial=0) <= np.iinfo(k).max)
+    return bytes([np.dtype(kind).itemsize]) + _planes(values.astype(kind))
+
+
+def _from_narrow(data: bytes) -> np.ndarray:
+    return _from_planes(data[1:], {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[data[0]])
+
+
 def _steps(keys: np.ndarray) -> bytes:
     """Ascending keys as their differences."""
     return _planes(np.diff(keys, prepend=np.uint64(0)))
@@ -101,7 +114,7 @@ def _packed(docs: DataFrame, key: str, text: str) -> DataFrame:
         named = pa.ipc.new_stream(sink := pa.BufferOutputStream(), pa.schema([("id", ids.type)]))
         named.write_batch(pa.RecordBatch.from_arrays([ids], ["id"]))
         named.close()
-        return batch, len(flat), sink.getvalue().to_pybytes(), sizes.tobytes(), _steps(vocabulary), _planes(local.astype(np.uint32))
+        return batch, len(flat), sink.getvalue().to_pybytes(), sizes.tobytes(), _steps(vocabulary), _narrow(local)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -123,11 +136,10 @@ class _Batch:
 
     def __init__(self, sizes: bytes, vocabulary: bytes, local: bytes):
         self.sizes = np.frombuffer(sizes, np.uint32).astype(np.int64)
-        words, at = _from_steps(vocabulary), _from_planes(local, np.uint32).astype(np.int64)
-        self.word = words[at]
-        self.text = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.word = _from_steps(vocabulary)[_from_narrow(local)]
+        self.text = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         # How many words of its text stand before a place.
-        self.before = np.arange(len(at)) - (np.cumsum(self.sizes) - self.sizes)[self.text]
+        self.before = np.arange(len(self.word)) - (np.cumsum(self.sizes) - self.sizes)[self.text]
 
     def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """By order from one: the places that have so many words, and the n-grams' hashes."""
@@ -162,14 +174,14 @@ def _totals(texts: DataFrame, order: int, buckets: int) -> DataFrame:
                 hashes = [h for _, h in _Batch(sizes, vocabulary, local).grams()][order - 1]
                 grams, counts = np.unique(hashes, return_counts=True)
                 cuts = np.searchsorted(_bucket(grams, buckets), np.arange(buckets + 1))
-                yield from _rows([(b, batch, _steps(grams[x:y]), _planes(counts[x:y].astype(np.uint32))) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if x < y], _COUNTS)
+                yield from _rows([(b, batch, _steps(grams[x:y]), _narrow(counts[x:y])) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if x < y], _COUNTS)
 
     def summed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         grams = [_from_steps(r[2]) for r in held]
         _, place = np.unique(np.concatenate(grams), return_inverse=True)
-        totals = np.bincount(place, np.concatenate([_from_planes(r[3], np.uint32) for r in held])).astype(np.uint64)[place]
+        totals = np.bincount(place, np.concatenate([_from_narrow(r[3]) for r in held])).astype(np.uint64)[place]
         ends = np.cumsum([len(g) for g in grams])
-        yield from _rows([(r[1], r[0], _planes(totals[e - len(g) : e])) for r, g, e in zip(held, grams, ends.tolist(), strict=True)], _BACK)
+        yield from _rows([(r[1], r[0], _narrow(totals[e - len(g) : e])) for r, g, e in zip(held, grams, ends.tolist(), strict=True)], _BACK)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -193,14 +205,14 @@ def _scored(texts: DataFrame, totals: list[DataFrame], key: str, kind: str) -> D
         (row,) = [r for r in held if r[1] == 0]
         ids = pa.ipc.open_stream(row[3]).read_all().column(0).combine_chunks()
         batch = _Batch(*row[4:7])
-        n, used, value = len(batch.word), np.zeros(len(batch.word), np.int64), np.zeros(len(batch.word))
+        n, used, value = len(batch.word), np.zeros(len(batch.word), np.int8), np.zeros(len(batch.word))
         shorter = np.zeros(n)
         for order, (places, hashes) in enumerate(batch.grams(), 1):
             _, index = np.unique(hashes, return_inverse=True)
-            got = {r[2]: _from_planes(r[3], np.uint64) for r in held if r[1] == order}
-            total = np.concatenate([got[b] for b in sorted(got)]) if got else np.zeros(0, np.uint64)
+            got = {r[2]: _from_narrow(r[3]) for r in held if r[1] == order}
+            total = np.concatenate([got[b] for b in sorted(got)]) if got else np.zeros(0, np.uint8)
             # What other texts have of it: all, but for the text's own.
-            own = batch.text[places] * (len(total) + 1) + index
+            own = batch.text[places].astype(np.int64) * (len(total) + 1) + index
             _, of, times = np.unique(own, return_inverse=True, return_counts=True)
             others = np.zeros(n)
             others[places] = total[index].astype(float) - times[of] if n else 0
@@ -238,10 +250,27 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """``key``, ``n_words``, ``n_backoff`` (words whose longest n-gram no other text has) and ``score`` of every row."""
     spark = docs.sparkSession
     texts = written(_packed(docs, key, text), "lm-texts")
+    with _few_rows(spark):
+        return _score(texts, key, docs.schema[key].dataType.simpleString())
+
+
+@contextlib.contextmanager
+def _few_rows(spark: SparkSession) -> Iterator[None]:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ARROW_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _score(texts: DataFrame, key: str, kind: str) -> DataFrame:
+    spark = texts.sparkSession
     total = texts.agg(F.sum("words")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_GRAMS))
     totals = [written(_totals(texts, order, buckets), f"lm-totals-{order}") for order in range(1, ORDER + 1)]
-    parts = written(_scored(texts, totals, key, docs.schema[key].dataType.simpleString()), "lm")
+    parts = written(_scored(texts, totals, key, kind), "lm")
     discard(texts, *totals)
     others = F.greatest(F.lit(total) - F.col("n_words"), F.lit(1)).cast("double")
     mean = (F.col("part") - F.col("n_unigram") * F.log(others)) / F.col("n_words")
