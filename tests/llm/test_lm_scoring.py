@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from voxelgrain.llm import lm_scoring as m
@@ -45,3 +46,22 @@ def test_against_brute_force(spark, monkeypatch, chars):
     assert [x[:3] for x in got] == [x[:3] for x in want]
     assert all(a[3] is b[3] is None or abs(a[3] - b[3]) < 2e-5 for a, b in zip(got, want, strict=True))
     assert m.score(df.limit(0)).count() == 0
+
+
+def test_few_bytes_go_to_a_worker_at_once(spark):
+    df = spark.range(40, numPartitions=1).selectExpr("cast(repeat('x', 1000000) as binary) AS data")
+    with m._few_rows(spark):
+        sizes = [r.n for r in df.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect()]
+    assert sum(sizes) > 40_000_000 and max(sizes) < 8_000_000
+
+
+def test_idle_workers_remember_nothing(spark):
+    df = spark.createDataFrame([(i, f"unheard{i} word{i}") for i in range(200)], "doc_id long, text string").repartition(4)
+    assert m.score(df).count() == 200
+
+    def held(batches):
+        from voxelgrain.llm import lm_scoring
+
+        yield from (pa.RecordBatch.from_arrays([pa.array([len(lm_scoring._known)])], ["n"]) for _ in batches)
+
+    assert max(r.n for r in df.mapInArrow(held, "n long").collect()) == 0

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import contextlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelgrain.llm.common import SPACE_RUN, discard, written
+from voxelgrain.llm.common import SPACE_RUN, discard, lean, written
 
 ORDER, BACKOFF = 3, 0.4
 #: Characters of text in a batch, words a worker remembers, and n-grams of a bucket.
 BATCH_CHARS, REMEMBERED, BUCKET_GRAMS = 4_000_000, 200_000, 4_000_000
-#: Rows that go to a Python worker at once: each holds up to some MB.
-ARROW_ROWS = 32
+#: Rows that go to a Python worker at once: each holds up to some MB, in the executor's memory and in the worker's.
+ARROW_ROWS = 4
 _TEXTS = pa.schema([("batch", pa.int64()), ("words", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("vocabulary", pa.binary()), ("local", pa.binary())])
 _COUNTS = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
 _BACK = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("totals", pa.binary())])
@@ -70,6 +71,10 @@ class _Hashes(dict):
 _known = _Hashes()
 
 
+def _forget() -> None:
+    _known.clear()
+
+
 def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
 
@@ -128,7 +133,7 @@ def _packed(docs: DataFrame, key: str, text: str) -> DataFrame:
                 yield from _rows([row(number, arrived.column(0).slice(at, end - at), texts[at:end])], _TEXTS)
                 number, at = number + 1, end
 
-    return docs.select(key, text).mapInArrow(run, _ddl(_TEXTS))
+    return docs.select(key, text).mapInArrow(lean(run, _forget), _ddl(_TEXTS))
 
 
 class _Batch:
@@ -171,7 +176,7 @@ def _totals(texts: DataFrame, order: int, buckets: int) -> DataFrame:
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for arrived in batches:
             for batch, sizes, vocabulary, local in zip(*(c.to_pylist() for c in arrived.columns), strict=True):
-                hashes = [h for _, h in _Batch(sizes, vocabulary, local).grams()][order - 1]
+                _, hashes = next(islice(_Batch(sizes, vocabulary, local).grams(), order - 1, None))
                 grams, counts = np.unique(hashes, return_counts=True)
                 cuts = np.searchsorted(_bucket(grams, buckets), np.arange(buckets + 1))
                 yield from _rows([(b, batch, _steps(grams[x:y]), _narrow(counts[x:y])) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if x < y], _COUNTS)
@@ -194,8 +199,8 @@ def _totals(texts: DataFrame, order: int, buckets: int) -> DataFrame:
         if held:
             yield from summed(held)
 
-    counts = texts.select("batch", "sizes", "vocabulary", "local").mapInArrow(deal, _ddl(_COUNTS))
-    return counts.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, _ddl(_BACK))
+    counts = texts.select("batch", "sizes", "vocabulary", "local").mapInArrow(lean(deal, _forget), _ddl(_COUNTS))
+    return counts.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(lean(run, _forget), _ddl(_BACK))
 
 
 def _scored(texts: DataFrame, totals: list[DataFrame], key: str, kind: str) -> DataFrame:
@@ -243,7 +248,7 @@ def _scored(texts: DataFrame, totals: list[DataFrame], key: str, kind: str) -> D
     rows = texts.select("batch", F.lit(0).alias("order"), F.lit(0).alias("bucket"), F.col("ids").alias("data"), "sizes", "vocabulary", "local")
     for order, back in enumerate(totals, 1):
         rows = rows.unionByName(back.select("batch", F.lit(order).alias("order"), "bucket", F.col("totals").alias("data"), none("sizes"), none("vocabulary"), none("local")))
-    return rows.repartition("batch").sortWithinPartitions("batch").mapInArrow(run, f"`{key}` {kind}, n_words bigint, n_backoff bigint, n_unigram bigint, part double")
+    return rows.repartition("batch").sortWithinPartitions("batch").mapInArrow(lean(run, _forget), f"`{key}` {kind}, n_words bigint, n_backoff bigint, n_unigram bigint, part double")
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
