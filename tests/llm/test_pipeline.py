@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import sentencepiece
 
 import corpus_pipeline
@@ -62,3 +63,18 @@ def test_against_brute_force(spark, tmp_path):
         assert got[i].n_tokens == len(ids)
         assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+
+
+def test_idle_workers_remember_nothing(spark):
+    df = spark.createDataFrame([(i, " ".join(f"unheard{i + k} word{i}" for k in range(9))) for i in range(200)], "doc_id long, text string").repartition(4)
+
+    def held(batches):
+        from voxelgrain.llm import ngram_join, sentencepiece_codec
+
+        found = len(ngram_join._known) + len(sentencepiece_codec.model(path).known)
+        yield from (pa.RecordBatch.from_arrays([pa.array([found])], ["n"]) for _ in batches)
+
+    path = piece_model_path()
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.tokens):
+        assert stage(spark, df, "").count() > 0
+        assert max(r.n for r in df.mapInArrow(held, "n long").collect()) == 0

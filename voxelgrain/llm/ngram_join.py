@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelgrain.llm.common import discard, fresh, written
+from voxelgrain.llm.common import discard, fresh, lean, written
 from voxelgrain.llm.components import components
 
 SPAN = 1 << 63
@@ -67,6 +67,10 @@ class _Hashes(dict):
 _known = _Hashes()
 
 
+def _forget() -> None:
+    _known.clear()
+
+
 def _word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
 
@@ -143,7 +147,7 @@ def _fingerprints(docs: DataFrame, key: str, text: str, n: int, percent: int) ->
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key), F.col(text), F.xxhash64(text))
-    return rows.mapInArrow(run, f"id {kind}, hash bigint, n int, sig binary, sketch binary, part array<bigint>, later array<int>")
+    return rows.mapInArrow(lean(run, _forget), f"id {kind}, hash bigint, n int, sig binary, sketch binary, part array<bigint>, later array<int>")
 
 
 def _chunks(column, chars: int = 4_000_000) -> Iterator[list[str | None]]:
@@ -189,7 +193,7 @@ def _prefixes(shared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 
     lists = shared.groupBy("label").agg(F.collect_list(F.struct("spot", "gram", "frequent")).alias("found"))
     lists = lists.join(sizes.select("label", "n"), "label").select("label", "n", "found")
-    return lists.mapInArrow(run, "label bigint, firsts array<bigint>")
+    return lists.mapInArrow(lean(run, _forget), "label bigint, firsts array<bigint>")
 
 
 def _united(known: np.ndarray, at: int, hits: np.ndarray) -> list[tuple[int, int]]:
@@ -378,7 +382,7 @@ def _meet(rows: DataFrame, first: bool, cell: Callable[[Rows, int], list[tuple[i
         yield _pairs(cell(held, percent))
 
     dealt = _cells(rows, first).repartition("group", "host", "guest").sortWithinPartitions("group", "host", "guest")
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return dealt.mapInArrow(lean(run, _forget), "a bigint, b bigint")
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -445,7 +449,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, n: int) -> Da
     marks = wanted.groupBy(_word(F.col("hash")).alias("word")).agg(F.bit_or(_bit(F.col("hash"))).alias("mark"))
     texts = texts.join(F.broadcast(marks), _word(F.col("of_hash")) == F.col("word")).where(F.col("mark").bitwiseAND(_bit(F.col("of_hash"))) != 0)
     texts = texts.join(wanted, F.col("of_id").eqNullSafe(F.col("id")) & (F.col("of_hash") == F.col("hash"))).select("body", "label", "family")
-    return texts.mapInArrow(run, "label bigint, group bigint, n int, payload binary")
+    return texts.mapInArrow(lean(run, _forget), "label bigint, group bigint, n int, payload binary")
 
 
 def _labelled(docs: DataFrame, key: str, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:

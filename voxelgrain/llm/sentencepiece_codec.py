@@ -25,19 +25,21 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from voxelgrain.llm.common import lean
+
 SPACE = "▁"
 #: Symbols from here on are characters without a piece of their own: this plus the code point.
 LOOSE = 1 << 21
 WIDTH = LOOSE + 0x110000
 NEVER = np.int32(2**31 - 1)
 #: Words that a worker remembers, and characters of text that it handles at once.
-REMEMBERED, BLOCK_CHARS = 400_000, 4_000_000
+REMEMBERED, BLOCK_CHARS = 200_000, 1_000_000
 
 
 def _one_by_one(error: UnicodeDecodeError) -> tuple[str, int]:
@@ -257,6 +259,10 @@ def model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+def _forget(path: str) -> None:
+    model(path).known.clear()
+
+
 def blocks(texts: list[str | None]) -> Iterator[list[str]]:
     """The texts in order, about ``BLOCK_CHARS`` characters at a time; a longer text is a block of its own."""
     block, size = [], 0
@@ -283,7 +289,7 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
                 at += len(block)
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return df.select(key, text).mapInArrow(lean(run, partial(_forget, path)), f"`{key}` {kind}, ids array<int>")
 
 
 def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -296,7 +302,7 @@ def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], [key, "text"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, ids).mapInArrow(run, f"`{key}` {kind}, text string")
+    return df.select(key, ids).mapInArrow(lean(run, partial(_forget, path)), f"`{key}` {kind}, text string")
 
 
 def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -319,4 +325,4 @@ def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
                 at += len(block)
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return df.select(key, text).mapInArrow(lean(run, partial(_forget, path)), f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
