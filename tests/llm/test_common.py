@@ -1,6 +1,7 @@
 import os
 import types
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -47,3 +48,23 @@ def test_components(spark):
     assert [got[k] for k in (1, 2, 3, 4, 5, 7)] == [1, 1, 1, 4, 4, 4] and 9 not in got
     assert {got[k] for k in range(100, 181)} == {100} and {got[k] for k in range(200, 260)} == {200}
     assert components.components(df.limit(0)).count() == 0
+
+
+def test_few_links_take_one_table_and_no_rounds(spark, monkeypatch):
+    chain = [(k, k + 1) for k in range(300)] + [(900 - k, 900 - k // 2) for k in range(1, 60)]
+    links = common.written(spark.createDataFrame(chain, "a long, b long").repartition(7), "links")
+    with common.noting() as paths:
+        few = {r.node: r.root for r in components.components(links).collect()}
+    assert len(paths) == 1 and few[300] == 0 and few[900] == 841
+    monkeypatch.setattr(components, "IN_ONE", 20)
+    with common.noting() as paths:
+        rounds = {r.node: r.root for r in components.components(links).collect()}
+    assert len(paths) > 3 and rounds == few
+    common.discard(links)
+
+
+def test_links_are_connected_so_many_at_a_time(monkeypatch):
+    monkeypatch.setattr(components, "IN_ONE", 4)
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 7)), pa.array(range(k + 1, k + 8))], ["a", "b"]) for k in (0, 100)]
+    found = [(nodes.tolist(), root.tolist()) for nodes, root in components._forests(batches)]
+    assert found == [([*range(k, k + n)], [k] * n) for k, n in ((0, 5), (4, 4), (100, 5), (104, 4))]
