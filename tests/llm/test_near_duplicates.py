@@ -1,6 +1,7 @@
 import corpus_pipeline
 from tests.llm import test_ngram_join as t
 from voxelgrain.llm import ngram_join
+from voxelgrain.llm.common import noting
 
 
 def test_stage_takes_five_words_at_80_percent(spark):
@@ -22,3 +23,12 @@ def test_five_words_against_brute_force(spark, monkeypatch):
     three = t.shingles
     monkeypatch.setattr(t, "shingles", lambda text: three(text, 5))
     assert got == t.brute(rows, 80)
+
+
+def test_few_links_write_no_tables_of_rounds(spark):
+    rows = t.corpus(6, 3, 6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    with noting() as paths:
+        corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    names = [p.rpartition("/")[2].rpartition("-")[0] for p in paths]
+    assert names.count("roots") == 4 and "edges" not in names
