@@ -55,6 +55,49 @@ def test_few_bytes_go_to_a_worker_at_once(spark):
     assert sum(sizes) > 40_000_000 and max(sizes) < 8_000_000
 
 
+def test_executors_hold_few_packed_rows(spark, monkeypatch):
+    monkeypatch.setattr(m, "BATCH_CHARS", 100)
+    monkeypatch.setitem(m.PAGES, "parquet.page.size", "64")
+    df = spark.createDataFrame([(i, " ".join(f"word{i + k}" for k in range(20))) for i in range(60)], "doc_id long, text string").coalesce(1)
+    pages, plans, write = [], [], m.written
+
+    def noted(table, name, *options):
+        plans.append((name, table._jdf.queryExecution().executedPlan().toString(), spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")))
+        out = write(table, name, *options)
+        if name == "lm-texts":
+            jvm, conf, rows = spark._jvm, spark._jsc.hadoopConfiguration(), out.count()
+            at = jvm.org.apache.hadoop.fs.Path(out.inputFiles()[0])
+            reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(conf, at)
+            columns = reader.getFooter().getBlocks().get(0).getColumns()
+            pages.extend((rows, reader.readOffsetIndex(c).getPageCount()) for c in columns if c.getPath().toDotString() in ("ids", "vocabulary"))
+            reader.close()
+        return out
+
+    monkeypatch.setattr(m, "written", noted)
+    assert m.score(df).count() == 60
+    # A page ends with the row that fills it, the reader takes as few as go to a worker, and buckets are not sorted.
+    assert len(pages) == 2 and all(rows > 20 and n >= rows / 2 for rows, n in pages)
+    assert all(int(size) == m.ARROW_ROWS for name, _, size in plans if name != "lm-texts")
+    assert not any("Sort" in plan for name, plan, _ in plans if "totals" in name) and sum("totals" in name for name, _, _ in plans) == 3
+
+
+def test_a_file_holds_several_buckets(spark, monkeypatch):
+    monkeypatch.setattr(m, "BUCKET_GRAMS", 25)
+    files, write = {}, m.written
+
+    def noted(table, name, *options):
+        out = write(table, name, *options)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(m, "written", noted)
+    rows = [(i, f"the of word{i % 7} the word{i % 5} " * 5) for i in range(50)]
+    got = m.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_backoff) for r in got) == [x[:3] for x in sorted(brute(rows))]
+    # 1250 words make 50 buckets, which had a file each that had rows.
+    assert all(n <= 50 // m.TASK_BUCKETS for name, n in files.items() if "totals" in name) and len(files) == 5
+
+
 def test_idle_workers_remember_nothing(spark):
     df = spark.createDataFrame([(i, f"unheard{i} word{i}") for i in range(200)], "doc_id long, text string").repartition(4)
     assert m.score(df).count() == 200

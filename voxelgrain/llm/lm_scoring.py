@@ -39,8 +39,12 @@ from voxelgrain.llm.common import SPACE_RUN, discard, lean, written
 ORDER, BACKOFF = 3, 0.4
 #: Characters of text in a batch, words a worker remembers, and n-grams of a bucket.
 BATCH_CHARS, REMEMBERED, BUCKET_GRAMS = 4_000_000, 200_000, 4_000_000
-#: Rows that go to a Python worker at once: each holds up to some MB, in the executor's memory and in the worker's.
+#: Rows that are read and go to a Python worker at once: each holds up to some MB, in the executor's memory and in the worker's.
 ARROW_ROWS = 4
+#: Buckets of a task that writes a table, one after the other: a file for each would be many small ones.
+TASK_BUCKETS = 4
+#: A page of texts ends with the row that fills it. Else a hundred rows or a file's are one, held several times over by who writes and reads it.
+PAGES = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.enable.dictionary": "false"}
 _TEXTS = pa.schema([("batch", pa.int64()), ("words", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("vocabulary", pa.binary()), ("local", pa.binary())])
 _COUNTS = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
 _BACK = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("totals", pa.binary())])
@@ -189,18 +193,16 @@ def _totals(texts: DataFrame, order: int, buckets: int) -> DataFrame:
         yield from _rows([(r[1], r[0], _narrow(totals[e - len(g) : e])) for r, g, e in zip(held, grams, ends.tolist(), strict=True)], _BACK)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        # A partition is a bucket, so there is nothing to sort, for which the executor would hold all its rows.
+        held: dict[int, list[tuple]] = {}
         for arrived in batches:
             for r in zip(*(c.to_pylist() for c in arrived.columns), strict=True):
-                if held and r[0] != held[0][0]:
-                    yield from summed(held)
-                    held = []
-                held.append(r)
-        if held:
-            yield from summed(held)
+                held.setdefault(r[0], []).append(r)
+        while held:
+            yield from summed(held.popitem()[1])
 
     counts = texts.select("batch", "sizes", "vocabulary", "local").mapInArrow(lean(deal, _forget), _ddl(_COUNTS))
-    return counts.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(lean(run, _forget), _ddl(_BACK))
+    return counts.repartitionById(buckets, F.col("bucket")).mapInArrow(lean(run, _forget), _ddl(_BACK))
 
 
 def _scored(texts: DataFrame, totals: list[DataFrame], key: str, kind: str) -> DataFrame:
@@ -254,28 +256,30 @@ def _scored(texts: DataFrame, totals: list[DataFrame], key: str, kind: str) -> D
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``n_words``, ``n_backoff`` (words whose longest n-gram no other text has) and ``score`` of every row."""
     spark = docs.sparkSession
-    texts = written(_packed(docs, key, text), "lm-texts")
+    texts = written(_packed(docs, key, text), "lm-texts", PAGES)
     with _few_rows(spark):
         return _score(texts, key, docs.schema[key].dataType.simpleString())
 
 
 @contextlib.contextmanager
 def _few_rows(spark: SparkSession) -> Iterator[None]:
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, ARROW_ROWS)
+    before = {name: spark.conf.get(name) for name in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")}
+    for name in before:
+        spark.conf.set(name, ARROW_ROWS)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def _score(texts: DataFrame, key: str, kind: str) -> DataFrame:
     spark = texts.sparkSession
     total = texts.agg(F.sum("words")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_GRAMS))
-    totals = [written(_totals(texts, order, buckets), f"lm-totals-{order}") for order in range(1, ORDER + 1)]
-    parts = written(_scored(texts, totals, key, kind), "lm")
+    tasks = max(spark.sparkContext.defaultParallelism, buckets // TASK_BUCKETS)
+    totals = [written(_totals(texts, order, buckets).coalesce(tasks), f"lm-totals-{order}") for order in range(1, ORDER + 1)]
+    parts = written(_scored(texts, totals, key, kind).coalesce(tasks), "lm")
     discard(texts, *totals)
     others = F.greatest(F.lit(total) - F.col("n_words"), F.lit(1)).cast("double")
     mean = (F.col("part") - F.col("n_unigram") * F.log(others)) / F.col("n_words")
