@@ -89,3 +89,19 @@ def test_without_broadcast_and_empty(spark, monkeypatch):
     assert d.leaks(docs.limit(0), items).count() == 0
     assert d.drop_leaks(docs, items.limit(0)).count() == len(rows)
     assert re.search("window", str(d.item_windows(items).columns))
+
+
+def test_templates_token_by_token(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["3km of 3 KM and 3 Km, 1.5 kg; 12:30 h km", "Iphone iPhone İstanbul Straße ÉCOLE école ΑΣ ǅ ǆ ́a A1 1A x9", "Größe THE the 7 Seven 7 seconds Seconds", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", d._tokens(F.col("text")).alias("raw"))
+    df = d._with_templates(df, True)
+    # What it stands for: the placeholder of a token, or the token in lower case as Spark has it.
+    for column, folded in (("template", False), ("folded", True)):
+        want = F.transform("raw", lambda t, i: F.xxhash64(F.coalesce(d._slot(F.col("raw"), t, i, folded), F.lower(t))))  # noqa: B023
+        assert df.where(~F.col(column).eqNullSafe(want)).count() == 0
+    kinds = {r.i: r.kinds for r in df.select("i", F.transform("raw", lambda t, i: d._slot(F.col("raw"), t, i)).alias("kinds")).collect()}
+    assert all(kinds[i] == [k for k, _ in canon(t)] for i, t in enumerate(texts) if i != 1)
+    # Tokens are looked at once for both templates: units, which are found by a list, are sought in one place.
+    assert df.select("template", "folded")._jdf.queryExecution().optimizedPlan().toString().count("array_contains") == 1

@@ -48,20 +48,43 @@ def _tokens(text: Column) -> Column:
 
 
 def _is_number(t: Column) -> Column:
-    return (t >= F.lit("0")) & (t < F.lit(":"))
+    """Of what a token can begin with, only digits stand before the colon."""
+    return t < F.lit(":")
 
 
 def _slot(raw: Column, t: Column, i: Column, folded: bool = False) -> Column:
     """The placeholder of token ``t`` at ``i`` of ``raw``; null for literal tokens, and for names if ``folded``."""
-    low = F.lower(t)
+    found = F.when(_is_number(t), F.lit("<number>")).when(_is_unit(raw, t, i), F.lit("<unit>"))
+    return found if folded else found.when(_is_name(t), F.lit("<name>"))
+
+
+def _is_unit(raw: Column, t: Column, i: Column) -> Column:
     after = F.coalesce(_is_number(F.get(raw, i - 1)), F.lit(False))
-    found = F.when(_is_number(t), F.lit("<number>")).when(after & F.array_contains(F.array(*map(F.lit, UNITS)), low), F.lit("<unit>"))
-    return found if folded else found.when(F.left(t, F.lit(1)) != F.left(low, F.lit(1)), F.lit("<name>"))
+    return after & F.array_contains(F.array(*map(F.lit, UNITS)), F.lower(t))
+
+
+def _is_name(t: Column) -> Column:
+    return F.left(t, F.lit(1)) != F.left(F.lower(t), F.lit(1))
+
+
+def _hash(kind: str) -> Column:
+    return F.xxhash64(F.lit(f"<{kind}>"))
 
 
-def _template(raw: str, folded: bool = False) -> Column:
-    """Hashes of the template's tokens."""
-    return F.transform(F.col(raw), lambda t, i: F.xxhash64(F.coalesce(_slot(F.col(raw), t, i, folded), F.lower(t))))
+def _template(raw: str) -> Column:
+    """Hashes of the template's tokens: of their ``_slot``, or of the token in lower case. Lambdas are interpreted, token
+    by token, so a token in lower case, as most are, is known by one comparison before names are looked for."""
+
+    def token(t: Column, i: Column) -> Column:
+        found = F.when(_is_number(t), _hash("number")).when(_is_unit(F.col(raw), t, i), _hash("unit"))
+        return found.when(t == F.lower(t), F.xxhash64(t)).when(_is_name(t), _hash("name")).otherwise(F.xxhash64(F.lower(t)))
+
+    return F.transform(F.col(raw), token)
+
+
+def _folded(template: str, raw: str) -> Column:
+    """The template without names: that of ``template``, but for the names."""
+    return F.zip_with(F.col(template), F.col(raw), lambda h, t: F.when(h == _hash("name"), F.xxhash64(F.lower(t))).otherwise(h))
 
 
 def _windows(template: str, folded: bool = False) -> Column:
@@ -72,7 +95,7 @@ def _windows(template: str, folded: bool = False) -> Column:
 
 def _with_templates(df: DataFrame, passages: bool) -> DataFrame:
     df = df.withColumn("template", _template("raw"))
-    return df.withColumn("folded", _template("raw", True)) if passages else df
+    return df.withColumn("folded", _folded("template", "raw")) if passages else df
 
 
 def _all_windows(passages: bool) -> Column:
@@ -85,7 +108,8 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text", fol
     """``item``, ``folded``, ``j``, ``window``, ``slots`` and ``total``: the windows with enough literal tokens, and their number by item."""
     df = items.select(F.col(key).alias("item"), F.lit(folded).alias("folded"), _tokens(F.col(text)).alias("raw"))
     df = df.withColumn("slots", F.transform("raw", lambda t, i: F.struct(_slot(F.col("raw"), t, i, folded).alias("kind"), F.lower(t).alias("value"))))
-    df = df.withColumn("template", _template("raw", folded))
+    df = df.withColumn("template", _template("raw"))
+    df = df.withColumn("template", _folded("template", "raw")) if folded else df
     df = df.select("item", "folded", "slots", F.posexplode(_windows("template", folded)).alias("j", "window"))
     df = df.withColumn("slots", F.slice("slots", F.col("j") + 1, F.lit(WINDOW)))
     df = df.where(F.size(F.filter("slots", lambda s: s["kind"].isNull())) >= LEAST_LITERAL)
