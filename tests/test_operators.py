@@ -244,3 +244,26 @@ def test_natural_gaps_in_small(spark):
     grid = report.presence(objects, rows, rows)
     assert {(r.object_id, r.entity) for r in grid.where("missing").collect()} == {("b", "n"), ("c", "m"), ("c", "n")}
     assert {(r.entity, r.missing_in) for r in report.structure_gaps(grid).collect()} == {("m", 1), ("n", 2)}
+
+
+def test_contacts_across_blocks_shuffle_cells_not_steps(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = [("o%d" % rng.integers(2), "e%d" % rng.integers(2), int(rng.integers(1, 6)), *map(int, rng.integers(-9, 14, 3))) for _ in range(600)]
+    cells = contacts.claim(frame(spark, rows), frame(spark, block("nucleus", None, (-3, -3, -3), (5, 5, 5), "o0")).drop("label")).cache()
+    gap, size = 0.065, (0.03, 0.02, 0.02)
+    at = cells.collect()
+    want: dict = {}
+    for i, a in enumerate(at):
+        for b in at[i + 1 :]:
+            ends = sorted([(a.entity, -1 if a.label is None else a.label), (b.entity, -1 if b.label is None else b.label)])
+            far = math.sqrt(sum(((p - q) * s) ** 2 for p, q, s in zip((a.z, a.y, a.x), (b.z, b.y, b.x), size, strict=True)))
+            if a.object_id == b.object_id and ends[0] != ends[1] and far <= gap + 1e-9:
+                want[a.object_id, *ends[0], *ends[1]] = min(far, want.get((a.object_id, *ends[0], *ends[1]), 9))
+    label = lambda v: -1 if v is None else v
+    for side in (64, 5):
+        monkeypatch.setattr(contacts, "BLOCK", side)
+        found = contacts.edges(cells, gap, size)
+        got = {(r.object_id, r.entity_a, label(r.label_a), r.entity_b, label(r.label_b)): r.gap_um for r in found.collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+        # No step multiplies the rows before a shuffle.
+        assert "array(struct" not in found._jdf.queryExecution().optimizedPlan().toString() and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
