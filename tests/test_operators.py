@@ -267,3 +267,11 @@ def test_contacts_across_blocks_shuffle_cells_not_steps(spark, monkeypatch):
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
         # No step multiplies the rows before a shuffle.
         assert "array(struct" not in found._jdf.queryExecution().optimizedPlan().toString() and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_drawn_mask_is_not_broadcast(spark):
+    grid = spark.range(3).select(F.col("id").cast("string").alias("object_id")).select("object_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("z")).select("*", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("y"), F.lit(1).alias("x"))
+    rows = frame(spark, block("er", 1, (3, 3, 0), (4, 4, 3), "1"))
+    found = measure.clip(rows, grid)
+    assert found.count() == 4
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
