@@ -275,3 +275,18 @@ def test_a_drawn_mask_is_not_broadcast(spark):
     found = measure.clip(rows, grid)
     assert found.count() == 4
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_masks_are_promoted_in_one_pass_of_many(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [("o%d" % k, e, 0, int(y), int(x)) for k in range(40) for e in ("a", "b") for y, x in rng.integers(0, 6, (rng.integers(1, 12), 2))]
+    cells = spark.createDataFrame(rows, "object_id string, entity string, z int, y int, x int").distinct().cache()
+    found = measure.promote(cells)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan and "FlatMapGroups" not in plan
+    want = {}
+    for name in {(r.object_id, r.entity) for r in cells.collect()}:
+        of = sorted((r.z, r.y, r.x) for r in cells.collect() if (r.object_id, r.entity) == name)
+        labels = measure.component_labels(np.array(of)).tolist()
+        want |= {(*name, *c): (k if max(labels) > 1 else None) for c, k in zip(of, labels, strict=True)}
+    assert {(r.object_id, r.entity, r.z, r.y, r.x): r.label for r in found.collect()} == want
