@@ -290,3 +290,29 @@ def test_masks_are_promoted_in_one_pass_of_many(spark, monkeypatch):
         labels = measure.component_labels(np.array(of)).tolist()
         want |= {(*name, *c): (k if max(labels) > 1 else None) for c, k in zip(of, labels, strict=True)}
     assert {(r.object_id, r.entity, r.z, r.y, r.x): r.label for r in found.collect()} == want
+
+
+def test_distances_of_many_objects_by_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = {("o%d" % k, "e%d" % e, int(rng.integers(1, 4)), *map(int, c)) for k in range(12) for e in range(3) for c in rng.integers(0, (4, 9, 5), (rng.integers(1, 9), 3))}
+    voxels = frame(spark, sorted(rows))
+    # Along short lines, envelopes are not made one object at a time.
+    monkeypatch.setattr(distance, "_envelope", None)
+    found = distance.to_targets(voxels, voxels.where("false").select("object_id", "entity", "z", "y", "x"), SIZE, histogram=True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    near: dict = {}
+    for o, e, k, *c in rows:
+        for target in {f for p, f, *_ in rows if p == o} - {e}:
+            near.setdefault((o, e, k, target), []).append(min(math.sqrt(sum(((p - q) * s) ** 2 for p, q, s in zip(c, t[3:], SIZE, strict=True))) for t in rows if t[:2] == (o, target)))
+    got = {(r.object_id, r.entity, r.label, r.target): r for r in found.collect()}
+    assert got.keys() == near.keys()
+    for name, d in near.items():
+        assert got[name].distance_um == pytest.approx(min(d)) and got[name].mean_distance_um == pytest.approx(np.mean(d)) and sum(got[name].bins) == len(d)
+
+
+def test_reach_is_made_of_distances_made_once(spark):
+    rows = [("o", "e", 1, "a", 0.2), ("o", "e", 1, "b", 0.1), ("o", "e", 1, "c", None), ("o", "e", 1, "d", 0.4), ("o", "e", 2, "a", 0.3)]
+    found = report.reach(spark.createDataFrame(rows, "object_id string, entity string, label long, target string, distance_um double"))
+    assert {(r.label, r.target_a, r.target_b): r.reach_um for r in found.collect()} == {(1, "a", "b"): 0.2, (1, "a", "d"): 0.4, (1, "b", "d"): 0.4}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -1,23 +1,26 @@
 """Distances from instances to structures.
 
 An object is the unit: its voxels meet in one task, are laid out on the object's own grid, and one exact Euclidean
-distance transform for each target gives the distances of all its instances at once. The transform takes time in
-proportion to the grid, axis by axis: a scan along the first, then the lower envelope of parabolas, for many lines at
-a time; the last axis only where an instance is. Memory is the grid (nine bytes a cell) and ``BLOCK_CELLS`` of lines,
-whatever the number of targets, which follow one another.
+distance transform for each target gives the distances of all its instances at once. The transform goes axis by axis: a
+scan along the first, then, along short axes, each step for the whole grid at a time until none so long can help, and
+along long ones the lower envelope of parabolas, for many lines at a time, in proportion to the grid; the last axis only
+where an instance is. Memory is the grid (nine bytes a cell, a few times) and ``BLOCK_CELLS`` of lines, whatever the
+number of targets: on small grids some are made together, on large ones they follow one another.
 """
 
 from __future__ import annotations
 
 import itertools
 import json
+import math
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelgrain.operators import groups
 from voxelgrain.operators.lineage import kept
 from voxelgrain.operators.measure import Size
 
@@ -29,8 +32,10 @@ NAME_LABEL = -1
 WIDER = 4
 
 
-#: Cells of the lines whose envelopes are made at a time.
+#: Cells of the lines whose envelopes are made at a time, and of the grids of several targets.
 BLOCK_CELLS = 4_000_000
+#: Lines up to which every step along them is tried, for whole grids at a time, rather than their envelopes made.
+SHORT_LINE = 128
 
 
 def _scan(target: np.ndarray, step: float) -> np.ndarray:
@@ -87,24 +92,55 @@ def _envelope(lines: np.ndarray, step: float) -> np.ndarray:
     return out
 
 
-def distance_transform(target: np.ndarray, size: Size, wanted: np.ndarray | None = None) -> np.ndarray:
-    """Distance of every cell to the nearest cell of ``target`` (boolean, any number of axes); infinite without one.
+def _shifted(squared: np.ndarray, step: float) -> np.ndarray:
+    """The same along axis 1 of ``(grids, axis, rest)``, by looking one step farther each time, until no step that long can help."""
+    out, n = squared.copy(), squared.shape[1]
+    for k in range(1, n):
+        way = (k * step) ** 2
+        # What is known only gets less, so it is enough to look now and then.
+        if k % 4 == 1 and way >= out.max():
+            break
+        moved = squared + way
+        np.minimum(out[:, k:], moved[:, :-k], out=out[:, k:])
+        np.minimum(out[:, :-k], moved[:, k:], out=out[:, :-k])
+    return out
 
-    With ``wanted`` (boolean, as large), cells on lines of the last axis without a wanted cell are left infinite.
-    """
-    squared = _scan(target, size[0])
-    for axis in range(1, target.ndim):
-        n = squared.shape[axis]
-        lines = np.moveaxis(squared, axis, -1).reshape(-1, n)
-        use = np.arange(len(lines)) if wanted is None or axis < target.ndim - 1 else np.flatnonzero(wanted.any(axis=axis).reshape(-1))
+
+def _transforms(targets: np.ndarray, size: Size, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The distance transform of several grids, one after the other along the first axis."""
+    # A grid without a cell would keep the others looking.
+    some = targets.reshape(len(targets), -1).any(axis=1)
+    if not some.all():
+        out = np.full(targets.shape, np.inf)
+        if some.any():
+            out[some] = _transforms(targets[some], size, wanted)
+        return out
+    squared = np.moveaxis(_scan(np.moveaxis(targets, 1, 0), size[0]), 0, 1)
+    for axis in range(1, targets.ndim - 1):
+        shape, n = squared.shape, squared.shape[axis + 1]
+        if n <= SHORT_LINE:
+            lines = np.ascontiguousarray(squared.reshape(math.prod(shape[: axis + 1]), n, -1))
+            block = max(1, BLOCK_CELLS // 16 // (n * lines.shape[2]))
+            squared = np.concatenate([_shifted(lines[a : a + block], size[axis]) for a in range(0, len(lines), block)]).reshape(shape)
+            continue
+        lines = np.moveaxis(squared, axis + 1, -1).reshape(-1, n)
+        use = np.arange(len(lines)) if wanted is None or axis < targets.ndim - 2 else np.flatnonzero(np.tile(wanted.any(axis=axis).reshape(-1), len(targets)))
         out = np.full(lines.shape, np.inf)
         block = max(1, BLOCK_CELLS // n)
         for a in range(0, len(use), block):
             out[use[a : a + block]] = _envelope(lines[use[a : a + block]], size[axis])
-        squared = np.moveaxis(out.reshape(np.moveaxis(squared, axis, -1).shape), -1, axis)
+        squared = np.moveaxis(out.reshape(np.moveaxis(squared, axis + 1, -1).shape), -1, axis + 1)
     return np.sqrt(squared)
 
 
+def distance_transform(target: np.ndarray, size: Size, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Distance of every cell to the nearest cell of ``target`` (boolean, any number of axes); infinite without one.
+
+    With ``wanted`` (boolean, as large), cells on long lines of the last axis without a wanted cell are left infinite.
+    """
+    return _transforms(target[None], size, wanted)[0]
+
+
 def to_targets(voxels: DataFrame, masks: DataFrame, size: Size, object_mask: str | None = None, histogram: bool = False, targets: DataFrame | None = None) -> DataFrame:
     """Least and mean distance (micrometres) of every instance to every other entity of its object.
 
@@ -120,49 +156,75 @@ def to_targets(voxels: DataFrame, masks: DataFrame, size: Size, object_mask: str
         rows = rows.unionByName(targets.select("object_id", "entity", F.lit(NAME_LABEL).cast("long").alias("label"), *place))
     kind = voxels.schema["object_id"].dataType.simpleString()
 
-    def measure(group: pd.DataFrame) -> pd.DataFrame:
-        names_only = group["label"] == NAME_LABEL
-        named, group = set(group["entity"][names_only]), group[~names_only]
-        if not len(group):
-            return pd.DataFrame(columns=["object_id", "entity", "label", "target", "distance_um", "mean_distance_um", "bins"])
-        cells = group[["z", "y", "x"]].to_numpy()
-        origin = cells.min(axis=0)
-        at, shape = cells - origin, tuple(cells.max(axis=0) - origin + 1)
-        entity, label = group["entity"].to_numpy(), group["label"].to_numpy()
-        out = []
-        wanted = np.zeros(shape, bool)
-        wanted[tuple(at[label != MASK_LABEL].T)] = True
-        for target in sorted({*entity.tolist(), *named}):
-            grid = np.zeros(shape, bool)
-            grid[tuple(at[entity == target].T)] = True
-            if target == object_mask:
-                grid = ~grid
-            far = distance_transform(grid, size, wanted)
-            for source in sorted(set(entity[label != MASK_LABEL].tolist())):
-                own = (entity == source) & (label != MASK_LABEL)
-                if source == target:
-                    continue
-                ids, values = label[own], far[tuple(at[own].T)]
-                order = np.argsort(ids, kind="stable")
-                ids, values = ids[order], values[order]
-                names, begins = np.unique(ids, return_index=True)
-                known = np.isfinite(values).all()
-                least = np.minimum.reduceat(values, begins)
-                mean = np.add.reduceat(values, begins) / np.diff(np.append(begins, len(ids)))
-                low, high = values.min(), values.max()
-                width = high - low if high > low else 1.0
-                for k, name in enumerate(names.tolist()):
-                    bins = None
-                    if histogram and known:
-                        part = values[begins[k] : begins[k + 1] if k + 1 < len(names) else None]
-                        place = np.clip(((part - low) / width * BINS).astype(int), 0, BINS - 1)
-                        bins = np.bincount(place, minlength=BINS).tolist()
-                    out.append((source, name, target, float(least[k]) if known else None, float(mean[k]) if known else None, bins))
-        found = pd.DataFrame(out, columns=["entity", "label", "target", "distance_um", "mean_distance_um", "bins"])
-        found.insert(0, "object_id", group["object_id"].iloc[0])
-        return found
-
-    return rows.groupBy("object_id").applyInPandas(measure, f"object_id {kind}, entity string, label long, target string, distance_um double, mean_distance_um double, bins array<long>")
+    def measure(table: pa.Table) -> pa.Table | None:
+        objects, names = groups.codes(table.column("object_id"))
+        entities, entity_names = groups.codes(table.column("entity"))
+        labels = groups.numbers(table.column("label"))
+        cells = np.stack([groups.numbers(table.column(a)) for a in "zyx"], 1)
+        inverted = -1 if object_mask is None else next((k for k, e in enumerate(entity_names.to_pylist()) if e == object_mask), -1)
+        begins = groups.starts(objects)
+        found = []
+        for i, j in zip(begins.tolist(), [*begins[1:].tolist(), len(objects)], strict=True):
+            one = _of_object(entities[i:j], labels[i:j], cells[i:j], size, inverted, histogram)
+            if one is not None:
+                found.append((np.full(len(one[0]), objects[i]), *one))
+        if not found:
+            return None
+        of, source, label, target, least, mean, bins = (np.concatenate(c) for c in zip(*found, strict=True))
+        unknown = np.isinf(least)
+        told = pa.array(mean, mask=unknown)
+        # A row's bins lie one after the other; rows without any are null.
+        ends = np.arange(len(of) + 1, dtype=np.int32) * (BINS if histogram else 0)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(bins.reshape(-1)), mask=pa.array(unknown | (not histogram)))
+        by_name = lambda c: entity_names.take(pa.array(c))
+        return pa.table([names.take(pa.array(of)), by_name(source), pa.array(label), by_name(target), pa.array(least, mask=unknown), told, lists], ["object_id", "entity", "label", "target", "distance_um", "mean_distance_um", "bins"])
+
+    return groups.by_group(rows, ("object_id",), measure, f"object_id {kind}, entity string, label long, target string, distance_um double, mean_distance_um double, bins array<long>")
+
+
+def _of_object(entity: np.ndarray, label: np.ndarray, cells: np.ndarray, size: Size, inverted: int, histogram: bool) -> tuple[np.ndarray, ...] | None:
+    """Entity, label, target, least and mean distance (infinite without a cell of the target) and bins of one object's instances."""
+    some = label != NAME_LABEL
+    targets = np.unique(entity)
+    entity, label, cells = entity[some], label[some], cells[some]
+    own = np.flatnonzero(label != MASK_LABEL)
+    if not len(own):
+        return None
+    at = cells - cells.min(axis=0)
+    shape = tuple((at.max(axis=0) + 1).tolist())
+    flat = np.ravel_multi_index(tuple(at.T), shape)
+    own = own[np.lexsort((label[own], entity[own]))]
+    begins = groups.starts(entity[own], label[own])
+    kinds = groups.starts(entity[own])
+    of_kind = groups.within(kinds, len(own))
+    source, name = entity[own][begins], label[own][begins]
+    times = np.diff(np.append(begins, len(own)))
+    wanted = np.zeros(math.prod(shape), bool)
+    wanted[flat[own]] = True
+    out = []
+    together = max(1, BLOCK_CELLS // len(wanted))
+    for k in range(0, len(targets), together):
+        some_targets = targets[k : k + together]
+        grid = np.zeros((len(some_targets), len(wanted)), bool)
+        place = np.searchsorted(some_targets, entity)
+        here = some_targets[np.minimum(place, len(some_targets) - 1)] == entity
+        grid[place[here], flat[here]] = True
+        grid[some_targets == inverted] ^= True
+        far = _transforms(grid.reshape(-1, *shape), size, wanted.reshape(shape)).reshape(grid.shape)[:, flat[own]]
+        for target, values in zip(some_targets.tolist(), far, strict=True):
+            use = source != target
+            if not use.any():
+                continue
+            least = np.minimum.reduceat(values, begins)
+            mean = np.add.reduceat(values, begins) / times
+            bins = np.zeros((len(begins), BINS if histogram else 0), np.int64)
+            if histogram and np.isfinite(least).all():
+                low, high = np.minimum.reduceat(values, kinds)[of_kind], np.maximum.reduceat(values, kinds)[of_kind]
+                width = np.where(high > low, high - low, 1.0)
+                bin_of = np.clip(((values - low) / width * BINS).astype(int), 0, BINS - 1)
+                bins = np.bincount(groups.within(begins, len(own)) * BINS + bin_of, minlength=bins.size).reshape(bins.shape)
+            out.append((source[use], name[use], np.full(use.sum(), target), least[use], mean[use], bins[use]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else None
 
 
 def bins_json(bins: list[int] | None) -> str | None:

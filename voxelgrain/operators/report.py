@@ -73,10 +73,12 @@ def mann_whitney(rows: DataFrame, category: str, value: str, within: list[str])
 
 def reach(distances: DataFrame) -> DataFrame:
     """For each instance and two targets: the distance within which it has both."""
-    known = distances.where(F.col("distance_um").isNotNull())
-    side = lambda s: known.select("object_id", "entity", "label", F.col("target").alias(f"target_{s}"), F.col("distance_um").alias(f"d_{s}"))
-    pairs = side("a").join(side("b"), ["object_id", "entity", "label"]).where("target_a < target_b")
-    return pairs.select("object_id", "entity", "label", "target_a", "target_b", F.greatest("d_a", "d_b").alias("reach_um"))
+    known = distances.where("distance_um is not null and object_id is not null and entity is not null and label is not null and target is not null")
+    # An instance has few targets, so they meet in a list: distances are made once.
+    listed = known.groupBy("object_id", "entity", "label").agg(F.sort_array(F.collect_list(F.struct("target", "distance_um"))).alias("d"))
+    first = listed.where(F.size("d") > 1).select("object_id", "entity", "label", "d", F.explode("d").alias("a"))
+    pairs = first.select("object_id", "entity", "label", "a", F.explode(F.filter("d", lambda x: x["target"] > F.col("a.target"))).alias("b"))
+    return pairs.select("object_id", "entity", "label", F.col("a.target").alias("target_a"), F.col("b.target").alias("target_b"), F.greatest("a.distance_um", "b.distance_um").alias("reach_um"))
 
 
 def reach_curve(reached: DataFrame, groups: DataFrame) -> DataFrame:
