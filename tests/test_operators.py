@@ -316,3 +316,17 @@ def test_reach_is_made_of_distances_made_once(spark):
     found = report.reach(spark.createDataFrame(rows, "object_id string, entity string, label long, target string, distance_um double"))
     assert {(r.label, r.target_a, r.target_b): r.reach_um for r in found.collect()} == {(1, "a", "b"): 0.2, (1, "a", "d"): 0.4, (1, "b", "d"): 0.4}
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_clusters_of_many_objects_in_one_call(spark):
+    inst = spark.createDataFrame([(o, "mito", k) for o in "pq" for k in (1, 2, 3)] + [("r", "er", 10), ("r", "er", 9)], "object_id string, entity string, label long")
+    links = [("p", "mito", 1, "mito", 3, 0.0), ("q", "mito", 2, "nucleus", None, 0.0), ("q", "mito", 3, "nucleus", None, 0.0), ("r", "er", 9, "er", 10, 0.0), ("s", "er", 1, "er", 2, 0.0)]
+    links = spark.createDataFrame(links, "object_id string, entity_a string, label_a long, entity_b string, label_b long, gap_um double")
+    found = graph.clusters(inst, links)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "CoGroup" not in plan
+    got = {(r.object_id, r.entity, r.label): r.cluster for r in found.collect()}
+    assert len(got) == 11 and got["p", "mito", 3] == got["p", "mito", 1] == "mito:1" and got["p", "mito", 2] == "mito:2"
+    assert got["q", "mito", 3] == got["q", "nucleus", None] == "mito:2" and got["r", "er", 10] == "er:9" and got["s", "er", 2] == "er:1"
+    strict = {(r.object_id, r.entity, r.label): r.cluster for r in graph.clusters(inst, links, strict=True).collect()}
+    assert len(strict) == 8 and strict["q", "mito", 3] == "mito:3" and strict["r", "er", 10] == "er:9"
