@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from voxelgrain.operators import distance, geometry, measure, report
@@ -165,3 +166,51 @@ def test_label_check():
     for bad in (np.array([0.5]), np.array([-1])):
         with pytest.raises(ValueError):
             tiff.check_labels(bad)
+
+
+def many_cells(rng, dims, n=60):
+    """Cells of some instances: scattered, lumps, one cell, none, and null."""
+    lists = []
+    for k in range(n):
+        box = [(4, 9, 6), (2, 3, 2), (1, 1, 1), (3, 30, 5)][k % 4][-dims:]
+        cells = np.unique(rng.integers(0, box, (rng.integers(1, 40), dims)) + rng.integers(0, 300, dims), axis=0)
+        packed = [int(sum(int(v) << 21 * (dims - 1 - i) for i, v in enumerate(c))) for c in cells]
+        rng.shuffle(packed)
+        lists.append(packed)
+    return pa.array([*lists, [], None, lists[0]], pa.list_(pa.int64()))
+
+
+def test_outlines_of_many_are_those_of_each(monkeypatch):
+    cells = many_cells(np.random.default_rng(1), 2)
+    for most in (200_000, 50):
+        monkeypatch.setattr(geometry, "PART_CELLS", most)
+        got = [p for _, many in geometry._parts(cells, 2) for p in geometry.outlined(many, (0.02, 0.03))]
+        assert got == [geometry.encode_payload(*geometry.outline(geometry._unpacked(c, 2), (0.02, 0.03))) if c else None for c in cells.to_pylist()]
+
+
+@pytest.mark.parametrize("size", [(0.02, 0.03), (0.1, 0.02, 0.02)])
+def test_skeletons_of_many_are_those_of_each(monkeypatch, size):
+    cells = many_cells(np.random.default_rng(2), len(size))
+    monkeypatch.setattr(geometry, "CANVAS_CELLS", 200)
+    got = [r for _, many in geometry._parts(cells, len(size)) for r in geometry.skeletons_of(many, size).to_pylist()]
+    assert len(got) == len(cells)
+    for c, r in zip(cells.to_pylist(), got, strict=True):
+        if not c or len(c) < 2:
+            assert (r["skeleton"], r["vertices"], r["branches"], r["cable_length_um"], r["tortuosity"]) == (None, 0, 0, 0, None)
+            continue
+        at = geometry._unpacked(c, len(size))
+        if len(size) == 2:
+            grid, low = geometry._grid(at)
+            points, edges = geometry.pixel_graph(np.argwhere(geometry.thin(grid)) + low, size)
+        else:
+            points, edges = geometry.curve_skeleton(at, size)
+        branches, length, bent = geometry.skeleton_graph_metrics(points, edges)
+        assert (r["skeleton"] is None, r["vertices"], r["branches"]) == (geometry.skeleton_payload(points, edges) is None, len(points), branches)
+        assert r["cable_length_um"] == pytest.approx(length) and r["tortuosity"] == (None if bent is None else pytest.approx(bent))
+
+
+def test_components_of_many_groups():
+    rng = np.random.default_rng(3)
+    cells = [np.unique(rng.integers(0, 9, (rng.integers(1, 20), 2)) + rng.integers(0, 1000, 2), axis=0) for _ in range(30)]
+    got = measure.component_labels(np.concatenate(cells), np.repeat(np.arange(30), [len(c) for c in cells]))
+    assert got.tolist() == [k for c in cells for k in measure.component_labels(c).tolist()]

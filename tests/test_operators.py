@@ -330,3 +330,18 @@ def test_clusters_of_many_objects_in_one_call(spark):
     assert got["q", "mito", 3] == got["q", "nucleus", None] == "mito:2" and got["r", "er", 10] == "er:9" and got["s", "er", 2] == "er:1"
     strict = {(r.object_id, r.entity, r.label): r.cluster for r in graph.clusters(inst, links, strict=True).collect()}
     assert len(strict) == 8 and strict["q", "mito", 3] == "mito:3" and strict["r", "er", 10] == "er:9"
+
+
+def test_geometry_is_made_when_asked_for(spark):
+    cells = [(e, k, y, x) for e, k in (("a", 1), ("a", 2), ("b", 1)) for y, x in ((0, 0), (0, 1), (1, 1), (5, 5), (5, k + 5))]
+    rows = spark.createDataFrame([("o", *c) for c in cells], "object_id string, entity string, label long, y int, x int").distinct()
+    masks = rows.select("object_id", F.lit("all").alias("entity"), "y", "x").distinct()
+    found = geometry.geometry_rows(rows, masks, (0.02, 0.02), "all")
+    # An outline needs no skeleton, and an instance no mask's outline.
+    plan = found.where("row_type = 'instance'").select("object_id", "outline")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") <= 1 and "Window" not in plan and "Join" not in plan
+    whole = geometry.shapes(rows, measure.INSTANCE, (0.02, 0.02)).drop("n_voxels")
+    got = {(r.entity, r.label): r for r in found.where("row_type = 'instance'").collect()}
+    for r in whole.collect():
+        for c in whole.columns[3:]:
+            assert got[r.entity, r.label][c] == (None if r[c] is None else pytest.approx(r[c])), c

@@ -6,18 +6,21 @@ an Arrow batch holds many small instances; what kernels return are binary column
 
 from __future__ import annotations
 
+import heapq
 import math
 import struct
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelgrain.functions import expressions as ex
-from voxelgrain.operators import measure
+from voxelgrain.operators import groups, measure
 from voxelgrain.operators.distance import distance_transform
 from voxelgrain.operators.lineage import kept
 from voxelgrain.operators.measure import Size
@@ -25,6 +28,8 @@ from voxelgrain.operators.measure import Size
 HEADER = struct.Struct("<II6f")
 #: Faces above which a mesh is thinned out, and cells below which an instance has no skeleton.
 MANY_FACES, DUST_CELLS = 100, 2
+#: Cells of many instances, and of the canvas on which some are thinned, that are worked on at a time.
+PART_CELLS, CANVAS_CELLS = 200_000, 1_000_000
 
 
 def encode_payload(vertices: np.ndarray, indices: np.ndarray) -> bytes | None:
@@ -280,59 +285,69 @@ def skeleton_graph_metrics(vertices: np.ndarray | list, edges: np.ndarray | list
     return len(chains), cable, top / weight if weight > 0 else None
 
 
-def curve_skeleton(cells: np.ndarray, size: Size, scale: float = 1.5, const: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def curve_skeleton(cells: np.ndarray, size: Size, scale: float = 1.5, const: float = 0.05, piece: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Tree skeleton of a 3D instance: paths from the farthest cells to the root, cheap near the centre, each clearing what lies around it.
 
     The published scheme: a root far from an arbitrary cell, then repeatedly the cell farthest from the root among
-    those not yet covered; a path covers all cells within ``scale`` times the local radius plus ``const``.
+    those not yet covered; a path covers all cells within ``scale`` times the local radius plus ``const``. ``piece`` numbers
+    the connected pieces, each of which has a root of its own.
     """
-    import heapq
+    piece = measure.component_labels(cells) if piece is None else piece
+    places = cells * np.array(size)
+    order = np.argsort(piece, kind="stable")
+    parts = np.split(order, groups.starts(piece[order])[1:])
+    vertices, edges = {}, []
+    for part in sorted(parts, key=lambda p: p[0]):
+        for path in _piece_paths(cells[part], size, scale, const):
+            path = part[path].tolist()
+            for v in path:
+                vertices.setdefault(v, len(vertices))
+            edges += [(vertices[a], vertices[b]) for a, b in zip(path, path[1:], strict=False)]
+    return places[list(vertices)], np.array(edges, int).reshape(-1, 2)
+
 
+def _piece_paths(cells: np.ndarray, size: Size, scale: float, const: float) -> list[list[int]]:
+    """The paths of one connected piece, each from its far end to the root or an earlier path."""
+    if len(cells) <= 2:
+        return [list(range(len(cells)))]
+    steps = [tuple(v - 1 for v in d) for d in np.ndindex(3, 3, 3) if d != (1, 1, 1)]
+    steps = [(d, float(np.linalg.norm(np.multiply(d, size)))) for d in steps]
     index = {tuple(c): k for k, c in enumerate(cells.tolist())}
-    steps = [(d, float(np.linalg.norm(np.multiply(d, size)))) for d in np.ndindex(3, 3, 3) if d != (1, 1, 1)]
-    steps = [(tuple(v - 1 for v in d), float(np.linalg.norm(np.multiply([v - 1 for v in d], size)))) for d, _ in steps]
+    near = [[(j, width) for (a, b, c), width in steps if (j := index.get((z + a, y + b, x + c))) is not None] for z, y, x in index]
+    # What lies nearest outside a piece is next to it, so its own box is enough.
     grid, low = _grid(cells)
     radius = distance_transform(~grid, size)[tuple((cells - low).T)]
     places = cells * np.array(size)
 
-    def spread(start: int, cost: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        far, before = np.full(len(cells), np.inf), np.full(len(cells), -1)
-        far[start] = 0
+    def spread(start: int, cost: list[float] | None) -> tuple[np.ndarray, list[int]]:
+        far, before = [math.inf] * len(cells), [-1] * len(cells)
+        far[start] = 0.0
         heap = [(0.0, start)]
         while heap:
             d, k = heapq.heappop(heap)
             if d > far[k]:
                 continue
-            for move, width in steps:
-                j = index.get(tuple(a + b for a, b in zip(cells[k].tolist(), move, strict=True)))
-                if j is not None and (new := d + width * (1 if cost is None else cost[j])) < far[j]:
+            for j, width in near[k]:
+                if (new := d + width * (1 if cost is None else cost[j])) < far[j]:
                     far[j], before[j] = new, k
                     heapq.heappush(heap, (new, j))
-        return far, before
-
-    vertices, edges, done = {}, [], np.zeros(len(cells), bool)
-    while not done.all():
-        any_cell = int(np.argmin(done))
-        reach, _ = spread(any_cell, None)
-        piece = np.isfinite(reach)
-        root = int(np.argmax(np.where(piece, reach, -1)))
-        far, _ = spread(root, None)
-        penalty = 1 + 100000 / 4 * (1 - radius / max(radius[piece].max(), 1e-12)) ** 4
-        _, before = spread(root, penalty)
-        left = piece & ~done
-        while left.any():
-            k = int(np.argmax(np.where(left, far, -1)))
-            path = [k]
-            while path[-1] != root and path[-1] not in vertices and before[path[-1]] >= 0:
-                path.append(int(before[path[-1]]))
-            for v in path:
-                vertices.setdefault(v, len(vertices))
-            edges += [(vertices[a], vertices[b]) for a, b in zip(path, path[1:], strict=False)]
-            for v in path:
-                left &= np.linalg.norm(places - places[v], axis=1) > scale * radius[v] + const
-            left[path] = False
-        done |= piece
-    return places[list(vertices)], np.array(edges, int).reshape(-1, 2)
+        return np.array(far), before
+
+    root = int(np.argmax(spread(0, None)[0]))
+    far, _ = spread(root, None)
+    penalty = 1 + 100000 / 4 * (1 - radius / max(radius.max(), 1e-12)) ** 4
+    _, before = spread(root, penalty.tolist())
+    paths, on_path, left = [], set(), np.ones(len(cells), bool)
+    while left.any():
+        path = [int(np.argmax(np.where(left, far, -1)))]
+        while path[-1] != root and path[-1] not in on_path and before[path[-1]] >= 0:
+            path.append(before[path[-1]])
+        on_path.update(path)
+        for v in path:
+            left &= np.linalg.norm(places - places[v], axis=1) > scale * radius[v] + const
+        left[path] = False
+        paths.append(path)
+    return paths
 
 
 def skeleton_payload(vertices: np.ndarray, edges: np.ndarray) -> bytes | None:
@@ -345,10 +360,14 @@ def skeleton_payload(vertices: np.ndarray, edges: np.ndarray) -> bytes | None:
 
 def gathered(rows: DataFrame, by: list[str], axes: tuple[str, ...]) -> DataFrame:
     """``by``, ``n_voxels`` and ``cells``: every group's cells as numbers of 21 bits an axis."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n_voxels"), F.collect_list(_packed(axes)).alias("cells"))
+
+
+def _packed(axes: tuple[str, ...]) -> Column:
     packed = F.lit(0).cast("long")
     for a in axes:
         packed = F.shiftleft(packed, 21).bitwiseOR(F.col(a).cast("long"))
-    return rows.groupBy(*by).agg(F.count("*").alias("n_voxels"), F.collect_list(packed).alias("cells"))
+    return packed
 
 
 def _unpacked(cells: np.ndarray, dims: int) -> np.ndarray:
@@ -356,43 +375,250 @@ def _unpacked(cells: np.ndarray, dims: int) -> np.ndarray:
     return np.stack([cells >> (21 * (dims - 1 - k)) & 0x1FFFFF for k in range(dims)], 1)
 
 
+@dataclass(frozen=True)
+class Many:
+    """The cells of many instances, each one's in raster order: of which instance, where, and as one number (a step is a difference of numbers)."""
+
+    n: int
+    of: np.ndarray
+    at: np.ndarray
+    key: np.ndarray
+    strides: tuple[int, ...]
+
+    def step(self, d: tuple[int, ...]) -> int:
+        return sum(k * s for k, s in zip(d, self.strides, strict=True))
+
+    def has(self, key: np.ndarray) -> np.ndarray:
+        return self.key[np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)] == key
+
+
+def _parts(lists: pa.ListArray, dims: int) -> Iterator[tuple[slice, Many]]:
+    """The instances of a batch, some thousands of cells at a time; an instance that is null has none."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    packed = lists.flatten().to_numpy()
+    first = 0
+    while first < len(lengths):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + PART_CELLS, "right")) - 1)
+        of = np.repeat(np.arange(last - first), lengths[first:last])
+        cells = packed[ends[first] : ends[last]]
+        cells = cells[np.lexsort((cells, of))]
+        at = np.stack([cells >> (21 * (dims - 1 - k)) & 0x1FFFFF for k in range(dims)], 1)
+        if not len(at):
+            yield slice(first, last), Many(last - first, of, at, cells, (1,) * dims)
+            first = last
+            continue
+        begins = groups.starts(of)
+        local = at - np.minimum.reduceat(at, begins, axis=0)[groups.within(begins, len(of))] + 1
+        spans = (local.max(axis=0) + 2).tolist()
+        if math.prod(spans) * (last - first) > 2**62 and last - first > 1:
+            # Numbers would not fit: half the instances at a time, at worst each by itself.
+            last = first + (last - first) // 2
+            half = ends[last] - ends[first]
+            of, at, local = of[:half], at[:half], local[:half]
+            spans = (local.max(axis=0) + 2).tolist() if half else [1] * dims
+        strides = tuple(math.prod(spans[k + 1 :]) for k in range(dims))
+        yield slice(first, last), Many(last - first, of, at, of * math.prod(spans) + local @ np.array(strides), strides)
+        first = last
+
+
+def _encoded(n: int, points: np.ndarray, of: np.ndarray, indices: np.ndarray, index_of: np.ndarray) -> list[bytes | None]:
+    """The payload of each of ``n`` shapes, whose points and (own) indices follow one another."""
+    out: list[bytes | None] = [None] * n
+    if not len(points):
+        return out
+    begins = groups.starts(of)
+    group = groups.within(begins, len(of))
+    low, high = np.minimum.reduceat(points, begins, axis=0), np.maximum.reduceat(points, begins, axis=0)
+    scale = (high - low).astype(np.float32)
+    scale[scale == 0] = 1
+    low = low.astype(np.float32)
+    steps = np.clip((points - low[group]) / scale[group] * 65535 + 0.5, 0, 65535).astype("<u2").tobytes()
+    data = indices.astype("<u4").tobytes()
+    ends = np.append(begins, len(of)).tolist()
+    where = np.searchsorted(index_of, np.arange(n + 1)).tolist()
+    for k, i in enumerate(of[begins].tolist()):
+        a, b = where[i], where[i + 1]
+        if b > a:
+            out[i] = HEADER.pack(ends[k + 1] - ends[k], b - a, *low[k], *scale[k]) + steps[6 * ends[k] : 6 * ends[k + 1]] + data[4 * a : 4 * b]
+    return out
+
+
+def _boundary_udf(size: Size):
+    """The Crofton boundary, by the same terms as ``measure.boundary``."""
+
+    @F.arrow_udf("double")
+    def run(cells: pa.Array) -> pa.Array:
+        found = [np.zeros(0)]
+        for _, many in _parts(cells, len(size)):
+            total = np.zeros(many.n)
+            for *d, term in measure.boundary_terms(size):
+                open_ends = ~many.has(many.key + many.step(d)) if len(many.key) else np.zeros(0, bool)
+                total += np.bincount(many.of[open_ends], minlength=many.n) * term
+            found.append(total)
+        return pa.array(np.concatenate(found))
+
+    return run
+
+
 def _mesh_udf(size: Size, step: int, reduction: float):
-    @F.pandas_udf("binary")
-    def run(cells: pd.Series, sigma: pd.Series) -> pd.Series:
-        return pd.Series([encode_payload(*mesh(_unpacked(c, 3), size, sigma=s, step=step, reduction=reduction)) for c, s in zip(cells, sigma, strict=True)], dtype=object)
+    @F.arrow_udf("binary")
+    def run(cells: pa.Array, sigma: pa.Array) -> pa.Array:
+        return pa.array([encode_payload(*mesh(_unpacked(c.values.to_numpy(), 3), size, sigma=s.as_py(), step=step, reduction=reduction)) for c, s in zip(cells, sigma, strict=True)], pa.binary())
 
     return run
 
 
+def outlined(many: Many, size: Size) -> list[bytes | None]:
+    """The payload of every instance's ``outline``, all made at once."""
+    if not len(many.of):
+        return [None] * many.n
+    begins = groups.starts(many.of)
+    low = np.minimum.reduceat(many.at, begins, axis=0) - 1
+    rank = groups.within(begins, len(many.of))
+    local = many.at - low[rank]
+    wide = 2 * (int(local[:, 1].max()) + 2)
+    tall = 2 * (int(local[:, 0].max()) + 2)
+    ends, of = [], []
+    for dy, dx in ((0, 1), (0, -1), (1, 0), (-1, 0)):
+        edge = np.flatnonzero(~many.has(many.key + many.step((dy, dx))))
+        middle, along = local[edge] * 2 + (dy, dx), np.abs((dx, dy))
+        both = np.stack([middle - along, middle + along], 1)
+        ends.append((rank[edge, None] * tall + both[..., 0]) * wide + both[..., 1])
+        of.append(many.of[edge])
+    of_edge = np.concatenate(of)
+    order = np.argsort(of_edge, kind="stable")
+    keys, lines = np.unique(np.concatenate(ends)[order].ravel(), return_inverse=True)
+    of_point = keys // (tall * wide)
+    points = (np.stack([keys // wide % tall, keys % wide], 1) / 2 + low[of_point]) * np.array(size)
+    first = groups.starts(of_point)
+    lines = lines.reshape(-1) - first[of_point[lines.reshape(-1)]]
+    names = many.of[begins]
+    return _encoded(many.n, np.column_stack([points[:, ::-1], np.zeros(len(points))]), names[of_point], lines, np.repeat(of_edge[order], 2))
+
+
 def _outline_udf(size: Size):
-    @F.pandas_udf("binary")
-    def run(cells: pd.Series) -> pd.Series:
-        return pd.Series([encode_payload(*outline(_unpacked(c, 2), size)) for c in cells], dtype=object)
+    @F.arrow_udf("binary")
+    def run(cells: pa.Array) -> pa.Array:
+        return pa.array([p for _, many in _parts(cells, 2) for p in outlined(many, size)], pa.binary())
 
     return run
 
 
+def thinned(many: Many) -> np.ndarray:
+    """Which cells ``thin`` leaves of every instance. Instances of about one width are laid out below one another on one canvas."""
+    stays = np.ones(len(many.of), bool)
+    if not len(many.of):
+        return stays
+    begins = groups.starts(many.of)
+    rank = groups.within(begins, len(many.of))
+    low, high = np.minimum.reduceat(many.at, begins, axis=0), np.maximum.reduceat(many.at, begins, axis=0)
+    tall, wide = (high - low + 1).T
+    times = np.diff(np.append(begins, len(many.of)))
+    kind = np.where(times > 2, np.ceil(np.log2(wide)).astype(int), -1)
+    for k in np.unique(kind[kind >= 0]).tolist():
+        chosen = np.flatnonzero(kind == k)
+        rows = np.cumsum(tall[chosen] + 1)
+        for some in np.split(chosen, np.flatnonzero(np.diff(rows // max(1, CANVAS_CELLS // (2**k + 2)))) + 1):
+            top = np.zeros(len(begins), np.int64)
+            top[some] = np.cumsum(tall[some] + 1) - tall[some]
+            canvas = np.zeros((int((tall[some] + 1).sum()) + 1, 2**k + 2), bool)
+            use = np.flatnonzero(np.isin(rank, some)) if len(some) < len(begins) else np.arange(len(rank))
+            y, x = top[rank[use]] + many.at[use, 0] - low[rank[use], 0], many.at[use, 1] - low[rank[use], 1] + 1
+            canvas[y, x] = True
+            stays[use] = thin(canvas)[y, x]
+    return stays
+
+
+def _touching(many: Many, keys: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges of ``pixel_graph`` between the cells ``keys``, as places among all of them, and whose they are."""
+    hits, ends = [], []
+    for d in measure.half_directions(2):
+        place = np.minimum(np.searchsorted(keys, keys + many.step(d)), len(keys) - 1)
+        hit = np.flatnonzero(keys[place] == keys + many.step(d))
+        hits.append(hit)
+        ends.append(place[hit])
+    a, b = np.concatenate(hits), np.concatenate(ends)
+    order = np.argsort(of[a], kind="stable")
+    return np.column_stack([a[order], b[order]]), of[a[order]]
+
+
 _SKELETON = "skeleton binary, vertices int, branches long, cable_length_um double, tortuosity double"
 
 
+def _bones(many: Many, size: Size) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Vertices (micrometres) and edges (places among an instance's own vertices) of all skeletons, each with whose they are."""
+    times = np.bincount(many.of, minlength=many.n)
+    if len(size) == 2:
+        stays = thinned(many) & (times >= DUST_CELLS)[many.of]
+        of, at = many.of[stays], many.at[stays]
+        if not len(of):
+            return np.zeros((0, 2)), of, np.zeros((0, 2), int), of
+        edges, edge_of = _touching(many, many.key[stays], of)
+        first = np.searchsorted(of, edge_of)
+        return at * np.array(size), of, edges - first[:, None], edge_of
+    use = (times >= DUST_CELLS)[many.of]
+    of, at = many.of[use], many.at[use]
+    if not len(of):
+        return np.zeros((0, 3)), of, np.zeros((0, 2), int), of
+    piece = measure.component_labels(at, groups.within(groups.starts(of), len(of)))
+    order = np.lexsort((piece, of))
+    new = groups.starts(of[order], piece[order])
+    sizes = np.diff(np.append(new, len(of)))
+    large = np.zeros(many.n, bool)
+    large[of[order[new[sizes > 2]]]] = True
+    # A piece of one cell is a vertex, and one of two cells an edge; only what has a larger piece is searched for paths.
+    simple = ~large[of[order]]
+    vertices, vertex_of = [at[order][simple] * np.array(size)], [of[order][simple]]
+    pair = new[(sizes == 2) & ~large[of[order[new]]]]
+    edge_of = [of[order[pair]]]
+    place = pair - np.searchsorted(of[order], of[order[pair]])
+    edges = [np.column_stack([place, place + 1])]
+    begins = groups.starts(of)
+    for i, j in zip(begins.tolist(), [*begins[1:].tolist(), len(of)], strict=True):
+        if large[of[i]]:
+            points, links = curve_skeleton(at[i:j], size, piece=piece[i:j])
+            vertices.append(points)
+            vertex_of.append(np.full(len(points), of[i]))
+            edges.append(links)
+            edge_of.append(np.full(len(links), of[i]))
+    vertex_of, edge_of = np.concatenate(vertex_of), np.concatenate(edge_of)
+    by_vertex, by_edge = np.argsort(vertex_of, kind="stable"), np.argsort(edge_of, kind="stable")
+    return np.concatenate(vertices)[by_vertex], vertex_of[by_vertex], np.concatenate(edges)[by_edge], edge_of[by_edge]
+
+
+def skeletons_of(many: Many, size: Size) -> pa.Array:
+    """The skeleton of every instance, its vertices and its metrics; no vertices for dust."""
+    points, of, edges, edge_of = _bones(many, size)
+    vertices = np.bincount(of, minlength=many.n)
+    branches, cable = np.zeros(many.n, np.int64), np.zeros(many.n)
+    winding = np.full(many.n, np.nan)
+    begins, ends = np.searchsorted(of, np.arange(many.n)), np.searchsorted(edge_of, np.arange(many.n + 1))
+    at = begins[edge_of][:, None] + edges
+    long = np.linalg.norm(points[at[:, 0]] - points[at[:, 1]], axis=1)
+    # Edges that share no vertex are a branch each, and straight.
+    shared = np.bincount(at.ravel(), minlength=len(points)) > 1
+    knotted = np.zeros(many.n, bool)
+    knotted[edge_of[shared[at].any(axis=1)]] = True
+    branches += np.diff(ends)
+    cable += np.bincount(edge_of, long, many.n)
+    winding[branches > 0] = 1.0
+    for i in np.flatnonzero(knotted).tolist():
+        branches[i], cable[i], t = skeleton_graph_metrics(points[begins[i] : begins[i] + vertices[i]], edges[ends[i] : ends[i + 1]])
+        winding[i] = np.nan if t is None else t
+    flipped = points[:, ::-1]
+    flipped = np.column_stack([flipped, *[np.zeros(len(points))] * (3 - flipped.shape[1])])
+    data = pa.array(_encoded(many.n, flipped, of, edges.ravel(), np.repeat(edge_of, 2)), pa.binary())
+    columns = [data, pa.array(vertices.astype(np.int32)), pa.array(branches), pa.array(cable), pa.array(winding, mask=np.isnan(winding))]
+    return pa.StructArray.from_arrays(columns, [c.split()[0] for c in _SKELETON.split(", ")])
+
+
 def _skeleton_udf(size: Size):
-    """The skeleton, its vertices and its metrics, of instances that are ``wanted``; no vertices for dust."""
-
-    @F.pandas_udf(_SKELETON)
-    def run(cells: pd.Series, wanted: pd.Series) -> pd.DataFrame:
-        out = []
-        for c, want in zip(cells, wanted, strict=True):
-            if not want or len(c) < DUST_CELLS:
-                out.append((None, 0, 0, 0.0, None))
-                continue
-            at = _unpacked(c, len(size))
-            if len(size) == 2:
-                grid, low = _grid(at)
-                points, edges = pixel_graph(np.argwhere(thin(grid)) + low, size)
-            else:
-                points, edges = curve_skeleton(at, size)
-            out.append((skeleton_payload(points, edges), len(points), *skeleton_graph_metrics(points, edges)))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _SKELETON.split(", ")]).astype({"tortuosity": "float64"})
+    """``skeletons_of``, for instances whose cells aren't null."""
+
+    @F.arrow_udf(_SKELETON)
+    def run(cells: pa.Array) -> pa.Array:
+        return pa.concat_arrays([skeletons_of(many, size) for _, many in _parts(cells, len(size))])
 
     return run
 
@@ -415,13 +641,19 @@ def skeletons(rows: DataFrame, size: Size, allowed: frozenset[str] | None = None
     and instances of more than ``most`` cells. Any other instance without a skeleton has no branch and no length.
     """
     cells = gathered(rows, list(by), measure.AXES[len(size)]) if cells is None else cells
+    return with_skeletons(cells, size, allowed, most).select(*by, "skeleton", "branches", "cable_length_um", "tortuosity")
+
+
+def with_skeletons(cells: DataFrame, size: Size, allowed: frozenset[str] | None = None, most: int | None = None) -> DataFrame:
+    """Gathered ``cells`` with what ``skeletons`` tells, but without the cells."""
     small = F.lit(True) if most is None else F.col("n_voxels") <= most
     wanted = wants_skeletons(F.col("entity"), allowed) & small
-    found = cells.select(*by, wanted.alias("wanted"), _skeleton_udf(size)("cells", wanted).alias("s"))
+    others = [c for c in cells.columns if c != "cells"]
+    found = cells.select(*others, wanted.alias("wanted"), _skeleton_udf(size)(F.when(wanted, F.col("cells"))).alias("s"))
     some = F.max(F.col("s.vertices") > 0).over(Window.partitionBy("object_id", "entity"))
     found = found.withColumn("measured", F.col("wanted") & some)
     known = lambda c: F.when(F.col("measured"), F.col(f"s.{c}")).alias(c)
-    return found.select(*by, F.col("s.skeleton").alias("skeleton"), known("branches"), known("cable_length_um"), known("tortuosity"))
+    return found.select(*others, F.col("s.skeleton").alias("skeleton"), known("branches"), known("cable_length_um"), known("tortuosity"))
 
 
 def meshes(masks: DataFrame, size: Size) -> DataFrame:
@@ -465,16 +697,28 @@ def shapes(voxels: DataFrame, by: tuple[str, ...], size: Size) -> DataFrame:
     return found.withColumn(roundness, round_of(F.col(extent), F.col(bound)))
 
 
+def shaped(voxels: DataFrame, by: tuple[str, ...], size: Size) -> DataFrame:
+    """What ``shapes`` tells of every group, and its gathered cells, from one aggregate."""
+    dims = len(size)
+    extent, bound, roundness = SIZES[dims]
+    axes = measure.AXES[dims]
+    centre = [(F.avg(a) * s).alias(f"centroid_{a}_um") for a, s in zip(axes, size, strict=True)]
+    packed = F.collect_list(_packed(axes)).alias("cells")
+    found = voxels.groupBy(*by).agg(F.count("*").alias("n_voxels"), packed, (F.count("*") * math.prod(size)).alias(extent), *centre, *measure.covariances(size), measure.box_cells(dims))
+    found = measure.with_aspect_ratio(found, dims).withColumn("fill_ratio", F.col("n_voxels") / F.col("bbox_cells")).drop("bbox_cells")
+    round_of = ex.roundness_3d if dims == 3 else ex.roundness_2d
+    return found.withColumn(bound, _boundary_udf(size)("cells")).withColumn(roundness, round_of(F.col(extent), F.col(bound)))
+
+
 def geometry_rows(labels: DataFrame, masks: DataFrame, size: Size, object_mask: str | None = None, contacts: DataFrame | None = None, options: Options | None = None) -> DataFrame:
     """One table of an object's geometry: a row for each instance, for each whole mask (``row_type`` file), and for each contact.
 
     Instances carry their shape, their direction from the object mask's centre, and their skeleton; instances and masks
     a mesh in space or an outline in the plane. Counts from the payloads' headers are columns, so that a budget can be
-    kept without reading geometry.
+    kept without reading geometry. Nothing is made before it is asked for: who reads the rows more than once keeps them.
     """
     options, dims = options or Options(), len(size)
-    axes, roundness = measure.AXES[dims], SIZES[dims][2]
-    by = list(measure.INSTANCE)
+    roundness = SIZES[dims][2]
 
     def drawn(cells: DataFrame) -> DataFrame:
         if dims == 2:
@@ -482,22 +726,20 @@ def geometry_rows(labels: DataFrame, masks: DataFrame, size: Size, object_mask:
         sigma = ex.smoothing(F.col(roundness), F.col("fill_ratio"), 0.3, 2 * options.smoothing)
         return cells.withColumns({"mesh": _mesh_udf(size, options.step, options.reduction)("cells", sigma), "outline": F.lit(None).cast("binary")})
 
-    cells = kept(gathered(labels, by, axes))
-    found = drawn(cells.join(shapes(labels, measure.INSTANCE, size).drop("n_voxels"), by)).drop("cells")
-    found = found.join(skeletons(labels, size, options.skeleton_entities, options.most_skeleton_voxels, cells=cells), by)
+    found = with_skeletons(drawn(shaped(labels, measure.INSTANCE, size)), size, options.skeleton_entities, options.most_skeleton_voxels)
     if object_mask is not None:
         centres = measure.extent(masks.where(F.col("entity") == object_mask), ("object_id",), size)
         found = (measure.polarity if dims == 3 else measure.polarity_2d)(found, centres)
     found = found.withColumns({"entity_kind": F.lit("label"), "row_type": F.lit("instance")})
     whole = ("object_id", "entity")
-    files = drawn(gathered(masks, list(whole), axes).join(shapes(masks, whole, size).drop("n_voxels"), list(whole))).drop("cells")
+    files = drawn(shaped(masks, whole, size)).drop("cells")
     files = files.withColumns({"entity_kind": F.lit("mask"), "row_type": F.lit("file")})
     rows = found.unionByName(files, allowMissingColumns=True)
     if contacts is not None:
         rows = rows.unionByName(contacts.withColumn("row_type", F.lit("contact")), allowMissingColumns=True)
     counts = {"mesh_vertices": ex.payload_count(F.col("mesh"), 0), "mesh_faces": F.expr("mesh_indices div 3"), "outline_vertices": ex.payload_count(F.col("outline"), 0)}
     rows = rows.withColumns({"mesh_indices": ex.payload_count(F.col("mesh"), 1), "spatial_dims": F.lit(dims)}).withColumns(counts).drop("mesh_indices")
-    return kept(rows)
+    return rows
 
 
 def has_geometry() -> Column:
@@ -511,9 +753,10 @@ def geometry_size(rows: DataFrame) -> Column:
 
 def summary(rows: DataFrame) -> DataFrame:
     """Rows with geometry and their faces, by entity and kind of row; and, for an entity of null, the widest gap of the contacts."""
-    drawn = rows.where(has_geometry()).groupBy("entity", "row_type").agg(F.count("*").alias("n"), F.sum("mesh_faces").alias("faces"))
     gap = F.col("gap_um") if "gap_um" in rows.columns else F.lit(None).cast("double")
-    widest = rows.where("row_type = 'contact'").agg(F.max(gap).alias("widest_gap_um"))
+    rows = kept(rows.select("entity", "row_type", "mesh_faces", gap.alias("gap_um"), has_geometry().alias("drawn")))
+    drawn = rows.where("drawn").groupBy("entity", "row_type").agg(F.count("*").alias("n"), F.sum("mesh_faces").alias("faces"))
+    widest = rows.where("row_type = 'contact'").agg(F.max("gap_um").alias("widest_gap_um"))
     widest = widest.select(F.lit(None).cast("string").alias("entity"), F.lit("contact").alias("row_type"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("faces"), "widest_gap_um")
     return drawn.withColumn("widest_gap_um", F.lit(None).cast("double")).unionByName(widest)
 
@@ -539,11 +782,12 @@ def merged_meshes(rows: DataFrame, by: tuple[str, ...] = ("object_id", "entity")
 
 def importable(rows: DataFrame, objects: Iterable[str] | None = None, entities: Iterable[str] | None = None, excluded: Iterable[str] = ()) -> DataFrame:
     """Meshes that a scene takes: of the named objects and entities, or all, but for excluded entities; by object, entity and kind of row."""
-    chosen = rows.where("mesh is not null")
+    chosen = rows
     for column, names in (("object_id", objects), ("entity", entities)):
         if names is not None:
             chosen = chosen.where(F.col(column).cast("string").isin([str(n) for n in names]))
-    return chosen.where(~F.col("entity").isin(list(excluded)))
+    # Kept before it is asked which rows have a mesh, as meshes would else be made for the question, too.
+    return kept(chosen.where(~F.col("entity").isin(list(excluded)))).where("mesh is not null")
 
 
 def locations(objects: DataFrame, base: str | None = None) -> DataFrame:
@@ -555,7 +799,7 @@ def locations(objects: DataFrame, base: str | None = None) -> DataFrame:
 
 def palette(rows: DataFrame, chosen: DataFrame, colours: tuple[str, ...]) -> DataFrame:
     """``entity`` and ``colour`` of all entities with geometry: the one chosen for it, else that of its place in the order of names."""
-    names = rows.where(has_geometry()).select("entity").distinct()
+    names = kept(rows.select("entity", has_geometry().alias("drawn")).distinct()).where("drawn").select("entity")
     # One row for each structure: a short order.
     place = F.pmod(F.row_number().over(Window.orderBy("entity")) - 1, F.lit(len(colours)))
     own = chosen.where("entity_colour is not null").select(F.col("entity").alias("of"), "entity_colour").distinct()

@@ -146,7 +146,7 @@ def geometry_tables(loaded: Loaded, object_mask: str, settings: Settings | None
         labels = cells.where("kind = 'label'").drop("kind")
         masks = cells.where("kind = 'mask'").select("object_id", "entity", "z", "y", "x")
         touching = contacts.edges(contacts.claim(labels, masks.where(F.col("entity") != name)), settings.gap_um, size, measure.AXES[len(size)])
-        tables.append(geometry.geometry_rows(labels, masks, size, name, touching, options))
+        tables.append(kept(geometry.geometry_rows(labels, masks, size, name, touching, options)))
     return tables
 
 
