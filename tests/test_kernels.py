@@ -214,3 +214,27 @@ def test_components_of_many_groups():
     cells = [np.unique(rng.integers(0, 9, (rng.integers(1, 20), 2)) + rng.integers(0, 1000, 2), axis=0) for _ in range(30)]
     got = measure.component_labels(np.concatenate(cells), np.repeat(np.arange(30), [len(c) for c in cells]))
     assert got.tolist() == [k for c in cells for k in measure.component_labels(c).tolist()]
+
+
+def test_a_mesh_of_scattered_cells_takes_few_steps_over_its_grid(monkeypatch):
+    rng = np.random.default_rng(6)
+    cells = np.unique(np.stack([rng.integers(0, n, 12) for n in (7, 50, 11)], 1), axis=0)
+    size = (0.1, 0.02, 0.02)
+    many = geometry.mesh(cells, size, sigma=0.35, step=2, reduction=0.8)
+    for name in ("_shifted", "_envelope", "_scan"):
+        monkeypatch.setattr(distance, name, None)
+    few = geometry.mesh(cells, size, sigma=0.35, step=2, reduction=0.8)
+    assert len(few[1]) and all((a == b).all() for a, b in zip(many, few, strict=True))
+
+
+def test_transforms_of_few_cells_up_to_a_distance_and_of_many_agree(monkeypatch):
+    rng = np.random.default_rng(7)
+    target, size = rng.random((6, 30, 9)) < 0.02, (0.1, 0.02, 0.02)
+    want = np.sqrt(np.min([sum(((np.indices(target.shape)[k] - c[k]) * s) ** 2 for k, s in enumerate(size)) for c in np.argwhere(target)], axis=0))
+    for few in (1000, 0):
+        monkeypatch.setattr(distance, "FEW_CELLS", few)
+        assert np.allclose(distance.distance_transform(target, size), want)
+        near = distance.distance_transform(target, size, upto=0.1)
+        assert np.allclose(near[want <= 0.1], want[want <= 0.1]) and (near[want > 0.1] > 0.1).all()
+    monkeypatch.setattr(distance, "SHORT_LINE", 0)
+    assert np.allclose(distance.distance_transform(target, size), want)
